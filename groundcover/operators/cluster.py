@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..constants import (KMEANS_SEED, PER_RASTER_MIN, SAMPLE_EXTRA, SAMPLE_GRID, SAMPLE_MIN_PER_WINDOW,
                          SAMPLE_WINDOW, TRAIN_HIGH, TRAIN_LOW, TRAIN_MAX)
 from ..functions import color
-from .stats import linspace_index, sample_hash, take_lowest
+from .stats import attach_by, attach_scalar, linspace_index, sample_hash, take_lowest
 
 MAX_CENTRES = 1024
 
@@ -56,9 +58,6 @@ def nearest_centre(df: DataFrame, features: list[str], centres, label: str = "cl
 def nearest_centre_vectors(df: DataFrame, vector: str, centres: np.ndarray, label: str = "cluster",
                            distance: str = "distance") -> DataFrame:
     """Nearest centre for long vectors, in Arrow batches with one matrix product each."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     c = np.asarray(centres, dtype=np.float64)
     c2 = (c * c).sum(axis=1)
 
@@ -87,6 +86,61 @@ def lloyd(df: DataFrame, features: list[str], init, iterations: int) -> list[lis
     return centres
 
 
+def _kmeans(x: np.ndarray, k: int, seed: int, starts: int = 10, rounds: int = 300) -> np.ndarray:
+    """Best of several seeded starts on one bounded sample."""
+    rng = np.random.default_rng(seed)
+    best, low = None, np.inf
+    for _ in range(starts):
+        c = x[[rng.integers(len(x))]]
+        while len(c) < k:
+            d = ((x[:, None, :] - c[None]) ** 2).sum(-1).min(1)
+            total = d.sum()
+            c = np.vstack([c, x[rng.choice(len(x), p=d / total) if total > 0 else rng.integers(len(x))]])
+        for _ in range(rounds):
+            lab = ((x[:, None, :] - c[None]) ** 2).sum(-1).argmin(1)
+            new = np.array([x[lab == i].mean(0) if (lab == i).any() else c[i] for i in range(k)])
+            moved = np.abs(new - c).max()
+            c = new
+            if moved < 1e-6:
+                break
+        cost = ((x - c[lab]) ** 2).sum()
+        if cost < low:
+            best, low = c, cost
+    return best[np.lexsort(best.T[::-1])]
+
+
+def fit_per_group(sample: DataFrame, features: list[str], k: int, by: list[str], seed: int = KMEANS_SEED) -> DataFrame:
+    """An independent scaler and k-means per group, each on its own bounded sample.
+
+    ``sample`` must come from an exact-size sample per group, so a group fits in
+    a task. Centres come back in feature units, with the scale to measure in.
+    """
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > TRAIN_HIGH:
+            raise ValueError("training sample too large: sample each group first")
+        x = pdf[features].to_numpy(dtype=float)
+        mean, std = x.mean(0), x.std(0)
+        std[std == 0] = 1.0
+        c = _kmeans((x - mean) / std, min(k, len(x)), seed)
+        data = {n: [v] for n, v in zip(by, key)}
+        return pd.DataFrame({**data, "centres": [(c * std + mean).tolist()], "scale": [std.tolist()]})
+
+    types = dict(sample.dtypes)
+    schema = "".join(f"{c} {types[c]}, " for c in by) + "centres array<array<double>>, scale array<double>"
+    return sample.select(*by, *features).groupBy(*by).applyInPandas(run, schema)
+
+
+def nearest_centre_by(df: DataFrame, features: list[str], models: DataFrame, by: list[str],
+                      label: str = "cluster") -> DataFrame:
+    """Nearest centre under each group's own model (``centres``, ``scale``)."""
+    held = attach_by(df, models, by)
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    cost = lambda c: F.aggregate(F.zip_with(F.zip_with(x, c, lambda a, b: a - b), F.col("scale"),
+                                            lambda d, s: (d / s) * (d / s)), F.lit(0.0), lambda t, v: t + v)
+    best = F.array_min(F.transform("centres", lambda c, i: F.struct(cost(c).alias("d"), i.alias("i"))))
+    return held.withColumn(label, best["i"] + 1).drop("centres", "scale")
+
+
 def inertia(df: DataFrame, features: list[str], centres) -> DataFrame:
     return nearest_centre(df, features, centres, distance="_dist").agg(F.sum("_dist").alias("inertia"))
 
@@ -126,7 +180,7 @@ def complexity_sample_size(df: DataFrame, features: list[str], n_clusters: int)
         part = 0.6 * (1.0 - norm) + 0.4 * min(1.0, n_clusters / 15.0)
         size = min(int(np.clip(TRAIN_LOW + part * (TRAIN_HIGH - TRAIN_LOW), TRAIN_LOW, TRAIN_HIGH)), n)
     return df.sparkSession.createDataFrame([(n, round(norm, 6), size)],
-                                           "n_pixels long, norm_entropy double, train_pixels int")
+                                           "n_pixels long, norm_entropy double, train_pixels long")
 
 
 def window_sample(px: DataFrame, dims: DataFrame, n_samples: int, seed: int = 42, grid: int = SAMPLE_GRID,
@@ -172,3 +226,48 @@ def uniform_sample(df: DataFrame, n: int, row: str = "row", col: str = "col", se
 
 def per_raster_budget(n_rasters: Column, total: int = TRAIN_MAX) -> Column:
     return F.greatest(F.lit(PER_RASTER_MIN), F.floor(F.lit(total) / n_rasters).cast("int"))
+
+
+def _centre_cells(rasters: DataFrame, budget: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rasters with their grid cell, and the one-row grid description."""
+    src = rasters.select("path", ((F.col("west") + F.col("east")) / 2).alias("_cx"),
+                         ((F.col("south") + F.col("north")) / 2).alias("_cy"))
+    n = F.count("*")
+    want = F.lit(budget) if budget else F.greatest(F.lit(8), F.ceil(F.sqrt(n.cast("double"))).cast("long"))
+    box = src.agg(n.alias("n"), F.least(want, n).alias("budget"), F.min("_cx").alias("x0"), F.min("_cy").alias("y0"),
+                  (F.max("_cx") - F.min("_cx")).alias("rx"), (F.max("_cy") - F.min("_cy")).alias("ry"))
+    one = lambda c: F.when(F.col(c) == 0, F.lit(1.0)).otherwise(F.col(c))
+    side = lambda x: F.greatest(F.lit(1), F.bround(x).cast("int"))
+    box = box.withColumn("rx", one("rx")).withColumn("ry", one("ry"))
+    box = box.withColumn("ny", side(F.sqrt(F.col("budget") / (F.col("rx") / F.col("ry")))))
+    box = box.withColumn("nx", side(F.col("budget") / F.col("ny")))
+    box = box.withColumn("cw", F.col("rx") / F.col("nx")).withColumn("ch", F.col("ry") / F.col("ny"))
+    held = attach_scalar(src, box)
+    cell = lambda v, lo, size, m: F.least(F.floor((F.col(v) - F.col(lo)) / F.col(size)), F.col(m) - 1)
+    return held.withColumn("_ix", cell("_cx", "x0", "cw", "nx")).withColumn("_iy", cell("_cy", "y0", "ch", "ny")), box
+
+
+def grid_representatives(rasters: DataFrame, budget: int | None = None) -> DataFrame:
+    """The raster nearest the centre of each cell of a grid with about ``budget`` cells."""
+    held, _ = _centre_cells(rasters, budget)
+    dx = F.col("_cx") - (F.col("x0") + (F.col("_ix") + 0.5) * F.col("cw"))
+    dy = F.col("_cy") - (F.col("y0") + (F.col("_iy") + 0.5) * F.col("ch"))
+    near = F.struct((dx * dx + dy * dy).alias("d"), F.col("path"))
+    return held.groupBy("_ix", "_iy").agg(F.min_by("path", near).alias("path")).select("path")
+
+
+def representative_rasters(rasters: DataFrame, budget: int | None = None) -> DataFrame:
+    """Mark a spatially spread subset of rasters for training (``selected``).
+
+    ``rasters`` has ``path, west, south, east, north``. Grid cells give one raster
+    each; a seeded hash of the path fills what is left of the budget.
+    """
+    held, box = _centre_cells(rasters, budget)
+    first = grid_representatives(rasters, budget)
+    taken = first.agg(F.count("*").alias("c"))
+    left = attach_scalar(box.select("budget"), taken).select((F.col("budget") - F.col("c")).alias("left")).scalar()
+    rest = rasters.select("path").join(first, "path", "left_anti")
+    fill = take_lowest(rest, left, F.pmod(F.xxhash64("path", F.lit(42)), F.lit(1_000_003)), ["path"], [])
+    chosen = first.unionByName(fill.select("path")).withColumn("_sel", F.lit(True))
+    return held.select("path", "n", "budget").join(chosen, "path", "left").select(
+        "path", (F.coalesce("_sel", F.lit(False)) | (F.col("n") <= F.col("budget"))).alias("selected"))

@@ -53,6 +53,18 @@ def merge(factory: DataFrame, user: DataFrame, fields: list[str], by: list[str]
         *[F.coalesce(F.col(f"u.{c}"), F.col(f"f.{c}")).alias(c) for c in fields])
 
 
+def resolve_anchors(profile: DataFrame, defaults: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Anchors in force: a profile's non-empty list, else the default list of a known class."""
+    keys = [*(by or []), "material"]
+    mine = profile.filter(F.size("anchors") > 0).select(*keys, F.col("anchors").alias("_own"))
+    every = profile.select(*(by or [])).distinct() if by else None
+    base = defaults.select("material", F.col("anchors").alias("_base"))
+    if every is not None:
+        listed = base.agg(F.collect_list(F.struct("material", "_base")).alias("l")).scalar()  # the class table
+        base = every.select(*by, F.explode(listed).alias("m")).select(*by, "m.material", "m._base")
+    return base.join(mine, keys, "full_outer").select(*keys, F.coalesce("_own", "_base").alias("anchors"))
+
+
 def legacy_names(classes: DataFrame) -> DataFrame:
     """Absorbed names and the class that absorbed them."""
     return classes.select(F.explode("sub_absorbs").alias("legacy"), F.col("name").alias("parent"))
