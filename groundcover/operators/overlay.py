@@ -122,7 +122,7 @@ def resolve_overlay_colours(layers: DataFrame, classes: DataFrame, auto: DataFra
            .join(hexed, "layer", "left"))
     resolved = F.coalesce("_class_id", "_name", literal_map(built_id)[F.col("class_id")],
                           literal_map(built_name)[F.col("name")], F.lower("override"), "_auto")
-    return out.select("layer", "class_id", "name", resolved.alias("color"))
+    return out.select(*layers.columns, resolved.alias("color"))
 
 
 def veto_summary(table: DataFrame) -> DataFrame:

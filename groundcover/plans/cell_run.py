@@ -111,10 +111,11 @@ def to_cell_grid(px: DataFrame, sources: DataFrame, cfg: CellConfig, gsd: float,
     north, px_x, px_y, ord``.
     """
     west, _, _, north = cfg.box
-    held = attach_by(px, sources.select("path", "ord", (F.lit(gsd) / F.col("px_x")).alias("_rx"),
-                                        (F.lit(gsd) / F.col("px_y")).alias("_ry"),
-                                        ((F.col("west") - west) / gsd).alias("_ox"),
-                                        ((F.lit(north) - F.col("north")) / gsd).alias("_oy")), ["path"])
+    # positions are snapped to a millionth of a pixel, so aligned grids stay aligned
+    held = attach_by(px, sources.select("path", "ord", F.round(F.lit(gsd) / F.col("px_x"), 6).alias("_rx"),
+                                        F.round(F.lit(gsd) / F.col("px_y"), 6).alias("_ry"),
+                                        F.round((F.col("west") - west) / gsd, 6).alias("_ox"),
+                                        F.round((F.lit(north) - F.col("north")) / gsd, 6).alias("_oy")), ["path"])
     held = held.filter(F.col("ord").isNotNull())
     flat = area_average(held, ["r", "g", "b"], F.col("_rx"), F.col("_ry"), ["path", "ord"], F.col("_ox"), F.col("_oy"))
     flat = flat.filter((F.col("row") >= 0) & (F.col("row") < height) & (F.col("col") >= 0) & (F.col("col") < width))
