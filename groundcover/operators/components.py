@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -60,12 +61,16 @@ def _border_edges(labels: DataFrame, by: list[str], tile: int, connectivity: int
     return away.join(rim.withColumnRenamed("node", "v"), [*by, "row", "col"]).select(*by, "u", "v").distinct()
 
 
-def _with_min(edges: DataFrame, mins: DataFrame, key: list[str]) -> DataFrame:
-    """Join edges to the minimum of their first node; hubs take a broadcast path.
+def _with_min(edges: DataFrame, key: list[str], n_edges: int) -> DataFrame:
+    """Edges with ``m``, the lowest neighbour of their first node.
 
-    Few nodes can have a high degree (edges divided by the limit), so their part
-    of ``mins`` is small; the other part has no hot key.
+    A short edge list has no hot node, so one window does. Otherwise the minimum
+    is aggregated and joined back; only few nodes can exceed the degree limit
+    (edges divided by the limit), and their part is broadcast.
     """
+    if n_edges <= HEAVY_DEGREE:
+        return edges.withColumn("m", F.min("v").over(W.partitionBy(*key)))
+    mins = edges.groupBy(*key).agg(F.min("v").alias("m"), F.count("*").alias("_deg"))
     on = lambda m: edges.join(m.drop("_deg"), key)
     light = on(mins.filter(F.col("_deg") <= HEAVY_DEGREE))
     return light.unionByName(on(F.broadcast(mins.filter(F.col("_deg") > HEAVY_DEGREE))))
@@ -81,18 +86,15 @@ def contract(edges: DataFrame, by: list[str]) -> DataFrame:
     seen = fingerprint(cur)
     if not seen[0]:
         return cur.select(*by, F.col("u").alias("node"), F.col("v").alias("root"))
+    key = [*by, "u"]
     for _ in range(MAX_ROUNDS):
         both = cur.unionByName(cur.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
-        key = [*by, "u"]
-        mins = both.groupBy(*key).agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_deg"))
-        large = _with_min(both, mins, key).filter("v > u AND v <> m").select(
-            *by, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        mins = down.groupBy(*key).agg(F.min("v").alias("m"), F.count("*").alias("_deg"))
-        small = _with_min(down, mins, key).filter("v <> m").select(
-            *by, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            mins.select(*by, "u", F.col("m").alias("v"))).distinct()
-        cur = cut_lineage(small)
+        near = _with_min(both, key, 2 * seen[0]).withColumn("m", F.least("m", "u"))
+        large = near.filter("v > u AND v <> m").select(*by, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        near = _with_min(large, key, 2 * seen[0])  # v < u on every edge here
+        small = near.select(*by, F.explode(F.array(F.struct("u", F.col("m").alias("v")),
+                                                   F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        cur = cut_lineage(small.select(*by, "e.u", "e.v").filter("u <> v").distinct())
         now = fingerprint(cur)
         if now == seen:
             return cur.select(*by, F.col("u").alias("node"), F.col("v").alias("root"))
