@@ -13,9 +13,11 @@ from pyspark.sql.functions import pandas_udf
 from ..constants import (KMEANS_SEED, PER_RASTER_MIN, SAMPLE_EXTRA, SAMPLE_GRID, SAMPLE_MIN_PER_WINDOW,
                          SAMPLE_WINDOW, TRAIN_HIGH, TRAIN_LOW, TRAIN_MAX)
 from ..functions import color
+from ..session import cut_lineage
 from .stats import attach_by, attach_scalar, linspace_index, sample_hash, take_lowest
 
 MAX_CENTRES = 1024
+TRAIN_PARTITIONS = 8
 
 
 def fit_scaler(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
@@ -150,9 +152,11 @@ def fit_kmeans(sample: DataFrame, features: list[str], k: int, seed: int = KMEAN
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
+    # the sample has a fixed size, so a few partitions hold it for all rounds
+    sample = cut_lineage(sample.select(*features).repartition(TRAIN_PARTITIONS))
     scaler = fit_scaler(sample, features)
     vec = VectorAssembler(inputCols=features, outputCol="_v").transform(standardise(sample, scaler))
-    model = KMeans(k=k, seed=seed, maxIter=300, initSteps=5, featuresCol="_v").fit(vec.select("_v"))
+    model = KMeans(k=k, seed=seed, maxIter=300, featuresCol="_v").fit(vec.select("_v"))
     centres = sorted([list(map(float, c)) for c in model.clusterCenters()])
     return scaler, centres
 

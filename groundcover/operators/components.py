@@ -10,13 +10,14 @@ its diameter, and each ends in a checkpoint.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import kernels as K
+from .tiles import column
 
 HEAVY_DEGREE = 100_000
 MAX_ROUNDS = 60
@@ -31,20 +32,20 @@ def _tile_labels(mask: DataFrame, by: list[str], tile: int, connectivity: int) -
     keyed = mask.select(*by, "row", "col", F.floor(F.col("row") / tile).cast("int").alias("_tr"),
                         F.floor(F.col("col") / tile).cast("int").alias("_tc"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        row, col = column(table, "row"), column(table, "col")
         r0, c0 = row.min(), col.min()
         w = col.max() - c0 + 1
         m = np.zeros((row.max() - r0 + 1, w), dtype=bool)
         m[row - r0, col - c0] = True
         lab = K.label(m, connectivity)[row - r0, col - c0].astype(np.int64)
         node = ((lab // w + r0) << 31) + lab % w + c0
-        data = {c: [k] * len(row) for c, k in zip(by, key)}
-        return pd.DataFrame({**data, "row": row, "col": col, "node": node})
+        return pa.table({**{c: pa.repeat(k, len(row)) for c, k in zip(by, key)},
+                         "row": pa.array(row), "col": pa.array(col), "node": pa.array(node)})
 
     types = dict(mask.dtypes)
     schema = "".join(f"{c} {types[c]}, " for c in by) + "row int, col int, node long"
-    return keyed.groupBy(*by, "_tr", "_tc").applyInPandas(run, schema)
+    return keyed.groupBy(*by, "_tr", "_tc").applyInArrow(run, schema)
 
 
 def _border_edges(labels: DataFrame, by: list[str], tile: int, connectivity: int) -> DataFrame:

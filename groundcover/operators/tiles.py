@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,11 @@ from .stats import attach_by
 TILE_COLUMNS = [f.split()[0] for f in TILE.split(", ")]
 
 
+def column(table: pa.Table, name: str) -> np.ndarray:
+    """A column without nulls as a NumPy array."""
+    return table.column(name).to_numpy()
+
+
 def empty_frame(columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
 
@@ -75,9 +81,13 @@ def focal_pixels(px: DataFrame, bands: list[str], radius: int, tile: int,
               .withColumn("_tr", F.explode(_reach("row", radius, tile)))
               .withColumn("_tc", F.explode(_reach("col", radius, tile))))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tr, tc = key[-2], key[-1]
-        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+    types = dict(px.dtypes)
+    schema = ", ".join([f"{c} {types[c]}" for c in by] + ["row int", "col int"] + [f"{k} {v}" for k, v in out.items()])
+    numpy_types = {"int": np.int32, "double": np.float64, "long": np.int64, "boolean": np.bool_}
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        tr, tc = key[-2].as_py(), key[-1].as_py()
+        row, col = column(table, "row"), column(table, "col")
         r0, c0 = row.min(), col.min()
         shape = (row.max() - r0 + 1, col.max() - c0 + 1)
         at = (row - r0, col - c0)
@@ -86,23 +96,21 @@ def focal_pixels(px: DataFrame, bands: list[str], radius: int, tile: int,
         arrays = {}
         for b in bands:
             a = np.zeros(shape)
-            a[at] = pdf[b].to_numpy()
+            a[at] = column(table, b)
             arrays[b] = a
         for c in carry:
-            arrays[c] = pdf[c].iloc[0]
+            arrays[c] = table.column(c)[0].as_py()
         core = ((row >= tr * tile) & (row < (tr + 1) * tile) & (col >= tc * tile) & (col < (tc + 1) * tile))
-        if not core.any():
-            return empty_frame([*by, "row", "col", *out])
-        res = fn(arrays, present)
-        data = {c: [k] * int(core.sum()) for c, k in zip(by, key)}
-        data["row"], data["col"] = row[core], col[core]
-        for name in out:
-            data[name] = res[name][at][core]
-        return pd.DataFrame(data)
+        n = int(core.sum())
+        res = fn(arrays, present) if n else {}
+        data = {c: pa.repeat(k, n) for c, k in zip(by, key)}
+        data["row"], data["col"] = pa.array(row[core]), pa.array(col[core])
+        for name, kind in out.items():
+            values = res[name][at][core] if n else np.empty(0)
+            data[name] = pa.array(values.astype(numpy_types[kind]))
+        return pa.table(data)
 
-    types = dict(px.dtypes)
-    schema = ", ".join([f"{c} {types[c]}" for c in by] + ["row int", "col int"] + [f"{k} {v}" for k, v in out.items()])
-    return spread.groupBy(*by, "_tr", "_tc").applyInPandas(run, schema)
+    return spread.groupBy(*by, "_tr", "_tc").applyInArrow(run, schema)
 
 
 def pixels_to_tiles(px: DataFrame, bands: list[str], tile: int, dims: DataFrame) -> DataFrame:
@@ -111,18 +119,21 @@ def pixels_to_tiles(px: DataFrame, bands: list[str], tile: int, dims: DataFrame)
              .withColumn("tile_row", F.floor(F.col("row") / tile).cast("int"))
              .withColumn("tile_col", F.floor(F.col("col") / tile).cast("int")))
 
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rid, tr, tc = key
-        rh, rw = int(pdf["raster_h"].iloc[0]), int(pdf["raster_w"].iloc[0])
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        rid, tr, tc = (k.as_py() for k in key)
+        rh, rw = table.column("raster_h")[0].as_py(), table.column("raster_w")[0].as_py()
         r0, c0 = tr * tile, tc * tile
         h, w = min(tile, rh - r0), min(tile, rw - c0)
         block = np.zeros((len(bands), h, w), dtype=np.uint8)
+        at = (column(table, "row") - r0, column(table, "col") - c0)
         for i, b in enumerate(bands):
-            block[i, pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0] = pdf[b].to_numpy()
-        return pd.DataFrame([(rid, tr, tc, r0, c0, h, w, rh, rw, len(bands), block.tobytes())],
-                            columns=TILE_COLUMNS)
+            block[i][at] = column(table, b)
+        ints = dict(tile_row=tr, tile_col=tc, row0=r0, col0=c0, h=h, w=w, raster_h=rh, raster_w=rw, n_bands=len(bands))
+        return pa.table({"raster_id": pa.array([rid], pa.string()),
+                         **{k: pa.array([v], pa.int32()) for k, v in ints.items()},
+                         "data": pa.array([block.tobytes()], pa.binary())})
 
-    return keyed.groupBy(*TILE_KEYS).applyInPandas(pack, TILE)
+    return keyed.groupBy(*TILE_KEYS).applyInArrow(pack, TILE)
 
 
 def tiles_to_pixels(tiles: DataFrame, names: list[str], drop_blank: bool = False) -> DataFrame:

@@ -249,7 +249,7 @@ def i1(spark, sf):
 
 @query("i1_components_4", f"WITH RECURSIVE {reach_sql('SELECT blk AS grp, row, col FROM pixel', 4)} SELECT grp AS blk, row, col, comp FROM cc", ["pixel"])
 def i14(spark, sf):
-    return components.label_components(view(spark, sf, "pixel"), ["raster_id", "blk"], 16, 4).select("blk", "row", "col", "comp")
+    return components.label_components(view(spark, sf, "pixel"), ["raster_id", "blk"], 32, 4).select("blk", "row", "col", "comp")
 
 
 _BAD = "((r-34)*(r-34)+(g-139)*(g-139)+(b-34)*(b-34) <= 4500 OR (r-28)*(r-28)+(g-107)*(g-107)+(b-160)*(b-160) <= 4500)"
@@ -291,7 +291,7 @@ def i4f(spark, sf):
 @query("i6_area_filter", f"""WITH RECURSIVE {reach_sql('SELECT blk AS grp, row, col FROM pixel', 8)}
 SELECT grp AS blk, comp, count(*) AS area FROM cc GROUP BY 1,2 HAVING count(*) >= 120""", ["pixel"])
 def i6(spark, sf):
-    labels = components.label_components(view(spark, sf, "pixel"), ["raster_id", "blk"], 16, 8)
+    labels = components.label_components(view(spark, sf, "pixel"), ["raster_id", "blk"], 32, 8)
     return components.component_stats(labels, ["raster_id", "blk"]).filter("area >= 120").select("blk", "comp", "area")
 
 
@@ -301,7 +301,7 @@ SELECT grp AS blk, comp, area FROM s WHERE area >= 100 AND area <= 9500 AND NOT
 def i7(spark, sf):
     by = ["raster_id", "blk"]
     px = view(spark, sf, "pixel")
-    labels = components.label_components(px, by, 16, 8).join(px, [*by, "row", "col"])
+    labels = components.label_components(px, by, 32, 8).join(px, [*by, "row", "col"])
     s = components.component_stats(labels, by, [F.avg(c).alias(f"m{c}") for c in "rgb"])
     odd = ((F.col("mr") > F.col("mb") + 30) & (F.col("mr") > F.col("mg") + 20)) | (
         (F.col("mr") > 200) & (F.col("mg") > 200) & (F.col("mb") > 200))
