@@ -17,16 +17,19 @@ from .stats import attach_by, int_percentiles
 MAX_CLUSTERS = 256
 
 
+def _every_cluster(present: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """Ids one to ``k``, for every group that occurs."""
+    ids = F.explode(F.sequence(F.lit(1), F.lit(k))).alias("cluster")
+    if by:
+        return present.select(*by).distinct().select(*by, ids)
+    return present.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("cluster"))
+
+
 def cluster_counts(labels: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """Pixels per cluster; clusters without pixels are listed with zero."""
     by = by or []
     counted = labels.groupBy(*by, "cluster").agg(F.count("*").alias("n"))
-    ids = F.explode(F.sequence(F.lit(1), F.lit(k))).alias("cluster")
-    if by:
-        every = labels.select(*by).distinct().select(*by, ids)
-    else:
-        every = labels.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("cluster"))
-    return every.join(counted, [*by, "cluster"], "left").select(
+    return _every_cluster(counted, k, by).join(counted, [*by, "cluster"], "left").select(
         *by, "cluster", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -34,7 +37,7 @@ def cluster_mean_rgb(labels: DataFrame, k: int, by: list[str] | None = None) ->
     """Mean colour per cluster, truncated; an empty cluster is mid gray."""
     by = by or []
     means = labels.groupBy(*by, "cluster").agg(*[F.floor(F.avg(c)).cast("int").alias(c) for c in ("r", "g", "b")])
-    return cluster_counts(labels, k, by).drop("n").join(means, [*by, "cluster"], "left").select(
+    return _every_cluster(means, k, by).join(means, [*by, "cluster"], "left").select(
         *by, "cluster", *[F.coalesce(c, F.lit(128)).alias(c) for c in ("r", "g", "b")])
 
 

@@ -13,7 +13,8 @@ from .tiles import focal_pixels, focal_tiles
 DEFAULT_TILE = 512
 
 
-def box_features(px: DataFrame, bands: list[str], tile: int = DEFAULT_TILE, by: list[str] | None = None) -> DataFrame:
+def box_features(px: DataFrame, bands: list[str], tile: int = DEFAULT_TILE, by: list[str] | None = None,
+                 keep: list[str] | None = None) -> DataFrame:
     """3x3 mean of every band and 3x3 deviation of the gray level."""
 
     def run(a, present):
@@ -23,7 +24,7 @@ def box_features(px: DataFrame, bands: list[str], tile: int = DEFAULT_TILE, by:
         return out
 
     cols = {f"mean_{b}": "double" for b in bands} | {"texture": "double"}
-    return focal_pixels(px, bands, 1, tile, run, cols, by)
+    return focal_pixels(px, bands, 1, tile, run, cols, by, keep=keep)
 
 
 def local_entropy(px: DataFrame, gray: str, tile: int = DEFAULT_TILE, by: list[str] | None = None) -> DataFrame:
@@ -48,18 +49,19 @@ def gaussian_texture(px: DataFrame, gray: str, tile: int = DEFAULT_TILE, by: lis
 
 
 def median_labels(px: DataFrame, label: str, radius: int, tile: int = DEFAULT_TILE,
-                  by: list[str] | None = None) -> DataFrame:
+                  by: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Rank median of label ids over a disk."""
 
     def run(a, present):
         return {label: K.rank_median(a[label].astype(np.int32), radius)}
 
-    return focal_pixels(px, [label], radius, tile, run, {label: "int"}, by)
+    return focal_pixels(px, [label], radius, tile, run, {label: "int"}, by, keep=keep)
 
 
-def gradient(px: DataFrame, value: str, tile: int = DEFAULT_TILE, by: list[str] | None = None) -> DataFrame:
+def gradient(px: DataFrame, value: str, tile: int = DEFAULT_TILE, by: list[str] | None = None,
+             keep: list[str] | None = None) -> DataFrame:
     return focal_pixels(px, [value], 1, tile, lambda a, p: {"grad": K.gradient_magnitude(a[value])},
-                        {"grad": "double"}, by)
+                        {"grad": "double"}, by, keep=keep)
 
 
 def element(shape: str, size: int) -> np.ndarray:
@@ -67,33 +69,33 @@ def element(shape: str, size: int) -> np.ndarray:
 
 
 def morphology(px: DataFrame, flag: str, steps: list[tuple[str, str, int]], tile: int = DEFAULT_TILE,
-               by: list[str] | None = None) -> DataFrame:
+               by: list[str] | None = None, keep: list[str] | None = None, out: str | None = None) -> DataFrame:
     """A chain of ``(operation, shape, size)``: erode, dilate, open or close.
 
     The halo is the sum of the reaches, so the chain runs in one pass and seams
     do not show.
     """
     reach = sum((size // 2) * (2 if op in ("open", "close") else 1) for op, _, size in steps)
+    out = out or flag
 
     def run(a, present):
         m = a[flag] > 0
         for op, shape, size in steps:
             k = element(shape, size)
             m = {"erode": K.erode, "dilate": K.dilate, "open": K.opening, "close": K.closing}[op](m, k)
-        return {flag: m.astype(np.int32)}
+        return {out: m.astype(np.int32)}
 
-    return focal_pixels(px, [flag], reach, tile, run, {flag: "int"}, by)
+    return focal_pixels(px, [flag], reach, tile, run, {out: "int"}, by, keep=keep)
 
 
 def extend_at_border(px: DataFrame, flag: str, height, width, border: int = 60, kernel: int = 20,
                      tile: int = DEFAULT_TILE, by: list[str] | None = None) -> DataFrame:
     """Dilate only inside the border zone of the raster."""
     by = by or ["raster_id"]
-    grown = morphology(px, flag, [("dilate", "ellipse", kernel)], tile, by).withColumnRenamed(flag, "_grown")
+    both = morphology(px, flag, [("dilate", "ellipse", kernel)], tile, by, keep=[flag], out="_grown")
     h, w = F.lit(height), F.lit(width)
     b = F.least(F.lit(border), F.floor(F.least(h, w) / 6))
     zone = (F.col("row") < b) | (F.col("row") >= h - b) | (F.col("col") < b) | (F.col("col") >= w - b)
-    both = px.select(*by, "row", "col", flag).join(grown, [*by, "row", "col"])
     return both.select(*by, "row", "col",
                        F.when(zone, F.greatest(F.col(flag), F.col("_grown"))).otherwise(F.col(flag)).alias(flag))
 

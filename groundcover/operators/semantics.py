@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..functions.predicates import scene_flags
+from ..session import cut_lineage
 from . import focal
 from .components import compact_score, component_stats, elongated_score, label_components
 from .stats import attach_by, float_percentile, int_percentiles
@@ -32,26 +33,28 @@ def pooled_scale(px: DataFrame, by: list[str], prob: float = 0.98, name: str = "
     return int_percentiles(pooled, F.col("v"), {name: prob}, by)
 
 
-def edge_flags(px: DataFrame, tile: int = 512) -> DataFrame:
-    """Pixels whose luma gradient exceeds 0.30 of the raster's 95th percentile."""
+def edge_flags(px: DataFrame, tile: int = 512, keep: list[str] | None = None) -> DataFrame:
+    """Pixels whose luma gradient exceeds 0.30 of the raster's 95th percentile (``f_edge``)."""
     by = ["raster_id"]
-    scaled = attach_by(px, pooled_scale(px, by), by)
-    luma = scaled.select("raster_id", "row", "col", color.luma(
-        *[color.scale_clip(c, "scale") for c in ("r", "g", "b")]).alias("luma"))
-    grad = focal.gradient(luma, "luma", tile)
-    limit = float_percentile(grad, "grad", 0.95, by, "p95")
+    scaled = px if "scale" in px.columns else attach_by(px, pooled_scale(px, by), by)
+    luma = scaled.withColumn("luma", color.luma(*[color.scale_clip(c, "scale") for c in ("r", "g", "b")]))
+    # the percentile reads the gradient three times; compute it once
+    grad = cut_lineage(focal.gradient(luma, "luma", tile, by, keep))
+    held = attach_by(grad, float_percentile(grad, "grad", 0.95, by, "p95"), by)
     norm = color.clip(F.col("grad") / F.greatest(F.col("p95"), F.lit(1e-6)), 0.0, 1.0)
-    return attach_by(grad, limit, by).select("raster_id", "row", "col", (norm > 0.30).alias("f_edge"))
+    return held.select("raster_id", "row", "col", *(keep or []), (norm > 0.30).alias("f_edge"))
 
 
 def cluster_fractions(px: DataFrame, nir: str | None = "nir", tile: int = 512, edges: bool = True) -> DataFrame:
     """Flag shares per raster and cluster; ``px`` holds bands and ``cluster``."""
     by = ["raster_id"]
-    flagged = scene_flags(attach_by(px, pooled_scale(px, by), by), "scale", nir)
+    held = attach_by(px, pooled_scale(px, by), by)
+    bands = ["r", "g", "b"] + ([nir] if nir else [])
     if edges:
-        flagged = flagged.join(edge_flags(px, tile), ["raster_id", "row", "col"])
+        held = edge_flags(held, tile, keep=[*bands, "cluster", "scale"])
     else:
-        flagged = flagged.withColumn("f_edge", F.lit(False))
+        held = held.withColumn("f_edge", F.lit(False))
+    flagged = scene_flags(held, "scale", nir)
     return flagged.groupBy("raster_id", "cluster").agg(
         F.count("*").alias("n"), *[F.avg(F.col(c).cast("double")).alias(n) for n, c in FRACTIONS.items()])
 

@@ -138,7 +138,7 @@ def take_lowest(df: DataFrame, n, order: Column, tie: list[str], by: list[str])
     fine = attach_by(counts, coarse, by).filter(F.col("_q") == F.col("_cq"))
     cut = crossing(fine, "_h", F.col("_cb")).select(
         *by, F.col("_h").alias("_cut"), (n - F.col("_before")).alias("_left"))
-    marked = attach_by(src, cut, by)
+    marked = attach_by(src, cut, by).filter(n > 0)
     whole = marked.filter(F.col("_cut").isNull() | (F.col("_h") < F.col("_cut"))).select(*df.columns)
     rank = W.partitionBy(*by).orderBy(*tie)
     edge = marked.filter(F.col("_h") == F.col("_cut")).withColumn("_rk", F.row_number().over(rank))

@@ -67,22 +67,25 @@ def _reach(coord: str, radius: int, tile: int) -> Column:
 
 def focal_pixels(px: DataFrame, bands: list[str], radius: int, tile: int,
                  fn: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]],
-                 out: dict[str, str], by: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
+                 out: dict[str, str], by: list[str] | None = None, carry: list[str] | None = None,
+                 keep: list[str] | None = None) -> DataFrame:
     """Run ``fn`` on padded tiles of a pixel table; one shuffle.
 
     ``fn(bands, present)`` returns arrays on the padded canvas; rows come back for
     the pixels that exist. ``by`` names the raster key, ``carry`` names columns
-    that are constant per raster and are handed to ``fn`` as scalars.
+    that are constant per raster and are handed to ``fn`` as scalars. Columns in
+    ``keep`` travel along unchanged, so the result needs no join back.
     """
-    by, carry = by or ["raster_id"], carry or []
+    by, carry, keep = by or ["raster_id"], carry or [], keep or []
     if radius > tile:
         raise ValueError("radius must not exceed the tile side")
-    spread = (px.select(*by, *carry, "row", "col", *[F.col(b).cast("double") for b in bands])
+    spread = (px.select(*by, *carry, "row", "col", *[F.col(b).cast("double").alias(f"_v_{b}") for b in bands], *keep)
               .withColumn("_tr", F.explode(_reach("row", radius, tile)))
               .withColumn("_tc", F.explode(_reach("col", radius, tile))))
 
     types = dict(px.dtypes)
-    schema = ", ".join([f"{c} {types[c]}" for c in by] + ["row int", "col int"] + [f"{k} {v}" for k, v in out.items()])
+    schema = ", ".join([f"{c} {types[c]}" for c in by] + ["row int", "col int"] + [f"{c} {types[c]}" for c in keep]
+                       + [f"{k} {v}" for k, v in out.items()])
     numpy_types = {"int": np.int32, "double": np.float64, "long": np.int64, "boolean": np.bool_}
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -96,7 +99,7 @@ def focal_pixels(px: DataFrame, bands: list[str], radius: int, tile: int,
         arrays = {}
         for b in bands:
             a = np.zeros(shape)
-            a[at] = column(table, b)
+            a[at] = column(table, f"_v_{b}")
             arrays[b] = a
         for c in carry:
             arrays[c] = table.column(c)[0].as_py()
@@ -105,6 +108,9 @@ def focal_pixels(px: DataFrame, bands: list[str], radius: int, tile: int,
         res = fn(arrays, present) if n else {}
         data = {c: pa.repeat(k, n) for c, k in zip(by, key)}
         data["row"], data["col"] = pa.array(row[core]), pa.array(col[core])
+        mask = pa.array(core)
+        for c in keep:
+            data[c] = table.column(c).filter(mask)
         for name, kind in out.items():
             values = res[name][at][core] if n else np.empty(0)
             data[name] = pa.array(values.astype(numpy_types[kind]))

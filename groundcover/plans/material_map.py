@@ -18,6 +18,7 @@ from ..operators.export import build_palette, histogram, merge_index, rgb_to_cmi
 from ..operators.stats import attach_by
 from ..operators.tiles import block_of, focal_tiles
 from ..schema import PIXEL_KEYS
+from ..session import cut_lineage
 
 BASE_FEATURES = ["mean_r", "mean_g", "mean_b", "texture", "vari", "sat"]
 
@@ -56,8 +57,8 @@ class Model:
 def features(px: DataFrame, opts: Options) -> DataFrame:
     """Box means, texture, colour indices and NDVI per pixel, with the bands."""
     bands = ["r", "g", "b"] + (["nir"] if opts.nir else [])
-    box = focal.box_features(px, bands, opts.tile)
-    out = px.join(box, PIXEL_KEYS).withColumns({"vari": color.vari("r", "g", "b"), "sat": color.saturation("r", "g", "b")})
+    box = focal.box_features(px, bands, opts.tile, keep=bands)
+    out = box.withColumns({"vari": color.vari("r", "g", "b"), "sat": color.saturation("r", "g", "b")})
     return out.withColumn("ndvi", color.ndvi("nir", "b")) if opts.nir else out
 
 
@@ -80,8 +81,8 @@ def label(feats: DataFrame, model: Model, opts: Options) -> DataFrame:
     out = out.select(*PIXEL_KEYS, "r", "g", "b", *(["nir"] if opts.nir else []), "cluster")
     if not opts.median:
         return out
-    smooth = focal.median_labels(out, "cluster", opts.median, opts.tile)
-    return out.drop("cluster").join(smooth, PIXEL_KEYS)
+    keep = [c for c in out.columns if c not in (*PIXEL_KEYS, "cluster")]
+    return focal.median_labels(out, "cluster", opts.median, opts.tile, keep=keep)
 
 
 def name_clusters(labels: DataFrame, dims: DataFrame, opts: Options) -> DataFrame:
@@ -110,7 +111,8 @@ def classify(px: DataFrame, dims: DataFrame, opts: Options = Options(), model: M
     """Bands to painted materials: features, model, clusters, names, paint."""
     feats = features(px, opts)
     model = model or train(feats, opts)
-    labels = label(feats, model, opts)
+    # naming and painting read the labels several times; compute them once
+    labels = cut_lineage(label(feats, model, opts))
     return paint(labels, name_clusters(labels, dims, opts))
 
 

@@ -135,33 +135,36 @@ def l3(spark, sf):
 
 
 @query("l1_window_sample", f"""
-WITH d AS (SELECT raster_id, max(row)+1 AS h, max(col)+1 AS w FROM pixel GROUP BY 1),
-g AS (SELECT raster_id, cast(floor(case when i=3 then h-16 else i*((h-16)/3e0) end) as bigint) AS wr, cast(floor(case when j=3 then w-16 else j*((w-16)/3e0) end) as bigint) AS wc
+WITH d AS (SELECT raster_id, max(row)+1 AS h, max(col)+1 AS w, least(16, max(row)+1, max(col)+1) AS n FROM pixel GROUP BY 1),
+g AS (SELECT raster_id, n, cast(floor(case when i=3 then h-n else i*((h-n)/3e0) end) as bigint) AS wr, cast(floor(case when j=3 then w-n else j*((w-n)/3e0) end) as bigint) AS wc
  FROM d, generate_series(0,3) a(i), generate_series(0,3) c(j)),
-x AS (SELECT raster_id, ((k*48271+1+42*31)*16807 % 2147483647) % (h-16) AS wr, ((k*48271+7+42*31)*16807 % 2147483647) % (w-16) AS wc FROM d, generate_series(1,5) e(k)),
+x AS (SELECT raster_id, n, ((k*48271+1+42*31)*16807 % 2147483647) % greatest(1, h-n) AS wr, ((k*48271+7+42*31)*16807 % 2147483647) % greatest(1, w-n) AS wc FROM d, generate_series(1,5) e(k)),
 win AS (SELECT * FROM g UNION SELECT * FROM x),
 s AS (SELECT p.raster_id, row, col, wr, wc, row_number() OVER (PARTITION BY wr, wc ORDER BY {_HASH}, row, col) AS k FROM pixel p, win
- WHERE row>=wr AND row<wr+16 AND col>=wc AND col<wc+16 AND r+g+b>=24)
+ WHERE row>=wr AND row<wr+n AND col>=wc AND col<wc+n AND r+g+b>=24)
 SELECT raster_id, row, col, wr, wc FROM s WHERE k <= 47""", ["pixel"])
 def l1(spark, sf):
     px = view(spark, sf, "pixel").select(*KEYS, "r", "g", "b")
     return cluster.window_sample(px, dims_of(px), 1000, grid=4, window=16, extra=5).select(*KEYS, "wr", "wc")
 
 
-@query("j2_representatives", """
-WITH c AS (SELECT path, (west+east)/2 AS cx, (south+north)/2 AS cy FROM footprint),
-b AS (SELECT count(*) AS n, least(greatest(8, cast(ceil(sqrt(count(*))) as bigint)), count(*)) AS budget, min(cx) AS x0, min(cy) AS y0, max(cx)-min(cx) AS rx, max(cy)-min(cy) AS ry FROM c),
-k AS (SELECT *, greatest(1, cast(round_even(sqrt(budget/(rx/ry)),0) as int)) AS ny FROM b),
+_GRID = """c AS (SELECT path, (west+east)/2 AS cx, (south+north)/2 AS cy FROM footprint),
+b AS (SELECT count(*) AS n, least(greatest(8, cast(ceil(sqrt(count(*))) as bigint)), count(*)) AS budget, min(cx) AS x0, min(cy) AS y0, max(cx)-min(cx) AS rx0, max(cy)-min(cy) AS ry0 FROM c),
+b1 AS (SELECT *, case when rx0=0 then 1e0 else rx0 end AS rx, case when ry0=0 then 1e0 else ry0 end AS ry FROM b),
+k AS (SELECT *, greatest(1, cast(round_even(sqrt(budget/(rx/ry)),0) as int)) AS ny FROM b1),
 m AS (SELECT *, greatest(1, cast(round_even(cast(budget as double)/ny,0) as int)) AS nx FROM k),
 h AS (SELECT c.*, m.*, least(floor((cx-x0)/(rx/nx)), nx-1) AS ix, least(floor((cy-y0)/(ry/ny)), ny-1) AS iy FROM c, m),
-r AS (SELECT path, row_number() OVER (PARTITION BY ix, iy ORDER BY power(cx-(x0+(ix+0.5)*(rx/nx)),2)+power(cy-(y0+(iy+0.5)*(ry/ny)),2), path) AS k FROM h)
-SELECT path FROM r WHERE k=1""", ["footprint"])
+r AS (SELECT path, row_number() OVER (PARTITION BY ix, iy ORDER BY power(cx-(x0+(ix+0.5)*(rx/nx)),2)+power(cy-(y0+(iy+0.5)*(ry/ny)),2), path) AS k FROM h)"""
+
+
+@query("j2_representatives", f"WITH {_GRID} SELECT path FROM r WHERE k=1", ["footprint"])
 def j2(spark, sf):
     """The grid part of the choice; the seeded fill is checked in the tests."""
     return cluster.grid_representatives(view(spark, sf, "footprint"))
 
 
-@query("k4_skipped_rasters", "SELECT count(*) AS n_all, least(greatest(8, cast(ceil(sqrt(count(*))) as bigint)), count(*)) AS n_selected FROM footprint", ["footprint"])
+@query("k4_skipped_rasters", f"""WITH {_GRID}
+SELECT n AS n_all, case when n<=budget then n else greatest(budget, (SELECT count(*) FROM r WHERE k=1)) end AS n_selected FROM b""", ["footprint"])
 def k4(spark, sf):
     every = view(spark, sf, "footprint").select("path")
     chosen = cluster.representative_rasters(view(spark, sf, "footprint")).filter("selected").select("path")
@@ -352,8 +355,9 @@ def h12(spark, sf):
 
 _ZONES = """d AS (SELECT raster_id, max(row)+1 AS h, max(col)+1 AS w FROM pixel GROUP BY 1),
 zz AS (SELECT raster_id, i*4+j AS zone, case when i=3 then h-21 else cast(floor(20+i*((h-41)/3e0)) as int) end AS cy, case when j=3 then w-21 else cast(floor(20+j*((w-41)/3e0)) as int) end AS cx
- FROM d, generate_series(0,3) a(i), generate_series(0,3) c(j)),
-z AS (SELECT p.raster_id, zone, r, g, b FROM pixel p JOIN zz ON row BETWEEN cy-20 AND cy+20 AND col BETWEEN cx-20 AND cx+20)"""
+ FROM d, generate_series(0,3) a(i), generate_series(0,3) c(j) WHERE h>=41 AND w>=41),
+z AS (SELECT p.raster_id, zone, r, g, b FROM pixel p JOIN zz ON row BETWEEN cy-20 AND cy+20 AND col BETWEEN cx-20 AND cx+20
+ UNION ALL SELECT p.raster_id, 0, r, g, b FROM pixel p JOIN d USING (raster_id) WHERE h<41 OR w<41)"""
 
 
 @query("h12_zone_prior", prior_sql(_ZONES, NAT), ["pixel"])
@@ -418,7 +422,7 @@ def h4(spark, sf):
 SELECT cluster, round(greatest(0e0, least(1e0, 0.65e0*edge_frac+0.35e0*continuity)),5) AS line FROM fr JOIN ct USING (cluster)""", ["pixel"])
 def e12(spark, sf):
     px = by_block(spark, sf, "pixel")
-    edges = px.join(semantics.edge_flags(px, 16), KEYS).groupBy("raster_id", "cluster").agg(
+    edges = semantics.edge_flags(px, 16, keep=["cluster"]).groupBy("raster_id", "cluster").agg(
         F.avg(F.col("f_edge").cast("double")).alias("edge_frac"))
     both = edges.join(semantics.continuity(px, 16), ["raster_id", "cluster"])
     return both.select("cluster", F.round(color.clip(F.lit(0.65) * F.col("edge_frac") + F.lit(0.35) * F.col("continuity"), 0.0, 1.0), 5).alias("line"))

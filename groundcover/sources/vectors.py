@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators.stats import attach_scalar
 from ..operators.vector import features_per_tile
 
 OSM_SCHEMA = ("struct<elements:array<struct<type:string,id:bigint,tags:map<string,string>,"
@@ -71,8 +72,9 @@ def frequent_tags(features: DataFrame, share: float = 0.05) -> DataFrame:
 
 
 def keep_frequent_tags(features: DataFrame, share: float = 0.05) -> DataFrame:
-    keep = frequent_tags(features, share).agg(F.collect_set("tag").alias("k")).scalar()  # tag names only
-    return features.withColumn("tags", F.map_filter("tags", lambda k, v: F.array_contains(keep, k)))
+    """Drop tags that few features carry. The list holds tag names, at most one in twenty features each."""
+    held = attach_scalar(features, frequent_tags(features, share).agg(F.collect_set("tag").alias("_keep")))
+    return held.withColumn("tags", F.map_filter("tags", lambda k, v: F.array_contains("_keep", k))).drop("_keep")
 
 
 def concat_layers(layers: list[DataFrame]) -> DataFrame:
