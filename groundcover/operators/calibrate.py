@@ -9,25 +9,31 @@ from ..functions import color
 from .stats import attach_by
 
 
-def regions_per_block(regions: DataFrame, block: int) -> DataFrame:
-    """Regions listed under every block of pixels they meet."""
-    span = lambda lo, n: F.sequence(F.floor(F.col(lo) / block), F.floor((F.col(lo) + F.col(n) - 1) / block))
-    return regions.withColumn("_by", F.explode(span("y", "h"))).withColumn("_bx", F.explode(span("x", "w")))
+def region_cells(regions: DataFrame) -> DataFrame:
+    """How many regions of each material cover each pixel.
+
+    Equal row spans are merged before columns are expanded, and rows are spread
+    first, so one large or often repeated region is not expanded by one task.
+    """
+    rows = regions.select("material", "x", "w", F.explode(F.expr("sequence(y, y + h - 1)")).alias("row"))
+    spans = rows.groupBy("material", "row", "x", "w").agg(F.count("*").alias("_n"))
+    cells = spans.select("material", "row", "_n", F.explode(F.expr("sequence(x, x + w - 1)")).alias("col"))
+    return cells.groupBy("material", "row", "col").agg(F.sum("_n").alias("_n"))
 
 
-def region_statistics(px: DataFrame, regions: DataFrame, block: int = 256) -> DataFrame:
+def region_statistics(px: DataFrame, regions: DataFrame) -> DataFrame:
     """Pooled colour statistics per material.
 
     ``regions`` has ``material, x, y, w, h``; a pixel in two regions counts twice.
+    The join pairs each pixel with its own cell only, weighted by the count.
     """
-    held = px.withColumn("_by", F.floor(F.col("row") / block)).withColumn("_bx", F.floor(F.col("col") / block))
-    hit = held.join(regions_per_block(regions, block), ["_by", "_bx"]).filter(
-        (F.col("col") >= F.col("x")) & (F.col("col") < F.col("x") + F.col("w"))
-        & (F.col("row") >= F.col("y")) & (F.col("row") < F.col("y") + F.col("h")))
+    hit = px.select("row", "col", "r", "g", "b").join(region_cells(regions), ["row", "col"])
+    n = F.sum("_n")
+    mean = lambda c: F.sum(F.col("_n") * F.col(c)) / n
+    square = lambda c: F.sum(F.col("_n") * F.col(c) * F.col(c)) / n
     stats = hit.groupBy("material").agg(
-        F.count("*").alias("sample_count"),
-        *[F.bround(F.avg(c)).cast("int").alias(f"mean_{c}") for c in "rgb"],
-        *[F.stddev_pop(c).alias(f"_s{c}") for c in "rgb"])
+        n.alias("sample_count"), *[F.bround(mean(c)).cast("int").alias(f"mean_{c}") for c in "rgb"],
+        *[F.sqrt(F.greatest(square(c) - mean(c) * mean(c), F.lit(0.0))).alias(f"_s{c}") for c in "rgb"])
     worst = F.greatest("_sr", "_sg", "_sb")
     return stats.select("material", "sample_count", *[f"mean_{c}" for c in "rgb"],
                         *[F.bround(f"_s{c}", 2).alias(f"std_{c}") for c in "rgb"],

@@ -115,27 +115,33 @@ def attach_by(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
         *[F.col(f"_s.{c}") for c in df.columns], *[F.col(f"_k.{c}") for c in extra])
 
 
-def take_lowest(df: DataFrame, n, order: Column, tie: list[str], by: list[str]) -> DataFrame:
+def take_lowest(df: DataFrame, n, order: Column, tie: list[str], by: list[str],
+                keys: DataFrame | None = None) -> DataFrame:
     """Exactly ``n`` rows per group, those with the lowest ``order`` then ``tie``.
 
-    ``order`` is a bounded integer hash. Counting per hash value finds the value
-    where the budget runs out; rows below it are kept outright and only the rows
-    of that single value are ranked, so a group holding most rows is not sorted
-    in one task. Running sums are over at most about a thousand rows per group.
+    ``order`` is a bounded integer hash. A coarse count finds the bucket where
+    the budget runs out, a fine count of that bucket alone finds the hash value;
+    rows below it are kept outright and only the rows of that single value are
+    ranked, so a group holding most rows is not sorted in one task. Running sums
+    are over about a thousand rows per group.
+
+    ``keys`` may name a cheaper frame with the same rows (group, order and tie
+    columns) for the counting passes, when ``df`` is costly to compute.
     """
     n = n if isinstance(n, Column) else F.lit(n)
     src = df.withColumn("_h", order)
-    counts = cut_lineage(src.groupBy(*by, "_h").agg(F.count("*").alias("_c")).withColumn(
-        "_q", F.floor(F.col("_h") / 1024)))
+    counting = (keys if keys is not None else df).select(*by, order.alias("_h")).withColumn(
+        "_q", F.floor(F.col("_h") / 1024))
 
     def crossing(rows: DataFrame, key: str, start: Column) -> DataFrame:
         run = W.partitionBy(*by).orderBy(key).rowsBetween(W.unboundedPreceding, -1)
         rows = rows.withColumn("_before", start + F.coalesce(F.sum("_c").over(run), F.lit(0)))
         return rows.filter((F.col("_before") < n) & (F.col("_before") + F.col("_c") >= n))
 
-    coarse = crossing(counts.groupBy(*by, "_q").agg(F.sum("_c").alias("_c")), "_q", F.lit(0)).select(
+    coarse = crossing(counting.groupBy(*by, "_q").agg(F.count("*").alias("_c")), "_q", F.lit(0)).select(
         *by, F.col("_q").alias("_cq"), F.col("_before").alias("_cb"))
-    fine = attach_by(counts, coarse, by).filter(F.col("_q") == F.col("_cq"))
+    near = attach_by(counting, coarse, by).filter(F.col("_q") == F.col("_cq"))
+    fine = near.groupBy(*by, "_h", "_cb").agg(F.count("*").alias("_c"))
     cut = crossing(fine, "_h", F.col("_cb")).select(
         *by, F.col("_h").alias("_cut"), (n - F.col("_before")).alias("_left"))
     marked = attach_by(src, cut, by).filter(n > 0)

@@ -79,7 +79,9 @@ def focal_pixels(px: DataFrame, bands: list[str], radius: int, tile: int,
     by, carry, keep = by or ["raster_id"], carry or [], keep or []
     if radius > tile:
         raise ValueError("radius must not exceed the tile side")
-    spread = (px.select(*by, *carry, "row", "col", *[F.col(b).cast("double").alias(f"_v_{b}") for b in bands], *keep)
+    # bands travel in their own type, once, also when they are kept
+    sent = list(dict.fromkeys([*bands, *keep]))
+    spread = (px.select(*by, *carry, "row", "col", *sent)
               .withColumn("_tr", F.explode(_reach("row", radius, tile)))
               .withColumn("_tc", F.explode(_reach("col", radius, tile))))
 
@@ -99,7 +101,7 @@ def focal_pixels(px: DataFrame, bands: list[str], radius: int, tile: int,
         arrays = {}
         for b in bands:
             a = np.zeros(shape)
-            a[at] = column(table, f"_v_{b}")
+            a[at] = column(table, b)
             arrays[b] = a
         for c in carry:
             arrays[c] = table.column(c)[0].as_py()

@@ -66,10 +66,13 @@ def feature_names(opts: Options) -> list[str]:
     return BASE_FEATURES + (["mean_nir", "ndvi"] if opts.nir else [])
 
 
-def train(feats: DataFrame, opts: Options) -> Model:
-    """One model over all rasters from an exact-size, seeded sample of covered pixels."""
+def train(px: DataFrame, feats: DataFrame, opts: Options) -> Model:
+    """One model over all rasters from an exact-size, seeded sample of covered pixels.
+
+    The sample is chosen on the plain pixels, so features are computed once.
+    """
     names = feature_names(opts)
-    sample = cluster.uniform_sample(feats.filter(is_covered()), opts.train_pixels)
+    sample = cluster.uniform_sample(feats.filter(is_covered()), opts.train_pixels, keys=px.filter(is_covered()))
     scaler, centres = cluster.fit_kmeans(sample, names, len(opts.names))
     return Model(tuple(names), scaler, tuple(map(tuple, centres)))
 
@@ -110,7 +113,7 @@ def paint(labels: DataFrame, mapping: DataFrame) -> DataFrame:
 def classify(px: DataFrame, dims: DataFrame, opts: Options = Options(), model: Model | None = None) -> DataFrame:
     """Bands to painted materials: features, model, clusters, names, paint."""
     feats = features(px, opts)
-    model = model or train(feats, opts)
+    model = model or train(px, feats, opts)
     # naming and painting read the labels several times; compute them once
     labels = cut_lineage(label(feats, model, opts))
     return paint(labels, name_clusters(labels, dims, opts))
@@ -129,7 +132,7 @@ def name_centres(model: Model, opts: Options, spark) -> Model:
 def classify_batch(px: DataFrame, opts: Options = Options(), model: Model | None = None) -> DataFrame:
     """Many rasters under one shared model and one shared colour table; no per-raster step."""
     feats = features(px, opts)
-    model = name_centres(model or train(feats, opts), opts, px.sparkSession)
+    model = name_centres(model or train(px, feats, opts), opts, px.sparkSession)
     labels = label(feats, model, opts)
     lut = {i: CLASS_RGB[m] for i, m in enumerate(model.materials, 1)}
     painted = assign.paint_labels(labels, len(lut), lut)

@@ -574,7 +574,7 @@ def p9(spark, sf):
     regions = table(spark, sf, "customer").select(
         name.alias("material"), (F.col("c_custkey") % 90).cast("int").alias("x"), (F.col("c_custkey") % 80).cast("int").alias("y"),
         F.lit(3).alias("w"), F.lit(3).alias("h"))
-    stats = region_statistics(view(spark, sf, "pixel"), regions, 32)
+    stats = region_statistics(view(spark, sf, "pixel"), regions)
     user = stats.select("material", F.array(F.array("mean_r", "mean_g", "mean_b")).alias("anchors"))
     defaults = profiles.class_dim(spark).select(F.col("name").alias("material"), "anchors")
     out = profiles.resolve_anchors(user, defaults)
@@ -619,7 +619,7 @@ def l7(spark, sf):
     """One trained model named from its centres, for all rasters."""
     opts = mm.Options(tile=64)
     px = view(spark, sf, "scene")
-    model = mm.name_centres(mm.train(mm.features(px, opts), opts), opts, spark)
+    model = mm.name_centres(mm.train(px, mm.features(px, opts), opts), opts, spark)
     rows = [(i, m, c["color"]) for i, m in enumerate(model.materials, 1) for c in CLASSES if c["name"] == m]
     return spark.createDataFrame(rows, "cluster int, material string, color string")
 

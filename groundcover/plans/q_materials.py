@@ -455,7 +455,7 @@ def h10(spark, sf):
     regions = table(spark, sf, "customer").select(
         name.alias("material"), (F.col("c_custkey") % 90).cast("int").alias("x"), (F.col("c_custkey") % 80).cast("int").alias("y"),
         (F.col("c_nationkey") % 5 + 1).alias("w"), (F.col("c_nationkey") % 3 + 1).alias("h"))
-    return calibrate.region_statistics(view(spark, sf, "pixel"), regions, 32)
+    return calibrate.region_statistics(view(spark, sf, "pixel"), regions)
 
 
 _NEAR6 = argmin_sql(dist_sql([tuple(float(v) for v in CLASS_RGB[c["name"]]) for c in CLASSES], "rgb"))[0]

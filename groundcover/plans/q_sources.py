@@ -111,9 +111,7 @@ def a7(spark, sf):
 SELECT f.path, f.size, EXISTS (SELECT 1 FROM cached_stat c WHERE c.path=f.path AND c.size=f.size AND c.mtime=f.mtime) AS cache_hit
 FROM file_stat f""", ["file_stat", "cached_stat"])
 def a8(spark, sf):
-    hits, misses = files.footprint_cache(view(spark, sf, "file_stat"), view(spark, sf, "cached_stat"))
-    flag = lambda d, v: d.select("path", "size", F.lit(v).alias("cache_hit"))
-    return flag(hits, True).unionByName(flag(misses, False))
+    return files.flag_cached(view(spark, sf, "file_stat"), view(spark, sf, "cached_stat")).select("path", "size", "cache_hit")
 
 
 @query("a9_raster_info", """

@@ -70,16 +70,22 @@ def add_flat_sources(layers: DataFrame, flat: DataFrame) -> DataFrame:
     return layers.select("path", "priority").unionByName(flat.select("path", below.alias("priority")))
 
 
-def footprint_cache(current: DataFrame, cached: DataFrame, keys=("path", "size", "mtime")) -> tuple[DataFrame, DataFrame]:
-    """Files whose cached row is still valid, and files that must be read again."""
-    on = list(keys)
-    valid = cached.dropDuplicates(on)
-    return current.join(valid.select(*on), on, "left_semi"), current.join(valid.select(*on), on, "left_anti")
+CACHE_KEYS = ["path", "size", "mtime"]
+
+
+def flag_cached(current: DataFrame, cached: DataFrame) -> DataFrame:
+    """Every current file with ``cache_hit``: its path, size and time are in the cache.
+
+    Duplicates of the cache are dropped on the join key, so the join reuses that
+    shuffle and each side is read once.
+    """
+    valid = cached.select(*CACHE_KEYS).dropDuplicates(CACHE_KEYS).withColumn("_hit", F.lit(True))
+    return current.join(valid, CACHE_KEYS, "left").withColumn(
+        "cache_hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def refresh_cache(current: DataFrame, cached: DataFrame, read) -> DataFrame:
     """Cached footprints for unchanged files, ``read(misses)`` for the others."""
-    on = ["path", "size", "mtime"]
-    _, misses = footprint_cache(current, cached)
-    kept = cached.join(current.select(*on), on, "left_semi").withColumn("cache_hit", F.lit(True))
+    misses = flag_cached(current, cached).filter(~F.col("cache_hit")).drop("cache_hit")
+    kept = cached.join(current.select(*CACHE_KEYS), CACHE_KEYS, "left_semi").withColumn("cache_hit", F.lit(True))
     return kept.unionByName(read(misses).withColumn("cache_hit", F.lit(False)))
