@@ -225,7 +225,8 @@ def window_sample(px: DataFrame, dims: DataFrame, n_samples: int, seed: int = 42
 def uniform_sample(df: DataFrame, n: int, row: str = "row", col: str = "col", seed: int = 42,
                    by: list[str] | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Exactly ``n`` rows (per group), chosen by a position hash."""
-    return take_lowest(df, n, sample_hash(row, col, seed), [row, col], by or [], keys)
+    tie = [*(["raster_id"] if "raster_id" in df.columns else []), row, col]
+    return take_lowest(df, n, sample_hash(row, col, seed), tie, by or [], keys)
 
 
 def per_raster_budget(n_rasters: Column, total: int = TRAIN_MAX) -> Column:

@@ -130,3 +130,41 @@ def segment_features(px: DataFrame, segment: list[str], nir: bool = True) -> Dat
     if nir:
         aggs.append(F.avg(color.ndvi("nir", "b")).alias("ndvi"))
     return px.groupBy(*segment).agg(*aggs)
+
+
+def superpixels(px: DataFrame, dims: DataFrame, step: int, compactness: float = 0.01, rounds: int = 10) -> DataFrame:
+    """Colour-driven superpixels on a regular seed grid (``segment`` is the seed's number).
+
+    Each pixel chooses among the seeds of its own and the eight neighbouring grid
+    cells. Those at most nine centres travel as one array per cell, so a round is
+    one join on the cell and one aggregation.
+    """
+    by = ["raster_id"]
+    held = attach_by(px.select("raster_id", "row", "col", "r", "g", "b"), dims, by)
+    gy, gx = F.floor(F.col("row") / step).cast("int"), F.floor(F.col("col") / step).cast("int")
+    held = held.withColumn("gy", gy).withColumn("gx", gx)
+    cells = held.select("raster_id", "gy", "gx").distinct()
+    values = ["r", "g", "b", "row", "col"]
+    home = held.groupBy("raster_id", "gy", "gx").agg(*[F.avg(v).alias(f"c_{v}") for v in values])
+    centres = cut_lineage(home)
+    weight = F.lit((compactness / step) ** 2)
+    shifts = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
+    labelled = None
+    for i in range(rounds + 1):
+        seed = F.struct((F.col("gy") * 1_000_000 + F.col("gx")).cast("long").alias("id"), *[f"c_{v}" for v in values])
+        near = centres.select("raster_id", seed.alias("c"), "gy", "gx", F.explode(shifts).alias("s")).select(
+            "raster_id", (F.col("gy") + F.col("s.y")).alias("gy"), (F.col("gx") + F.col("s.x")).alias("gx"), "c")
+        near = near.join(cells, ["raster_id", "gy", "gx"]).groupBy("raster_id", "gy", "gx").agg(
+            F.collect_list("c").alias("near"))  # at most nine
+        sq = lambda c, v: (F.col(v) - c[f"c_{v}"]) * (F.col(v) - c[f"c_{v}"])
+        cost = lambda c: sq(c, "r") + sq(c, "g") + sq(c, "b") + weight * (sq(c, "row") + sq(c, "col"))
+        best = F.array_min(F.transform("near", lambda c: F.struct(cost(c).alias("d"), c["id"].alias("id"))))
+        labelled = held.join(near, ["raster_id", "gy", "gx"]).withColumn("segment", best["id"])
+        if i == rounds:
+            break
+        moved = labelled.groupBy("raster_id", "segment").agg(*[F.avg(v).alias(f"n_{v}") for v in values]).select(
+            "raster_id", F.floor(F.col("segment") / 1_000_000).cast("int").alias("gy"),
+            (F.col("segment") % 1_000_000).cast("int").alias("gx"), *[f"n_{v}" for v in values])
+        centres = cut_lineage(centres.join(moved, ["raster_id", "gy", "gx"], "left").select(
+            "raster_id", "gy", "gx", *[F.coalesce(f"n_{v}", f"c_{v}").alias(f"c_{v}") for v in values]))
+    return labelled.select("raster_id", "row", "col", "segment")

@@ -556,3 +556,18 @@ SELECT count(*) FILTER (WHERE error IS NULL) AS n_ok, count(*) FILTER (WHERE err
  case when count(*) FILTER (WHERE error IS NULL) > 0 then 'ok' else 'error' end AS status, case when count(*) FILTER (WHERE error IS NOT NULL) > 0 then 1 else 0 end AS exit_code FROM e""")
 def h15(spark, sf):
     return export.batch_outcome(run_results(spark, sf))
+
+
+@query("b9_tile_store", """
+SELECT raster_id, cast(floor(row/32) as int) AS tile_row, cast(floor(col/32) as int) AS tile_col, cast(sum(r+g+b) as bigint) AS total FROM pixel GROUP BY 1,2,3""", ["pixel"])
+def b9(spark, sf):
+    """Tiles written under the shared folder and read back: all or nothing, never over existing output."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    px = view(spark, sf, "pixel")
+    path = f"{ensure_checkpoint_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    export.write_tiles(tiles.pixels_to_tiles(px, ["r", "g", "b"], TILE, dims_of(px)), path)
+    back = tiles.tiles_to_pixels(spark.read.parquet(path).select(*tiles.TILE_COLUMNS), ["r", "g", "b"])
+    return back.groupBy("raster_id", F.floor(F.col("row") / TILE).cast("int").alias("tile_row"),
+                        F.floor(F.col("col") / TILE).cast("int").alias("tile_col")).agg(
+        F.sum(F.col("r") + F.col("g") + F.col("b")).alias("total"))

@@ -175,17 +175,19 @@ def k4(spark, sf):
 
 @query("h17_train_size")
 def h17(spark, sf):
-    px = view(spark, sf, "pixel").withColumns({"vari": color.vari("r", "g", "b"), "sat": color.saturation("r", "g", "b")})
+    from .q_features import enlarged
+    px = enlarged(spark, sf).withColumns({"vari": color.vari("r", "g", "b"), "sat": color.saturation("r", "g", "b")})
     return cluster.complexity_sample_size(px, ["r", "g", "b", "vari", "sat"], 3)
 
 
 @query("h17_two_features", """
-WITH c AS (SELECT count(*) AS n, corr(r,b) AS c FROM pixel), e AS (SELECT n, greatest((1+c)/2,1e-12) AS e1, greatest((1-c)/2,1e-12) AS e2 FROM c),
+WITH c AS (SELECT count(*)*9 AS n, corr(r,b) AS c FROM pixel), e AS (SELECT n, greatest((1+c)/2,1e-12) AS e1, greatest((1-c)/2,1e-12) AS e2 FROM c),
 h AS (SELECT n, -(e1*ln(e1)+e2*ln(e2))/ln(2e0) AS ne FROM e)
 SELECT n AS n_pixels, case when n<=20000 then 0e0 else round(ne,6) end AS norm_entropy,
  case when n<=20000 then least(n,100000) else least(n, cast(floor(greatest(20000, least(120000, 20000+(0.6e0*(1-ne)+0.4e0*0.2e0)*100000))) as bigint)) end AS train_pixels FROM h""", ["pixel"])
 def h17b(spark, sf):
-    return cluster.complexity_sample_size(view(spark, sf, "pixel"), ["r", "b"], 3)
+    from .q_features import enlarged
+    return cluster.complexity_sample_size(enlarged(spark, sf), ["r", "b"], 3)
 
 
 # --- cluster summaries and naming --------------------------------------------
@@ -289,14 +291,38 @@ def m1(spark, sf):
     return assign.assign_materials(assign.naming_cost(means, ANCHORS), ["raster_id"])
 
 
-@query("m1_more_clusters")
+_M6 = _M3.replace("blk%3+1", "blk+1")
+
+
+@query("m1_more_clusters", f"""
+WITH {_M6}, t AS (SELECT p0.raster_id, p0.cluster AS k0, p1.cluster AS k1, p2.cluster AS k2, row_number() OVER (PARTITION BY p0.raster_id ORDER BY p0.c0+p1.c1+p2.c2) AS n
+ FROM c p0 JOIN c p1 ON p1.raster_id=p0.raster_id AND p1.cluster<>p0.cluster JOIN c p2 ON p2.raster_id=p0.raster_id AND p2.cluster NOT IN (p0.cluster, p1.cluster)),
+j AS (SELECT c.*, case when cluster=k0 then 0 when cluster=k1 then 1 when cluster=k2 then 2 when c0<=c1 AND c0<=c2 then 0 when c1<=c2 then 1 else 2 end AS m FROM c JOIN t ON t.raster_id=c.raster_id AND t.n=1)
+SELECT raster_id, cluster, ['BM_VEGETATION','BM_SAND','BM_SOIL'][m+1] AS material, [c0,c1,c2][m+1] AS cost, ['#228B22','#EDC9AF','#654321'][m+1] AS color,
+ [34,237,101][m+1] AS paint_r, [139,201,67][m+1] AS paint_g, [34,175,33][m+1] AS paint_b FROM j""", ["scene"])
 def m1x(spark, sf):
     """Six clusters for three materials: three are assigned, three take the cheapest."""
     means = assign.cluster_mean_rgb(by_block(spark, sf), 6, ["raster_id"])
     return assign.with_material_colour(assign.assign_materials(assign.naming_cost(means, ANCHORS), ["raster_id"]))
 
 
-@query("m2_greedy_colours")
+_COL6 = ",".join(f"({i},{r},{g},{b})" for i, (r, g, b) in enumerate(CLASS_RGB.values(), 1))
+
+
+def greedy_sql(k=8):
+    """The greedy choice unrolled cluster by cluster; used colours are a bit set."""
+    steps = ["s0 AS (SELECT DISTINCT raster_id, 0 AS used FROM scene)"]
+    for n in range(1, k + 1):
+        steps.append(f"""s{n} AS (SELECT raster_id, p AS pick, used | (1 << p) AS used FROM (
+ SELECT s.raster_id, s.used, arg_min(col.j, power(q.r-col.r,2)+power(q.g-col.g,2)+power(q.b-col.b,2) + case when (s.used >> col.j) & 1 = 1 AND s.used <> 126 then 1e9 else 0e0 end + col.j*1e-6) AS p
+ FROM s{n - 1} s JOIN mm q ON q.raster_id=s.raster_id AND q.cluster={n}, col GROUP BY 1,2) z)""")
+    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT raster_id, {n} AS cluster, pick AS colour FROM s{n}" for n in range(1, k + 1))
+
+
+@query("m2_greedy_colours", f"""
+WITH {_MEANS}, mm AS (SELECT r.raster_id, cast(k.cluster as int) AS cluster, coalesce(m.r,128) AS r, coalesce(m.g,128) AS g, coalesce(m.b,128) AS b
+ FROM (SELECT DISTINCT raster_id FROM scene) r CROSS JOIN (SELECT i AS cluster FROM generate_series(1,8) a(i)) k LEFT JOIN m ON m.raster_id=r.raster_id AND m.cluster=k.cluster),
+col(j, r, g, b) AS (VALUES {_COL6}), {greedy_sql()}""", ["scene"])
 def m2(spark, sf):
     means = assign.cluster_mean_rgb(by_block(spark, sf), 8, ["raster_id"])
     return assign.greedy_colours(means, [c for c in CLASS_RGB.values()], ["raster_id"])
@@ -533,3 +559,23 @@ def j4(spark, sf):
     low = o.groupBy("o_custkey").agg(F.min(F.struct(band.alias("band"), "o_orderkey")).alias("m"))
     return low.select("o_custkey", F.col("m.o_orderkey").alias("o_orderkey"), F.col("m.band").alias("price_band"))
 
+
+def slic_sql(rounds, step):
+    vals = ["r", "g", "b", "row", "col"]
+    w = (0.01 / step) ** 2
+    cell = f"cast(floor(row/{step}) as int) AS gy, cast(floor(col/{step}) as int) AS gx"
+    out = [f"px AS (SELECT raster_id, row, col, r, g, b, {cell} FROM pixel)",
+           "k0 AS (SELECT raster_id, gy, gx, " + ", ".join(f"avg({v}) AS c_{v}" for v in vals) + " FROM px GROUP BY 1,2,3)"]
+    for n in range(rounds + 1):
+        d = "+".join(f"power(p.{v}-k.c_{v},2)" for v in "rgb") + f"+{w!r}*(power(p.row-k.c_row,2)+power(p.col-k.c_col,2))"
+        out.append(f"""a{n} AS (SELECT raster_id, row, col, r, g, b, id AS segment FROM (SELECT p.*, cast(k.gy*1000000+k.gx as bigint) AS id,
+ row_number() OVER (PARTITION BY p.row, p.col ORDER BY {d}, k.gy*1000000+k.gx) AS n FROM px p JOIN k{n} k ON k.gy BETWEEN p.gy-1 AND p.gy+1 AND k.gx BETWEEN p.gx-1 AND p.gx+1) z WHERE n=1)""")
+        out.append(f"""k{n + 1} AS (SELECT k.raster_id, k.gy, k.gx, {', '.join(f'coalesce(avg(a.{v}), any_value(k.c_{v})) AS c_{v}' for v in vals)}
+ FROM k{n} k LEFT JOIN a{n} a ON a.segment=k.gy*1000000+k.gx GROUP BY 1,2,3)""")
+    return f"WITH {', '.join(out)} SELECT raster_id, row, col, segment FROM a{rounds}"
+
+
+@query("l9_superpixels", slic_sql(2, 7), ["pixel"])
+def l9(spark, sf):
+    px = view(spark, sf, "pixel")
+    return semantics.superpixels(px, dims_of(px), 7, rounds=2)
