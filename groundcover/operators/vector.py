@@ -104,6 +104,13 @@ def buffer_lines(lines: DataFrame, points: str, half_width: str) -> DataFrame:
     return strips.select(*keep, "rings").unionByName(discs.select(*keep, "rings"))
 
 
+def burn_lines(lines: DataFrame, keys: list[str], points: str, half_width: str, height, width,
+               all_touched: bool = True) -> DataFrame:
+    """Pixels of buffered lines. Parts are burned on their own and united, since they overlap."""
+    parts = buffer_lines(lines, points, half_width).withColumn("_part", F.monotonically_increasing_id())
+    return burn(parts, [*keys, "_part"], height, width, all_touched).select(*keys, "row", "col").distinct()
+
+
 def features_per_tile(features: DataFrame, origin_x: float, origin_y: float, size: float, n_x, n_y) -> DataFrame:
     """Every tile a feature's box meets, shared edges included; a feature may repeat."""
     return grid_cells(features, "minx", "miny", "maxx", "maxy", origin_x, origin_y, size, n_x, n_y, inclusive=True)

@@ -10,9 +10,9 @@ from ..functions.predicates import incompatible
 from ..operators import assign, cluster, components, detect, export, overlay, tiles, vector
 from ..operators.stats import attach_by
 from . import cell_run, material_map as mm
-from .q_grid import TILE, _NB
+from .q_grid import TILE, _NB, dilate_sql, ellipse_offsets, erode_sql, rect_offsets
 from .q_materials import (ANCHORS, CENTRES6, _M3, _NAMES7, _NEAR6, _pick, argmin_sql, dist_sql)
-from .q_pixels import KEYS
+from .q_pixels import HSV_CTE, KEYS
 from .q_sources import dims_of, rect_features
 from .registry import query
 from .views import table, view
@@ -147,17 +147,26 @@ def g10(spark, sf):
     pt = lambda dx: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + 0.3).alias("y"))
     width = naming.road_width("width_val", "type_val", " large ", 8.0, "Small", 4.0, 2.0)
     lines = r.select("fid", F.array(pt(0.3), pt(8.3)).alias("points"), (width / 2).alias("hw"))
-    return vector.burn(vector.buffer_lines(lines, "points", "hw"), ["fid"], height_of(spark, sf), 100)
+    return vector.burn_lines(lines, ["fid"], "points", "hw", height_of(spark, sf), 100)
 
 
-@query("g10_road_bends")
+_BEND = f"""b AS (SELECT fid, x+0.3e0 AS x0, y+0.3e0 AS y0, x+5.3e0 AS x1, y+6.3e0 AS y1, {_ROADW} AS hw FROM road),
+near AS (SELECT fid, row, col, col+0.5e0 AS cx, row+0.5e0 AS cy, x0, y0, x1, y1, hw FROM b JOIN pixel ON row BETWEEN y0-hw-1 AND y1+hw+1 AND col BETWEEN x0-1 AND x1+hw+1),
+ang AS (SELECT i, 2*pi()/64 AS st FROM generate_series(0,63) a(i)),
+disc AS (SELECT fid, row, col FROM near, ang WHERE (cx-x1)*(cx-x1)+(cy-y0)*(cy-y0) <= hw*hw GROUP BY 1,2,3
+ HAVING min(hw*(cos((i+1)*st)-cos(i*st))*(cy-y0-hw*sin(i*st)) - hw*(sin((i+1)*st)-sin(i*st))*(cx-x1-hw*cos(i*st))) > 0)"""
+
+
+@query("g10_road_bends", f"""WITH {_BEND}
+SELECT fid, row, col FROM near WHERE (cx BETWEEN x0 AND x1 AND abs(cy-y0) < hw) OR (cy BETWEEN y0 AND y1 AND abs(cx-x1) < hw)
+UNION SELECT * FROM disc""", ["road", "pixel"])
 def g10b(spark, sf):
-    """Three-point roads: strips and the joining disc."""
+    """Three-point roads: strips and the joining disc, by pixel centres."""
     r = view(spark, sf, "road")
     pt = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
     width = naming.road_width("width_val", "type_val", " large ", 8.0, "Small", 4.0, 2.0)
     lines = r.select("fid", F.array(pt(0.3, 0.3), pt(5.3, 0.3), pt(5.3, 6.3)).alias("points"), (width / 2).alias("hw"))
-    return vector.burn(vector.buffer_lines(lines, "points", "hw"), ["fid"], height_of(spark, sf), 100)
+    return vector.burn_lines(lines, ["fid"], "points", "hw", height_of(spark, sf), 100, all_touched=False)
 
 
 _CAND = "cand(i, cr, cg, cb) AS (VALUES " + ",".join(f"({i},{r},{g},{b})" for i, (r, g, b) in enumerate(OVERLAY_CANDIDATES)) + ")"
@@ -339,6 +348,9 @@ _PRE = {
 }
 
 
+_PRE_ROADS = _PRE["roads"]
+
+
 @query("d10_feature_prefilter", "WITH v AS (SELECT * FROM scene WHERE r>5 OR g>5 OR b>5) " + " UNION ALL ".join(
     f"SELECT raster_id, '{f}' AS feature, count(*) AS n_valid, round(avg(case when {c} then 1e0 else 0e0 end),6) AS ratio, count(*) < 100 OR avg(case when {c} then 1e0 else 0e0 end) > {PREFILTER_SHARE[f]}e0 AS run FROM v GROUP BY 1"
     for f, c in _PRE.items()), ["scene"])
@@ -352,10 +364,22 @@ def d10(spark, sf):
     return out.select("raster_id", "feature", "n_valid", F.round("ratio", 6).alias("ratio"), "run")
 
 
-@query("d11_road_lines")
+_GRAYED = "SELECT raster_id, row, col, cast(floor(r/2) as int) AS r, cast(floor(g/2) as int) AS g, cast(floor(b/2) as int) AS b FROM scene"
+
+
+@query("d11_road_lines", f"""
+WITH t AS ({_GRAYED}), sz AS (SELECT raster_id, greatest(8, cast(floor(least(max(row)+1, max(col)+1)*0.07e0) as int)) AS need FROM t GROUP BY 1),
+p AS (SELECT raster_id, row, col, th, radians(th) AS a FROM t, generate_series(0,179) g(th) WHERE {_PRE_ROADS}),
+v AS (SELECT raster_id, th, round_even(col*cos(a)+row*sin(a),0) AS rho, -col*sin(a)+row*cos(a) AS along FROM p),
+w AS (SELECT *, case when along - lag(along) OVER k > 10 then 1 else 0 end AS brk, count(*) OVER (PARTITION BY raster_id, th, rho) AS votes FROM v WINDOW k AS (PARTITION BY raster_id, th, rho ORDER BY along)),
+i AS (SELECT *, sum(brk) OVER (PARTITION BY raster_id, th, rho ORDER BY along ROWS UNBOUNDED PRECEDING) AS isl FROM w WHERE votes >= 12),
+l AS (SELECT raster_id, max(len) AS longest FROM (SELECT raster_id, max(along)-min(along) AS len FROM i GROUP BY raster_id, th, rho, isl) z GROUP BY 1)
+SELECT sz.raster_id, round(coalesce(longest,0e0),4) AS longest, coalesce(longest,0e0) >= need AS has_line FROM sz LEFT JOIN l USING (raster_id)""", ["scene"])
 def d11(spark, sf):
-    px = view(spark, sf, "scene")
-    return detect.line_structures(detect.thumbnail(px, dims_of(px)))
+    """The scenes at half brightness, so their concrete reads as road surface."""
+    px = view(spark, sf, "scene").select(*KEYS, *[F.floor(F.col(c) / 2).cast("int").alias(c) for c in "rgb"])
+    out = detect.line_structures(detect.thumbnail(px, dims_of(px)))
+    return out.select("raster_id", F.round("longest", 4).alias("longest"), "has_line")
 
 
 def enlarged(spark, sf, by: int = 3):
@@ -365,8 +389,35 @@ def enlarged(spark, sf, by: int = 3):
     return px.select("raster_id", (F.col("row") * by + F.col("dy")).alias("row"), (F.col("col") * by + F.col("dx")).alias("col"), "r", "g", "b")
 
 
+_BIG = "big AS (SELECT raster_id, row*3+dy AS row, col*3+dx AS col, r, g, b FROM pixel, (VALUES (0),(1),(2)) a(dy), (VALUES (0),(1),(2)) c(dx))"
+
+
+def detect_sql(rule, opened, closed, floor):
+    """Colour rule, opening, closing and the area rule on the enlarged raster.
+
+    Components come from label propagation: the lowest position spreads until
+    nothing changes.
+    """
+    swap = lambda t: t.replace("FROM pixel", "FROM big")
+    hsv = swap(HSV_CTE)
+    steps = [swap(erode_sql("m0", opened, "m1")), f"m2 AS ({dilate_sql('m1', opened)})", f"m3 AS ({dilate_sql('m2', closed)})",
+             swap(erode_sql("m3", closed, "m4"))]
+    return f"""WITH RECURSIVE {_BIG}, dm AS (SELECT max(row) AS mr, max(col) AS mc FROM big), {hsv}, m0 AS (SELECT raster_id, row, col FROM hsv WHERE {rule}),
+{', '.join(steps)}, nd AS (SELECT row*100000+col AS id, row, col FROM m4),
+ed AS (SELECT a.id AS a, b.id AS b FROM nd a, (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) o(dy,dx) JOIN nd b ON b.row=a.row+dy AND b.col=a.col+dx),
+cc(id, comp) USING KEY (id) AS (SELECT id, id FROM nd UNION
+ (SELECT ed.a, min(cc.comp) FROM cc JOIN ed ON ed.b=cc.id JOIN recurring.cc AS old ON old.id=ed.a GROUP BY ed.a HAVING min(cc.comp) < min(old.comp))),
+ok AS (SELECT comp FROM cc GROUP BY 1 HAVING count(*) >= {floor})
+SELECT 'r0' AS raster_id, cast(floor(id/100000) as int) AS row, cast(id%100000 as int) AS col FROM cc WHERE comp IN (SELECT comp FROM ok)"""
+
+
+_DETECT_SQL = {
+    "trees": detect_sql("h>25 AND h<90 AND s>30 AND v>25 AND v<170", ellipse_offsets(3), ellipse_offsets(11), 400),
+    "fields": detect_sql("(h>25 AND h<85 AND s>20 AND v>60 AND v<240) OR (h>18 AND h<35 AND s>25 AND v>80)",
+                         ellipse_offsets(5), rect_offsets(15), 800),
+}
 for _kind in ("buildings", "trees", "fields", "water"):
-    @query(f"u1_detect_{_kind}")
+    @query(f"u1_detect_{_kind}", _DETECT_SQL.get(_kind), ["pixel"])
     def u1(spark, sf, kind=_kind):
         return detect.detect(enlarged(spark, sf), kind, 100_000, 128)
 

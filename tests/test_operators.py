@@ -185,7 +185,7 @@ def test_burn_matches_dense_walk(spark):
 def test_buffered_bend(spark):
     pts, hw = [(3.3, 4.1), (14.2, 5.3), (16.1, 15.4)], 2.4
     lines = spark.createDataFrame([(0, [tuple(p) for p in pts], hw)], "fid int, points array<struct<x:double,y:double>>, hw double")
-    got = {(r["row"], r["col"]) for r in vector.burn(vector.buffer_lines(lines, "points", "hw"), ["fid", "rings"],
+    got = {(r["row"], r["col"]) for r in vector.burn_lines(lines, ["fid"], "points", "hw",
                                                      22, 22, all_touched=False).collect()}
 
     def margin(x, y):
