@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import color, geo
 from ..functions.predicates import is_covered
 from ..schema import TILE
-from .stats import ordered_index
+from .stats import attach_by, ordered_index
 from .tiles import TILE_COLUMNS, block_of
 
 
@@ -80,6 +80,63 @@ def composite_tiles(tiles: DataFrame, salts: int = 16) -> DataFrame:
     return partial.groupBy(*keys).applyInPandas(second, partial_schema).drop("ords")
 
 
+def _shares(start: int, n: int, ratio: float, offset: float) -> tuple[int, np.ndarray]:
+    """First target cell of a run of source cells, and how much of each target every source cell fills."""
+    a = np.arange(start, start + n) / ratio + offset
+    b = np.arange(start + 1, start + n + 1) / ratio + offset
+    first, last = int(np.floor(a[0] + 1e-9)), int(np.ceil(b[-1] - 1e-9))
+    t = np.arange(first, last)[:, None]
+    return first, np.clip(np.minimum(b, t + 1) - np.maximum(a, t), 0.0, None)
+
+
+def resample_tiles(tiles: DataFrame, placement: DataFrame, width: int, height: int, tile: int,
+                   target_id: str = "cell") -> DataFrame:
+    """Area-average RGB byte tiles onto a shared grid; one byte tile per source and target tile, with ``ord``.
+
+    ``placement`` has ``raster_id, ord, rx, ry, ox, oy`` as in ``area_average``.
+    Each stored tile is reduced by two small matrix products where it lies; only
+    weighted sums on the target grid are shuffled and added up.
+    """
+    held = attach_by(tiles, placement, ["raster_id"]).filter(F.col("ord").isNotNull())
+    schema = "tile_row int, tile_col int, ord long, y0 int, x0 int, h int, w int, data binary"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for t in pdf.itertuples(index=False):
+                block = block_of(t)[:3].astype(np.float64)
+                y, wy = _shares(t.row0, t.h, t.ry, t.oy)
+                x, wx = _shares(t.col0, t.w, t.rx, t.ox)
+                planes = np.concatenate([wy @ block @ wx.T, (wy.sum(1)[:, None] * wx.sum(1)[None])[None]])
+                y1, x1 = min(y + planes.shape[1], height), min(x + planes.shape[2], width)
+                for ty in range(max(y, 0) // tile, (y1 - 1) // tile + 1):
+                    for tx in range(max(x, 0) // tile, (x1 - 1) // tile + 1):
+                        a, b = max(y, ty * tile, 0), min(y1, (ty + 1) * tile)
+                        c, d = max(x, tx * tile, 0), min(x1, (tx + 1) * tile)
+                        if b > a and d > c:
+                            part = np.ascontiguousarray(planes[:, a - y:b - y, c - x:d - x])
+                            rows.append((ty, tx, t.ord, a, c, b - a, d - c, part.tobytes()))
+            yield pd.DataFrame(rows, columns=names)
+
+    def add_up(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ty, tx, rank = (int(k) for k in key)
+        r0, c0 = ty * tile, tx * tile
+        h, w = min(tile, height - r0), min(tile, width - c0)
+        total = np.zeros((4, h, w))
+        for pdf in batches:
+            for t in pdf.itertuples(index=False):
+                part = np.frombuffer(t.data, dtype=np.float64).reshape(4, t.h, t.w)
+                total[:, t.y0 - r0:t.y0 - r0 + t.h, t.x0 - c0:t.x0 - c0 + t.w] += part
+        weight = np.where(total[3] > 1e-9, total[3], np.inf)
+        rgb = np.floor(total[:3] / weight + 0.5).astype(np.uint8)
+        row = (target_id, ty, tx, r0, c0, h, w, height, width, 3, rgb.tobytes(), rank)
+        yield pd.DataFrame([row], columns=[*TILE_COLUMNS, "ord"])
+
+    sums = held.mapInPandas(project, schema)
+    return sums.groupBy("tile_row", "tile_col", "ord").applyInPandas(add_up, TILE + ", ord long")
+
+
 def area_average(px: DataFrame, bands: list[str], ratio_x: Column, ratio_y: Column, keys: list[str],
                  offset_x: Column | None = None, offset_y: Column | None = None) -> DataFrame:
     """Area-weighted mean of source pixels on a coarser grid.

@@ -27,10 +27,18 @@ def box_features(px: DataFrame, bands: list[str], tile: int = DEFAULT_TILE, by:
     return focal_pixels(px, bands, 1, tile, run, cols, by, keep=keep)
 
 
-def local_entropy(px: DataFrame, gray: str, tile: int = DEFAULT_TILE, by: list[str] | None = None) -> DataFrame:
-    """Entropy over a radius-2 disk of the gray level stretched to bytes per raster."""
+ENTROPY_FULL_PIXELS = 1_500_000  # fixed value: larger rasters use every second row and column
+
+
+def local_entropy(px: DataFrame, gray: str, tile: int = DEFAULT_TILE, by: list[str] | None = None,
+                  full_pixels: int = ENTROPY_FULL_PIXELS) -> DataFrame:
+    """Entropy over a radius-2 disk of the gray level stretched to bytes per raster.
+
+    Rasters above ``full_pixels`` are computed at half size and repeated.
+    """
     by = by or ["raster_id"]
-    span = px.groupBy(*by).agg(F.min(gray).alias("_lo"), F.max(gray).alias("_hi"))
+    span = px.groupBy(*by).agg(F.min(gray).alias("_lo"), F.max(gray).alias("_hi"), (F.count("*") > full_pixels).alias("_big"),
+                               F.max("row").alias("_mr"), F.max("col").alias("_mc"))
     src = attach_by(px.select(*by, "row", "col", gray), span, by)
 
     def run(a, present):
@@ -39,7 +47,15 @@ def local_entropy(px: DataFrame, gray: str, tile: int = DEFAULT_TILE, by: list[s
         # cells outside the raster are not on the canvas, so the disk is clipped there
         return {"entropy": K.disk_entropy(np.where(present, u8, 0).astype(np.uint8), 2)}
 
-    return focal_pixels(src, [gray], 2, tile, run, {"entropy": "double"}, by, carry=["_lo", "_hi"])
+    half = lambda c: F.when(F.col("_big"), F.floor(F.col(c) / 2)).otherwise(F.col(c)).cast("int").alias(c)
+    used = src.filter(~F.col("_big") | ((F.col("row") % 2 == 0) & (F.col("col") % 2 == 0)))
+    used = used.select(*by, half("row"), half("col"), gray, "_lo", "_hi", "_big", "_mr", "_mc")
+    out = focal_pixels(used, [gray], 2, tile, run, {"entropy": "double"}, by, carry=["_lo", "_hi"], keep=["_big", "_mr", "_mc"])
+    copies = F.when(F.col("_big"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    size = F.when(F.col("_big"), 2).otherwise(1)
+    out = out.withColumn("_dy", F.explode(copies)).withColumn("_dx", F.explode(copies))
+    out = out.withColumn("row", F.col("row") * size + F.col("_dy")).withColumn("col", F.col("col") * size + F.col("_dx"))
+    return out.filter("row <= _mr AND col <= _mc").select(*by, "row", "col", "entropy")
 
 
 def gaussian_texture(px: DataFrame, gray: str, tile: int = DEFAULT_TILE, by: list[str] | None = None) -> DataFrame:

@@ -9,9 +9,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_SIDE_PX
+from ..constants import MAX_SIDE_PX, MOSAIC_TILE_PX
 from ..functions import geo
-from ..operators.composite import area_average, composite_order, priority_composite
+from ..operators.composite import (area_average, composite_order, composite_tiles, priority_composite,
+                                   resample_tiles)
 from ..operators.stats import attach_by
 from ..sources.rasters import finest_pixel, touching_cell
 from . import material_map as mm
@@ -104,20 +105,27 @@ def plan_grid(sources: DataFrame, cfg: CellConfig) -> tuple[DataFrame, int, int,
     return composite_order(kept), int(row["width"]), int(row["height"]), float(row["gsd"])
 
 
+def placement(sources: DataFrame, cfg: CellConfig, gsd: float) -> DataFrame:
+    """Scale and offset of each source on the cell grid.
+
+    Positions are snapped to a millionth of a pixel, so aligned grids stay aligned.
+    """
+    west, _, _, north = cfg.box
+    return sources.select("path", "ord", F.round(F.lit(gsd) / F.col("px_x"), 6).alias("rx"),
+                          F.round(F.lit(gsd) / F.col("px_y"), 6).alias("ry"),
+                          F.round((F.col("west") - west) / gsd, 6).alias("ox"),
+                          F.round((F.lit(north) - F.col("north")) / gsd, 6).alias("oy"))
+
+
 def to_cell_grid(px: DataFrame, sources: DataFrame, cfg: CellConfig, gsd: float, width: int, height: int) -> DataFrame:
     """Area-average source pixels onto the cell grid, one result per source and cell pixel.
 
     ``px`` holds ``path, row, col, r, g, b``; ``sources`` holds ``path, west,
     north, px_x, px_y, ord``.
     """
-    west, _, _, north = cfg.box
-    # positions are snapped to a millionth of a pixel, so aligned grids stay aligned
-    held = attach_by(px, sources.select("path", "ord", F.round(F.lit(gsd) / F.col("px_x"), 6).alias("_rx"),
-                                        F.round(F.lit(gsd) / F.col("px_y"), 6).alias("_ry"),
-                                        F.round((F.col("west") - west) / gsd, 6).alias("_ox"),
-                                        F.round((F.lit(north) - F.col("north")) / gsd, 6).alias("_oy")), ["path"])
+    held = attach_by(px, placement(sources, cfg, gsd), ["path"])
     held = held.filter(F.col("ord").isNotNull())
-    flat = area_average(held, ["r", "g", "b"], F.col("_rx"), F.col("_ry"), ["path", "ord"], F.col("_ox"), F.col("_oy"))
+    flat = area_average(held, ["r", "g", "b"], F.col("rx"), F.col("ry"), ["path", "ord"], F.col("ox"), F.col("oy"))
     flat = flat.filter((F.col("row") >= 0) & (F.col("row") < height) & (F.col("col") >= 0) & (F.col("col") < width))
     return flat.withColumns({c: F.floor(F.col(c) + 0.5).cast("int") for c in "rgb"})
 
@@ -130,6 +138,15 @@ def mosaic(px: DataFrame, sources: DataFrame, cfg: CellConfig) -> tuple[DataFram
     return out.withColumn("raster_id", F.lit("cell")), width, height, gsd
 
 
+def mosaic_tiles(tiles: DataFrame, sources: DataFrame, cfg: CellConfig, tile: int = MOSAIC_TILE_PX,
+                 salts: int = 16) -> tuple[DataFrame, int, int, float]:
+    """The same composite from stored tiles (``raster_id`` is the source path), as byte tiles."""
+    ranked, width, height, gsd = plan_grid(sources, cfg)
+    place = placement(ranked, cfg, gsd).withColumnRenamed("path", "raster_id")
+    flat = resample_tiles(tiles, place, width, height, tile)
+    return composite_tiles(flat, salts), width, height, gsd
+
+
 def run_cell(px: DataFrame, sources: DataFrame, cfg: CellConfig, masks: list | None = None,
              opts: mm.Options = mm.Options(), model: mm.Model | None = None) -> tuple[DataFrame, DataFrame]:
     """Composite, classify, paint masks and export the index; returns index and histogram."""

@@ -562,6 +562,16 @@ def p5m(spark, sf):
     return cell_run.mosaic(px, src, CELL)[0].select("row", "col", "r", "g", "b")
 
 
+@query("p5_cell_mosaic_tiles", f"WITH {_P5} SELECT row, col, r, g, b FROM cp", ["scene"])
+def p5t(spark, sf):
+    """The same mosaic from stored tiles."""
+    px, src = cell_sources(spark, sf)
+    sized = src.select(F.col("path").alias("raster_id"), F.lit(20).alias("raster_h"), F.lit(100).alias("raster_w"))
+    packed = tiles.pixels_to_tiles(px.withColumnRenamed("path", "raster_id"), ["r", "g", "b"], 16, sized)
+    merged, _, _, _ = cell_run.mosaic_tiles(packed, src, CELL, 64, 2)
+    return tiles.tiles_to_pixels(merged, ["r", "g", "b"], drop_blank=True).select("row", "col", "r", "g", "b")
+
+
 @query("p5_cell_run", f"""WITH {_P5} SELECT {_NEAR6} AS cmix, {_NAMES7}[{_NEAR6}+1] AS name, count(*) AS n_px FROM cp GROUP BY 1,2""", ["scene"])
 def p5(spark, sf):
     """Cell mosaic, nearest class colour and index histogram."""

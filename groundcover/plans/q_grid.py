@@ -312,6 +312,19 @@ def e3(spark, sf):
     return focal.local_entropy(px, "gray", TILE).select(*KEYS, (F.round("entropy", 5) + 0.0).alias("entropy"))
 
 
+@query("e3_half_size_entropy", f"""
+WITH s AS (SELECT min(r+g+b)/3e0 AS lo, max(r+g+b)/3e0 AS hi FROM pixel),
+u AS (SELECT raster_id, cast(floor(row/2) as int) AS row, cast(floor(col/2) as int) AS col, cast(floor(((r+g+b)/3e0-lo)/(hi-lo)*255e0) as int) AS v FROM pixel, s WHERE row%2=0 AND col%2=0),
+n AS (SELECT p.raster_id, p.row, p.col, q.v, count(*) AS c FROM u p, {_DISK2} o JOIN u q ON q.row=p.row+dy AND q.col=p.col+dx GROUP BY 1,2,3,4),
+t AS (SELECT *, c/cast(sum(c) OVER (PARTITION BY row, col) as double) AS f FROM n),
+h AS (SELECT row, col, round(-sum(f*log2(f)),5)+0e0 AS entropy FROM t GROUP BY 1,2)
+SELECT p.raster_id, p.row, p.col, entropy FROM pixel p JOIN h ON h.row=cast(floor(p.row/2) as int) AND h.col=cast(floor(p.col/2) as int)""", ["pixel"])
+def e3h(spark, sf):
+    """The rule for large rasters, with its limit lowered so this one counts as large."""
+    px = view(spark, sf, "pixel").withColumn("gray", color.gray("r", "g", "b"))
+    return focal.local_entropy(px, "gray", TILE, full_pixels=500).select(*KEYS, (F.round("entropy", 5) + 0.0).alias("entropy"))
+
+
 @query("e4_gaussian_std", f"""
 WITH w AS (SELECT i, exp(-(i*i)/8e0) AS k FROM generate_series(-5,5) a(i)), wn AS (SELECT i, k/(SELECT sum(k) FROM w) AS k FROM w),
 dm AS (SELECT max(row) AS mr, max(col) AS mc FROM pixel),

@@ -21,6 +21,7 @@ def local_session(cpus: int | str = "*", app: str = "groundcover") -> SparkSessi
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
