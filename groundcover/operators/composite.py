@@ -35,58 +35,79 @@ def priority_composite(px: DataFrame, keys: list[str], order: Column) -> DataFra
                        F.shiftright(F.col("_p"), 24).alias("ord"))
 
 
-def composite_tiles(tiles: DataFrame, salts: int = 16) -> DataFrame:
+def composite_tiles(tiles: DataFrame, tile: int, salts: int = 16) -> DataFrame:
     """Last-wins merge of RGB byte tiles on one grid; ``ord`` numbers the sources.
 
+    A block may cover only part of its grid cell of side ``tile``; the result
+    covers whole cells, black where no source does.
+
     A cell of the grid may hold a third of all sources: tiles are merged per
     salt first, then across salts, and each merge reads its group as a stream
     that keeps only one canvas.
     """
     partial_schema = TILE + ", ords binary"
 
-    def canvas_of(t):
-        return np.full((t.h, t.w), -1, dtype=np.int64), np.zeros((3, t.h, t.w), dtype=np.uint8)
-
-    def frame(key, t, rank, rgb) -> pd.DataFrame:
-        row = (key[0], key[1], key[2], t.row0, t.col0, t.h, t.w, t.raster_h, t.raster_w, 3,
-               rgb.tobytes(), rank.tobytes())
-        return pd.DataFrame([row], columns=[*TILE_COLUMNS, "ords"])
-
     def merge(key, batches, ranks_of):
         rank = rgb = last = None
+        r0, c0 = int(key[1]) * tile, int(key[2]) * tile
         for pdf in batches:
             for t in pdf.itertuples(index=False):
                 if rank is None:
-                    rank, rgb = canvas_of(t)
-                    last = t
+                    h, w = min(tile, t.raster_h - r0), min(tile, t.raster_w - c0)
+                    rank, rgb, last = np.full((h, w), -1, dtype=np.int32), np.zeros((3, h, w), dtype=np.uint8), t
                 block = block_of(t)[:3]
+                here = np.s_[t.row0 - r0:t.row0 - r0 + t.h, t.col0 - c0:t.col0 - c0 + t.w]
                 theirs = ranks_of(t, block)
-                wins = theirs > rank
-                rank[wins] = theirs[wins]
-                rgb[:, wins] = block[:, wins]
+                wins = theirs > rank[here]
+                np.copyto(rank[here], theirs, where=wins)
+                np.copyto(rgb[:, *here], block, where=wins)
         if rank is not None:
-            yield frame(key, last, rank, rgb)
+            row = (key[0], key[1], key[2], r0, c0, *rank.shape, last.raster_h, last.raster_w, 3,
+                   rgb.tobytes(), rank.tobytes())
+            yield pd.DataFrame([row], columns=[*TILE_COLUMNS, "ords"])
 
     def first(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        covered = lambda t, b: np.where(b.sum(axis=0, dtype=np.int64) >= 24, np.int64(t.ord), -1)
+        def covered(t, block):
+            bright = block[0].astype(np.uint16) + block[1] + block[2] >= 24
+            return np.where(bright, np.int32(t.ord), np.int32(-1))
+
         return merge(key, batches, covered)
 
     def second(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return merge(key, batches, lambda t, b: np.frombuffer(t.ords, dtype=np.int64).reshape(t.h, t.w))
+        return merge(key, batches, lambda t, b: np.frombuffer(t.ords, dtype=np.int32).reshape(t.h, t.w))
 
-    salted = tiles.withColumn("_salt", F.pmod(F.xxhash64("ord"), F.lit(salts)).cast("int"))
     keys = ["raster_id", "tile_row", "tile_col"]
+    if salts <= 1:
+        return tiles.groupBy(*keys).applyInPandas(first, partial_schema).drop("ords")
+    salted = tiles.withColumn("_salt", F.pmod(F.xxhash64("ord"), F.lit(salts)).cast("int"))
     partial = salted.groupBy(*keys, "_salt").applyInPandas(first, partial_schema)
     return partial.groupBy(*keys).applyInPandas(second, partial_schema).drop("ords")
 
 
-def _shares(start: int, n: int, ratio: float, offset: float) -> tuple[int, np.ndarray]:
-    """First target cell of a run of source cells, and how much of each target every source cell fills."""
-    a = np.arange(start, start + n) / ratio + offset
-    b = np.arange(start + 1, start + n + 1) / ratio + offset
-    first, last = int(np.floor(a[0] + 1e-9)), int(np.ceil(b[-1] - 1e-9))
-    t = np.arange(first, last)[:, None]
-    return first, np.clip(np.minimum(b, t + 1) - np.maximum(a, t), 0.0, None)
+def _reduce(block: np.ndarray, axis: int, start: int, ratio: float, offset: float) -> tuple[int, np.ndarray, np.ndarray]:
+    """Sums over target cells along one axis: first cell, sums and covered lengths.
+
+    Whole source cells are added per target cell; cells cut by a border are
+    shared by their two targets.
+    """
+    n = block.shape[axis]
+    first = int(np.floor(start / ratio + offset + 1e-9))
+    last = int(np.ceil((start + n) / ratio + offset - 1e-9))
+    u = np.clip((np.arange(first, last + 1) - offset) * ratio - start, 0.0, n)
+    low = np.floor(u + 1e-9).astype(np.int64)
+    cut = np.clip(u - low, 0.0, 1.0)
+    shape = list(block.shape)
+    shape[axis] += 1  # one empty cell, so the far border has an index
+    full = np.zeros(shape, dtype=np.float32)
+    full[tuple(slice(0, k) for k in block.shape)] = block
+    along = [1, 1, 1]
+    along[axis] = -1
+    sums = np.add.reduceat(full, low, axis=axis)
+    sums = np.delete(sums, -1, axis=axis) * (np.diff(low) > 0).reshape(along)
+    if (cut > 1e-9).any():
+        edge = np.take(full, low, axis=axis) * cut.reshape(along).astype(np.float32)
+        sums = sums + np.diff(edge, axis=axis)
+    return first, sums, np.diff(u)
 
 
 def resample_tiles(tiles: DataFrame, placement: DataFrame, width: int, height: int, tile: int,
@@ -94,8 +115,8 @@ def resample_tiles(tiles: DataFrame, placement: DataFrame, width: int, height: i
     """Area-average RGB byte tiles onto a shared grid; one byte tile per source and target tile, with ``ord``.
 
     ``placement`` has ``raster_id, ord, rx, ry, ox, oy`` as in ``area_average``.
-    Each stored tile is reduced by two small matrix products where it lies; only
-    weighted sums on the target grid are shuffled and added up.
+    Each stored tile is reduced where it lies; only weighted sums on the target
+    grid are shuffled and added up.
     """
     held = attach_by(tiles, placement, ["raster_id"]).filter(F.col("ord").isNotNull())
     schema = "tile_row int, tile_col int, ord long, y0 int, x0 int, h int, w int, data binary"
@@ -105,32 +126,42 @@ def resample_tiles(tiles: DataFrame, placement: DataFrame, width: int, height: i
         for pdf in frames:
             rows = []
             for t in pdf.itertuples(index=False):
-                block = block_of(t)[:3].astype(np.float64)
-                y, wy = _shares(t.row0, t.h, t.ry, t.oy)
-                x, wx = _shares(t.col0, t.w, t.rx, t.ox)
-                planes = np.concatenate([wy @ block @ wx.T, (wy.sum(1)[:, None] * wx.sum(1)[None])[None]])
-                y1, x1 = min(y + planes.shape[1], height), min(x + planes.shape[2], width)
+                y, part, wy = _reduce(block_of(t)[:3], 1, t.row0, t.ry, t.oy)
+                x, part, wx = _reduce(part, 2, t.col0, t.rx, t.ox)
+                part = part.astype(np.float32, copy=False)
+                y1, x1 = min(y + part.shape[1], height), min(x + part.shape[2], width)
                 for ty in range(max(y, 0) // tile, (y1 - 1) // tile + 1):
                     for tx in range(max(x, 0) // tile, (x1 - 1) // tile + 1):
                         a, b = max(y, ty * tile, 0), min(y1, (ty + 1) * tile)
                         c, d = max(x, tx * tile, 0), min(x1, (tx + 1) * tile)
                         if b > a and d > c:
-                            part = np.ascontiguousarray(planes[:, a - y:b - y, c - x:d - x])
-                            rows.append((ty, tx, t.ord, a, c, b - a, d - c, part.tobytes()))
+                            data = b"".join((wy[a - y:b - y].astype(np.float32).tobytes(),
+                                             wx[c - x:d - x].astype(np.float32).tobytes(),
+                                             np.ascontiguousarray(part[:, a - y:b - y, c - x:d - x]).tobytes()))
+                            rows.append((ty, tx, t.ord, a, c, b - a, d - c, data))
             yield pd.DataFrame(rows, columns=names)
 
     def add_up(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ty, tx, rank = (int(k) for k in key)
         r0, c0 = ty * tile, tx * tile
         h, w = min(tile, height - r0), min(tile, width - c0)
-        total = np.zeros((4, h, w))
+        total = np.zeros((4, h, w), dtype=np.float32)
         for pdf in batches:
             for t in pdf.itertuples(index=False):
-                part = np.frombuffer(t.data, dtype=np.float64).reshape(4, t.h, t.w)
-                total[:, t.y0 - r0:t.y0 - r0 + t.h, t.x0 - c0:t.x0 - c0 + t.w] += part
-        weight = np.where(total[3] > 1e-9, total[3], np.inf)
+                flat = np.frombuffer(t.data, dtype=np.float32)
+                wy, wx = flat[:t.h], flat[t.h:t.h + t.w]
+                here = np.s_[t.y0 - r0:t.y0 - r0 + t.h, t.x0 - c0:t.x0 - c0 + t.w]
+                total[:3, *here] += flat[t.h + t.w:].reshape(3, t.h, t.w)
+                total[3][here] += wy[:, None] * wx
+        # only the covered part of the cell goes on
+        rows, cols = np.flatnonzero(total[3].any(axis=1)), np.flatnonzero(total[3].any(axis=0))
+        if not len(rows):
+            return
+        y0, x0 = rows[0], cols[0]
+        total = total[:, y0:rows[-1] + 1, x0:cols[-1] + 1]
+        weight = np.where(total[3] > 1e-6, total[3], np.inf)
         rgb = np.floor(total[:3] / weight + 0.5).astype(np.uint8)
-        row = (target_id, ty, tx, r0, c0, h, w, height, width, 3, rgb.tobytes(), rank)
+        row = (target_id, ty, tx, r0 + y0, c0 + x0, *rgb.shape[1:], height, width, 3, rgb.tobytes(), rank)
         yield pd.DataFrame([row], columns=[*TILE_COLUMNS, "ord"])
 
     sums = held.mapInPandas(project, schema)

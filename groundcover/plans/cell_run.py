@@ -13,6 +13,7 @@ from ..constants import MAX_SIDE_PX, MOSAIC_TILE_PX
 from ..functions import geo
 from ..operators.composite import (area_average, composite_order, composite_tiles, priority_composite,
                                    resample_tiles)
+from ..operators.rangejoin import grid_cells
 from ..operators.stats import attach_by
 from ..sources.rasters import finest_pixel, touching_cell
 from . import material_map as mm
@@ -138,13 +139,29 @@ def mosaic(px: DataFrame, sources: DataFrame, cfg: CellConfig) -> tuple[DataFram
     return out.withColumn("raster_id", F.lit("cell")), width, height, gsd
 
 
+SOURCES_PER_TASK = 64
+
+
+def merge_salts(ranked: DataFrame, cfg: CellConfig, gsd: float, width: int, height: int, tile: int) -> int:
+    """Salts for the composite: enough that no merge reads more than a fixed number of sources on average."""
+    west, _, _, north = cfg.box
+    px = lambda c: (F.col(c) - west) / gsd
+    py = lambda c: (F.lit(north) - F.col(c)) / gsd
+    boxes = ranked.select(px("west").alias("x0"), px("east").alias("x1"), py("north").alias("y0"), py("south").alias("y1"))
+    cells = grid_cells(boxes, "x0", "y0", "x1", "y1", 0.0, 0.0, float(tile), -(-width // tile), -(-height // tile),
+                       inclusive=False)
+    most = cells.groupBy("cell_y", "cell_x").agg(F.count("*").alias("n")).agg(F.max("n").alias("m")).first()["m"]
+    return max(1, -(-(most or 1) // SOURCES_PER_TASK))
+
+
 def mosaic_tiles(tiles: DataFrame, sources: DataFrame, cfg: CellConfig, tile: int = MOSAIC_TILE_PX,
-                 salts: int = 16) -> tuple[DataFrame, int, int, float]:
+                 salts: int | None = None) -> tuple[DataFrame, int, int, float]:
     """The same composite from stored tiles (``raster_id`` is the source path), as byte tiles."""
     ranked, width, height, gsd = plan_grid(sources, cfg)
     place = placement(ranked, cfg, gsd).withColumnRenamed("path", "raster_id")
     flat = resample_tiles(tiles, place, width, height, tile)
-    return composite_tiles(flat, salts), width, height, gsd
+    salts = salts or merge_salts(ranked, cfg, gsd, width, height, tile)
+    return composite_tiles(flat, tile, salts), width, height, gsd
 
 
 def run_cell(px: DataFrame, sources: DataFrame, cfg: CellConfig, masks: list | None = None,

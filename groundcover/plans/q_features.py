@@ -568,7 +568,7 @@ def p5t(spark, sf):
     px, src = cell_sources(spark, sf)
     sized = src.select(F.col("path").alias("raster_id"), F.lit(20).alias("raster_h"), F.lit(100).alias("raster_w"))
     packed = tiles.pixels_to_tiles(px.withColumnRenamed("path", "raster_id"), ["r", "g", "b"], 16, sized)
-    merged, _, _, _ = cell_run.mosaic_tiles(packed, src, CELL, 64, 2)
+    merged, _, _, _ = cell_run.mosaic_tiles(packed, src, CELL, 64)
     return tiles.tiles_to_pixels(merged, ["r", "g", "b"], drop_blank=True).select("row", "col", "r", "g", "b")
 
 

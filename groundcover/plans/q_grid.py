@@ -222,7 +222,7 @@ def g1t(spark, sf):
     dims = attach_scalar(px.select("raster_id").distinct(), high)
     packed = tiles.pixels_to_tiles(px, ["r", "g", "b"], TILE, dims)
     ranked = packed.withColumn("ord", F.lit(1000) - F.substring("raster_id", 2, 1).cast("int")).withColumn("raster_id", F.lit("cell"))
-    merged = composite.composite_tiles(ranked, 2)
+    merged = composite.composite_tiles(ranked, TILE, 2)
     return tiles.tiles_to_pixels(merged, ["r", "g", "b"], drop_blank=True).select("row", "col", "r", "g", "b")
 
 

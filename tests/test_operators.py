@@ -72,7 +72,7 @@ def test_tile_composite_equals_serial(spark, sources, salts):
         t = tiles.pixels_to_tiles(image(spark, a, n), ["r", "g", "b"], 5, dims(spark, 13, 11, n))
         t = t.withColumn("ord", F.lit(rank[n])).withColumn("raster_id", F.lit("cell"))
         parts = t if parts is None else parts.unionByName(t)
-    got = tiles.tiles_to_pixels(composite.composite_tiles(parts, salts), ["r", "g", "b"])
+    got = tiles.tiles_to_pixels(composite.composite_tiles(parts, 5, salts), ["r", "g", "b"])
     want = serial_composite(sources, 13, 11)
     for k, n in enumerate("rgb"):
         assert (grid(got, n, (13, 11)) == want[k]).all()
@@ -91,6 +91,22 @@ def test_area_average_of_any_ratio(spark):
     assert np.allclose(grid(got, "r", (h, w)), want)
 
 
+@pytest.mark.parametrize("ratio,offset", [(2.0, 3.0), (2.7, -1.3), (0.6, 0.25)])
+def test_tile_resampling_equals_pixel_resampling(spark, ratio, offset):
+    a = RNG.integers(0, 256, (3, 30, 33))
+    px = image(spark, a)
+    want = composite.area_average(px, ["r", "g"], F.lit(ratio), F.lit(ratio + 0.1), ["raster_id"], F.lit(offset), F.lit(offset + 1))
+    want = {(r["row"], r["col"]): (r["r"], r["g"]) for r in want.collect() if 0 <= r["row"] < 24 and 0 <= r["col"] < 20}
+    packed = tiles.pixels_to_tiles(px, ["r", "g", "b"], 8, dims(spark, 30, 33))
+    place = spark.createDataFrame([("x", 5, ratio, ratio + 0.1, offset, offset + 1)],
+                                  "raster_id string, ord long, rx double, ry double, ox double, oy double")
+    flat = composite.resample_tiles(packed, place, 20, 24, 7).drop("ord")
+    got = {(r["row"], r["col"]): (r["r"], r["g"]) for r in tiles.tiles_to_pixels(flat, ["r", "g", "b"]).collect()}
+    assert set(want) <= set(got)
+    for k, v in want.items():
+        assert all(abs(p - q) <= 0.501 for p, q in zip(got[k], v)), (k, got[k], v)
+
+
 # --- samples, numbering, joins -----------------------------------------------
 
 @pytest.mark.parametrize("limit", [100_000, 0])
