@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import NEAR_BLACK_MEAN, VETO_RGB_SQ
@@ -50,36 +50,26 @@ SCENE_FLAGS = {
     "water_rgb": "blue_water OR dark_water OR blue_max",
     "blue_dom": "b > g + 0.03 AND b > r + 0.03 AND maxc > 0.08",
 }
-# Decimal literals would be typed DECIMAL; write them as doubles.
-_DOUBLE = r"(\d+\.\d+)"
 
 
-def scene_flags(df, scale="scale", nir: str | None = "nir"):
-    """Add the scene flags. ``scale`` is the pooled p98 of the scene."""
-    import re
+def scene_flags(df: DataFrame, scale: str = "scale", nir: str | None = "nir") -> DataFrame:
+    """Add the scene flags as ``f_*`` columns. ``scale`` holds the pooled p98 of the scene.
 
-    s = df
-    for band in ("r", "g", "b") + ((nir,) if nir else ()):
-        s = s.withColumn(f"_{band}", color.scale_clip(F.col(band), F.col(scale)))
-    exprs = {"sat": color.saturation("_r", "_g", "_b"), "maxc": color.max3("_r", "_g", "_b"),
-             "exg": color.exg("_r", "_g", "_b"), "vari": color.vari_scaled("_r", "_g", "_b")}
+    The rules read the scaled bands under their plain names, so the caller's
+    columns step aside while the rules run.
+    """
+    bands = ["r", "g", "b"] + ([nir] if nir else [])
+    aside = [F.col(c).alias(f"_{c}") for c in df.columns]
+    s = df.select(*aside, *[color.scale_clip(c, scale).alias("nir" if c == nir else c) for c in bands])
+    s = s.withColumns({"sat": color.saturation("r", "g", "b"), "maxc": color.max3("r", "g", "b"),
+                       "exg": color.exg("r", "g", "b"), "vari": color.vari_scaled("r", "g", "b")})
     if nir:
-        exprs["ndwi"] = color.ndwi("_g", f"_{nir}")
-    keep = df.columns
-    s = s.select(*keep, "_r", "_g", "_b",
-                 *[e.alias(f"_{n}") for n, e in exprs.items()])
-    known = []
-    for name, rule in SCENE_FLAGS.items():
-        if name == "water_nir" and not nir:
-            continue
-        text = re.sub(_DOUBLE, r"\1D", rule)
-        names = ["r", "g", "b", "sat", "maxc", "exg", "vari", "ndwi"]
-        for n in names + known:
-            text = re.sub(rf"\b{n}\b", f"_{n}" if n in names else f"f_{n}", text)
-        s = s.withColumn(f"f_{name}", F.expr(text))
-        known.append(name)
-    s = s.withColumn("f_water", F.col("f_water_nir") if nir else F.col("f_water_rgb"))
-    return s
+        s = s.withColumn("ndwi", color.ndwi("g", "nir"))
+    names = [n for n in SCENE_FLAGS if nir or n != "water_nir"]
+    for name in names:
+        s = s.withColumn(name, F.expr(SCENE_FLAGS[name]))
+    s = s.withColumn("water", F.col("water_nir" if nir else "water_rgb"))
+    return s.select(*[F.col(f"_{c}").alias(c) for c in df.columns], *[F.col(n).alias(f"f_{n}") for n in [*names, "water"]])
 
 
 def building_colour(h, s, v) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from ..session import cut_lineage
 from .stats import attach_by, attach_scalar, linspace_index, sample_hash, take_lowest
 
 MAX_CENTRES = 1024
+KMEANS_STARTS = 10
+PARALLEL_STARTS = 5
 TRAIN_PARTITIONS = 8
 
 
@@ -61,6 +64,8 @@ def nearest_centre_vectors(df: DataFrame, vector: str, centres: np.ndarray, labe
                            distance: str = "distance") -> DataFrame:
     """Nearest centre for long vectors, in Arrow batches with one matrix product each."""
     c = np.asarray(centres, dtype=np.float64)
+    if not 0 < len(c) <= MAX_CENTRES:
+        raise ValueError(f"expected 1..{MAX_CENTRES} centres, got {len(c)}")
     c2 = (c * c).sum(axis=1)
 
     @pandas_udf("struct<label:int,distance:double>")
@@ -147,18 +152,26 @@ def inertia(df: DataFrame, features: list[str], centres) -> DataFrame:
     return nearest_centre(df, features, centres, distance="_dist").agg(F.sum("_dist").alias("inertia"))
 
 
-def fit_kmeans(sample: DataFrame, features: list[str], k: int, seed: int = KMEANS_SEED):
-    """Spark ML k-means on a bounded training sample; returns scaler and centres."""
+def fit_kmeans(sample: DataFrame, features: list[str], k: int, seed: int = KMEANS_SEED, starts: int = KMEANS_STARTS):
+    """Spark ML k-means on a bounded training sample, the best of several seeded starts.
+
+    Returns the scaler and the centres in standard units.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     # the sample has a fixed size, so a few partitions hold it for all rounds
     sample = cut_lineage(sample.select(*features).repartition(TRAIN_PARTITIONS))
     scaler = fit_scaler(sample, features)
-    vec = VectorAssembler(inputCols=features, outputCol="_v").transform(standardise(sample, scaler))
-    model = KMeans(k=k, seed=seed, maxIter=300, featuresCol="_v").fit(vec.select("_v"))
-    centres = sorted([list(map(float, c)) for c in model.clusterCenters()])
-    return scaler, centres
+    vec = VectorAssembler(inputCols=features, outputCol="_v").transform(standardise(sample, scaler)).select("_v").cache()
+    try:
+        vec.count()
+        fit = lambda i: KMeans(k=k, seed=seed + i, maxIter=300, featuresCol="_v").fit(vec)
+        with ThreadPoolExecutor(PARALLEL_STARTS) as pool:  # independent jobs on one small cached sample
+            best = min(pool.map(fit, range(starts)), key=lambda m: m.summary.trainingCost)
+        return scaler, sorted([list(map(float, c)) for c in best.clusterCenters()])
+    finally:
+        vec.unpersist()
 
 
 def complexity_sample_size(df: DataFrame, features: list[str], n_clusters: int) -> DataFrame:
@@ -187,39 +200,50 @@ def complexity_sample_size(df: DataFrame, features: list[str], n_clusters: int)
                                            "n_pixels long, norm_entropy double, train_pixels long")
 
 
-def window_sample(px: DataFrame, dims: DataFrame, n_samples: int, seed: int = 42, grid: int = SAMPLE_GRID,
-                  window: int = SAMPLE_WINDOW, extra: int = SAMPLE_EXTRA) -> DataFrame:
-    """Pixels of a grid of windows plus seeded extra windows, a fixed number from each.
+def sample_windows(dims: DataFrame, seed: int = 42, grid: int = SAMPLE_GRID, window: int = SAMPLE_WINDOW,
+                   extra: int = SAMPLE_EXTRA) -> DataFrame:
+    """A grid of windows plus seeded extra ones for every raster: ``wr, wc`` and side ``win``.
 
-    ``px`` holds ``raster_id, row, col, r, g, b``; ``dims`` holds ``raster_h`` and
-    ``raster_w``. Near-black pixels are left out. Windows are arithmetic on the
-    raster size, so only tiles under a window take part.
+    Arithmetic on the raster sizes ``raster_h, raster_w`` only.
     """
-    per = max(SAMPLE_MIN_PER_WINDOW, n_samples // (grid * grid + extra))
-    win = F.least(F.lit(window), F.col("raster_h"), F.col("raster_w"))
-    d = dims.withColumn("_win", win)
-    top = lambda side: F.greatest(F.lit(0), F.col(side) - F.col("_win"))
+    d = dims.withColumn("win", F.least(F.lit(window), F.col("raster_h"), F.col("raster_w")))
+    top = lambda side: F.greatest(F.lit(0), F.col(side) - F.col("win"))
     rows, cols = linspace_index(top("raster_h") + 1, grid), linspace_index(top("raster_w") + 1, grid)
-    grid_w = d.select("raster_id", "_win", "raster_w", "raster_h", F.explode(rows).alias("wr"),
-                      cols.alias("_cs")).select(
-        "raster_id", "_win", "wr", F.explode("_cs").alias("wc"))
+    regular = d.select("raster_id", "win", F.explode(rows).alias("wr"), cols.alias("_cs")).select(
+        "raster_id", "win", "wr", F.explode("_cs").alias("wc"))
     pick = lambda k, side, salt: F.pmod(
         (k * 48271 + salt + seed * 31) * 16807 % 2147483647, F.greatest(F.lit(1), top(side)).cast("long"))
-    extra_w = d.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(extra)))).withColumn(
-        "k", F.col("k").cast("long")).select(
-        "raster_id", "_win", pick(F.col("k"), "raster_h", 1).alias("wr"), pick(F.col("k"), "raster_w", 7).alias("wc"))
-    windows = grid_w.unionByName(extra_w).distinct()
-    # equi-join on window-size cells keeps this from being a range scan
-    w = windows.withColumn("_ky", F.explode(F.sequence(
-        F.floor(F.col("wr") / window), F.floor((F.col("wr") + F.col("_win") - 1) / window)))).withColumn(
-        "_kx", F.explode(F.sequence(F.floor(F.col("wc") / window), F.floor((F.col("wc") + F.col("_win") - 1) / window))))
-    p = px.filter((F.col("r") + F.col("g") + F.col("b")) >= 24).withColumn(
-        "_ky", F.floor(F.col("row") / window)).withColumn("_kx", F.floor(F.col("col") / window))
-    hit = p.join(w, ["raster_id", "_ky", "_kx"]).filter(
-        (F.col("row") >= F.col("wr")) & (F.col("row") < F.col("wr") + F.col("_win"))
-        & (F.col("col") >= F.col("wc")) & (F.col("col") < F.col("wc") + F.col("_win")))
-    return take_lowest(hit, per, sample_hash("row", "col", seed), ["row", "col"],
-                       ["raster_id", "wr", "wc"]).select(*px.columns, "wr", "wc")
+    more = d.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(extra)))).withColumn("k", F.col("k").cast("long"))
+    more = more.select("raster_id", "win", pick(F.col("k"), "raster_h", 1).alias("wr"),
+                       pick(F.col("k"), "raster_w", 7).alias("wc"))
+    return regular.unionByName(more).distinct()
+
+
+def window_sample(px: DataFrame, windows: DataFrame, per: int, window: int = SAMPLE_WINDOW, seed: int = 42,
+                  keys: DataFrame | None = None) -> DataFrame:
+    """Exactly ``per`` covered pixels from every window (all of a smaller one).
+
+    ``keys`` may be a cheaper frame with the same pixels for the counting passes.
+    """
+    # equi-join on cells of one window side keeps this from being a range scan
+    cells = lambda at: F.explode(F.sequence(F.floor(F.col(at) / window),
+                                            F.floor((F.col(at) + F.col("win") - 1) / window)))
+    w = windows.withColumn("_ky", cells("wr")).withColumn("_kx", cells("wc"))
+
+    def inside(p: DataFrame) -> DataFrame:
+        p = p.filter((F.col("r") + F.col("g") + F.col("b")) >= 24).withColumn(
+            "_ky", F.floor(F.col("row") / window)).withColumn("_kx", F.floor(F.col("col") / window))
+        return p.join(w, ["raster_id", "_ky", "_kx"]).filter(
+            (F.col("row") >= F.col("wr")) & (F.col("row") < F.col("wr") + F.col("win"))
+            & (F.col("col") >= F.col("wc")) & (F.col("col") < F.col("wc") + F.col("win")))
+
+    picked = take_lowest(inside(px), per, sample_hash("row", "col", seed), ["row", "col"], ["raster_id", "wr", "wc"],
+                         inside(keys) if keys is not None else None)
+    return picked.select(*px.columns, "wr", "wc")
+
+
+def per_window(n_samples: int, grid: int = SAMPLE_GRID, extra: int = SAMPLE_EXTRA) -> int:
+    return max(SAMPLE_MIN_PER_WINDOW, n_samples // (grid * grid + extra))
 
 
 def uniform_sample(df: DataFrame, n: int, row: str = "row", col: str = "col", seed: int = 42,
@@ -229,8 +253,9 @@ def uniform_sample(df: DataFrame, n: int, row: str = "row", col: str = "col", se
     return take_lowest(df, n, sample_hash(row, col, seed), tie, by or [], keys)
 
 
-def per_raster_budget(n_rasters: Column, total: int = TRAIN_MAX) -> Column:
-    return F.greatest(F.lit(PER_RASTER_MIN), F.floor(F.lit(total) / n_rasters).cast("int"))
+def per_raster_budget(n_rasters: int, total: int = TRAIN_MAX) -> int:
+    """Training pixels each raster gives to a shared model."""
+    return max(PER_RASTER_MIN, total // max(1, n_rasters))
 
 
 def _centre_cells(rasters: DataFrame, budget: int | None) -> tuple[DataFrame, DataFrame]:

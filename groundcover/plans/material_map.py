@@ -9,15 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import CLASSES, CLASS_RGB, PRIOR_OPEN, PRIOR_UNLISTED, PRIOR_URBAN, TRAIN_MAX
+from ..constants import (CLASSES, CLASS_RGB, PRIOR_COST, PRIOR_OPEN, PRIOR_UNLISTED, PRIOR_URBAN, SAMPLE_WINDOW,
+                         TRAIN_MAX)
 from ..functions import color
 from ..functions.predicates import blank_near_black, is_covered
 from ..operators import assign, cluster, focal, overlay
 from ..operators import kernels as K
 from ..operators.export import build_palette, histogram, merge_index, rgb_to_cmix
 from ..operators.stats import attach_by
-from ..operators.tiles import block_of, focal_tiles
-from ..schema import PIXEL_KEYS
+from ..operators.tiles import block_of, focal_tiles, tiles_to_pixels
+from ..schema import PIXEL_KEYS, TILE_KEYS
 from ..session import cut_lineage
 
 BASE_FEATURES = ["mean_r", "mean_g", "mean_b", "texture", "vari", "sat"]
@@ -96,7 +97,7 @@ def name_clusters(labels: DataFrame, dims: DataFrame, opts: Options) -> DataFram
     if opts.use_prior:
         prior = assign.scene_prior(assign.scene_fractions(labels, dims, F.lit(opts.metres_per_px)), list(opts.names))
         held = cost.join(prior.select("raster_id", "material", "prior"), ["raster_id", "material"], "left")
-        cost = held.withColumn("cost", F.col("cost") + F.lit(280.0) * (1 - F.coalesce("prior", F.lit(0.0))))
+        cost = held.withColumn("cost", F.col("cost") + F.lit(PRIOR_COST) * (1 - F.coalesce("prior", F.lit(0.0))))
     return assign.with_material_colour(assign.assign_materials(cost.select(
         "raster_id", "cluster", "pos", "material", "cost"), ["raster_id"]))
 
@@ -192,6 +193,33 @@ def score_tiles(tiles: DataFrame, model: Model, opts: Options = Options()) -> Da
     return focal_tiles(tiles, 1 + radius, opts.tile, run)
 
 
+def train_tiles(tiles: DataFrame, opts: Options = Options(), window: int = SAMPLE_WINDOW) -> Model:
+    """One shared model from stored tiles; only tiles under the sample windows are read.
+
+    Windows come from tile headers. Tiles are kept when they meet a window grown
+    by one pixel, so every sampled pixel has its true neighbourhood.
+    """
+    heads = tiles.select("raster_id", "raster_h", "raster_w").distinct()
+    windows = cut_lineage(cluster.sample_windows(heads, window=window))
+    span = lambda at: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(at) - 1) / opts.tile)).cast("int"),
+                                           F.floor((F.col(at) + F.col("win")) / opts.tile).cast("int")))
+    near = windows.withColumn("tile_row", span("wr")).withColumn("tile_col", span("wc")).select(*TILE_KEYS).distinct()
+    bands = ["r", "g", "b"] + (["nir"] if opts.nir else [])
+    px = tiles_to_pixels(tiles.join(near, TILE_KEYS, "left_semi"), bands)
+    feats = features(px, opts)
+    per = cluster.per_window(cluster.per_raster_budget(windows.select("raster_id").distinct().count(), opts.train_pixels))
+    picked = cut_lineage(cluster.window_sample(feats, windows, per, window, keys=px))
+    names = feature_names(opts)
+    scaler, centres = cluster.fit_kmeans(cluster.uniform_sample(picked, opts.train_pixels), names, len(opts.names))
+    return Model(tuple(names), scaler, tuple(map(tuple, centres)))
+
+
+def classify_tiles(tiles: DataFrame, opts: Options = Options(), model: Model | None = None) -> tuple[DataFrame, Model]:
+    """Stored tiles to label tiles under one shared, named model."""
+    model = name_centres(model or train_tiles(tiles, opts), opts, tiles.sparkSession)
+    return score_tiles(tiles, model, opts), model
+
+
 def tile_histogram(labels: DataFrame) -> DataFrame:
     """Pixels per label from label tiles: counted in the tile, then summed."""
     def count(frames):

@@ -495,6 +495,16 @@ def p1s(spark, sf):
     return mm.tile_histogram(labels).select("cluster", "n")
 
 
+@query("p6_trained_tiles")
+def p6tt(spark, sf):
+    """Stored tiles of all scenes: window training, shared names, label tiles."""
+    px = view(spark, sf, "scene")
+    opts = mm.Options(tile=TILE)
+    packed = tiles.pixels_to_tiles(px, ["r", "g", "b"], TILE, dims_of(px))
+    labels, _ = mm.classify_tiles(packed, opts)
+    return mm.tile_histogram(labels).select("cluster", "n")
+
+
 _RECT_HIT = "EXISTS (SELECT 1 FROM rect f WHERE bs.row>=f.y AND bs.row<f.y+f.h AND bs.col>=f.x AND bs.col<f.x+f.w{})"
 
 
@@ -670,7 +680,7 @@ SELECT raster_id, least(count(*), max(q)) AS n_sampled FROM scene, b GROUP BY 1"
 def l6(spark, sf):
     """The same number of pixels from every raster, for one shared model."""
     px = view(spark, sf, "scene")
-    budget = px.agg(F.greatest(F.lit(40), F.floor(F.lit(2000) / F.count_distinct("raster_id")).cast("int")).alias("q")).first()["q"]
+    budget = max(40, 2000 // px.select("raster_id").distinct().count())
     got = cluster.uniform_sample(px, budget, by=["raster_id"])
     return got.groupBy("raster_id").agg(F.count("*").alias("n_sampled"))
 

@@ -145,7 +145,8 @@ s AS (SELECT p.raster_id, row, col, wr, wc, row_number() OVER (PARTITION BY wr,
 SELECT raster_id, row, col, wr, wc FROM s WHERE k <= 47""", ["pixel"])
 def l1(spark, sf):
     px = view(spark, sf, "pixel").select(*KEYS, "r", "g", "b")
-    return cluster.window_sample(px, dims_of(px), 1000, grid=4, window=16, extra=5).select(*KEYS, "wr", "wc")
+    windows = cluster.sample_windows(dims_of(px), grid=4, window=16, extra=5)
+    return cluster.window_sample(px, windows, cluster.per_window(1000, 4, 5), 16).select(*KEYS, "wr", "wc")
 
 
 _GRID = """c AS (SELECT path, (west+east)/2 AS cx, (south+north)/2 AS cy FROM footprint),

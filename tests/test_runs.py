@@ -142,6 +142,19 @@ def test_batch_shares_one_table(spark):
     assert sorted(set(per.values())) == ["BM_SAND", "BM_SOIL", "BM_VEGETATION"]
 
 
+def test_tiles_train_and_score(spark):
+    """Window training finds the planted materials, in stored tiles from end to end."""
+    packed = tiles.pixels_to_tiles(image(spark, scene(1), "a").unionByName(image(spark, scene(2), "b")), ["r", "g", "b"], 16,
+                                   dims(spark, 48, 60, "a").unionByName(dims(spark, 48, 60, "b")))
+    opts = mm.Options(tile=16, train_pixels=3000)
+    model = mm.train_tiles(packed, opts, window=12)
+    labels, named = mm.classify_tiles(packed, opts, model)
+    got = {(r["raster_id"], r["row"], r["col"]): r["cluster"] for r in tiles.tiles_to_pixels(labels, ["cluster"]).collect()}
+    at = lambda rid, y, x: named.materials[got[(rid, y, x)] - 1]
+    for rid in "ab":
+        assert [at(rid, 5, 20), at(rid, 24, 30), at(rid, 40, 10)] == ["BM_VEGETATION", "BM_SAND", "BM_SOIL"]
+
+
 def test_cell_run(spark):
     """Two sources on one cell; the first layer wins, buildings win over roads, shares add up."""
     cfg = cell_run.CellConfig(33, 35, (cell_run.Layer("/a", 1), cell_run.Layer("/b", 2)), "/o.tif", max_side=400)
