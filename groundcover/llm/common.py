@@ -26,3 +26,22 @@ def draw(*parts: Column, digits: int = 8) -> Column:
     """
     joined = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
     return F.conv(F.substring(F.md5(joined.cast("binary")), 1, digits), 16, 10).cast("long")
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, on: list[str], count: str, how: str = "inner",
+                 floor: int = 10_000, most_hot: int = 50_000) -> DataFrame:
+    """Joins rows to facts about their keys, of which ``count`` says how many rows each has.
+
+    Keys with very many rows are joined by broadcast: with the limit at the total
+    divided by ``most_hot`` at least, there are at most ``most_hot`` of them. Other keys
+    are joined by shuffle, and none of those is large. Keys may not be null.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    limit = max(floor, total // most_hot)
+    hot = facts.filter(F.col(count) > limit)
+    if hot.isEmpty():
+        return rows.join(facts, on, how)
+    made = [c for c in facts.columns if c not in on]
+    marked = rows.join(F.broadcast(hot.select(*on, F.struct(*made).alias("_hot"))), on, "left")
+    usual = marked.filter("_hot IS NULL").drop("_hot").join(facts.filter(F.col(count) <= limit), on, how)
+    return marked.filter("_hot IS NOT NULL").select(*rows.columns, "_hot.*").unionByName(usual)

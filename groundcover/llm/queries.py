@@ -6,20 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import chat_format, check_sql, license_scan, mixing, quality_rules, shard_tree
+from . import (
+    chat_format,
+    check_sql,
+    chosen_path,
+    license_scan,
+    mixing,
+    packing,
+    quality_rules,
+    shard_tree,
+    toxicity,
+    warc,
+)
 from .common import read
+from .store import written
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(written(warc.write(read(spark, sf_dir, "pages")), "archive"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+    held_out = toxicity.fold("doc_id") == toxicity.HELD_OUT
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality_rules.rate(read(spark, sf_dir, "documents"))
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         "base_failed", "failed_rules", "kept")
 
 
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, pct=85)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     sized = cut_lineage(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")))
@@ -39,8 +71,10 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.place(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op6_quality_rules, op8_mix_sources, op9_chat_format,
-                                   op10_shard_tree)}
+QUERIES = {f.__name__: f for f in (
+    op1_license_scan, op2_warc_chunks, op3_toxicity, op4_pack_sequences, op6_quality_rules, op7_chosen_path,
+    op8_mix_sources, op9_chat_format, op10_shard_tree)}
 
-ORACLES = {"op1_license_scan": check_sql.license_sql(), "op6_quality_rules": check_sql.quality_sql(),
+ORACLES = {"op1_license_scan": check_sql.license_sql(), "op2_warc_chunks": check_sql.WARC,
+           "op6_quality_rules": check_sql.quality_sql(),
            "op8_mix_sources": check_sql.MIXING, "op9_chat_format": check_sql.CHAT, "op10_shard_tree": check_sql.shard_sql()}
