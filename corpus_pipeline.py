@@ -1,8 +1,59 @@
-"""From raw documents to packed sequences."""
+"""From raw documents to packed sequences: five stages, each on all its predecessor kept."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from groundcover.llm import chosen_path, mixing, packing, quality_rules, toxicity
+from groundcover.llm.common import join_counted, read
+from groundcover.llm.store import written
+from groundcover.session import cut_lineage
+
+#: Models and tokens cannot be expressed in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the limit."""
+    scorer = toxicity.learn(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, scorer)
+    return scored.filter(F.col("score") < toxicity.REJECT).select(docs.columns)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that every quality rule keeps."""
+    return quality_rules.rate(docs).filter("kept").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five words a shingle, similarity of 0.8 or more."""
+    found = chosen_path.near_duplicates(docs)
+    kept = cut_lineage(found.filter("kept").groupBy("doc_id").agg(F.lit(1).alias("n")))
+    one = docs.dropDuplicates(["doc_id"]) if docs.select("doc_id").distinct().count() < docs.count() else docs
+    return join_counted(one, kept, ["doc_id"], "n").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    mixed = mixing.mix(docs, mixing.word_count(F.col("text")))
+    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of the mix."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("quality rules", keep_quality), ("near-duplicates", drop_near_duplicates),
+          ("mixing", mix_sources), ("packing", pack_sequences)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; each result but the last is written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, "stage-" + name.replace(" ", "-"))
+    return docs

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import contract
 from ..session import cut_lineage
+from .blocks import Union, block_pairs, grouped, sorted_groups
 from .common import join_counted
 from .store import written
 
@@ -189,67 +190,6 @@ def leaves(reps: DataFrame, trees: tuple[int, ...], similarity: float) -> DataFr
     return out
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups, with the bounds of the groups, from rows sorted by ``key``."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(b.schema.get_field_index(key)).to_numpy()
-        last = int(np.searchsorted(k, k[-1])) if (k[:-1] <= k[1:]).all() else 0
-        if last:
-            held.append(b.slice(0, last))
-            yield _bounds(held, key)
-            held = [b.slice(last)]
-        elif held and held[0].column(held[0].schema.get_field_index(key))[0].as_py() != k[0]:
-            yield _bounds(held, key)
-            held = [b]
-        else:
-            held.append(b)
-    if held:
-        yield _bounds(held, key)
-
-
-def _bounds(held: list[pa.RecordBatch], key: str) -> tuple[pa.Table, np.ndarray]:
-    table = pa.Table.from_batches(held).combine_chunks()
-    k = table.column(key).to_numpy()
-    return table, np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
-
-
-class _Union:
-    """Union-find over places 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
-
-
-def _blocks(rows: DataFrame, key: list[str], size: str, index: str, block: int) -> DataFrame:
-    """Sends every row to each pair of blocks it has a part in; one group is at most two blocks."""
-    n = F.ceil(F.col(size) / block).cast("int")
-    own = F.pmod(F.col(index), n).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(own, j).alias("p"),
-                                                                       F.greatest(own, j).alias("q")))
-    out = rows.withColumn("_own", own).withColumn("_pair", F.explode(pairs))
-    return out.withColumn("group", F.xxhash64(*key, "_pair.p", "_pair.q")).drop("_pair")
-
-
-def _sorted_groups(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, schema)
-
-
 def candidates(leaf: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     """Clusters of sets whose tokens look similar: distinct (cluster, rep, place, size).
 
@@ -259,7 +199,7 @@ def candidates(leaf: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
     cut = (similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / COORDS)) * COORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in _grouped(batches, "group"):
+        for table, at in grouped(batches, "group"):
             tokens, rep, comp = _rows(table.column("tokens").combine_chunks()), table.column("rep").to_numpy(), table.column(
                 "component").to_numpy()
             out = {"cluster": [], "rep": [], "place": [], "size": []}
@@ -269,7 +209,7 @@ def candidates(leaf: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
             alike = two[((tokens[two] == tokens[two + 1]).sum(1) >= cut) & (comp[two] != comp[two + 1])]
             found = [np.sort(rep[a:a + 2]) for a in alike]
             for a, b in zip(at[:-1][n > 2], at[1:][n > 2]):
-                union, hit = _Union(b - a), np.zeros(b - a, dtype=bool)
+                union, hit = Union(b - a), np.zeros(b - a, dtype=bool)
                 for i in range(b - a - 1):
                     rest = (comp[a + i + 1:b] != comp[a + i]) & ((tokens[a + i + 1:b] == tokens[a + i]).sum(1) >= cut)
                     for j in np.flatnonzero(rest).tolist():
@@ -287,9 +227,9 @@ def candidates(leaf: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
                 out["size"] += [len(members)] * len(members)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
 
-    rows = _blocks(leaf, ["node"], "size", "rep", NODE).select("group", "rep")
+    rows = block_pairs(leaf, ["node"], "size", "rep", NODE).select("group", "rep")
     rows = rows.join(reps.select("rep", "tokens", "component"), "rep")
-    return _sorted_groups(rows, run, "cluster long, rep long, place long, size long").distinct()
+    return sorted_groups(rows, run, "cluster long, rep long, place long, size long").distinct()
 
 
 def verified(clusters: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFrame:
@@ -305,14 +245,14 @@ def verified(clusters: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFram
                 at += len(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in _grouped(batches, "group"):
+        for table, at in grouped(batches, "group"):
             rep, own = table.column("rep").to_numpy(), table.column("_own").to_numpy()
             raw, us, vs = table.column("shingles"), [], []
             for a, b in zip(at[:-1], at[1:]):
                 sets = [np.frombuffer(x, dtype=np.uint64) for x in raw.slice(a, b - a).to_pylist()]
                 sizes = np.array([len(s) for s in sets])
                 _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-                starts, union = np.cumsum(sizes) - sizes, _Union(b - a)
+                starts, union = np.cumsum(sizes) - sizes, Union(b - a)
                 here = np.zeros(ids.max() + 1, dtype=np.int32)
                 for i in range(b - a - 1):
                     mine = ids[starts[i]:starts[i] + sizes[i]]
@@ -329,8 +269,8 @@ def verified(clusters: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFram
     wanted = clusters.select("rep").distinct()
     full = docs.join(wanted, docs["id"] == wanted["rep"]).select("rep", "text")
     full = full.dropDuplicates(["rep", "text"]).mapInArrow(with_sets, "rep long, shingles binary")
-    rows = _blocks(clusters, ["cluster"], "size", "place", BLOCK).select("group", "rep", "_own").join(full, "rep")
-    return _sorted_groups(rows, run, "u long, v long")
+    rows = block_pairs(clusters, ["cluster"], "size", "place", BLOCK).select("group", "rep", "_own").join(full, "rep")
+    return sorted_groups(rows, run, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,

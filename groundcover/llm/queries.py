@@ -13,6 +13,7 @@ from . import (
     license_scan,
     mixing,
     packing,
+    projections,
     quality_rules,
     shard_tree,
     toxicity,
@@ -42,6 +43,10 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op5_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality_rules.rate(read(spark, sf_dir, "documents"))
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -72,8 +77,8 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_warc_chunks, op3_toxicity, op4_pack_sequences, op6_quality_rules, op7_chosen_path,
-    op8_mix_sources, op9_chat_format, op10_shard_tree)}
+    op1_license_scan, op2_warc_chunks, op3_toxicity, op4_pack_sequences, op5_projections, op6_quality_rules,
+    op7_chosen_path, op8_mix_sources, op9_chat_format, op10_shard_tree)}
 
 ORACLES = {"op1_license_scan": check_sql.license_sql(), "op2_warc_chunks": check_sql.WARC,
            "op6_quality_rules": check_sql.quality_sql(),
