@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundcover.llm import chosen_path, mixing, packing, quality_rules, toxicity
-from groundcover.llm.common import join_counted, read
+from groundcover.llm.common import read
 from groundcover.llm.store import written
 from groundcover.session import cut_lineage
 
@@ -27,11 +27,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words a shingle, similarity of 0.8 or more."""
-    found = chosen_path.near_duplicates(docs)
-    kept = cut_lineage(found.filter("kept").groupBy("doc_id").agg(F.lit(1).alias("n")))
-    one = docs.dropDuplicates(["doc_id"]) if docs.select("doc_id").distinct().count() < docs.count() else docs
-    return join_counted(one, kept, ["doc_id"], "n").select(docs.columns)
+    """One document of each group of near-duplicates: five words a shingle, similarity of 0.8 or more.
+
+    Rows that share an id are one document; rows without an id stay.
+    """
+    found = cut_lineage(chosen_path.near_duplicates(docs).filter("doc_id IS NOT NULL"))
+    kept = docs.join(found.filter("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    repeated = cut_lineage(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if not repeated.isEmpty():
+        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return kept.select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
