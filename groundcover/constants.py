@@ -45,16 +45,6 @@ CLASSES = [
     },
 ]
 
-# --- fixed values: anchors used when no calibration profile can be read -----
-FALLBACK_ANCHORS = {
-    "BM_VEGETATION": [
-        [34, 139, 34], [0, 100, 0], [124, 252, 0], [80, 100, 55],
-        [60, 90, 50], [110, 130, 80], [70, 110, 70],
-    ],
-    "BM_SAND": [[237, 201, 175]],
-    "BM_SOIL": [[101, 67, 33], [139, 90, 43], [85, 55, 30], [160, 110, 70], [120, 80, 50]],
-}
-
 # --- fixed values: index 0 of the index raster ------------------------------
 DEFAULT_CMIX = 0
 DEFAULT_NAME = "DEFAULT"
@@ -84,7 +74,6 @@ NEAR_BLACK_MEAN = 8.0
 TRAIN_MAX = 100_000
 TRAIN_LOW = 20_000
 TRAIN_HIGH = 120_000
-PRESAMPLE = 8_000
 PER_RASTER_MIN = 4_096
 KMEANS_SEED = 42
 
@@ -101,7 +90,6 @@ ZONE_MAX_PX = 140
 ZONE_COUNT = 16
 
 # --- fixed values: mosaic grid ----------------------------------------------
-MAX_SIDE_PX = 20_000
 MOSAIC_TILE_PX = 2_048
 OUTPUT_DIR_SUFFIXES = ("_mosaic_tiles", "_classified_tiles", "_with_vectors_tiles")
 FOOTPRINT_CACHE_NAME = ".mc_footprint_cache.json"
@@ -114,8 +102,6 @@ BATCH_SUFFIXES = (".tif", ".tiff", ".jpg", ".jpeg")
 # --- fixed values: geographic maths -----------------------------------------
 MERCATOR_HALF = 20037508.34
 METRES_PER_DEGREE = 111_320.0
-EXTRACT_TILE_M = 5_000.0
-EXTRACT_BUFFER_M = 50.0
 
 # --- fixed values: mask veto ------------------------------------------------
 VETO_THRESHOLDS = {

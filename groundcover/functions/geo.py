@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import MAX_SIDE_PX, MERCATOR_HALF, METRES_PER_DEGREE
+from ..constants import MERCATOR_HALF, METRES_PER_DEGREE
 from .color import as_col
 
 
@@ -140,11 +140,13 @@ def lit_box(west, south, east, north) -> dict:
             zip(("west", "south", "east", "north"), (west, south, east, north))}
 
 
-def grid_size(extent_x, extent_y, gsd, max_side=MAX_SIDE_PX) -> Column:
-    """Grid width, height and used resolution; over the cap the grid is coarsened."""
+def grid_size(extent_x, extent_y, gsd, max_side: int | None = None) -> Column:
+    """Grid width, height and used resolution; over a cap, if one is given, the grid is coarsened."""
     ex, ey, g = as_col(extent_x), as_col(extent_y), as_col(gsd)
     w0 = F.greatest(F.lit(1), F.bround(ex / g).cast("int"))
     h0 = F.greatest(F.lit(1), F.bround(ey / g).cast("int"))
+    if max_side is None:
+        return F.struct(w0.alias("width"), h0.alias("height"), g.alias("gsd"))
     longest = F.greatest(w0, h0)
     over = longest > max_side
     used = F.when(over, g * (longest / F.lit(float(max_side)))).otherwise(g)

@@ -206,9 +206,9 @@ def weighted_cluster_mean(per_raster: DataFrame, scores: list[str], weight: str
 
 
 def scene_zones(rasters: DataFrame, metres_per_px: Column) -> DataFrame:
-    """Square sampling zones of each raster; one zone over all of a small raster.
+    """Square zones of each raster; one zone over all of a small raster.
 
-    Columns: ``zone, y0, y1, x0, x1, stride`` with exclusive ends.
+    Columns: ``zone, y0, y1, x0, x1`` with exclusive ends.
     """
     radius = F.greatest(F.lit(ZONE_MIN_PX), F.least(F.lit(ZONE_MAX_PX), F.floor(F.lit(ZONE_RADIUS_M) / metres_per_px)))
     d = rasters.withColumn("_rad", radius.cast("int"))
@@ -222,29 +222,18 @@ def scene_zones(rasters: DataFrame, metres_per_px: Column) -> DataFrame:
     big = big.withColumn("_cy", centre(F.col("raster_h"), i)).withColumn("_cx", centre(F.col("raster_w"), j))
     big = big.select("raster_id", "zone", (F.col("_cy") - F.col("_rad")).alias("y0"),
                      (F.col("_cy") + F.col("_rad") + 1).alias("y1"), (F.col("_cx") - F.col("_rad")).alias("x0"),
-                     (F.col("_cx") + F.col("_rad") + 1).alias("x1"), F.lit(6000.0).alias("_goal"))
+                     (F.col("_cx") + F.col("_rad") + 1).alias("x1"))
     one = d.filter(small).select("raster_id", F.lit(0).alias("zone"), F.lit(0).alias("y0"),
-                                 F.col("raster_h").alias("y1"), F.lit(0).alias("x0"), F.col("raster_w").alias("x1"),
-                                 F.lit(220000.0).alias("_goal"))
-    out = big.unionByName(one)
-    area = (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
-    return out.withColumn("stride", F.greatest(F.lit(1), F.floor(F.sqrt(area / F.col("_goal"))).cast("int"))).drop("_goal")
+                                 F.col("raster_h").alias("y1"), F.lit(0).alias("x0"), F.col("raster_w").alias("x1"))
+    return big.unionByName(one)
 
 
-def scene_fractions(px: DataFrame, rasters: DataFrame, metres_per_px: Column) -> DataFrame:
-    """Openness and its three fractions per raster, averaged over its zones."""
-    zones = scene_zones(rasters, metres_per_px).groupBy("raster_id").agg(
-        F.collect_list(F.struct("zone", "y0", "y1", "x0", "x1", "stride")).alias("_zones"))  # at most 16 each
-    held = attach_by(px.select("raster_id", "row", "col", "r", "g", "b"), zones, ["raster_id"])
-    inside = F.filter("_zones", lambda z: (F.col("row") >= z["y0"]) & (F.col("row") < z["y1"])
-                      & (F.col("col") >= z["x0"]) & (F.col("col") < z["x1"])
-                      & ((F.col("row") - z["y0"]) % z["stride"] == 0) & ((F.col("col") - z["x0"]) % z["stride"] == 0))
-    z = held.select("raster_id", "r", "g", "b", F.explode(inside).alias("_z")).select(
-        "raster_id", F.col("_z.zone").alias("zone"), "r", "g", "b")
+def _openness(zoned: DataFrame) -> DataFrame:
+    """Openness and its three fractions per raster, averaged over the zones of its pixels."""
     keys = ["raster_id", "zone"]
-    pooled = z.select(*keys, F.explode(F.array("r", "g", "b")).alias("v"))
+    pooled = zoned.select(*keys, F.explode(F.array("r", "g", "b")).alias("v"))
     scale = int_percentiles(pooled, F.col("v"), {"scale": 0.98}, keys)
-    s = attach_by(z, scale, keys).select(*keys, *[color.scale_clip(c, "scale").alias(c) for c in ("r", "g", "b")])
+    s = attach_by(zoned, scale, keys).select(*keys, *[color.scale_clip(c, "scale").alias(c) for c in ("r", "g", "b")])
     flags = open_scene_flags("r", "g", "b")
     per = s.groupBy(*keys).agg(*[F.avg(f.cast("double")).alias(n) for n, f in flags.items()])
     per = per.withColumn("open_weight", open_weight("veg", "soil", "gray"))
@@ -253,6 +242,22 @@ def scene_fractions(px: DataFrame, rasters: DataFrame, metres_per_px: Column) ->
                                         F.count("*").alias("zones"))
 
 
+def scene_fractions(px: DataFrame) -> DataFrame:
+    """Openness and its three fractions per raster, over all its pixels."""
+    return _openness(px.select("raster_id", F.lit(0).alias("zone"), "r", "g", "b"))
+
+
+def zone_fractions(px: DataFrame, rasters: DataFrame, metres_per_px: Column) -> DataFrame:
+    """The same averaged over sixteen zones of a large raster, where a caller asks for zones."""
+    zones = scene_zones(rasters, metres_per_px).groupBy("raster_id").agg(
+        F.collect_list(F.struct("zone", "y0", "y1", "x0", "x1")).alias("_zones"))  # at most 16 each
+    held = attach_by(px.select("raster_id", "row", "col", "r", "g", "b"), zones, ["raster_id"])
+    inside = F.filter("_zones", lambda z: (F.col("row") >= z["y0"]) & (F.col("row") < z["y1"])
+                      & (F.col("col") >= z["x0"]) & (F.col("col") < z["x1"]))
+    return _openness(held.select("raster_id", "r", "g", "b", F.explode(inside).alias("_z")).select(
+        "raster_id", F.col("_z.zone").alias("zone"), "r", "g", "b"))
+
+
 def scene_prior(fractions: DataFrame, names: list[str]) -> DataFrame:
     """Urban and open shares blended by openness and normalised, one row per material."""
     pairs = F.array(*[F.struct(F.lit(n).alias("material"), F.lit(PRIOR_URBAN.get(n, PRIOR_UNLISTED)).alias("u"),
@@ -264,7 +269,3 @@ def scene_prior(fractions: DataFrame, names: list[str]) -> DataFrame:
     return fractions.withColumn("_b", blended).withColumn("_t", total).select(
         "raster_id", "open_weight", F.explode("_b").alias("_p"), "_t").select(
         "raster_id", "open_weight", F.col("_p.material").alias("material"), (F.col("_p.p") / F.col("_t")).alias("prior"))
-
-
-def palette_rgb() -> dict[str, tuple[int, int, int]]:
-    return dict(CLASS_RGB)

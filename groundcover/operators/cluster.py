@@ -15,12 +15,11 @@ from ..constants import (KMEANS_SEED, PER_RASTER_MIN, SAMPLE_EXTRA, SAMPLE_GRID,
                          SAMPLE_WINDOW, TRAIN_HIGH, TRAIN_LOW, TRAIN_MAX)
 from ..functions import color
 from ..session import cut_lineage
-from .stats import attach_by, attach_scalar, linspace_index, sample_hash, take_lowest
+from .stats import attach_by, attach_scalar, drawn, linspace_index, sample_hash, take_lowest
 
 MAX_CENTRES = 1024
 KMEANS_STARTS = 10
 PARALLEL_STARTS = 5
-TRAIN_PARTITIONS = 8
 
 
 def fit_scaler(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
@@ -93,48 +92,31 @@ def lloyd(df: DataFrame, features: list[str], init, iterations: int) -> list[lis
     return centres
 
 
-def _kmeans(x: np.ndarray, k: int, seed: int, starts: int = 10, rounds: int = 300) -> np.ndarray:
-    """Best of several seeded starts on one bounded sample."""
-    rng = np.random.default_rng(seed)
-    best, low = None, np.inf
-    for _ in range(starts):
-        c = x[[rng.integers(len(x))]]
-        while len(c) < k:
-            d = ((x[:, None, :] - c[None]) ** 2).sum(-1).min(1)
-            total = d.sum()
-            c = np.vstack([c, x[rng.choice(len(x), p=d / total) if total > 0 else rng.integers(len(x))]])
-        for _ in range(rounds):
-            lab = ((x[:, None, :] - c[None]) ** 2).sum(-1).argmin(1)
-            new = np.array([x[lab == i].mean(0) if (lab == i).any() else c[i] for i in range(k)])
-            moved = np.abs(new - c).max()
-            c = new
-            if moved < 1e-6:
-                break
-        cost = ((x - c[lab]) ** 2).sum()
-        if cost < low:
-            best, low = c, cost
-    return best[np.lexsort(best.T[::-1])]
-
-
-def fit_per_group(sample: DataFrame, features: list[str], k: int, by: list[str], seed: int = KMEANS_SEED) -> DataFrame:
-    """An independent scaler and k-means per group, each on its own bounded sample.
-
-    ``sample`` must come from an exact-size sample per group, so a group fits in
-    a task. Centres come back in feature units, with the scale to measure in.
-    """
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > TRAIN_HIGH:
-            raise ValueError("training sample too large: sample each group first")
-        x = pdf[features].to_numpy(dtype=float)
-        mean, std = x.mean(0), x.std(0)
-        std[std == 0] = 1.0
-        c = _kmeans((x - mean) / std, min(k, len(x)), seed)
-        data = {n: [v] for n, v in zip(by, key)}
-        return pd.DataFrame({**data, "centres": [(c * std + mean).tolist()], "scale": [std.tolist()]})
+def start_models(df: DataFrame, features: list[str], k: int, by: list[str]) -> DataFrame:
+    """A fixed start per group: ``k`` evenly spaced quantiles of the mean feature, and the features' deviations."""
+    level = sum((F.col(f).cast("double") for f in features[1:]), F.col(features[0]).cast("double")) / len(features)
+    counted = df.groupBy(*by, level.alias("_v")).agg(F.count("*").alias("_n"))
+    probs = F.array(*[F.lit((2 * i + 1) / (2 * k)) for i in range(k)])
+    start = counted.groupBy(*by).agg(F.percentile("_v", probs, F.col("_n")).alias("_q"))
+    centres = F.transform("_q", lambda q: F.array(*[q] * len(features)))
+    spread = df.groupBy(*by).agg(F.array(*[F.coalesce(F.nullif(F.stddev_pop(f), F.lit(0.0)), F.lit(1.0))
+                                           for f in features]).alias("scale"))
+    return start.select(*by, centres.alias("centres")).join(spread, by)
+
 
-    types = dict(sample.dtypes)
-    schema = "".join(f"{c} {types[c]}, " for c in by) + "centres array<array<double>>, scale array<double>"
-    return sample.select(*by, *features).groupBy(*by).applyInPandas(run, schema)
+def lloyd_by(df: DataFrame, features: list[str], models: DataFrame, by: list[str], rounds: int = 10) -> DataFrame:
+    """Fixed-start k-means of every group at once; a round is one aggregation over all groups.
+
+    ``models`` has ``centres`` and ``scale`` per group. An empty cluster keeps its centre.
+    """
+    df = df.select(*by, *features)
+    for _ in range(rounds):
+        means = nearest_centre_by(df, features, models, by).groupBy(*by, "cluster").agg(
+            F.array(*[F.avg(f) for f in features]).alias("_m"))
+        found = means.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "_m"))).alias("_new"))
+        centres = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("_new", i + 1), c))
+        models = cut_lineage(models.join(found, by, "left").select(*by, centres.alias("centres"), "scale"))
+    return models
 
 
 def nearest_centre_by(df: DataFrame, features: list[str], models: DataFrame, by: list[str],
@@ -153,21 +135,20 @@ def inertia(df: DataFrame, features: list[str], centres) -> DataFrame:
 
 
 def fit_kmeans(sample: DataFrame, features: list[str], k: int, seed: int = KMEANS_SEED, starts: int = KMEANS_STARTS):
-    """Spark ML k-means on a bounded training sample, the best of several seeded starts.
+    """Spark ML k-means on the given rows, the best of several seeded starts.
 
     Returns the scaler and the centres in standard units.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    # the sample has a fixed size, so a few partitions hold it for all rounds
-    sample = cut_lineage(sample.select(*features).repartition(TRAIN_PARTITIONS))
+    sample = cut_lineage(sample.select(*features))
     scaler = fit_scaler(sample, features)
     vec = VectorAssembler(inputCols=features, outputCol="_v").transform(standardise(sample, scaler)).select("_v").cache()
     try:
         vec.count()
         fit = lambda i: KMeans(k=k, seed=seed + i, maxIter=300, featuresCol="_v").fit(vec)
-        with ThreadPoolExecutor(PARALLEL_STARTS) as pool:  # independent jobs on one small cached sample
+        with ThreadPoolExecutor(PARALLEL_STARTS) as pool:  # independent jobs on the same cached rows
             best = min(pool.map(fit, range(starts)), key=lambda m: m.summary.trainingCost)
         return scaler, sorted([list(map(float, c)) for c in best.clusterCenters()])
     finally:
@@ -204,18 +185,18 @@ def sample_windows(dims: DataFrame, seed: int = 42, grid: int = SAMPLE_GRID, win
                    extra: int = SAMPLE_EXTRA) -> DataFrame:
     """A grid of windows plus seeded extra ones for every raster: ``wr, wc`` and side ``win``.
 
-    Arithmetic on the raster sizes ``raster_h, raster_w`` only.
+    Arithmetic on the raster sizes ``raster_h, raster_w`` only; the extra windows are
+    drawn from the raster, the window's number and the axis, so rasters differ.
     """
     d = dims.withColumn("win", F.least(F.lit(window), F.col("raster_h"), F.col("raster_w")))
     top = lambda side: F.greatest(F.lit(0), F.col(side) - F.col("win"))
     rows, cols = linspace_index(top("raster_h") + 1, grid), linspace_index(top("raster_w") + 1, grid)
     regular = d.select("raster_id", "win", F.explode(rows).alias("wr"), cols.alias("_cs")).select(
         "raster_id", "win", "wr", F.explode("_cs").alias("wc"))
-    pick = lambda k, side, salt: F.pmod(
-        (k * 48271 + salt + seed * 31) * 16807 % 2147483647, F.greatest(F.lit(1), top(side)).cast("long"))
-    more = d.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(extra)))).withColumn("k", F.col("k").cast("long"))
-    more = more.select("raster_id", "win", pick(F.col("k"), "raster_h", 1).alias("wr"),
-                       pick(F.col("k"), "raster_w", 7).alias("wc"))
+    pick = lambda side, axis: F.pmod(
+        drawn("raster_id", "k", F.lit(axis), F.lit(seed)), F.greatest(F.lit(1), top(side)).cast("long"))
+    more = d.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(extra))))
+    more = more.select("raster_id", "win", pick("raster_h", "row").alias("wr"), pick("raster_w", "col").alias("wc"))
     return regular.unionByName(more).distinct()
 
 
@@ -248,9 +229,10 @@ def per_window(n_samples: int, grid: int = SAMPLE_GRID, extra: int = SAMPLE_EXTR
 
 def uniform_sample(df: DataFrame, n: int, row: str = "row", col: str = "col", seed: int = 42,
                    by: list[str] | None = None, keys: DataFrame | None = None) -> DataFrame:
-    """Exactly ``n`` rows (per group), chosen by a position hash."""
-    tie = [*(["raster_id"] if "raster_id" in df.columns else []), row, col]
-    return take_lowest(df, n, sample_hash(row, col, seed), tie, by or [], keys)
+    """Exactly ``n`` rows (per group), chosen by a hash of raster and position."""
+    raster = "raster_id" if "raster_id" in df.columns else None
+    tie = [*([raster] if raster else []), row, col]
+    return take_lowest(df, n, sample_hash(row, col, seed, raster), tie, by or [], keys)
 
 
 def per_raster_budget(n_rasters: int, total: int = TRAIN_MAX) -> int:
@@ -297,7 +279,7 @@ def representative_rasters(rasters: DataFrame, budget: int | None = None) -> Dat
     taken = first.agg(F.count("*").alias("c"))
     left = attach_scalar(box.select("budget"), taken).select((F.col("budget") - F.col("c")).alias("left")).scalar()
     rest = rasters.select("path").join(first, "path", "left_anti")
-    fill = take_lowest(rest, left, F.pmod(F.xxhash64("path", F.lit(42)), F.lit(1_000_003)), ["path"], [])
+    fill = take_lowest(rest, left, F.pmod(F.xxhash64("path", F.lit(42)), F.lit(1 << 48)), ["path"], [])
     chosen = first.unionByName(fill.select("path")).withColumn("_sel", F.lit(True))
     return held.select("path", "n", "budget").join(chosen, "path", "left").select(
         "path", (F.coalesce("_sel", F.lit(False)) | (F.col("n") <= F.col("budget"))).alias("selected"))

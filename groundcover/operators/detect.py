@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import FEATURE_CONFIGS, PREFILTER_MIN_VALID, PREFILTER_SHARE, PREFILTER_SIDE
@@ -21,8 +21,6 @@ from .overlay import mask_union
 from .stats import attach_by
 from .tiles import block_of, focal_pixels, focal_tiles
 
-DETECT_AREA = 1024 * 1024
-
 
 def thumbnail(px: DataFrame, dims: DataFrame, side: int = PREFILTER_SIDE) -> DataFrame:
     """Area-averaged copy whose longest side is at most ``side``."""
@@ -98,10 +96,6 @@ def _hsv(px: DataFrame) -> DataFrame:
     return px.withColumns({"_h": h, "_s": s, "_v": v})
 
 
-def _at_least(cells: DataFrame, minimum: float) -> DataFrame:
-    return cells.filter(F.col("area") >= minimum)
-
-
 def solidity(labels: DataFrame, by: list[str]) -> DataFrame:
     """Hull area per component, from the outermost pixels of each row.
 
@@ -123,25 +117,33 @@ def solidity(labels: DataFrame, by: list[str]) -> DataFrame:
     return ends.groupBy(*by, "comp").applyInPandas(run, schema)
 
 
-def _shape_filter(mask: DataFrame, px: DataFrame, kind: str, scene: int, tile: int) -> DataFrame:
+def _shape_filter(mask: DataFrame, px: DataFrame, kind: str, scene: int | Column | DataFrame, tile: int) -> DataFrame:
     """Keep components that pass the area, shape and colour rules of a feature."""
     by = ["raster_id"]
     labels = label_components(mask, by, tile, 8)
+
+    def sized(cells: DataFrame) -> DataFrame:
+        if not isinstance(scene, DataFrame):
+            return cells.withColumn("_scene", scene if isinstance(scene, Column) else F.lit(scene))
+        area = scene.select(*by, (F.col("raster_h").cast("long") * F.col("raster_w")).alias("_scene"))
+        return attach_by(cells, area, by)
+
+    part = lambda least, share: F.greatest(F.lit(float(least)), F.col("_scene") * share)
     if kind == "water":
         coloured = labels.join(px.select(*PIXEL_KEYS, "r", "g", "b"), PIXEL_KEYS)
-        cells = component_stats(coloured, by, [F.avg(c).alias(f"m{c}") for c in "rgb"])
+        cells = sized(component_stats(coloured, by, [F.avg(c).alias(f"m{c}") for c in "rgb"]))
         odd = ((F.col("mr") > F.col("mb") + 30) & (F.col("mr") > F.col("mg") + 20)) | (
             (F.col("mr") > 200) & (F.col("mg") > 200) & (F.col("mb") > 200))
-        small = F.col("area") < scene * 0.01
-        keep = cells.filter((F.col("area") >= max(200, scene * 0.001)) & (F.col("area") <= scene * 0.95) & ~(small & odd))
+        small = F.col("area") < F.col("_scene") * 0.01
+        keep = cells.filter((F.col("area") >= part(200, 0.001)) & (F.col("area") <= F.col("_scene") * 0.95) & ~(small & odd))
     elif kind == "buildings":
-        cells = component_stats(labels, by).filter(
-            F.col("area").between(max(300, scene * 0.0015), scene * 0.35) & (F.col("aspect") <= 7) & (F.col("fill") >= 0.35))
+        cells = sized(component_stats(labels, by)).filter(
+            F.col("area").between(part(300, 0.0015), F.col("_scene") * 0.35) & (F.col("aspect") <= 7) & (F.col("fill") >= 0.35))
         hull = solidity(labels.join(cells, [*by, "comp"], "left_semi"), by)
         keep = cells.join(hull, [*by, "comp"]).filter(F.col("area") / F.col("hull") >= 0.55)
     else:
-        floor = max(400, scene * 0.002) if kind == "trees" else max(800, scene * 0.005)
-        keep = _at_least(component_stats(labels, by), floor)
+        floor = part(400, 0.002) if kind == "trees" else part(800, 0.005)
+        keep = sized(component_stats(labels, by)).filter(F.col("area") >= floor)
     return labels.join(keep.select(*by, "comp"), [*by, "comp"], "left_semi").select(*PIXEL_KEYS)
 
 
@@ -179,28 +181,30 @@ def _water_candidates(src: DataFrame, tile: int) -> DataFrame:
     return focal_pixels(flagged, ["gray", *parts], 35, max(tile, 64), run, {"f": "int"})
 
 
-def detect(px: DataFrame, kind: str, scene_px: int = DETECT_AREA, tile: int = 512) -> DataFrame:
-    """Mask of a feature from colour and shape alone."""
+def detect(px: DataFrame, kind: str, scene: int | Column | DataFrame, tile: int = 512) -> DataFrame:
+    """Mask of a feature from colour and shape alone.
+
+    ``scene`` is the area the shape rules refer to: a number, or the raster sizes
+    ``raster_id, raster_h, raster_w``, one area per raster.
+    """
     cand = colour_candidates(px, kind, tile).filter("f = 1")
-    return _shape_filter(cand, px, kind, scene_px, tile)
+    return _shape_filter(cand, px, kind, scene, tile)
 
 
 # --- user models -------------------------------------------------------------
 
 def segment_tiles(tiles: DataFrame, model: Callable[[np.ndarray, str, float], np.ndarray], prompt: str,
-                  threshold: float, tile: int, overlap: int, max_share: float = 0.5) -> DataFrame:
+                  threshold: float, tile: int, overlap: int, max_share: float | None = None) -> DataFrame:
     """Run a user's segmenter on tiles with overlap; one-band mask tiles.
 
-    ``model(rgb, prompt, threshold)`` gets ``(h, w, 3)`` bytes. A tile that fails,
-    or whose mask covers more than ``max_share``, gives an empty mask.
+    ``model(rgb, prompt, threshold)`` gets ``(h, w, 3)`` bytes. An error of the model
+    fails the job; where ``max_share`` is given, a mask that covers more of its tile
+    is emptied.
     """
     def run(bands, info):
         rgb = np.ascontiguousarray(np.moveaxis(bands[:3], 0, -1))
-        try:
-            m = np.asarray(model(rgb, prompt, threshold)) > 0
-        except Exception:
-            m = np.zeros(rgb.shape[:2], dtype=bool)
-        if m.mean() > max_share:
+        m = np.array(model(rgb, prompt, threshold)) > 0
+        if max_share is not None and m.mean() > max_share:
             m[:] = False
         return m[None].astype(np.uint8)
 
@@ -219,17 +223,23 @@ def mask_pixels(masks: DataFrame) -> DataFrame:
     return masks.mapInPandas(unpack, "raster_id string, row int, col int")
 
 
-def extract_masks(px: DataFrame, dims: DataFrame, feature: str, closing: int = 15, scene_px: int = DETECT_AREA,
-                  tile: int = 512, model_masks: dict[str, DataFrame] | None = None) -> DataFrame:
+def extract_masks(px: DataFrame, dims: DataFrame, feature: str, closing: int = 15, scene_px: int | None = None,
+                  tile: int = 512, model_masks: dict[str, DataFrame] | None = None,
+                  prefilter: bool = False) -> DataFrame:
     """Closed masks of every sub-type of a feature, as set pixels with ``suffix`` and colour.
 
-    Rasters the pre-filter rejects are left out. ``model_masks`` holds set pixels
-    from user models by sub-type; they are united with the colour detector's.
+    With ``prefilter``, rasters whose small copy shows no sign of the feature are left
+    out. ``model_masks`` holds set pixels from user models by sub-type; they are
+    united with the colour detector's. Shape rules follow each raster's own area
+    unless ``scene_px`` is given.
     """
     if feature not in FEATURE_CONFIGS:
         raise ValueError(f"unknown feature type {feature!r}")
-    runs = should_extract(px, dims, feature).filter("run").select("raster_id", F.lit(True).alias("_run"))
-    src = attach_by(px, runs, ["raster_id"]).filter("_run").drop("_run")
+    src = px
+    if prefilter:
+        runs = should_extract(px, dims, feature).filter("run").select("raster_id", F.lit(True).alias("_run"))
+        src = attach_by(px, runs, ["raster_id"]).filter("_run").drop("_run")
+    scene = F.lit(scene_px) if scene_px is not None else dims
     detected: dict[str, DataFrame] = {}
     outs = []
     for cfg in FEATURE_CONFIGS[feature]:
@@ -237,7 +247,7 @@ def extract_masks(px: DataFrame, dims: DataFrame, feature: str, closing: int = 1
         kind = cfg.get("detector")
         if kind:
             if kind not in detected:
-                detected[kind] = detect(src, kind, scene_px, tile)
+                detected[kind] = detect(src, kind, scene, tile)
             parts.append(detected[kind])
         if not parts:
             continue

@@ -65,7 +65,9 @@ def unknown_colours(px: DataFrame, palette: dict[int, int], top: int = 8) -> Dat
 
 def merge_index(px: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Merge overlapping index tiles: later tiles win, zero never erases."""
-    packed = F.when(F.col("cmix") != 0, F.shiftleft(order.cast("long"), 8) + F.col("cmix").cast("long"))
+    fits = F.when(F.col("cmix").between(0, 255), F.col("cmix")).otherwise(
+        F.raise_error(F.format_string("index %d does not fit a byte", F.col("cmix"))).cast("int"))
+    packed = F.when(F.col("cmix") != 0, F.shiftleft(order.cast("long"), 8) + fits.cast("long"))
     return px.groupBy(*keys).agg(F.max(packed).alias("_p")).select(
         *keys, F.coalesce(F.col("_p").bitwiseAND(F.lit(255)), F.lit(0)).cast("int").alias("cmix"))
 
@@ -81,6 +83,15 @@ def histogram(index: DataFrame, by: list[str] | None = None) -> DataFrame:
                           (F.col("n_px") * 100.0 / total).alias("pct"))
 
 
+def fill_grid(index: DataFrame, height: int, width: int, raster: str) -> DataFrame:
+    """The index over every cell of a raster's grid; cells without one are zero."""
+    grid = index.sparkSession.range(height).select(F.col("id").cast("int").alias("row")).withColumn(
+        "col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    held = index.select("row", "col", "cmix")
+    return grid.join(held, ["row", "col"], "left").select(
+        F.lit(raster).alias("raster_id"), "row", "col", F.coalesce("cmix", F.lit(0)).alias("cmix"))
+
+
 def union_grid(tiles: DataFrame) -> DataFrame:
     """Grid over all tiles: union bounds, finest resolution; mixed systems fail."""
     agg = tiles.agg(F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"),

@@ -27,17 +27,14 @@ def box_features(px: DataFrame, bands: list[str], tile: int = DEFAULT_TILE, by:
     return focal_pixels(px, bands, 1, tile, run, cols, by, keep=keep)
 
 
-ENTROPY_FULL_PIXELS = 1_500_000  # fixed value: larger rasters use every second row and column
-
-
 def local_entropy(px: DataFrame, gray: str, tile: int = DEFAULT_TILE, by: list[str] | None = None,
-                  full_pixels: int = ENTROPY_FULL_PIXELS) -> DataFrame:
+                  full_pixels: int | None = None) -> DataFrame:
     """Entropy over a radius-2 disk of the gray level stretched to bytes per raster.
 
-    Rasters above ``full_pixels`` are computed at half size and repeated.
+    Where ``full_pixels`` is given, rasters above it are computed at half size and repeated.
     """
     by = by or ["raster_id"]
-    span = px.groupBy(*by).agg(F.min(gray).alias("_lo"), F.max(gray).alias("_hi"), (F.count("*") > full_pixels).alias("_big"),
+    span = px.groupBy(*by).agg(F.min(gray).alias("_lo"), F.max(gray).alias("_hi"), (F.count("*") > full_pixels if full_pixels is not None else F.lit(False)).alias("_big"),
                                F.max("row").alias("_mr"), F.max("col").alias("_mc"))
     src = attach_by(px.select(*by, "row", "col", gray), span, by)
 
@@ -104,12 +101,13 @@ def morphology(px: DataFrame, flag: str, steps: list[tuple[str, str, int]], tile
     return focal_pixels(px, [flag], reach, tile, run, {out: "int"}, by, keep=keep)
 
 
-def extend_at_border(px: DataFrame, flag: str, height, width, border: int = 60, kernel: int = 20,
-                     tile: int = DEFAULT_TILE, by: list[str] | None = None) -> DataFrame:
-    """Dilate only inside the border zone of the raster."""
-    by = by or ["raster_id"]
+def extend_at_border(px: DataFrame, flag: str, dims: DataFrame, border: int = 60, kernel: int = 20,
+                     tile: int = DEFAULT_TILE) -> DataFrame:
+    """Dilate only inside the border zone of each raster, whose sizes are ``raster_h, raster_w`` of ``dims``."""
+    by = ["raster_id"]
     both = morphology(px, flag, [("dilate", "ellipse", kernel)], tile, by, keep=[flag], out="_grown")
-    h, w = F.lit(height), F.lit(width)
+    both = attach_by(both, dims.select("raster_id", "raster_h", "raster_w"), by)
+    h, w = F.col("raster_h"), F.col("raster_w")
     b = F.least(F.lit(border), F.floor(F.least(h, w) / 6))
     zone = (F.col("row") < b) | (F.col("row") >= h - b) | (F.col("col") < b) | (F.col("col") >= w - b)
     return both.select(*by, "row", "col",

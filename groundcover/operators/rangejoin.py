@@ -21,26 +21,31 @@ def bbox_join(left: DataFrame, right: DataFrame, cell: float, *, inclusive: bool
     Both sides are copied to every grid bucket they cover and joined on the
     bucket. A pair is reported only by the bucket that holds the lower-left
     corner of its intersection, so no duplicate removal is needed. Buckets with
-    more than ``hot_rows`` rows on the left are split over salts, with the right
-    side repeated once per salt of that bucket only. Right columns get ``r_``.
+    more than ``hot_rows`` rows on a side are split into parts of that side, the other
+    side repeated once per part of that bucket only. Right columns get ``r_``.
     """
     l_fields = {k: f"{k}" for k in ("west", "south", "east", "north")}
     right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     r_fields = {k: f"r_{k}" for k in l_fields}
     lb = _buckets(left, cell, l_fields)
     rb = _buckets(right, cell, r_fields)
-    heat = lb.groupBy("_bx", "_by").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(
-        "_bx", "_by", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
     key = ["_bx", "_by"]
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    ls = lb.join(heat, key, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c in lb.columns]), salts).cast("int")).drop("_salts")
-    rs = rb.join(heat, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    parts = lambda side, name: side.groupBy(*key).agg(F.count("*").alias("_n")).filter(
+        F.col("_n") > hot_rows).select(*key, F.ceil(F.col("_n") / hot_rows).cast("int").alias(name))
+    heat = parts(lb, "_lparts").join(parts(rb, "_rparts"), key, "full")
+
+    def dealt(side: DataFrame, columns: list[str], own: str, other: str) -> DataFrame:
+        # a row goes to one part of its own side and is repeated for every part of the other
+        n, m = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        side = side.join(heat, key, "left").withColumn(own.replace("parts", "part"), F.pmod(F.xxhash64(*columns), n).cast("int"))
+        return side.withColumn(other.replace("parts", "part"), F.explode(F.sequence(F.lit(0), m - 1))).drop("_lparts", "_rparts")
+
+    ls, rs = dealt(lb, left.columns, "_lparts", "_rparts"), dealt(rb, right.columns, "_rparts", "_lparts")
     a, b = geo.box(""), geo.box("r_")
     hit = geo.touches(a, b) if inclusive else geo.overlaps(a, b)
     home = ((F.floor(F.greatest(a["west"], b["west"]) / cell) == F.col("_bx"))
             & (F.floor(F.greatest(a["south"], b["south"]) / cell) == F.col("_by")))
-    return ls.join(rs, [*key, "_salt"]).filter(hit & home).drop(*key, "_salt")
+    return ls.join(rs, [*key, "_lpart", "_rpart"]).filter(hit & home).drop(*key, "_lpart", "_rpart")
 
 
 def grid_cells(df: DataFrame, x0, y0, x1, y1, origin_x: float, origin_y: float, size: float,

@@ -18,15 +18,6 @@ FRACTIONS = {"veg_frac": "f_veg", "dry_frac": "f_dry_barren", "sand_frac": "f_sa
              "water_frac": "f_water", "edge_frac": "f_edge"}
 
 
-def stride_sample(px: DataFrame, dims: DataFrame, goal: float = 420_000.0) -> DataFrame:
-    """Every n-th row and column, so a raster contributes about ``goal`` pixels."""
-    step = F.greatest(F.lit(1), F.floor(F.sqrt(F.col("raster_h").cast("double") * F.col("raster_w") / goal)))
-    kept = attach_by(px, dims.select("raster_id", step.cast("int").alias("_step")), ["raster_id"])
-    kept = kept.filter((F.col("row") % F.col("_step") == 0) & (F.col("col") % F.col("_step") == 0))
-    return kept.withColumn("row", F.floor(F.col("row") / F.col("_step")).cast("int")).withColumn(
-        "col", F.floor(F.col("col") / F.col("_step")).cast("int")).drop("_step")
-
-
 def pooled_scale(px: DataFrame, by: list[str], prob: float = 0.98, name: str = "scale") -> DataFrame:
     """Percentile over the red, green and blue values together."""
     pooled = px.select(*by, F.explode(F.array("r", "g", "b")).alias("v"))
@@ -115,11 +106,10 @@ def semantic_scores(fractions: DataFrame, totals: DataFrame) -> DataFrame:
                       "blue_dom_frac")
 
 
-def cluster_semantics(px: DataFrame, dims: DataFrame, nir: str | None = "nir", tile: int = 512) -> DataFrame:
+def cluster_semantics(px: DataFrame, nir: str | None = "nir", tile: int = 512) -> DataFrame:
     """Fractions, continuity and scores of every cluster of every raster."""
-    s = stride_sample(px, dims)
-    parts = cluster_fractions(s, nir, tile).join(continuity(s, tile), ["raster_id", "cluster"])
-    return semantic_scores(parts, s.groupBy("raster_id").agg(F.count("*").alias("total")))
+    parts = cluster_fractions(px, nir, tile).join(continuity(px, tile), ["raster_id", "cluster"])
+    return semantic_scores(parts, px.groupBy("raster_id").agg(F.count("*").alias("total")))
 
 
 def segment_features(px: DataFrame, segment: list[str], nir: bool = True) -> DataFrame:

@@ -75,10 +75,18 @@ def ordered_index(df: DataFrame, order: list[Column], name: str = "ord") -> Data
         name, F.col("_start") + F.col("_seq")).drop("_pid", "_seq", "_start")
 
 
-def sample_hash(row, col, seed: int = 42, modulus: int = 1_000_003) -> Column:
-    """Portable position hash: the same integers in any SQL engine."""
-    r, c = F.col(row) if isinstance(row, str) else row, F.col(col) if isinstance(col, str) else col
-    return (r.cast("long") * 7919 + c.cast("long") * 104729 + F.lit(seed * 31)) % modulus
+HASH_DIGITS = 12
+
+
+def drawn(*parts: Column | str) -> Column:
+    """A 48-bit number drawn from the parts by MD5: the same in any SQL engine."""
+    text = F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_DIGITS), 16, 10).cast("long")
+
+
+def sample_hash(row: str, col: str, seed: int = 42, raster: str | None = "raster_id") -> Column:
+    """Hash of a pixel from its raster, its position and the seed."""
+    return drawn(*([raster] if raster else []), row, col, F.lit(seed))
 
 
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -119,30 +127,33 @@ def take_lowest(df: DataFrame, n, order: Column, tie: list[str], by: list[str],
                 keys: DataFrame | None = None) -> DataFrame:
     """Exactly ``n`` rows per group, those with the lowest ``order`` then ``tie``.
 
-    ``order`` is a bounded integer hash. A coarse count finds the bucket where
-    the budget runs out, a fine count of that bucket alone finds the hash value;
-    rows below it are kept outright and only the rows of that single value are
-    ranked, so a group holding most rows is not sorted in one task. Running sums
-    are over about a thousand rows per group.
+    ``order`` is a whole number below 2 ** 48. Counts by its upper 16 bits find the
+    bucket where the budget runs out, counts by the next 16 bits refine that bucket
+    alone, then single values; rows below the last value are kept outright and only
+    the rows of that single value are ranked, so a group holding most rows is not
+    sorted in one task. Running sums are over at most 65,536 rows per group.
 
     ``keys`` may name a cheaper frame with the same rows (group, order and tie
     columns) for the counting passes, when ``df`` is costly to compute.
     """
     n = n if isinstance(n, Column) else F.lit(n)
     src = df.withColumn("_h", order)
-    counting = (keys if keys is not None else df).select(*by, order.alias("_h")).withColumn(
-        "_q", F.floor(F.col("_h") / 1024))
+    near = (keys if keys is not None else df).select(*by, order.alias("_h"))
 
     def crossing(rows: DataFrame, key: str, start: Column) -> DataFrame:
         run = W.partitionBy(*by).orderBy(key).rowsBetween(W.unboundedPreceding, -1)
         rows = rows.withColumn("_before", start + F.coalesce(F.sum("_c").over(run), F.lit(0)))
         return rows.filter((F.col("_before") < n) & (F.col("_before") + F.col("_c") >= n))
 
-    coarse = crossing(counting.groupBy(*by, "_q").agg(F.count("*").alias("_c")), "_q", F.lit(0)).select(
-        *by, F.col("_q").alias("_cq"), F.col("_before").alias("_cb"))
-    near = attach_by(counting, coarse, by).filter(F.col("_q") == F.col("_cq"))
+    start = F.lit(0)
+    for bits in (32, 16):
+        near = near.withColumn("_q", F.shiftright("_h", bits))
+        found = crossing(near.groupBy(*by, "_q", *(["_cb"] if bits == 16 else [])).agg(F.count("*").alias("_c")), "_q", start)
+        found = found.select(*by, F.col("_q").alias("_cq"), F.col("_before").alias("_cb"))
+        near = attach_by(near.select(*by, "_h", "_q"), found, by).filter(F.col("_q") == F.col("_cq")).select(*by, "_h", "_cb")
+        start = F.col("_cb")
     fine = near.groupBy(*by, "_h", "_cb").agg(F.count("*").alias("_c"))
-    cut = crossing(fine, "_h", F.col("_cb")).select(
+    cut = crossing(fine, "_h", start).select(
         *by, F.col("_h").alias("_cut"), (n - F.col("_before")).alias("_left"))
     marked = attach_by(src, cut, by).filter(n > 0)
     whole = marked.filter(F.col("_cut").isNull() | (F.col("_h") < F.col("_cut"))).select(*df.columns)

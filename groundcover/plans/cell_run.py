@@ -1,4 +1,4 @@
-"""A whole cell: catalogue, grid, composite, classification, masks and index export."""
+"""A whole cell: catalogue, grid, composite, labelling, masks and index export."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_SIDE_PX, MOSAIC_TILE_PX
+from ..constants import MOSAIC_TILE_PX
 from ..functions import geo
 from ..operators.composite import (area_average, composite_order, composite_tiles, priority_composite,
                                    resample_tiles)
@@ -39,7 +39,7 @@ class CellConfig:
     overwrite: bool = False
     use_models: bool = True
     water_mask: str | None = None
-    max_side: int = MAX_SIDE_PX
+    max_side: int | None = None
 
     def __post_init__(self):
         if not -90 <= self.south_lat <= 89 or not -180 <= self.west_lon <= 179:
@@ -53,7 +53,7 @@ class CellConfig:
             raise ValueError("layer priorities must be distinct and at least one")
         if any(not g.strip() for x in self.layers for g in x.glob) or any(not x.glob for x in self.layers):
             raise ValueError("glob patterns must not be empty")
-        if not 256 <= self.max_side <= 100_000:
+        if self.max_side is not None and not 256 <= self.max_side <= 100_000:
             raise ValueError("max_side is out of range")
 
     @property
@@ -94,7 +94,7 @@ def load_config(path: str) -> CellConfig:
     return CellConfig(cell["south_lat"], cell["west_lon"], tuple(layers), at(out["path"]),
                       tuple(at(s) for s in data.get("sources", [])), bool(out.get("overwrite", False)),
                       bool(cls.get("sam3", True)), at(cls["water_mask"]) if cls.get("water_mask") else None,
-                      cls.get("max_mosaic_side") or MAX_SIDE_PX)
+                      cls.get("max_mosaic_side"))
 
 
 def plan_grid(sources: DataFrame, cfg: CellConfig) -> tuple[DataFrame, int, int, float]:
@@ -166,9 +166,9 @@ def mosaic_tiles(tiles: DataFrame, sources: DataFrame, cfg: CellConfig, tile: in
 
 def run_cell(px: DataFrame, sources: DataFrame, cfg: CellConfig, masks: list | None = None,
              opts: mm.Options = mm.Options(), model: mm.Model | None = None) -> tuple[DataFrame, DataFrame]:
-    """Composite, classify, paint masks and export the index; returns index and histogram."""
-    image, _, _, _ = mosaic(px, sources, cfg)
+    """Composite, label, paint masks and export the index of the whole cell; returns index and histogram."""
+    image, width, height, _ = mosaic(px, sources, cfg)
     painted = mm.classify_batch(image, opts, model)
     if masks:
         painted = mm.fuse_masks(painted, image, masks, opts)
-    return mm.export_index(painted, F.lit(0))
+    return mm.export_index(painted, F.lit(0), size=(height, width))

@@ -1,4 +1,4 @@
-"""Composite runs: classification, fusion, cell mosaic, batch and index export."""
+"""Composite runs: labelling, fusion, cell mosaic, batch and index export."""
 
 from __future__ import annotations
 
@@ -9,13 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import (CLASSES, CLASS_RGB, PRIOR_COST, PRIOR_OPEN, PRIOR_UNLISTED, PRIOR_URBAN, SAMPLE_WINDOW,
-                         TRAIN_MAX)
+from ..constants import CLASS_RGB, CLASSES, PRIOR_COST, SAMPLE_WINDOW
 from ..functions import color
 from ..functions.predicates import blank_near_black, is_covered
 from ..operators import assign, cluster, focal, overlay
 from ..operators import kernels as K
-from ..operators.export import build_palette, histogram, merge_index, rgb_to_cmix
+from ..operators.export import build_palette, fill_grid, histogram, merge_index, rgb_to_cmix
 from ..operators.stats import attach_by
 from ..operators.tiles import block_of, focal_tiles, tiles_to_pixels
 from ..schema import PIXEL_KEYS, TILE_KEYS
@@ -33,7 +32,7 @@ class Options:
     tile: int = 512
     metres_per_px: float = 1.0
     use_prior: bool = True
-    train_pixels: int = TRAIN_MAX
+    train_pixels: int | None = None  # all covered pixels; a number asks for a sample
     anchors: dict | None = None
     names: tuple[str, ...] = field(default_factory=lambda: tuple(
         c["name"] for c in CLASSES if c["source"] == "kmeans"))
@@ -68,12 +67,14 @@ def feature_names(opts: Options) -> list[str]:
 
 
 def train(px: DataFrame, feats: DataFrame, opts: Options) -> Model:
-    """One model over all rasters from an exact-size, seeded sample of covered pixels.
+    """One model over all covered pixels of all rasters, or over a seeded sample of exact size if asked for.
 
-    The sample is chosen on the plain pixels, so features are computed once.
+    A sample is chosen on the plain pixels, so features are computed once.
     """
     names = feature_names(opts)
-    sample = cluster.uniform_sample(feats.filter(is_covered()), opts.train_pixels, keys=px.filter(is_covered()))
+    sample = feats.filter(is_covered())
+    if opts.train_pixels is not None:
+        sample = cluster.uniform_sample(sample, opts.train_pixels, keys=px.filter(is_covered()))
     scaler, centres = cluster.fit_kmeans(sample, names, len(opts.names))
     return Model(tuple(names), scaler, tuple(map(tuple, centres)))
 
@@ -95,7 +96,7 @@ def name_clusters(labels: DataFrame, dims: DataFrame, opts: Options) -> DataFram
     means = assign.cluster_mean_rgb(labels, k, ["raster_id"])
     cost = assign.naming_cost(means, assign.active_anchors(opts.anchors, list(opts.names)))
     if opts.use_prior:
-        prior = assign.scene_prior(assign.scene_fractions(labels, dims, F.lit(opts.metres_per_px)), list(opts.names))
+        prior = assign.scene_prior(assign.scene_fractions(labels), list(opts.names))
         held = cost.join(prior.select("raster_id", "material", "prior"), ["raster_id", "material"], "left")
         cost = held.withColumn("cost", F.col("cost") + F.lit(PRIOR_COST) * (1 - F.coalesce("prior", F.lit(0.0))))
     return assign.with_material_colour(assign.assign_materials(cost.select(
@@ -151,9 +152,16 @@ def fuse_masks(painted: DataFrame, original: DataFrame, masks: list[tuple[DataFr
     return overlay.fuse(painted, original, ranked, {n: CLASS_RGB[n] for n in opts.names}, opts.tile)
 
 
-def export_index(painted: DataFrame, order, keys: list[str] | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Index raster and its histogram from painted, possibly overlapping tiles."""
+def export_index(painted: DataFrame, order, keys: list[str] | None = None, strict: bool = False,
+                 size: tuple[int, int] | None = None, raster: str = "cell") -> tuple[DataFrame, DataFrame]:
+    """Index raster and its histogram from painted, possibly overlapping tiles.
+
+    With ``size`` (height, width) the index covers the whole grid of one raster, zero
+    where nothing was painted, and shares are of all its cells.
+    """
     index = merge_index(rgb_to_cmix(painted, build_palette(), strict), keys or PIXEL_KEYS, order)
+    if size:
+        index = fill_grid(index, *size, raster)
     return index, histogram(index)
 
 
@@ -178,6 +186,8 @@ def score_tiles(tiles: DataFrame, model: Model, opts: Options = Options()) -> Da
     mean = np.array([model.scaler[f][0] for f in model.features])
     std = np.array([model.scaler[f][1] for f in model.features])
     centres = np.array(model.centres)
+    if len(centres) > 255:
+        raise ValueError("label tiles hold bytes: at most 255 centres")
     radius, nir = opts.median, opts.nir
 
     def run(bands, info):
@@ -194,11 +204,14 @@ def score_tiles(tiles: DataFrame, model: Model, opts: Options = Options()) -> Da
 
 
 def train_tiles(tiles: DataFrame, opts: Options = Options(), window: int = SAMPLE_WINDOW) -> Model:
-    """One shared model from stored tiles; only tiles under the sample windows are read.
+    """One shared model from stored tiles: from all covered pixels, or from sample windows if a sample is asked for.
 
     Windows come from tile headers. Tiles are kept when they meet a window grown
     by one pixel, so every sampled pixel has its true neighbourhood.
     """
+    if opts.train_pixels is None:
+        px = tiles_to_pixels(tiles, ["r", "g", "b"] + (["nir"] if opts.nir else []))
+        return train(px, features(px, opts), opts)
     heads = tiles.select("raster_id", "raster_h", "raster_w").distinct()
     windows = cut_lineage(cluster.sample_windows(heads, window=window))
     span = lambda at: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(at) - 1) / opts.tile)).cast("int"),
@@ -238,14 +251,5 @@ def material_shares(painted: DataFrame) -> DataFrame:
     return painted.groupBy("raster_id", "material").agg(F.count("*").alias("n_px"))
 
 
-def default_prior(open_weight: float) -> dict[str, float]:
-    """Blended, normalised shares for a known openness."""
-    names = [c["name"] for c in CLASSES if c["source"] == "kmeans"]
-    mix = {n: (1 - open_weight) * PRIOR_URBAN.get(n, PRIOR_UNLISTED) + open_weight * PRIOR_OPEN.get(n, PRIOR_UNLISTED)
-           for n in names}
-    total = sum(mix.values())
-    return {n: v / total for n, v in mix.items()}
-
-
 __all__ = ["Options", "Model", "features", "train", "label", "classify", "classify_batch", "fuse_masks",
            "export_index", "score_tiles", "tile_histogram", "material_shares", "blank_near_black"]

@@ -593,6 +593,19 @@ def p5(spark, sf):
     return mm.export_index(painted, F.lit(0), strict=True)[1].select("cmix", "name", "n_px")
 
 
+@query("p5_whole_cell_index", f"""WITH {_P5}, c AS (SELECT {_NEAR6} AS cmix, count(*) AS n FROM cp GROUP BY 1)
+SELECT cmix, cast(sum(n) as bigint) AS n_px, round(sum(n)*100e0/1000000,6) AS pct FROM (SELECT cmix, n FROM c UNION ALL SELECT 0, 1000000-(SELECT sum(n) FROM c)) z GROUP BY 1""", ["scene"])
+def p5w(spark, sf):
+    """Index of the whole cell: what no image covers counts as zero."""
+    px, src = cell_sources(spark, sf)
+    image, width, height, _ = cell_run.mosaic(px, src, CELL)
+    lab = cluster.nearest_centre(image, ["r", "g", "b"], [tuple(map(float, c)) for c in RGB])
+    painted = assign.paint_labels(lab, 6, dict(enumerate(RGB, 1))).select(
+        "raster_id", "row", "col", F.col("paint_r").alias("r"), F.col("paint_g").alias("g"), F.col("paint_b").alias("b"))
+    index, _ = mm.export_index(painted, F.lit(0), strict=True, size=(height, width))
+    return export.histogram(index).select("cmix", "n_px", F.round("pct", 6).alias("pct"))
+
+
 @query("p6_batch_shared_model", f"""WITH {_FSQL.replace('FROM pixel p JOIN bx', 'FROM scene p JOIN bx').replace(_NB, _NB.replace('FROM pixel p, dm, o', 'FROM scene p, dm, o').replace('JOIN pixel q ON', 'JOIN scene q ON q.raster_id=p.raster_id AND').replace('FROM pixel)', 'FROM scene)'))}
 SELECT raster_id, case when r+g+b>=24 then ['BM_VEGETATION','BM_SAND','BM_SOIL'][cluster] end AS material, count(*) AS n_px FROM lab GROUP BY 1,2""", ["scene"])
 def p6(spark, sf):
@@ -652,12 +665,39 @@ def p9(spark, sf):
     return out.select("material", F.array_join(F.element_at("anchors", 1).cast("array<string>"), ",").alias("anchor"))
 
 
-@query("p10_independent_rasters")
-def p10(spark, sf):
-    """Every raster trains its own model on its own exact-size sample."""
+def lloyd_by_sql(rounds):
+    """Three centres per raster from quantiles of the gray level, moved to their means."""
+    ctes = ["px AS (SELECT raster_id, row, col, r, g, b, (cast(r as double)+cast(g as double)+cast(b as double))/3 AS v FROM scene WHERE r+g+b>=24)",
+            "sc AS (SELECT raster_id, coalesce(nullif(stddev_pop(r),0e0),1e0) AS sr, coalesce(nullif(stddev_pop(g),0e0),1e0) AS sg, coalesce(nullif(stddev_pop(b),0e0),1e0) AS sb FROM px GROUP BY 1)",
+            "k0 AS (" + " UNION ALL ".join(f"SELECT raster_id, {i + 1} AS i, quantile_cont(v, {(2 * i + 1) / 6!r}) AS cr, quantile_cont(v, {(2 * i + 1) / 6!r}) AS cg, quantile_cont(v, {(2 * i + 1) / 6!r}) AS cb FROM px GROUP BY 1"
+                                           for i in range(3)) + ")"]
+    for n in range(rounds):
+        ctes.append(f"a{n} AS (SELECT p.raster_id, p.r, p.g, p.b, arg_min(k.i, power((p.r-k.cr)/sr,2)+power((p.g-k.cg)/sg,2)+power((p.b-k.cb)/sb,2)) AS i "
+                    f"FROM px p JOIN k{n} k USING (raster_id) JOIN sc USING (raster_id) GROUP BY p.raster_id, p.row, p.col, p.r, p.g, p.b)")
+        ctes.append(f"k{n + 1} AS (SELECT k.raster_id, k.i, coalesce(avg(a.r), any_value(k.cr)) AS cr, coalesce(avg(a.g), any_value(k.cg)) AS cg, coalesce(avg(a.b), any_value(k.cb)) AS cb "
+                    f"FROM k{n} k LEFT JOIN a{n} a ON a.i=k.i AND a.raster_id=k.raster_id GROUP BY k.raster_id, k.i)")
+    return f"WITH {', '.join(ctes)} SELECT raster_id, i AS cluster, round(cr,4) AS r, round(cg,4) AS g, round(cb,4) AS b FROM k{rounds}"
+
+
+def raster_models(spark, sf, rounds):
     px = view(spark, sf, "scene").filter("r + g + b >= 24")
     feats = ["r", "g", "b"]
-    models = cluster.fit_per_group(cluster.uniform_sample(px, 500, by=["raster_id"]), feats, 3, ["raster_id"])
+    return px, feats, cluster.lloyd_by(px, feats, cluster.start_models(px, feats, 3, ["raster_id"]), ["raster_id"], rounds)
+
+
+@query("l5_kmeans_per_raster", lloyd_by_sql(3), ["scene"])
+def l5r(spark, sf):
+    """Every raster's own centres after three rounds from a fixed start."""
+    _, _, models = raster_models(spark, sf, 3)
+    each = models.select("raster_id", F.posexplode("centres").alias("i", "c"))
+    return each.select("raster_id", (F.col("i") + 1).alias("cluster"), *[
+        F.round(F.get("c", F.lit(k)), 4).alias(n) for k, n in enumerate("rgb")])
+
+
+@query("p10_independent_rasters")
+def p10(spark, sf):
+    """Every raster trains its own model on all its covered pixels."""
+    px, feats, models = raster_models(spark, sf, 10)
     labels = cluster.nearest_centre_by(px, feats, models, ["raster_id"])
     mapping = assign.assign_materials(assign.naming_cost(assign.cluster_mean_rgb(labels, 3, ["raster_id"]), ANCHORS), ["raster_id"])
     held = attach_by(labels, mapping.select("raster_id", "cluster", "material"), ["raster_id", "cluster"])

@@ -429,10 +429,7 @@ def e8(spark, sf):
 SELECT raster_id, row, col FROM m0 UNION SELECT raster_id, row, col FROM g, z, dm WHERE row<bz OR col<bz OR row>=mr+1-bz OR col>=mc+1-bz""", ["pixel"])
 def e9(spark, sf):
     m = seeded_mask(spark, sf)
-    held = attach_by(m, dims_of(m), ["raster_id"])
-    d = dims_of(m).first()  # one raster
-    return focal.extend_at_border(held.select(*KEYS, "f"), "f", int(d["raster_h"]), int(d["raster_w"]), 4, 5, TILE).filter(
-        "f = 1").select(*KEYS)
+    return focal.extend_at_border(m.select(*KEYS, "f"), "f", dims_of(m), 4, 5, TILE).filter("f = 1").select(*KEYS)
 
 
 @query("e11_seamless_tiles", f"WITH {_NB} SELECT {_K}, round(avg(qr),5) AS mean_r FROM nb GROUP BY 1,2,3", ["pixel"])

@@ -94,10 +94,10 @@ def l5(spark, sf):
 
 @query("l5_kmeans_ml")
 def l5m(spark, sf):
-    """Seeded k-means on an exact-size sample, then every pixel scored."""
+    """Seeded k-means on every covered pixel."""
     px = view(spark, sf, "pixel").filter("r + g + b >= 24")
     feats = ["r", "g", "b"]
-    scaler, centres = cluster.fit_kmeans(cluster.uniform_sample(px, 20_000), feats, 5)
+    scaler, centres = cluster.fit_kmeans(px, feats, 5)
     z = cluster.standardise(px, scaler)
     return cluster.nearest_centre(z, feats, centres).groupBy("cluster").agg(F.count("*").alias("n_px"))
 
@@ -121,7 +121,7 @@ def l8(spark, sf):
 
 # --- sampling ----------------------------------------------------------------
 
-_HASH = "(cast(row as bigint)*7919 + cast(col as bigint)*104729 + 42*31) % 1000003"
+_HASH = "cast(concat('0x', substr(md5(concat_ws('|', raster_id, row, col, 42)), 1, 12)) as bigint)"
 
 
 @query("l2_uniform_sample", f"""SELECT {_K} FROM (SELECT *, row_number() OVER (ORDER BY {_HASH}, row, col) AS k FROM pixel) z WHERE k <= 2500""", ["pixel"])
@@ -138,9 +138,9 @@ def l3(spark, sf):
 WITH d AS (SELECT raster_id, max(row)+1 AS h, max(col)+1 AS w, least(16, max(row)+1, max(col)+1) AS n FROM pixel GROUP BY 1),
 g AS (SELECT raster_id, n, cast(floor(case when i=3 then h-n else i*((h-n)/3e0) end) as bigint) AS wr, cast(floor(case when j=3 then w-n else j*((w-n)/3e0) end) as bigint) AS wc
  FROM d, generate_series(0,3) a(i), generate_series(0,3) c(j)),
-x AS (SELECT raster_id, n, ((k*48271+1+42*31)*16807 % 2147483647) % greatest(1, h-n) AS wr, ((k*48271+7+42*31)*16807 % 2147483647) % greatest(1, w-n) AS wc FROM d, generate_series(1,5) e(k)),
+x AS (SELECT raster_id, n, cast(concat('0x', substr(md5(concat_ws('|', raster_id, k, 'row', 42)), 1, 12)) as bigint) % greatest(1, h-n) AS wr, cast(concat('0x', substr(md5(concat_ws('|', raster_id, k, 'col', 42)), 1, 12)) as bigint) % greatest(1, w-n) AS wc FROM d, generate_series(1,5) e(k)),
 win AS (SELECT * FROM g UNION SELECT * FROM x),
-s AS (SELECT p.raster_id, row, col, wr, wc, row_number() OVER (PARTITION BY wr, wc ORDER BY {_HASH}, row, col) AS k FROM pixel p, win
+s AS (SELECT p.raster_id, row, col, wr, wc, row_number() OVER (PARTITION BY wr, wc ORDER BY cast(concat('0x', substr(md5(concat_ws('|', p.raster_id, row, col, 42)), 1, 12)) as bigint), row, col) AS k FROM pixel p, win
  WHERE row>=wr AND row<wr+n AND col>=wc AND col<wc+n AND r+g+b>=24)
 SELECT raster_id, row, col, wr, wc FROM s WHERE k <= 47""", ["pixel"])
 def l1(spark, sf):
@@ -374,9 +374,9 @@ NAT = [c["name"] for c in NATURAL]
 
 @query("h12_scene_prior", prior_sql("z AS (SELECT raster_id, 0 AS zone, r, g, b FROM scene)", NAT), ["scene"])
 def h12(spark, sf):
-    """Small rasters: one zone over the whole raster."""
+    """Openness over the whole raster."""
     px = view(spark, sf, "scene")
-    out = assign.scene_prior(assign.scene_fractions(px, dims_of(px), F.lit(1.0)), NAT)
+    out = assign.scene_prior(assign.scene_fractions(px), NAT)
     return out.select("raster_id", F.round("open_weight", 6).alias("open_weight"), "material", F.round("prior", 6).alias("prior"))
 
 
@@ -391,7 +391,7 @@ z AS (SELECT p.raster_id, zone, r, g, b FROM pixel p JOIN zz ON row BETWEEN cy-2
 def h12z(spark, sf):
     """Large raster: sixteen zones of radius twenty."""
     px = view(spark, sf, "pixel")
-    out = assign.scene_prior(assign.scene_fractions(px, dims_of(px), F.lit(9.0)), NAT)
+    out = assign.scene_prior(assign.zone_fractions(px, dims_of(px), F.lit(9.0)), NAT)
     return out.select("raster_id", F.round("open_weight", 6).alias("open_weight"), "material", F.round("prior", 6).alias("prior"))
 
 
@@ -441,7 +441,7 @@ SCORES = ["veg", "road", "water", "asphalt", "line", "water_conf", "dry", "sand"
 SELECT cluster, n, {', '.join(f'round({c},5) AS {c}' for c in SCORES)} FROM s4""", ["pixel"])
 def h4(spark, sf):
     px = by_block(spark, sf, "pixel")
-    out = semantics.cluster_semantics(px, dims_of(px), "nir", 16)
+    out = semantics.cluster_semantics(px, "nir", 16)
     return out.select("cluster", "n", *[F.round(c, 5).alias(c) for c in SCORES])
 
 

@@ -64,14 +64,16 @@ def read_images(spark: SparkSession, path: str, tile: int = 512) -> DataFrame:
     """Plain images through Spark's image source, cut to byte tiles (RGB order).
 
     One image is one row, so a task holds one image; large scenes should arrive
-    as tiles.
+    as tiles. An image that cannot be read fails the job.
     """
-    img = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
+    img = spark.read.format("image").load(path).select("image.*")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in TILE.split(", ")]
         for pdf in frames:
             for r in pdf.itertuples(index=False):
+                if r.nChannels < 1:
+                    raise ValueError(f"{r.origin} is not a readable image")
                 a = np.frombuffer(r.data, dtype=np.uint8).reshape(r.height, r.width, r.nChannels)
                 a = a[:, :, 2::-1] if r.nChannels >= 3 else np.repeat(a, 3, axis=2)
                 rows = []

@@ -347,8 +347,12 @@ def test_both_trainers_find_clear_clusters(spark):
     scaler, got = cluster.fit_kmeans(df, ["u", "v"], 3)
     back = sorted([[x * scaler[f][1] + scaler[f][0] for x, f in zip(c, ("u", "v"))] for c in got])
     assert np.allclose(back, sorted(centres.tolist()), atol=1.5)
-    one = cluster.fit_per_group(df, ["u", "v"], 3, ["g"]).first()
-    assert np.allclose(sorted(one["centres"]), sorted(centres.tolist()), atol=1.5)
+    twice = df.unionByName(df.withColumn("g", F.lit("h")).withColumn("u", F.col("u") + 500))
+    start = spark.createDataFrame([(g, [[20.0 + d, 180.0], [180.0 + d, 50.0], [100.0 + d, 100.0]], [1.0, 1.0])
+                                   for g, d in (("g", 0), ("h", 500))], "g string, centres array<array<double>>, scale array<double>")
+    for r in cluster.lloyd_by(twice, ["u", "v"], start, ["g"], 4).collect():
+        shift = np.array([500.0 if r["g"] == "h" else 0.0, 0.0])
+        assert np.allclose(sorted(r["centres"]), sorted((centres + shift).tolist()), atol=1.5)
 
 
 def test_empty_cluster_keeps_its_centre(spark):
@@ -395,15 +399,18 @@ def test_lines_need_a_straight_run(spark):
     assert got(road) and not got(dots)
 
 
-def test_model_failures_and_floods_give_empty_masks(spark):
+def test_model_failures_stop_and_floods_may_be_emptied(spark):
     a = painted((20, 20), [((0, 5, 0, 5), (0, 200, 0))])
     t = tiles.pixels_to_tiles(image(spark, a), ["r", "g", "b"], 10, dims(spark, 20, 20))
 
     def broken(rgb, prompt, threshold):
         raise RuntimeError("no model")
 
-    assert detect.mask_pixels(detect.segment_tiles(t, broken, "x", 0.1, 10, 2)).count() == 0
-    assert detect.mask_pixels(detect.segment_tiles(t, lambda rgb, p, th: np.ones(rgb.shape[:2]), "x", 0.1, 10, 2)).count() == 0
+    with pytest.raises(Exception, match="no model"):
+        detect.mask_pixels(detect.segment_tiles(t, broken, "x", 0.1, 10, 2)).count()
+    flood = lambda rgb, p, th: np.ones(rgb.shape[:2])
+    assert detect.mask_pixels(detect.segment_tiles(t, flood, "x", 0.1, 10, 2)).count() == 400
+    assert detect.mask_pixels(detect.segment_tiles(t, flood, "x", 0.1, 10, 2, max_share=0.5)).count() == 0
     assert detect.mask_pixels(detect.segment_tiles(t, lambda rgb, p, th: rgb[:, :, 1] > 150, "x", 0.1, 10, 2)).count() == 25
 
 
@@ -427,3 +434,21 @@ def test_strict_colour_and_cell_checks_fail_loudly(spark):
         df.select(geo.snapped_cell("lat", "lon")).collect()
     cell = spark.createDataFrame([(45, 6)], "lat int, lon int").select(geo.snapped_cell("lat", "lon").alias("c")).first()["c"]
     assert (cell["name"], cell["west"], cell["south"], cell["east"], cell["north"]) == ("N45E006", 6.0, 45.0, 7.0, 46.0)
+
+
+def test_samples_and_windows_differ_between_rasters(spark):
+    px = spark.range(10_000).select(F.format_string("r%d", "id").alias("raster_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("row"))
+    px = px.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    got = cluster.uniform_sample(px, 20_000).groupBy("raster_id").agg(F.count("*").alias("n")).agg(
+        F.count("*").alias("rasters"), F.max("n").alias("most")).first()
+    assert got["rasters"] > 8000 and got["most"] <= 12
+    sizes = spark.createDataFrame([(f"r{i}", 10_000, 10_000) for i in range(5)], "raster_id string, raster_h int, raster_w int")
+    w = [tuple(r) for r in cluster.sample_windows(sizes, grid=2).select("raster_id", "wr", "wc").collect()]
+    extra = [x for x in w if not {x[1], x[2]} <= {0, max(v[1] for v in w)}]
+    assert len({x[1:] for x in extra}) == len(extra) and len({x[1] - x[2] for x in extra}) > len(extra) * 0.9
+
+
+def test_index_over_a_byte_fails(spark):
+    px = spark.createDataFrame([("a", 0, 0, 300)], "raster_id string, row int, col int, cmix int")
+    with pytest.raises(Exception, match="does not fit"):
+        export.merge_index(px, ["raster_id", "row", "col"], F.lit(0)).collect()

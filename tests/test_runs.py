@@ -175,9 +175,9 @@ def test_cell_run(spark):
     index, hist = cell_run.run_cell(px, src, cfg, [(bld, "BM_CONCRETE", "shapefile"), (roads, "BM_ASPHALT", "shapefile")],
                                     mm.Options(tile=64, train_pixels=2000))
     n = {r["cmix"]: r["n_px"] for r in hist.collect()}
-    assert sum(n.values()) == 48 * 60 and n[2] == 4 * 20 and n[1] == 4 * 60 - 2 * 20 and {3, 5, 6} <= set(n)
+    assert sum(n.values()) == 400 * 400 and n[0] == 400 * 400 - 48 * 60 and n[2] == 4 * 20 and n[1] == 4 * 60 - 2 * 20 and {3, 5, 6} <= set(n)
     assert hist.agg(F.sum("pct")).first()[0] == pytest.approx(100.0)
-    assert index.count() == 48 * 60
+    assert index.count() == 400 * 400 and index.filter("cmix > 0").count() == 48 * 60
 
 
 def test_arrivals_are_scored_once(spark, tmp_path):
