@@ -70,7 +70,7 @@ def test_quality(spark, edge_docs, no_docs):
 
 
 def test_quality_rules_decide(spark):
-    prose = " ".join(f"the word{i} of and" for i in range(30))
+    prose = " ".join(f"the word{i} of thing{i}" for i in range(30))
     shout = " ".join(f"WORD{i}!!" for i in range(80))
     bars = " | ".join(f"the word{i}" for i in range(60))
     df = spark.createDataFrame([(1, prose), (2, shout), (3, bars)], "doc_id long, text string")
