@@ -104,13 +104,28 @@ def contract(edges: DataFrame, by: list[str]) -> DataFrame:
 
 
 def label_components(mask: DataFrame, by: list[str] | None = None, tile: int = 512,
-                     connectivity: int = 8) -> DataFrame:
-    """Set pixels with ``comp``, the lowest row-major position of their component."""
+                     connectivity: int = 8, with_node: bool = False) -> DataFrame:
+    """Set pixels with ``comp``, the lowest row-major position of their component.
+
+    ``with_node`` adds ``node``, the part of the component inside one tile.
+    """
     by = by or ["raster_id"]
     labels = cut_lineage(_tile_labels(mask, by, tile, connectivity))
     roots = contract(_border_edges(labels, by, tile, connectivity), by)
     out = labels.join(roots, [*by, "node"], "left")
-    return out.select(*by, "row", "col", F.coalesce("root", "node").alias("comp"))
+    return out.select(*by, "row", "col", F.coalesce("root", "node").alias("comp"), *(["node"] if with_node else []))
+
+
+def of_components(labels: DataFrame, wanted: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Pixels of the wanted components; ``labels`` come with ``node``.
+
+    Components are matched by their parts and pixels by the part they lie in, which is
+    no larger than a tile, so a component that holds most pixels is not a hot key.
+    """
+    by = by or ["raster_id"]
+    parts = labels.select(*by, "comp", "node").distinct()
+    inside = parts.join(wanted.select(*by, "comp"), [*by, "comp"], "left_semi").select(*by, "node")
+    return labels.join(inside, [*by, "node"], "left_semi").drop("node")
 
 
 def component_stats(labels: DataFrame, by: list[str] | None = None, extra: list[Column] | None = None) -> DataFrame:
@@ -160,7 +175,7 @@ def fill_holes(mask: DataFrame, background: DataFrame, height: Column, width: Co
     keep = background.select(*by, "row", "col", (
         (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == height - 1) | (F.col("col") == width - 1)
     ).alias("_edge"))
-    lab = label_components(background, by, tile, 4).join(keep, [*by, "row", "col"])
-    inner = lab.groupBy(*by, "comp").agg(F.max("_edge").alias("_edge")).filter(~F.col("_edge"))
-    holes = lab.drop("_edge").join(inner, [*by, "comp"], "left_semi")
+    lab = label_components(background, by, tile, 4, with_node=True)
+    inner = lab.join(keep, [*by, "row", "col"]).groupBy(*by, "comp").agg(F.max("_edge").alias("_edge")).filter(~F.col("_edge"))
+    holes = of_components(lab, inner, by)
     return mask.select(*by, "row", "col").unionByName(holes.select(*by, "row", "col"))

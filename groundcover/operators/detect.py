@@ -14,7 +14,7 @@ from ..functions import color
 from ..functions import predicates as P
 from ..schema import PIXEL_KEYS
 from . import kernels as K
-from .components import component_stats, label_components
+from .components import component_stats, label_components, of_components
 from .composite import area_average
 from .focal import morphology
 from .overlay import mask_union
@@ -120,7 +120,7 @@ def solidity(labels: DataFrame, by: list[str]) -> DataFrame:
 def _shape_filter(mask: DataFrame, px: DataFrame, kind: str, scene: int | Column | DataFrame, tile: int) -> DataFrame:
     """Keep components that pass the area, shape and colour rules of a feature."""
     by = ["raster_id"]
-    labels = label_components(mask, by, tile, 8)
+    labels = label_components(mask, by, tile, 8, with_node=True)
 
     def sized(cells: DataFrame) -> DataFrame:
         if not isinstance(scene, DataFrame):
@@ -139,12 +139,12 @@ def _shape_filter(mask: DataFrame, px: DataFrame, kind: str, scene: int | Column
     elif kind == "buildings":
         cells = sized(component_stats(labels, by)).filter(
             F.col("area").between(part(300, 0.0015), F.col("_scene") * 0.35) & (F.col("aspect") <= 7) & (F.col("fill") >= 0.35))
-        hull = solidity(labels.join(cells, [*by, "comp"], "left_semi"), by)
+        hull = solidity(of_components(labels, cells, by), by)
         keep = cells.join(hull, [*by, "comp"]).filter(F.col("area") / F.col("hull") >= 0.55)
     else:
         floor = part(400, 0.002) if kind == "trees" else part(800, 0.005)
         keep = sized(component_stats(labels, by)).filter(F.col("area") >= floor)
-    return labels.join(keep.select(*by, "comp"), [*by, "comp"], "left_semi").select(*PIXEL_KEYS)
+    return of_components(labels, keep, by).select(*PIXEL_KEYS)
 
 
 CLEANUP = {

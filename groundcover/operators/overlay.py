@@ -12,7 +12,7 @@ from ..constants import (CLASS_RGB, CLASSES, INCOMPATIBLE, OVERLAY_CANDIDATES, O
 from ..functions import color
 from ..functions.predicates import incompatible
 from ..schema import PIXEL_KEYS
-from .components import label_components, vetoed_components
+from .components import label_components, of_components, vetoed_components
 
 Mask = tuple[DataFrame, tuple[int, int, int]]
 
@@ -64,10 +64,10 @@ def surviving_mask(mask: DataFrame, original: DataFrame, material: str, source:
     """
     threshold = VETO_THRESHOLDS.get(source, VETO_DEFAULT)
     names = [n for n in INCOMPATIBLE.get(material, ()) if n in kmeans_rgb]
-    labels = label_components(mask, ["raster_id"], tile, 8)
+    labels = label_components(mask, ["raster_id"], tile, 8, with_node=True)
     bad = original.filter(incompatible("r", "g", "b", [kmeans_rgb[n] for n in names]))
     table = vetoed_components(labels, bad, threshold)
-    keep = labels.join(table.filter(~F.col("vetoed")), ["raster_id", "comp"], "left_semi")
+    keep = of_components(labels, table.filter(~F.col("vetoed")))
     return keep.select(*PIXEL_KEYS), table
 
 
