@@ -200,3 +200,53 @@ def test_arrivals_are_scored_once(spark, tmp_path):
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert stats.cut_lineage(spark.range(3)).count() == 3
     assert CLASS_RGB["BM_WATER"] == (28, 107, 160)
+
+
+def test_manifest_run_in_tiles(spark, tmp_path):
+    """From a manifest to the written pair: only new files are read again, finished runs are not repeated."""
+    from groundcover.plans import tile_run
+    step, h, w = 1 / 400, 48, 60
+    for name in ("a/high.tif", "b/low.tif"):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_bytes(b"x")
+    text = ('[geocell]\nsouth_lat = 33\nwest_lon = 35\n[[layers]]\nfolder = "a"\npriority = 1\n[[layers]]\nfolder = "b"\npriority = 2\n'
+            '[output]\npath = "out"\n')
+    (tmp_path / "cell.toml").write_text(text)
+    cfg = cell_run.load_config(str(tmp_path / "cell.toml"))
+    low, high = scene(1), scene(2)
+    high[:, :, 30:] = 0
+    asked = []
+
+    def read_headers(found):
+        asked.append(found.count())
+        return found.select("path", "size", "mtime", "priority", F.lit(4326).alias("epsg"), F.lit(w).alias("width"), F.lit(h).alias("height"),
+                            F.lit(35.0 + 10 * step).alias("west"), F.lit(34.0 - 20 * step).alias("north"),
+                            F.lit(step).alias("xres"), F.lit(step).alias("yres"))
+
+    def read_tiles(sources):
+        paths = {p.rsplit("/", 1)[1]: p for p in (r["path"] for r in sources.select("path").collect())}
+        both = [tiles.pixels_to_tiles(image(spark, a, paths[n]), ["r", "g", "b"], 16, dims(spark, h, w, paths[n]))
+                for n, a in (("high.tif", high), ("low.tif", low)) if n in paths]
+        return both[0].unionByName(both[1])
+
+    opts = mm.Options(tile=64)
+    _, model = given_model(spark, image(spark, scene(1), "a"), opts)
+    index, hist = tile_run.run_manifest(spark, cfg, read_headers, read_tiles, opts=opts, model=model)
+    n = {r["cmix"]: r["n_px"] for r in hist.collect()}
+    assert sum(n.values()) == 400 * 400 and n[0] == 400 * 400 - h * w and {3, 5, 6} <= set(n)
+    px = tiles.tiles_to_pixels(index, ["cmix"], drop_blank=True)
+    assert px.count() == h * w and asked == [2]
+    assert spark.read.text(str(tmp_path / "out/materials")).filter("value like '%Composite_Material index%'").count() == 7
+    tile_run.run_manifest(spark, cfg, read_headers, read_tiles, opts=opts, model=model)
+    assert asked == [2]
+    (tmp_path / "a/high.tif").write_bytes(b"xyz")
+    with pytest.raises(FileExistsError):
+        tile_run.run_manifest(spark, cfg, read_headers, read_tiles, opts=opts, model=model)
+    (tmp_path / "cell.toml").write_text(text + "overwrite = true\n")
+    again = cell_run.load_config(str(tmp_path / "cell.toml"))
+    mask = tiles.pixels_to_tiles(px.filter("row between 30 and 33").withColumn("raster_id", F.lit("cell")).withColumn("m", F.lit(1)),
+                                 ["m"], 64, dims(spark, 400, 400, "cell"))
+    rid = index.first()["raster_id"]
+    _, hist = tile_run.run_manifest(spark, again, read_headers, read_tiles, [(mask.withColumn("raster_id", F.lit(rid)), "BM_ASPHALT")], opts, model)
+    n = {r["cmix"]: r["n_px"] for r in hist.collect()}
+    assert asked == [2, 1] and n[1] == 4 * w and sum(n.values()) == 400 * 400
