@@ -54,6 +54,8 @@ FOLDS, HELD_OUT, CURVE = 4, 2, 3
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Words scored at a time, and pairs a training task holds before it adds them up.
 BLOCK, PAIRS_HELD = 400_000, 2_000_000
+#: Places of a table that travel as one row.
+PLACES = 8192
 _TABLES = {"word": (0, 1 << WORD_BITS), "stem": (1, 1 << STEM_BITS), "context": (2, 1 << WORD_BITS),
            "follow": (3, 1 << WORD_BITS), "pair": (4, PAIR_PLACES)}
 
@@ -160,6 +162,19 @@ def count_tables(train: DataFrame) -> DataFrame:
         F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
+def dense(counts: DataFrame) -> DataFrame:
+    """(table, block, counts): the tables in blocks of ``PLACES`` places, two 32-bit counts each."""
+    def run(rows: pa.Table) -> pa.Table:
+        out, place = np.zeros((PLACES, 2), dtype="<i4"), rows.column("place").to_numpy() % PLACES
+        for c, name in enumerate(("ordinary", "toxic")):
+            out[place, c] = np.minimum(rows.column(name).to_numpy(), 2**31 - 1)
+        return pa.table({"table": rows.column("table")[:1], "block": rows.column("block")[:1],
+                         "counts": pa.array([out.tobytes()], pa.binary())})
+
+    blocked = counts.withColumn("block", F.floor(F.col("place") / PLACES).cast("int"))
+    return blocked.groupBy("table", "block").applyInArrow(run, "table int, block int, counts binary")
+
+
 class Models:
     """Both models over the same tables; class 0 is ordinary, 1 toxic."""
 
@@ -274,14 +289,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = sample_labels(labels, id_col, label_col, max_rows)
     rows = docs.select(F.col(id_col).alias("_lid"), F.col(text_col).alias("text"), fold(id_col).alias("_fold"))
     rows = rows.filter(F.col("_fold") != HELD_OUT).join(F.broadcast(chosen), "_lid")  # at most max_rows labels
-    found = count_tables(rows.filter(F.col("_fold") != CURVE)).toPandas()  # bounded by the table sizes
-    tables = {}
-    for name, (number, places) in _TABLES.items():
-        part = found[found["table"] == number]
-        x = np.zeros((places, 2), dtype=np.int32)
-        x[part["place"].to_numpy(), 0] = np.minimum(part["ordinary"].to_numpy(), 2**31 - 1)
-        x[part["place"].to_numpy(), 1] = np.minimum(part["toxic"].to_numpy(), 2**31 - 1)
-        tables[name] = x
+    tables = {n: np.zeros((places, 2), dtype=np.int32) for n, (_, places) in _TABLES.items()}
+    names = {number: n for n, (number, _) in _TABLES.items()}
+    # the blocks of all tables together hold about fifteen megabytes, whatever the input
+    for r in dense(count_tables(rows.filter(F.col("_fold") != CURVE))).collect():
+        part = np.frombuffer(r["counts"], dtype="<i4").reshape(-1, 2)
+        x = tables[names[r["table"]]]
+        x[r["block"] * PLACES:(r["block"] + 1) * PLACES] = part[:len(x) - r["block"] * PLACES]
     if not tables["word"][:, 0].any() or not tables["word"][:, 1].any():
         return None
     scorer = Scorer(spark.sparkContext.broadcast(tables), None)
