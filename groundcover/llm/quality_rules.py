@@ -62,6 +62,11 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_marks", "n_
             "n_repeat_words")
 
 
+def _once(value: Column) -> Column:
+    """The same value, marked so that filters on it stay above it and do not repeat the measuring."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the measures of a text to its row.
 
@@ -97,8 +102,8 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumn("_starts", F.sort_array(F.transform(F.filter("_sorted", again), lambda x: x["i"])))
     covered = F.aggregate(F.transform("_starts", lambda p, i: F.least(
         F.lit(3), F.coalesce(F.get("_starts", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    return step.select(*[F.col(f"`{c}`") for c in kept], *[m for m in MEASURES if m != "n_repeat_words"],
-                       F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return step.select(*[F.col(f"`{c}`") for c in kept], *[_once(F.col(m)).alias(m) for m in MEASURES if m != "n_repeat_words"],
+                       _once(F.coalesce(covered, F.lit(0)).cast("long")).alias("n_repeat_words"))
 
 
 def rate(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 50,
