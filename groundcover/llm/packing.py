@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,64 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 WIDTH, END_ID, VOCABULARY = 1024, 2, "byte_bpe_50k.json"
-#: Words whose ids a worker keeps, and the longest word that is kept.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+#: Words whose ids a worker keeps, and the longest that is kept.
+CACHE_WORDS, CACHE_CHARS = 700_000, 48
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _MIXED = re.compile(r"\s | \s")
+#: Marks that the pattern takes in one run and parts from letters; the apostrophe is not one of them.
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+
+
+def _alphabet() -> dict[int, str]:
+    """Byte-level vocabularies write visible Latin-1 characters as they are and number the other bytes from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_ALPHABET = _alphabet()
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _letters(word: str) -> bool:
+    """Latin letters only: one piece of the pattern."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
+class _Words(dict):
+    """Ids of words, found at their first use; ``space`` stands before each of them."""
+
+    def __init__(self, encoder: Encoder, space: str):
+        super().__init__()
+        self.encoder, self.space = encoder, space
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.find(word)
+        if len(word) <= CACHE_CHARS:
+            self[word] = ids
+        return ids
+
+    def find(self, word: str) -> bytes:
+        """Put together from letters, trailing marks and single line ends where a word consists of these."""
+        if _letters(word):
+            return self.encoder.merged(self.space + word)
+        core = word.rstrip(_MARKS)
+        if _letters(core):
+            return self[core] + self.encoder.marks(word[len(core):])
+        first, *lines = word.split("\n")
+        if lines and len(word.split()) == len(lines) + 1:
+            return b"".join([self[first], *[x for line in lines for x in (self.encoder.line_end, self.encoder.bare[line])]])
+        return self.encoder.whole(self.space + word)
+
+    def trim(self) -> None:
+        """Drops what was added first, once there is too much."""
+        if len(self) > CACHE_WORDS:
+            newest = list(islice(self.items(), len(self) - CACHE_WORDS // 2, None))
+            self.clear()
+            self.update(newest)
 
 
 class Encoder:
@@ -57,7 +113,9 @@ class Encoder:
         path = vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary)
         self.tok = Tokenizer.from_file(str(path))
         self.tok.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.model = self.tok.model
+        self.words, self.bare, self.tails = _Words(self, " "), _Words(self, ""), {}
+        self.line_end = self.merged("\n")
 
     @classmethod
     def open(cls, vocabulary: str) -> Encoder:
@@ -66,9 +124,20 @@ class Encoder:
             cls._open[vocabulary] = cls(vocabulary)
         return cls._open[vocabulary]
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tok.encode_batch(pieces, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return _bytes(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def merged(self, piece: str) -> bytes:
+        """Ids of one piece of the pattern: the merges alone, on the vocabulary's byte alphabet."""
+        written = piece.encode().decode("latin-1").translate(_ALPHABET)
+        return _bytes([t.id for t in self.model.tokenize(written)])
+
+    def marks(self, tail: str) -> bytes:
+        if len(tail) > 2:
+            return self.merged(tail)
+        if tail not in self.tails:
+            self.tails[tail] = self.merged(tail)
+        return self.tails[tail]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
@@ -77,16 +146,9 @@ class Encoder:
             rest = [r[1:] for r in rest]
         else:
             first, *rest = text.split(" ")
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list(set(rest).difference(self.known))
-        if new:
-            self.known.update(zip(new, self._ids([" " + w for w in new])))
-        out = b"".join([self._ids([first])[0], *map(self.known.__getitem__, rest)])
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del self.known[w]
-        return out
+        self.words.trim()
+        self.bare.trim()
+        return b"".join([self.whole(first), *map(self.words.__getitem__, rest)])
 
 
 def cut(df: DataFrame, id_col: str, text_col: str, width: int, end_id: int, vocabulary: str,
@@ -101,7 +163,7 @@ def cut(df: DataFrame, id_col: str, text_col: str, width: int, end_id: int, voca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.open(vocabulary), TaskContext.get().partitionId()
-        end, seen = np.array([end_id], dtype="<u4").tobytes(), np.zeros(width + 1, dtype=np.int64)
+        end, seen = _bytes([end_id]), np.zeros(width + 1, dtype=np.int64)
         for batch in batches:
             src, rows = [], {c: [] for c in ("piece", "start", "length", "ids_crc32", "place", "ids")}
             for i, text in enumerate(batch.column(1)):
