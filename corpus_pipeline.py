@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundcover.llm import chosen_path, mixing, packing, quality_rules, toxicity
-from groundcover.llm.common import read
+from groundcover.llm.common import if_few, read
 from groundcover.llm.store import written
 from groundcover.session import cut_lineage
 
@@ -32,7 +32,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that share an id are one document; rows without an id stay.
     """
     found = cut_lineage(chosen_path.near_duplicates(docs).filter("doc_id IS NOT NULL"))
-    kept = docs.join(found.filter("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    dropped = cut_lineage(found.filter("NOT kept").select("doc_id").distinct())
+    kept = docs.join(if_few(dropped), "doc_id", "left_anti")
     repeated = cut_lineage(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if not repeated.isEmpty():
         once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])

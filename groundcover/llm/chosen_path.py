@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..operators.components import contract
 from ..session import cut_lineage
 from .blocks import Union, block_pairs, grouped, sorted_groups
-from .common import join_counted
+from .common import if_few, join_counted
 from .store import written
 
 COORDS, DEPTH, MISS = 64, 4, 0.001
@@ -266,7 +266,7 @@ def verified(clusters: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFram
                             vs.append(int(rep[a + i + 1 + j]))
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    wanted = clusters.select("rep").distinct()
+    wanted = if_few(cut_lineage(clusters.select("rep").distinct()))
     full = docs.join(wanted, docs["id"] == wanted["rep"]).select("rep", "text")
     full = full.dropDuplicates(["rep", "text"]).mapInArrow(with_sets, "rep long, shingles binary")
     rows = block_pairs(clusters, ["cluster"], "size", "place", BLOCK).select("group", "rep", "_own").join(full, "rep")

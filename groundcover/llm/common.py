@@ -45,3 +45,12 @@ def join_counted(rows: DataFrame, facts: DataFrame, on: list[str], count: str, h
     marked = rows.join(F.broadcast(hot.select(*on, F.struct(*made).alias("_hot"))), on, "left")
     usual = marked.filter("_hot IS NULL").drop("_hot").join(facts.filter(F.col(count) <= limit), on, how)
     return marked.filter("_hot IS NOT NULL").select(*rows.columns, "_hot.*").unionByName(usual)
+
+
+#: Ids sent to all tasks at most: some tens of megabytes.
+FEW_IDS = 500_000
+
+
+def if_few(ids: DataFrame, limit: int = FEW_IDS) -> DataFrame:
+    """Marks one column of ids for broadcast when there are no more than ``limit``; else it joins by shuffle."""
+    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
