@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 WIDTH, END_ID, VOCABULARY = 1024, 2, "byte_bpe_50k.json"
-#: Words whose ids a worker keeps, and the longest that is kept.
-CACHE_WORDS, CACHE_CHARS = 700_000, 48
+#: Words whose ids a worker keeps, and the longest word and run of marks that is kept.
+CACHE_WORDS, CACHE_CHARS, CACHE_TAIL = 700_000, 48, 8
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _MIXED = re.compile(r"\s | \s")
 #: Marks that the pattern takes in one run and parts from letters; the apostrophe is not one of them.
@@ -133,9 +133,11 @@ class Encoder:
         return _bytes([t.id for t in self.model.tokenize(written)])
 
     def marks(self, tail: str) -> bytes:
-        if len(tail) > 2:
+        if len(tail) > CACHE_TAIL:
             return self.merged(tail)
         if tail not in self.tails:
+            if len(self.tails) > CACHE_WORDS // 10:
+                self.tails.clear()
             self.tails[tail] = self.merged(tail)
         return self.tails[tail]
 
