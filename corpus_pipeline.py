@@ -14,16 +14,29 @@ from groundcover.session import cut_lineage
 ORACLE_SQL = None
 
 
+KEYS = ("doc_id", "text", "source")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """Columns the operators read, and all others in one struct, so their names cannot clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in KEYS]
+    return docs.select(*KEYS, F.struct(*rest, F.lit(0).alias("_none")).alias("_rest"))
+
+
+def _unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c) if c in KEYS else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit."""
     scorer = toxicity.learn(docs, read(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, scorer)
-    return scored.filter(F.col("score") < toxicity.REJECT).select(docs.columns)
+    scored = toxicity.score(_packed(docs), scorer)
+    return _unpacked(scored.filter(F.col("score") < toxicity.REJECT), docs)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that every quality rule keeps."""
-    return quality_rules.rate(docs).filter("kept").select(docs.columns)
+    return _unpacked(quality_rules.rate(_packed(docs)).filter("kept"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +56,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mixing.mix(docs, mixing.word_count(F.col("text")))
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(docs.columns)
+    mixed = mixing.mix(_packed(docs), mixing.word_count(F.col("text")))
+    return _unpacked(mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
