@@ -12,9 +12,11 @@ counts that both classes share, with a weight that both share, so a rare
 expression says little either way. A word's ratio counts as far as it exceeds the
 text's median ratio by more than chance would; the mean of that over the text is
 what the curve reads, beside the plain mean.
-Pairs, words and stems are counted in hash tables of fixed size: Spark adds the
-counts of all tasks, and the model that is sent to the tasks has a size that does
-not depend on the input.
+Pairs, words and stems are counted by 64-bit hashes in Spark tables that grow with the
+vocabulary, so unrelated ones do not share a count. The model is a table of log-likelihood
+ratios by these hashes, without those that follow from the level below. Up to ``FEW_ENTRIES``
+entries are sent to all tasks; more are joined to the distinct words and pairs of blocks of
+texts, with frequent keys joined apart.
 
 Labels are a bounded sample: ``max_rows`` labelled rows, chosen by the hash of
 their id when there are more, so the labels can be broadcast and no text is
@@ -37,12 +39,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-WORD_BITS, STEM_BITS, STEM_LETTERS = 18, 16, 5
-#: A prime: pairs are placed by remainder.
-PAIR_PLACES = 1_048_573
+from ..session import cut_lineage
+from .common import join_counted
+from .store import written
+
+STEM_LETTERS = 5
 #: Taken off every count and given to the level below: what occurs once or twice is evidence of nothing.
 DISCOUNT = 2
 CHANCE = 2.0
@@ -54,22 +61,39 @@ FOLDS, HELD_OUT, CURVE = 4, 2, 3
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Words scored at a time, and pairs a training task holds before it adds them up.
 BLOCK, PAIRS_HELD = 400_000, 2_000_000
-#: Places of a table that travel as one row.
-PLACES = 8192
-_TABLES = {"word": (0, 1 << WORD_BITS), "stem": (1, 1 << STEM_BITS), "context": (2, 1 << WORD_BITS),
-           "follow": (3, 1 << WORD_BITS), "pair": (4, PAIR_PLACES)}
+#: Entries of the model that are sent to all tasks at most; a larger model is joined.
+FEW_ENTRIES = 1_000_000
+#: Letters of the texts that look their entries up together when the model is joined.
+LOOK_UP = 4_000_000
+#: What an entry of the model is about.
+PAIR, WORD, STEM, CONTEXT = range(4)
+_U = np.uint64
 
 
 def fold(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)).cast("int")
 
 
-def _hash(values: pd.Index, bits: int) -> np.ndarray:
-    return (pd.util.hash_array(np.asarray(values, dtype=object), categorize=False) >> np.uint64(64 - bits)).astype(np.int64)
+def _hash(values: list[str] | np.ndarray) -> np.ndarray:
+    return pd.util.hash_array(np.asarray(values, dtype=object), categorize=False).view(np.int64)
+
 
+def _hash_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """What Spark's ``xxhash64`` gives for two long columns."""
+    p1, p2, p3, p4, p5 = (_U(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
+                                          0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << _U(n)) | (x >> _U(64 - n))
+    h = np.full(len(first), 42, dtype=_U)
+    for x in (first, second):
+        h = turn((h + p5 + _U(8)) ^ (turn(x.view(_U) * p2, 31) * p1), 27) * p1 + p4
+        h = (h ^ (h >> _U(33))) * p2
+        h = (h ^ (h >> _U(29))) * p3
+        h ^= h >> _U(32)
+    return h.view(np.int64)
 
-def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word, stem and preceding word of every token as hash places, and the number of tokens of each text."""
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words and of their stems, every token's place there, the word before it (0 for none), tokens by text."""
     words, sizes = [], []
     for t in texts:
         w = _WORDS.findall(t.lower())
@@ -78,15 +102,14 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     sizes = np.array(sizes, dtype=np.int64)
     if not words:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, sizes
+        return none, none, none, none, sizes
     codes, uniques = pd.factorize(np.array(words, dtype=object))
-    word = _hash(uniques, WORD_BITS)[codes]
-    stem = _hash([u[:STEM_LETTERS] for u in uniques], STEM_BITS)[codes]
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
+    word, stem = _hash(uniques), _hash([u[:STEM_LETTERS] for u in uniques])
+    before = np.empty(len(codes), dtype=np.int64)
+    before[1:] = word[codes[:-1]]
     starts = np.cumsum(sizes) - sizes
     before[starts[sizes > 0]] = 0
-    return word, stem, before, sizes
+    return word, stem, codes, before, sizes
 
 
 def _blocks(texts: Iterator[str]) -> Iterator[list[str]]:
@@ -102,94 +125,143 @@ def _blocks(texts: Iterator[str]) -> Iterator[list[str]]:
         yield run
 
 
-def _add_up(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    counts = np.zeros((len(keys), 2), dtype=np.int64)
-    np.add.at(counts, at, np.concatenate([c for _, c in held]))
-    return [(keys, counts)]
+def _add_up(held: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    """One entry of each key: (key, kind, a, b, toxic, ordinary)."""
+    key, *names, toxic, ordinary = (np.concatenate(x) for x in zip(*held))
+    key, first, at = np.unique(key, return_index=True, return_inverse=True)
+    sums = [np.bincount(at, weights=c, minlength=len(key)).astype(np.int64) for c in (toxic, ordinary)]
+    return [(key, *[x[first] for x in names], *sums)]
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) rows to counts of (stem, preceding word, word), added up within the task."""
+    """(text, toxic) rows to counts of (0, preceding word, word) and to (1, stem, word), added up within the task.
+
+    Texts with a null label count in neither class, but their pairs are there.
+    """
     held, size = [], 0
 
     def emit(parts):
-        (keys, counts), = _add_up(parts)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts[:, 1]), pa.array(counts[:, 0])],
-                                          ["key", "toxic", "ordinary"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0][1:]], ["kind", "a", "b", "toxic", "ordinary"])
 
     for batch in batches:
-        toxic = batch.column(1).to_pylist()
+        labels = np.array([-1 if x is None else x for x in batch.column(1).to_pylist()], dtype=np.int64)
         at = 0
         for run in _blocks(t.as_py() or "" for t in batch.column(0)):
-            word, stem, before, sizes = _tokens(run)
-            label = np.repeat(np.array(toxic[at:at + len(run)], dtype=np.int64), sizes)
+            word, stem, codes, before, sizes = _tokens(run)
+            label = np.repeat(labels[at:at + len(run)], sizes)
             at += len(run)
             if not len(word):
                 continue
-            key = (stem << 2 * WORD_BITS) | (before << WORD_BITS) | word
-            keys, n = np.unique(key << 1 | label, return_counts=True)
-            counts = np.zeros((len(keys), 2), dtype=np.int64)
-            counts[np.arange(len(keys)), keys & 1] = n
-            held.append((keys >> 1, counts))
-            size += len(keys)
+            after, none = word[codes], np.zeros(len(word), dtype=np.int64)
+            held += _add_up([(_hash_pairs(before, after), np.zeros(len(codes), dtype=np.int32), before, after, label == 1, label == 0)])
+            held.append((_hash_pairs(word, ~stem), np.ones(len(word), dtype=np.int32), stem, word, none, none))
+            size += len(held[-2][0]) + len(word)
             if size > PAIRS_HELD:
                 held = _add_up(held)
-                if len(held[0][0]) > PAIRS_HELD // 2:
+                size = len(held[0][0])
+                if size > PAIRS_HELD // 2:
                     yield emit(held)
-                    held = []
-                size = sum(len(k) for k, _ in held)
+                    held, size = [], 0
     if held:
-        yield emit(held)
+        yield emit(_add_up(held))
 
 
 def count_tables(train: DataFrame) -> DataFrame:
-    """Rows of (table, place, toxic, ordinary) from rows of (text, toxic): at most the sum of the table sizes."""
-    pairs = train.select("text", "toxic").mapInArrow(_count_pairs, "key long, toxic long, ordinary long")
-    pairs = pairs.groupBy("key").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"))
-    some = [(F.col(c) > 0).cast("long") for c in ("t", "o")]
-    both = [F.col("t"), F.col("o")]
-    low = (1 << WORD_BITS) - 1
-    word = F.col("key").bitwiseAND(low)
-    before = F.shiftright("key", WORD_BITS).bitwiseAND(low)
-    stem = F.shiftright("key", 2 * WORD_BITS)
-    pair = F.col("key") % PAIR_PLACES
-    off = [F.least(c, F.lit(DISCOUNT)) for c in both]
-    rows = [(0, word, some), (1, stem, some), (2, before, both), (3, before, off), (4, pair, both)]
-    every = F.array(*[F.struct(F.lit(t).alias("table"), p.alias("place"), v[0].alias("toxic"), v[1].alias("ordinary"))
-                      for t, p, v in rows])
-    return pairs.select(F.inline(every)).groupBy("table", "place").agg(
-        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-
-
-def dense(counts: DataFrame) -> DataFrame:
-    """(table, block, counts): the tables in blocks of ``PLACES`` places, two 32-bit counts each."""
-    def run(rows: pa.Table) -> pa.Table:
-        out, place = np.zeros((PLACES, 2), dtype="<i4"), rows.column("place").to_numpy() % PLACES
-        for c, name in enumerate(("ordinary", "toxic")):
-            out[place, c] = np.minimum(rows.column(name).to_numpy(), 2**31 - 1)
-        return pa.table({"table": rows.column("table")[:1], "block": rows.column("block")[:1],
-                         "counts": pa.array([out.tobytes()], pa.binary())})
-
-    blocked = counts.withColumn("block", F.floor(F.col("place") / PLACES).cast("int"))
-    return blocked.groupBy("table", "block").applyInArrow(run, "table int, block int, counts binary")
-
-
-class Models:
-    """Both models over the same tables; class 0 is ordinary, 1 toxic."""
-
-    def __init__(self, tables: dict[str, np.ndarray]):
-        self.t = {n: x.astype(np.float32) for n, x in tables.items()}
-        word, stem = self.t["word"], self.t["stem"]
-        self.word_all, self.stem_all = word.sum(1) + 1, stem.sum(1) + 1
-        shared = self.stem_all / self.stem_all.sum()
-        own, back = _discounted(stem)
-        self.stem = own + back * shared[:, None]
-        self.word, self.word_back = _discounted(word)
-        # contexts: counts above the discount, by class, and the part of all counts that was taken off
-        seen, off = self.t["context"], self.t["follow"]
-        self.kept = seen - off
-        self.context_back = off.sum(1) / np.maximum(seen.sum(1), 1)
+    """Counts by full hashes from rows of (text, toxic): (kind, key, other, toxic, ordinary, every, off, stem).
+
+    Words: distinct words before them, by class and in all texts. Contexts: counts above the
+    discount by class, all counts of both classes, and what is taken off. Pairs (``other`` is
+    the word): counts by class. Contexts and pairs of which the discount leaves nothing are left
+    out, because nothing is learnt from them.
+    """
+    pairs = train.select("text", "toxic").mapInArrow(_count_pairs, "kind int, a long, b long, toxic long, ordinary long")
+    pairs = pairs.groupBy("kind", "a", "b").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"))
+    t, o, zero = F.col("t"), F.col("o"), F.lit(0).cast("long")
+    off = [F.least(c, F.lit(DISCOUNT)) for c in (t, o)]
+
+    def row(kind, key, other, *counts, stem=F.lit(None).cast("long")):
+        names = ("toxic", "ordinary", "every", "off")
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), other.alias("other"),
+                        *[c.cast("long").alias(n) for c, n in zip(counts, names)], stem.alias("stem"))
+
+    pair = F.col("kind") == 0
+    every = F.array_compact(F.array(
+        F.when(pair, row(WORD, F.col("b"), zero, t > 0, o > 0, F.lit(1), zero)),
+        F.when(~pair, row(WORD, F.col("b"), zero, zero, zero, zero, zero, stem=F.col("a"))),
+        F.when(pair & (t + o > 0), row(CONTEXT, F.col("a"), zero, t - off[0], o - off[1], t + o, off[0] + off[1])),
+        F.when(pair & (F.greatest(t, o) > DISCOUNT), row(PAIR, F.col("a"), F.col("b"), t, o, zero, zero))))
+    counts = pairs.select(F.inline(every)).groupBy("kind", "key", "other").agg(
+        *[F.sum(c).alias(c) for c in ("toxic", "ordinary", "every", "off")], F.max("stem").alias("stem"))
+    return counts.filter((F.col("kind") != CONTEXT) | (F.col("toxic") + F.col("ordinary") > 0))
+
+
+def _left(c: str) -> Column:
+    return F.greatest(F.col(c) - DISCOUNT, F.lit(0))
+
+
+def _shares(counts: DataFrame, *more: Column) -> tuple[list[Column], float, list]:
+    """Shares of the counts above the discount, by class, the weight both classes leave to the level below, and more sums."""
+    sums = counts.agg(F.sum("ordinary"), F.sum("toxic"), F.sum(_left("ordinary")), F.sum(_left("toxic")), *more).first()
+    seen, kept = [x or 0 for x in sums[:2]], [x or 0 for x in sums[2:4]]
+    back = max(1 - sum(kept) / max(sum(seen), 1), 1e-3)
+    return [(1 - back) * _left(c) / max(k, 1) for c, k in zip(("ordinary", "toxic"), kept)], back, [seen, *sums[4:]]
+
+
+def log_ratios(train: DataFrame) -> DataFrame | None:
+    """The model: (kind, key, value) by 64-bit keys, as many as the texts have; None without texts of both classes.
+
+    ``value`` is the log-likelihood ratio of a pair, of a word alone and of a stem, and for a
+    context what it adds to its word when the pair has no entry. What is not there is 0 or
+    falls to the next level, exactly as if it were written out.
+    """
+    counts = written(count_tables(train), "toxicity-counts")
+    words = counts.filter(F.col("kind") == WORD)
+    own, word_back, (seen,) = _shares(words)
+    if not all(seen):
+        return None
+    stems = written(words.groupBy("stem").agg(
+        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), (F.sum("every") + 1).alias("stem_all"),
+        F.sum(F.expr("int(toxic + ordinary > 0)")).alias("n")), "toxicity-stems")
+    stem_own, stem_back, (_, total) = _shares(stems, F.sum("stem_all"))
+    stems = stems.select("stem", "stem_all", "n", (_left("toxic") + _left("ordinary") > 0).alias("some"),
+                         *[(x + stem_back * F.col("stem_all") / total).alias(f"s{c}") for c, x in enumerate(stem_own)])
+    inside = F.least((F.col("every") + 1) / F.col("stem_all"), F.lit(1.0))
+    words = join_counted(words.filter("toxic + ordinary > 0"), stems.filter("n > 0"), ["stem"], "n").select(
+        F.col("key").alias("word"), "every", (_left("toxic") + _left("ordinary") > 0).alias("some"),
+        *[(x + word_back * F.col(f"s{c}") * inside).alias(f"p{c}") for c, x in enumerate(own)])
+    words = written(words, "toxicity-words")
+    contexts = counts.filter(F.col("kind") == CONTEXT).select(
+        F.col("key").alias("before"), F.col("ordinary").alias("k0"), F.col("toxic").alias("k1"),
+        (F.col("off") / F.col("every")).alias("back"), F.col("every").alias("n"))
+    pairs = counts.filter(F.col("kind") == PAIR).select(F.col("key").alias("before"), F.col("other").alias("word"),
+                                                        F.col("ordinary").alias("o0"), F.col("toxic").alias("o1"))
+    pairs = join_counted(join_counted(pairs, words.drop("some"), ["word"], "every"), contexts, ["before"], "n")
+    with_own = [F.when(F.col(f"k{c}") > 0, (1 - F.col("back")) * F.greatest(F.col(f"o{c}") - DISCOUNT, F.lit(0))
+                       / F.col(f"k{c}") + F.col("back") * F.col(f"p{c}")).otherwise(F.col(f"p{c}")) for c in (0, 1)]
+    one = (F.col("k1") > 0).cast("int") - (F.col("k0") > 0).cast("int")
+    parts = [(PAIR, pairs, F.xxhash64("before", "word"), F.log(with_own[1] / with_own[0])),
+             (WORD, words.filter("some"), F.col("word"), F.log(F.col("p1") / F.col("p0"))),
+             (STEM, stems.filter("some"), F.col("stem"), F.log(F.col("s1") / F.col("s0"))),
+             (CONTEXT, contexts.filter(one != 0), F.col("before"), one * F.log("back"))]
+    out = [df.select(F.lit(k).alias("kind"), key.alias("key"), value.alias("value")) for k, df, key, value in parts]
+    return written(out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]), "toxicity-model")
+
+
+class Entries:
+    """Entries of the model, all or those that some texts need."""
+
+    def __init__(self, table: pa.Table):
+        kind, key, value = (table.column(c).to_numpy() for c in ("kind", "key", "value"))
+        order = np.lexsort((key, kind))
+        bounds = np.searchsorted(kind[order], range(5))
+        self.of = [(key[order[a:b]], value[order[a:b]]) for a, b in zip(bounds[:-1], bounds[1:])]
+
+    def get(self, kind: int, keys: np.ndarray, otherwise: np.ndarray | float = 0.0) -> np.ndarray:
+        names, values = self.of[kind]
+        if not len(names):
+            return np.zeros(len(keys)) + otherwise
+        at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+        return np.where(names[at] == keys, values[at], otherwise)
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """By text: mean log-likelihood ratio, its part beyond chance for pairs and for words alone, number of words.
@@ -198,26 +270,21 @@ class Models:
         subject put it; what exceeds it by no more than ``CHANCE`` may be an accident of
         the sample.
         """
-        word, stem, before, sizes = _tokens(texts)
+        word, stem, codes, before, sizes = _tokens(texts)
         out = np.zeros((len(texts), 4))
         out[:, 3] = sizes
         if not len(word):
             return out
-        inside = np.minimum(self.word_all[word] / self.stem_all[stem], 1.0)
-        pair = ((stem << 2 * WORD_BITS) | (before << WORD_BITS) | word) % PAIR_PLACES
-        back = self.context_back[before]
-        logs, alone = [], []
-        for c in (0, 1):
-            p = self.word[word, c] + self.word_back * self.stem[stem, c] * inside
-            alone.append(np.log(p))
-            kept = self.kept[before, c]
-            own = np.clip(self.t["pair"][pair, c] - DISCOUNT, 0, kept)
-            logs.append(np.log(np.where(kept > 0, (1 - back) * own / np.maximum(kept, 1) + back * p, p)))
-        text = np.repeat(np.arange(len(texts)), sizes)
-        some = sizes > 0
+        alone = self.get(WORD, word, self.get(STEM, stem))[codes]
+        first = np.concatenate([[0], word])
+        place = np.concatenate([[0], codes[:-1] + 1])
         starts = np.cumsum(sizes) - sizes
-        add = lambda x: np.add.reduceat(x.astype(np.float64), starts[some]) / sizes[some]
-        for i, ratio in ((1, logs[1] - logs[0]), (2, alone[1] - alone[0])):
+        some = sizes > 0
+        place[starts[some]] = 0
+        both = self.get(PAIR, _hash_pairs(before, word[codes]), alone + self.get(CONTEXT, first)[place])
+        text = np.repeat(np.arange(len(texts)), sizes)
+        add = lambda x: np.add.reduceat(x, starts[some]) / sizes[some]
+        for i, ratio in ((1, both), (2, alone)):
             order = np.lexsort((ratio, text))
             median = np.zeros(len(texts))
             median[some] = ratio[order[(starts + (sizes - 1) // 2)[some]]]
@@ -228,13 +295,6 @@ class Models:
         return out
 
 
-def _discounted(counts: np.ndarray) -> tuple[np.ndarray, float]:
-    """Shares of the counts above the discount, by class, and the weight both classes leave to the level below."""
-    kept = np.maximum(counts - DISCOUNT, 0)
-    back = max(float(1 - kept.sum() / max(counts.sum(), 1)), 1e-3)
-    return (1 - back) * kept / np.maximum(kept.sum(0), 1), back
-
-
 def _features(evidence: np.ndarray) -> np.ndarray:
     """Evidence per word, and what is beyond chance also against the length; all bounded."""
     mean, beyond, n = evidence[:, :1], evidence[:, 1:3], np.maximum(evidence[:, 3:], 1)
@@ -259,21 +319,32 @@ def fit_curve(evidence: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Scorer:
-    """What the tasks need to score; ``shared`` is a broadcast of the tables."""
-
-    shared: object
-    curve: np.ndarray | None
+    """The model, its entries as a broadcast table where they are few, and the curve."""
 
-    def models(self) -> Models:
-        with _LOCK:
-            if _OPEN.get("tables") is not self.shared.value:
-                _OPEN.update(tables=self.shared.value, models=Models(self.shared.value))
-            return _OPEN["models"]
+    model: DataFrame
+    shared: object | None
+    curve: np.ndarray | None = None
 
 
 _LOCK, _OPEN = threading.Lock(), {}
 
 
+def _opened(shared) -> Entries:
+    with _LOCK:
+        if _OPEN.get("table") is not shared.value:
+            _OPEN.update(table=shared.value, entries=Entries(shared.value))
+        return _OPEN["entries"]
+
+
+def _rated(entries: Entries, texts: Iterator[str], curve: np.ndarray | None) -> list:
+    """Scores of the texts; without a curve, their evidence."""
+    out = []
+    for run in _blocks(iter(texts)):
+        x = entries.evidence(run)
+        out += (x if curve is None else 1 / (1 + np.exp(-np.clip(_features(x) @ curve, -30, 30)))).tolist()
+    return out
+
+
 def sample_labels(labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> DataFrame:
     """One row per labelled id, about ``max_rows`` of them at most, chosen by hash."""
     rows = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(
@@ -285,53 +356,86 @@ def sample_labels(labels: DataFrame, id_col: str, label_col: str, max_rows: int)
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Scorer | None:
     """Models and curve from the labelled rows outside the held-out fold; None without both classes."""
-    spark = docs.sparkSession
     chosen = sample_labels(labels, id_col, label_col, max_rows)
     rows = docs.select(F.col(id_col).alias("_lid"), F.col(text_col).alias("text"), fold(id_col).alias("_fold"))
     rows = rows.filter(F.col("_fold") != HELD_OUT).join(F.broadcast(chosen), "_lid")  # at most max_rows labels
-    tables = {n: np.zeros((places, 2), dtype=np.int32) for n, (_, places) in _TABLES.items()}
-    names = {number: n for n, (number, _) in _TABLES.items()}
-    # the blocks of all tables together hold about fifteen megabytes, whatever the input
-    for r in dense(count_tables(rows.filter(F.col("_fold") != CURVE))).collect():
-        part = np.frombuffer(r["counts"], dtype="<i4").reshape(-1, 2)
-        x = tables[names[r["table"]]]
-        x[r["block"] * PLACES:(r["block"] + 1) * PLACES] = part[:len(x) - r["block"] * PLACES]
-    if not tables["word"][:, 0].any() or not tables["word"][:, 1].any():
+    model = log_ratios(rows.filter(F.col("_fold") != CURVE))
+    if model is None:
         return None
-    scorer = Scorer(spark.sparkContext.broadcast(tables), None)
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = scorer.models()
-        for b in batches:
-            at = 0
-            for run in _blocks(t.as_py() or "" for t in b.column(0)):
-                x = models.evidence(run)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T] + [b.column(1).slice(at, len(run))],
-                                                 ["mean", "pairs", "words", "size", "toxic"])
-                at += len(run)
-
-    unseen = rows.filter(F.col("_fold") == CURVE).select("text", F.col("toxic").cast("double"))
-    points = unseen.mapInArrow(weigh, "mean double, pairs double, words double, size double, toxic double").toPandas()  # at most max_rows
+    scorer = Scorer(model, None)
+    if model.count() <= FEW_ENTRIES:
+        scorer.shared = docs.sparkSession.sparkContext.broadcast(model.toArrow())
+    unseen = rows.filter(F.col("_fold") == CURVE).select("text", F.col("toxic").cast("double").alias("toxic"))
+    points = rated(unseen, scorer, "text", "evidence").toPandas()  # at most max_rows
     if points["toxic"].nunique() < 2:
         return None
-    scorer.curve = fit_curve(points[["mean", "pairs", "words", "size"]].to_numpy(), points["toxic"].to_numpy())
+    scorer.curve = fit_curve(np.array(points["evidence"].tolist()), points["toxic"].to_numpy())
     return scorer
 
 
-def score(df: DataFrame, scorer: Scorer | None, text_col: str = "text") -> DataFrame:
-    """Adds ``score``, the probability that a text is toxic."""
-    kept = [F.col(f"`{c}`") for c in df.columns if c != "score"]
-    if scorer is None:
-        return df.select(*kept, F.lit(0.0).alias("score"))
+def rated(df: DataFrame, scorer: Scorer, text_col: str, name: str) -> DataFrame:
+    """Adds the scores, or without a curve the evidence; a model that is not broadcast is joined."""
+    shared, curve = scorer.shared, scorer.curve
+    kind = "array<double>" if curve is None else "double"
+    if shared is None:
+        return _rated_by_join(df, scorer, text_col, name, kind)
 
-    @F.pandas_udf("double")
-    def rated(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        models = scorer.models()
+    @F.pandas_udf(kind)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        entries = _opened(shared)
         for texts in batches:
-            out = []
-            for run in _blocks(t or "" for t in texts):
-                x = _features(models.evidence(run)) @ scorer.curve
-                out.append(1 / (1 + np.exp(-np.clip(x, -30, 30))))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            yield pd.Series(_rated(entries, (t or "" for t in texts), curve), dtype=object if curve is None else float)
+
+    return df.withColumn(name, of(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def _rated_by_join(df: DataFrame, scorer: Scorer, text_col: str, name: str, kind: str) -> DataFrame:
+    """Texts in blocks of about ``LOOK_UP`` letters; each block meets the entries of its own words and pairs."""
+    curve = scorer.curve
+    with_block = StructType([*df.schema.fields, StructField("_block", LongType())])
 
-    return df.select(*kept, rated(F.coalesce(F.col(text_col), F.lit(""))).alias("score"))
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held = TaskContext.get().partitionId() << 40, 0
+        for b in batches:
+            sizes = pc.fill_null(pc.utf8_length(b.column(b.schema.get_field_index(text_col))), 0).to_numpy()
+            ends = held + np.cumsum(sizes, dtype=np.int64)
+            held = int(ends[-1]) if len(ends) else held
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first + ends // LOOK_UP)], [*b.schema.names, "_block"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block = b.column(1).to_numpy()
+            texts = [t.as_py() or "" for t in b.column(0)]
+            for n in np.unique(block):
+                for run in _blocks(texts[i] for i in np.flatnonzero(block == n)):
+                    word, stem, codes, before, _ = _tokens(run)
+                    if not len(word):
+                        continue
+                    pair = np.unique(_hash_pairs(before, word[codes]))
+                    first = np.concatenate([[0], word])
+                    parts = [(PAIR, pair), (WORD, word), (STEM, np.unique(stem)), (CONTEXT, first)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(sum(len(k) for _, k in parts), n)),
+                         pa.array(np.repeat(np.array([k for k, _ in parts], dtype=np.int32), [len(k) for _, k in parts])),
+                         pa.array(np.concatenate([k for _, k in parts]))], ["_block", "kind", "key"])
+
+    def run(texts: pa.Table, entries: pa.Table) -> pa.Table:
+        own = Entries(entries)
+        out = _rated(own, (t.as_py() or "" for t in texts.column(text_col)), curve)
+        made = pa.array(out, pa.list_(pa.float64()) if curve is None else pa.float64())
+        return texts.drop_columns(["_block"]).append_column(name, made)
+
+    rows = written(df.mapInArrow(number, with_block), "toxicity-blocks")
+    asked = written(rows.select(text_col, "_block").mapInArrow(keys, "_block long, kind int, key long").distinct(), "toxicity-keys")
+    facts = cut_lineage(asked.groupBy("kind", "key").agg(F.count("*").alias("n")).join(scorer.model, ["kind", "key"]))
+    found = join_counted(asked, facts, ["kind", "key"], "n").select("_block", "kind", "key", "value")
+    schema = StructType([*df.schema.fields, StructField(name, ArrayType(DoubleType()) if curve is None else DoubleType())])
+    return rows.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(run, schema)
+
+
+def score(df: DataFrame, scorer: Scorer | None, text_col: str = "text") -> DataFrame:
+    """Adds ``score``, the probability that a text is toxic."""
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "score"])
+    if scorer is None:
+        return kept.withColumn("score", F.lit(0.0))
+    return rated(kept, scorer, text_col, "score")

@@ -122,6 +122,44 @@ def test_toxicity_fold(spark):
     assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode()) % 4 for r in rows(df))
 
 
+def test_toxicity_counts_do_not_collide(spark):
+    train = [(" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{'xyz'[j % 3] * (1 + j)} w"
+                       for i in range(10_000) for _ in range(3)), j % 2) for j in range(31)]
+    counts = toxicity.count_tables(spark.createDataFrame(train, "text string, toxic int").repartition(4))
+    got = {(r["kind"], r["key"], r["other"]): r for r in counts.filter("kind <> 0").collect()}
+    words, pairs = Counter(), Counter()
+    for text, label in train:
+        w = text.split()
+        pairs.update(zip(["", *w], w, [label] * len(w)))
+    before = {}
+    for a, b, _ in pairs:
+        before.setdefault(b, set()).add(a)
+    assert len(before) > 1 << 18
+    key = dict(zip(before, toxicity._hash(list(before)).tolist()))
+    assert all(got[(toxicity.WORD, key[w], 0)]["every"] == len(x) for w, x in before.items())
+    assert sum(k[0] == toxicity.WORD for k in got) == len(before)
+
+
+def test_toxicity_pair_hash(spark):
+    pairs = np.random.default_rng(2).integers(-2**63, 2**63, (100, 2))
+    df = spark.createDataFrame(pairs.tolist(), "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h"))
+    a, b, h = (np.array(x) for x in zip(*df.collect()))
+    assert (toxicity._hash_pairs(a, b) == h).all()
+
+
+def test_toxicity_joined_model(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    sent = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
+    monkeypatch.setattr(toxicity, "FEW_ENTRIES", 0)
+    monkeypatch.setattr(toxicity, "LOOK_UP", 300_000)
+    scorer = toxicity.learn(docs, labels)
+    joined = toxicity.score(docs, scorer)
+    assert scorer.shared is None and joined.columns == [*docs.columns, "score"]
+    joined = {r["doc_id"]: r["score"] for r in joined.collect()}
+    assert joined.keys() == sent.keys() and all(abs(joined[i] - sent[i]) < 1e-9 for i in sent)
+
+
 # packing
 
 def whole(text):
