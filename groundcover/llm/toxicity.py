@@ -18,10 +18,12 @@ ratios by these hashes, without those that follow from the level below. Up to ``
 entries are sent to all tasks; more are joined to the distinct words and pairs of blocks of
 texts, with frequent keys joined apart.
 
-Labels are a bounded sample: ``max_rows`` labelled rows, chosen by the hash of
-their id when there are more, so the labels can be broadcast and no text is
-shuffled. Only the text is scored; labels, ids, sources and languages are not
-inputs.
+Class counts are over every labelled row outside the held-out fold; the counts that both
+classes share, and the weights that lead to them, over all documents, labelled or not. Only the
+points of the curve are a bounded sample: at most about ``max_rows`` labelled rows of its fold,
+chosen by the hash of their id. The curve is fitted with models that leave these out, the scores
+are from models that count them too. Few labels are broadcast. Only the text is scored;
+labels, ids, sources and languages are not inputs.
 
 Defined cases: a null text counts as empty; a text without letters has the score
 of the curve at zero evidence; ids labelled twice count as toxic if any label
@@ -46,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..session import cut_lineage
-from .common import join_counted
+from .common import if_few, join_counted
 from .store import written
 
 STEM_LETTERS = 5
@@ -125,23 +127,27 @@ def _blocks(texts: Iterator[str]) -> Iterator[list[str]]:
         yield run
 
 
+#: Counts of a pair: in texts that every model counts, by class, in those that make the curve's points, and in all texts.
+COUNTS = ("ordinary", "toxic", "ordinary_point", "toxic_point", "n")
+
+
 def _add_up(held: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
-    """One entry of each key: (key, kind, a, b, toxic, ordinary)."""
-    key, *names, toxic, ordinary = (np.concatenate(x) for x in zip(*held))
+    """One entry of each key: (key, kind, a, b, counts)."""
+    key, kind, a, b, *counts = (np.concatenate(x) for x in zip(*held))
     key, first, at = np.unique(key, return_index=True, return_inverse=True)
-    sums = [np.bincount(at, weights=c, minlength=len(key)).astype(np.int64) for c in (toxic, ordinary)]
-    return [(key, *[x[first] for x in names], *sums)]
+    sums = [np.bincount(at, weights=c, minlength=len(key)).astype(np.int64) for c in counts]
+    return [(key, kind[first], a[first], b[first], *sums)]
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) rows to counts of (0, preceding word, word) and to (1, stem, word), added up within the task.
+    """(text, label) rows to counts of (0, preceding word, word) and to (1, stem, word), added up within the task.
 
-    Texts with a null label count in neither class, but their pairs are there.
+    ``label`` is the place in ``COUNTS``; texts without one count in neither class.
     """
     held, size = [], 0
 
     def emit(parts):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0][1:]], ["kind", "a", "b", "toxic", "ordinary"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0][1:]], ["kind", "a", "b", *COUNTS])
 
     for batch in batches:
         labels = np.array([-1 if x is None else x for x in batch.column(1).to_pylist()], dtype=np.int64)
@@ -153,9 +159,10 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(word):
                 continue
             after, none = word[codes], np.zeros(len(word), dtype=np.int64)
-            held += _add_up([(_hash_pairs(before, after), np.zeros(len(codes), dtype=np.int32), before, after, label == 1, label == 0)])
-            held.append((_hash_pairs(word, ~stem), np.ones(len(word), dtype=np.int32), stem, word, none, none))
-            size += len(held[-2][0]) + len(word)
+            held += _add_up([(_hash_pairs(before, after), np.zeros(len(codes), dtype=np.int32), before, after,
+                              *[label == c for c in range(4)], np.ones(len(codes)))])
+            size += len(held[-1][0]) + len(word)
+            held.append((_hash_pairs(word, ~stem), np.ones(len(word), dtype=np.int32), stem, word, *[none] * 5))
             if size > PAIRS_HELD:
                 held = _add_up(held)
                 size = len(held[0][0])
@@ -167,74 +174,75 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_tables(train: DataFrame) -> DataFrame:
-    """Counts by full hashes from rows of (text, toxic): (kind, key, other, toxic, ordinary, every, off, stem).
+    """Counts by full hashes from rows of (text, label): (kind, key, other, o0, t0, o1, t1, every, off, stem).
 
-    Words: distinct words before them, by class and in all texts. Contexts: counts above the
-    discount by class, all counts of both classes, and what is taken off. Pairs (``other`` is
-    the word): counts by class. Contexts and pairs of which the discount leaves nothing are left
-    out, because nothing is learnt from them.
+    o0 and t0 leave out the curve's points, o1 and t1 are over all labelled texts. Words: distinct
+    words before them, by class and in all texts. Contexts: counts above the discount by class,
+    counts in all texts, and what is taken off of these. Pairs (``other`` is the word): counts by
+    class. Contexts and pairs of which the discount leaves no class anything are left out,
+    because nothing is learnt from them.
     """
-    pairs = train.select("text", "toxic").mapInArrow(_count_pairs, "kind int, a long, b long, toxic long, ordinary long")
-    pairs = pairs.groupBy("kind", "a", "b").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"))
-    t, o, zero = F.col("t"), F.col("o"), F.lit(0).cast("long")
-    off = [F.least(c, F.lit(DISCOUNT)) for c in (t, o)]
+    pairs = train.select("text", "label").mapInArrow(_count_pairs, "kind int, a long, b long, " + ", ".join(f"{c} long" for c in COUNTS))
+    pairs = pairs.groupBy("kind", "a", "b").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    classes = [F.col("ordinary"), F.col("toxic"), F.col("ordinary") + F.col("ordinary_point"), F.col("toxic") + F.col("toxic_point")]
+    zero, names = F.lit(0).cast("long"), ("o0", "t0", "o1", "t1", "every", "off")
 
     def row(kind, key, other, *counts, stem=F.lit(None).cast("long")):
-        names = ("toxic", "ordinary", "every", "off")
         return F.struct(F.lit(kind).alias("kind"), key.alias("key"), other.alias("other"),
                         *[c.cast("long").alias(n) for c, n in zip(counts, names)], stem.alias("stem"))
 
-    pair = F.col("kind") == 0
+    pair, above = F.col("kind") == 0, [F.greatest(c - DISCOUNT, zero) for c in classes]
     every = F.array_compact(F.array(
-        F.when(pair, row(WORD, F.col("b"), zero, t > 0, o > 0, F.lit(1), zero)),
-        F.when(~pair, row(WORD, F.col("b"), zero, zero, zero, zero, zero, stem=F.col("a"))),
-        F.when(pair & (t + o > 0), row(CONTEXT, F.col("a"), zero, t - off[0], o - off[1], t + o, off[0] + off[1])),
-        F.when(pair & (F.greatest(t, o) > DISCOUNT), row(PAIR, F.col("a"), F.col("b"), t, o, zero, zero))))
+        F.when(pair, row(WORD, F.col("b"), zero, *[c > 0 for c in classes], F.lit(1), zero)),
+        F.when(~pair, row(WORD, F.col("b"), zero, *[zero] * 6, stem=F.col("a"))),
+        F.when(pair, row(CONTEXT, F.col("a"), zero, *above, F.col("n"), F.least(F.col("n"), F.lit(DISCOUNT)))),
+        F.when(pair & (F.greatest(*above) > 0), row(PAIR, F.col("a"), F.col("b"), *classes, zero, zero))))
     counts = pairs.select(F.inline(every)).groupBy("kind", "key", "other").agg(
-        *[F.sum(c).alias(c) for c in ("toxic", "ordinary", "every", "off")], F.max("stem").alias("stem"))
-    return counts.filter((F.col("kind") != CONTEXT) | (F.col("toxic") + F.col("ordinary") > 0))
+        *[F.sum(c).alias(c) for c in names], F.max("stem").alias("stem"))
+    return counts.filter((F.col("kind") != CONTEXT) | (F.col("o1") + F.col("t1") > 0))
 
 
 def _left(c: str) -> Column:
     return F.greatest(F.col(c) - DISCOUNT, F.lit(0))
 
 
-def _shares(counts: DataFrame, *more: Column) -> tuple[list[Column], float, list]:
-    """Shares of the counts above the discount, by class, the weight both classes leave to the level below, and more sums."""
-    sums = counts.agg(F.sum("ordinary"), F.sum("toxic"), F.sum(_left("ordinary")), F.sum(_left("toxic")), *more).first()
-    seen, kept = [x or 0 for x in sums[:2]], [x or 0 for x in sums[2:4]]
-    back = max(1 - sum(kept) / max(sum(seen), 1), 1e-3)
-    return [(1 - back) * _left(c) / max(k, 1) for c, k in zip(("ordinary", "toxic"), kept)], back, [seen, *sums[4:]]
+def _shares(counts: DataFrame, every: str, *more: Column) -> tuple[list[Column], float, list]:
+    """Shares of the counts above the discount, by class, the weight left to the level below (as all texts have it), and more sums."""
+    sums = counts.agg(F.sum(every), F.sum(_left(every)), F.sum(_left("ordinary")), F.sum(_left("toxic")), *more).first()
+    seen, left, *kept = [x or 0 for x in sums]
+    back = max(1 - left / max(seen, 1), 1e-3)
+    return [(1 - back) * _left(c) / max(k, 1) for c, k in zip(("ordinary", "toxic"), kept)], back, kept[2:]
 
 
-def log_ratios(train: DataFrame) -> DataFrame | None:
+def log_ratios(counts: DataFrame, points: bool) -> DataFrame | None:
     """The model: (kind, key, value) by 64-bit keys, as many as the texts have; None without texts of both classes.
 
-    ``value`` is the log-likelihood ratio of a pair, of a word alone and of a stem, and for a
-    context what it adds to its word when the pair has no entry. What is not there is 0 or
-    falls to the next level, exactly as if it were written out.
+    With ``points``, the class counts have the curve's points too. ``value`` is the log-likelihood
+    ratio of a pair, of a word alone and of a stem, and for a context what it adds to its word when
+    the pair has no entry. What is not there is 0 or falls to the next level, exactly as if it were
+    written out.
     """
-    counts = written(count_tables(train), "toxicity-counts")
+    counts = counts.withColumnsRenamed({f"o{int(points)}": "ordinary", f"t{int(points)}": "toxic"})
     words = counts.filter(F.col("kind") == WORD)
-    own, word_back, (seen,) = _shares(words)
+    own, word_back, seen = _shares(words, "every", F.sum("ordinary"), F.sum("toxic"))
     if not all(seen):
         return None
     stems = written(words.groupBy("stem").agg(
-        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), (F.sum("every") + 1).alias("stem_all"),
+        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.sum("every").alias("every"),
         F.sum(F.expr("int(toxic + ordinary > 0)")).alias("n")), "toxicity-stems")
-    stem_own, stem_back, (_, total) = _shares(stems, F.sum("stem_all"))
-    stems = stems.select("stem", "stem_all", "n", (_left("toxic") + _left("ordinary") > 0).alias("some"),
-                         *[(x + stem_back * F.col("stem_all") / total).alias(f"s{c}") for c, x in enumerate(stem_own)])
+    stem_own, stem_back, (total,) = _shares(stems, "every", F.sum(F.col("every") + 1))
+    stems = stems.select("stem", (F.col("every") + 1).alias("stem_all"), "n", (_left("toxic") + _left("ordinary") > 0).alias("some"),
+                         *[(x + stem_back * (F.col("every") + 1) / total).alias(f"s{c}") for c, x in enumerate(stem_own)])
     inside = F.least((F.col("every") + 1) / F.col("stem_all"), F.lit(1.0))
     words = join_counted(words.filter("toxic + ordinary > 0"), stems.filter("n > 0"), ["stem"], "n").select(
         F.col("key").alias("word"), "every", (_left("toxic") + _left("ordinary") > 0).alias("some"),
         *[(x + word_back * F.col(f"s{c}") * inside).alias(f"p{c}") for c, x in enumerate(own)])
     words = written(words, "toxicity-words")
-    contexts = counts.filter(F.col("kind") == CONTEXT).select(
+    contexts = counts.filter((F.col("kind") == CONTEXT) & (F.col("ordinary") + F.col("toxic") > 0)).select(
         F.col("key").alias("before"), F.col("ordinary").alias("k0"), F.col("toxic").alias("k1"),
         (F.col("off") / F.col("every")).alias("back"), F.col("every").alias("n"))
     pairs = counts.filter(F.col("kind") == PAIR).select(F.col("key").alias("before"), F.col("other").alias("word"),
-                                                        F.col("ordinary").alias("o0"), F.col("toxic").alias("o1"))
+                                                        F.col("ordinary").alias("o0"), F.col("toxic").alias("o1")).filter(F.greatest("o0", "o1") > DISCOUNT)
     pairs = join_counted(join_counted(pairs, words.drop("some"), ["word"], "every"), contexts, ["before"], "n")
     with_own = [F.when(F.col(f"k{c}") > 0, (1 - F.col("back")) * F.greatest(F.col(f"o{c}") - DISCOUNT, F.lit(0))
                        / F.col(f"k{c}") + F.col("back") * F.col(f"p{c}")).otherwise(F.col(f"p{c}")) for c in (0, 1)]
@@ -325,6 +333,11 @@ class Scorer:
     shared: object | None
     curve: np.ndarray | None = None
 
+    @classmethod
+    def of(cls, model: DataFrame, curve: np.ndarray | None = None) -> Scorer:
+        few = model.count() <= FEW_ENTRIES
+        return cls(model, model.sparkSession.sparkContext.broadcast(model.toArrow()) if few else None, curve)
+
 
 _LOCK, _OPEN = threading.Lock(), {}
 
@@ -345,32 +358,42 @@ def _rated(entries: Entries, texts: Iterator[str], curve: np.ndarray | None) ->
     return out
 
 
-def sample_labels(labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> DataFrame:
-    """One row per labelled id, about ``max_rows`` of them at most, chosen by hash."""
+def label_rows(labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> DataFrame:
+    """(id, toxic, for the curve): every labelled id outside the held-out fold once.
+
+    About ``max_rows`` rows of the curve's fold, chosen by hash, make its points; all others are counted.
+    """
     rows = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(
         F.col(id_col).alias("_lid")).agg(F.max(label_col).cast("int").alias("toxic"))
-    total = max(rows.count(), 1)
-    return rows.filter(F.pmod(F.xxhash64("_lid", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1, max_rows / total)))
+    rows = cut_lineage(rows.withColumn("_fold", fold("_lid")).filter(F.col("_fold") != HELD_OUT))
+    part = min(1, max_rows / max(rows.filter(F.col("_fold") == CURVE).count(), 1))
+    sampled = F.pmod(F.xxhash64("_lid", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * part)
+    return rows.select("_lid", "toxic", ((F.col("_fold") == CURVE) & sampled).alias("_curve"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Scorer | None:
-    """Models and curve from the labelled rows outside the held-out fold; None without both classes."""
-    chosen = sample_labels(labels, id_col, label_col, max_rows)
-    rows = docs.select(F.col(id_col).alias("_lid"), F.col(text_col).alias("text"), fold(id_col).alias("_fold"))
-    rows = rows.filter(F.col("_fold") != HELD_OUT).join(F.broadcast(chosen), "_lid")  # at most max_rows labels
-    model = log_ratios(rows.filter(F.col("_fold") != CURVE))
+    """Models and curve; None without both classes.
+
+    Class counts are over all labelled rows but the held-out fold, and the counts that both classes
+    share over all documents. The curve is fitted with models that have not seen its points.
+    """
+    chosen = label_rows(labels, id_col, label_col, max_rows)
+    texts = docs.select(F.col(id_col).alias("_lid"), F.col(text_col).alias("text"))
+    # a null id has no label: kept out of the join, where all of them would meet in one task
+    known = texts.filter("_lid IS NOT NULL").join(if_few(chosen), "_lid", "left")
+    label = F.col("toxic") + F.when(F.col("_curve"), 2).otherwise(0)
+    counts = written(count_tables(known.select("text", label.alias("label")).unionByName(
+        texts.filter("_lid IS NULL").select("text", F.lit(None).cast("int").alias("label")))), "toxicity-counts")
+    model = log_ratios(counts, points=False)
     if model is None:
         return None
-    scorer = Scorer(model, None)
-    if model.count() <= FEW_ENTRIES:
-        scorer.shared = docs.sparkSession.sparkContext.broadcast(model.toArrow())
-    unseen = rows.filter(F.col("_fold") == CURVE).select("text", F.col("toxic").cast("double").alias("toxic"))
-    points = rated(unseen, scorer, "text", "evidence").toPandas()  # at most max_rows
+    unseen = texts.join(F.broadcast(chosen.filter("_curve")), "_lid").select("text", F.col("toxic").cast("double").alias("toxic"))
+    points = rated(unseen, Scorer.of(model), "text", "evidence").toPandas()  # about max_rows, and so are the broadcast labels
     if points["toxic"].nunique() < 2:
         return None
-    scorer.curve = fit_curve(np.array(points["evidence"].tolist()), points["toxic"].to_numpy())
-    return scorer
+    curve = fit_curve(np.array(points["evidence"].tolist()), points["toxic"].to_numpy())
+    return Scorer.of(log_ratios(counts, points=True), curve)
 
 
 def rated(df: DataFrame, scorer: Scorer, text_col: str, name: str) -> DataFrame:

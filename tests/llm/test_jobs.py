@@ -125,7 +125,7 @@ def test_toxicity_fold(spark):
 def test_toxicity_counts_do_not_collide(spark):
     train = [(" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{'xyz'[j % 3] * (1 + j)} w"
                        for i in range(10_000) for _ in range(3)), j % 2) for j in range(31)]
-    counts = toxicity.count_tables(spark.createDataFrame(train, "text string, toxic int").repartition(4))
+    counts = toxicity.count_tables(spark.createDataFrame(train, "text string, label int").repartition(4))
     got = {(r["kind"], r["key"], r["other"]): r for r in counts.filter("kind <> 0").collect()}
     words, pairs = Counter(), Counter()
     for text, label in train:
@@ -140,6 +140,20 @@ def test_toxicity_counts_do_not_collide(spark):
     assert sum(k[0] == toxicity.WORD for k in got) == len(before)
 
 
+def test_toxicity_counts_all_rows(spark):
+    docs = spark.createDataFrame([(i, "rare word" if i % 3 else "other word") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    scorer = toxicity.learn(docs, labels, max_rows=10)
+    assert scorer is not None
+    chosen = {r["_lid"]: r["_curve"] for r in toxicity.label_rows(labels, "doc_id", "toxic", 10).collect()}
+    assert set(chosen) == {i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2} and 0 < sum(chosen.values()) < 30
+    rows_ = docs.select("text", F.when(F.col("doc_id") < 200, F.col("doc_id") % 2).cast("int").alias("label"))
+    got = {(r["kind"], r["key"], r["other"]): r for r in toxicity.count_tables(rows_).collect()}
+    rare, word = toxicity._hash(["rare", "word"]).tolist()
+    assert got[(toxicity.CONTEXT, rare, 0)]["every"] == 266 and got[(toxicity.CONTEXT, rare, 0)]["off"] == 2
+    assert got[(toxicity.PAIR, rare, word)]["t1"] == sum(i % 3 > 0 and i % 2 for i in range(200))
+
+
 def test_toxicity_pair_hash(spark):
     pairs = np.random.default_rng(2).integers(-2**63, 2**63, (100, 2))
     df = spark.createDataFrame(pairs.tolist(), "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h"))
