@@ -58,12 +58,17 @@ class Union:
 
 
 def block_pairs(rows: DataFrame, key: list[str], size: str, index: str, block: int) -> DataFrame:
-    """Sends every row to each pair of blocks it has a part in; one group is at most two blocks."""
+    """Sends every row to each pair of blocks it has a part in; one group is about two blocks at most.
+
+    Rows are dealt to blocks by a hash, so no pattern of ids fills one of them. ``_across`` marks
+    groups of two blocks, whose rows are compared across these only.
+    """
     n = F.ceil(F.col(size) / block).cast("int")
-    own = F.pmod(F.col(index), n).cast("int")
+    own = F.pmod(F.xxhash64(index), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(own, j).alias("p"),
                                                                        F.greatest(own, j).alias("q")))
     out = rows.withColumn("_own", own).withColumn("_pair", F.explode(pairs))
+    out = out.withColumn("_across", F.col("_pair.p") != F.col("_pair.q"))
     return out.withColumn("group", F.xxhash64(*key, "_pair.p", "_pair.q")).drop("_pair")
 
 

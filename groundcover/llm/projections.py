@@ -125,16 +125,16 @@ def links(members: DataFrame, reps: DataFrame, dtype: str, cosine: float, sides:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in grouped(batches, "group"):
             rep, own, copies, repeat = (table.column(c).to_numpy() for c in ("rep", "_own", "copies", "repeat"))
+            two = table.column("_across").to_pylist()
             vector, out = table.column("vector").combine_chunks(), ([], [], [])
             for a, b in zip(at[:-1], at[1:]):
                 x = _matrix(vector.slice(a, b - a), dtype)
                 names, on_lines = _cells(x, sides, repeats), x @ _lines(2, x.shape[1], LINES)
-                across = own[a] != own[a:b].min() or own[a] != own[a:b].max()
                 found, union = np.zeros(b - a, dtype=np.int64), Union(b - a)
                 for i in range(b - a - 1):
                     hits = (np.abs(on_lines[i + 1:] - on_lines[i]) <= half).sum(axis=1)
                     j = i + 1 + np.flatnonzero(hits >= least)
-                    if across:
+                    if two[a]:
                         j = j[own[a + j] != own[a + i]]
                     # met in an earlier repetition: counted there
                     j = j[~(names[j, :repeat[a]] == names[i, :repeat[a]]).any(axis=1)]
@@ -152,7 +152,7 @@ def links(members: DataFrame, reps: DataFrame, dtype: str, cosine: float, sides:
                 out[2].extend(found[some].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["u", "v", "n"])
 
-    rows = block_pairs(members, ["cell"], "size", "rep", BLOCK).select("group", "rep", "_own", "repeat")
+    rows = block_pairs(members, ["cell"], "size", "rep", BLOCK).select("group", "rep", "_own", "_across", "repeat")
     return sorted_groups(rows.join(reps.select("rep", "vector", "copies"), "rep"), run, "u long, v long, n long")
 
 

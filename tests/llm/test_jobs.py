@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from groundcover.llm import chosen_path, packing, projections, toxicity, warc
+from groundcover.llm import blocks, chosen_path, packing, projections, toxicity, warc
 from groundcover.llm.common import join_counted
 from groundcover.llm.queries import QUERIES
 from groundcover.llm.store import written
@@ -343,6 +343,16 @@ def test_near_vectors(spark, monkeypatch, block):
     assert rows(projections.near_vectors(df.limit(0))) == []
 
 
+def test_near_vectors_with_gaps_in_the_ids(spark):
+    rng = np.random.default_rng(8)
+    data = [(2 * i, (np.ones(8) + 0.001 * rng.standard_normal(8)).tolist()) for i in range(1500)]
+    got = rows(projections.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")))
+    assert {r["n_links"] for r in got} == {1499} and {r["component_id"] for r in got} == {0}
+    members = spark.createDataFrame([(i[0], 1500) for i in data], "rep long, size long")
+    groups = blocks.block_pairs(members, ["size"], "size", "rep", 1024).groupBy("group", "_across", "_own").count().collect()
+    assert len({r["group"] for r in groups}) == 3 and all(600 < r["count"] < 900 for r in groups)
+
+
 def test_recall_at_the_threshold(spark):
     rng, data = np.random.default_rng(7), []
     for x in rng.standard_normal((600, 32)):
