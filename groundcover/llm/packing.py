@@ -100,19 +100,23 @@ class Encoder:
 
     The vocabulary's pattern never joins a space that follows a character and
     precedes another one to what stands before it. Texts can be cut there, and the
-    ids of a word with its leading space looked up.
+    ids of a word with its leading space looked up. With ``added``, as jobs use it, a text
+    that holds one of the vocabulary's added tokens is encoded as a whole, which finds it
+    there; without, such a token is text like any other.
     """
 
     _open: dict[str, Encoder] = {}
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
         path = vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary)
         self.tok = Tokenizer.from_file(str(path))
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not added
+        found = [t.content for t in self.tok.get_added_tokens_decoder().values() if added or not t.special]
+        self.added = re.compile("|".join(map(re.escape, found))) if found else None
         self.model = self.tok.model
         self.words, self.bare, self.tails = _Words(self, " "), _Words(self, ""), {}
         self.line_end = self.merged("\n")
@@ -121,7 +125,7 @@ class Encoder:
     def open(cls, vocabulary: str) -> Encoder:
         """One encoder per worker and vocabulary."""
         if vocabulary not in cls._open:
-            cls._open[vocabulary] = cls(vocabulary)
+            cls._open[vocabulary] = cls(vocabulary, added=True)
         return cls._open[vocabulary]
 
     def whole(self, text: str) -> bytes:
@@ -143,6 +147,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
+        if self.added and self.added.search(text):
+            return self.whole(text)
         if _MIXED.search(text):
             first, *rest = _CUT.split(text)
             rest = [r[1:] for r in rest]

@@ -192,6 +192,18 @@ def test_encoder():
         assert enc.encode(t) == whole(t)[:-1].tobytes(), t
 
 
+def test_added_tokens_are_found(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  z", "a <|endoftext| > b", "plain words here"]
+    got = rows(packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True))
+    want = {i: np.array(tok.encode(t, add_special_tokens=False).ids + [2], dtype="<u4").tobytes() for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["ids"] for r in got} == want
+    assert np.frombuffer(want[0], dtype="<u4").tolist() == [64, 220, 50256, 275, 2]
+
+
 def test_fullest_is_best():
     rng = np.random.default_rng(3)
     for _ in range(200):
