@@ -6,8 +6,8 @@ with all sets in one node; every node draws which coordinates to branch on, one
 and now and then a second, about 1 / similarity on average, and a set goes to the child named by its token there.
 Sets that resemble each other stay together. Nodes that are small enough, or as deep
 as ``DEPTH``, are compared exhaustively: first on minwise tokens, and what may be
-similar on the full sets, which alone decide. Independent trees are repeated until a pair
-at the threshold is missed with probability ``MISS`` at most. The first tree joins most groups; later
+similar on the full sets, which alone decide. Trees, which share the coordinates but draw
+on their own, are repeated until a pair at the threshold is missed with probability ``MISS`` at most. The first tree joins most groups; later
 ones compare only sets that are not connected yet, so a large group of near copies
 costs a spanning set of links and not all its pairs. No comparison is left out:
 nodes with more sets than a task takes are compared block by block.
@@ -55,9 +55,24 @@ _SEEDS = _mix(np.arange(1, COORDS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
 
 
 def trees_needed(similarity: float) -> int:
-    """Independent trees after which a pair at the threshold is missed with probability ``MISS`` at most."""
-    stays = 1 - (1 - similarity) * (1 - (1 / similarity - 1) * similarity)
-    return math.ceil(math.log(MISS) / math.log(1 - stays ** DEPTH))
+    """Trees after which a pair at the threshold is missed with probability ``MISS`` at most.
+
+    All trees branch on the same coordinates, so the miss is averaged over how many of these agree.
+    """
+    trees = 1
+    while missed(similarity, trees) > MISS:
+        trees += 1
+    return trees
+
+
+def missed(similarity: float, trees: int) -> float:
+    """Probability that no tree keeps a pair at the threshold together down to ``DEPTH``."""
+    total = 0.0
+    for same in range(COORDS + 1):
+        share = same / COORDS
+        stays = 1 - (1 - share) * (1 - (1 / similarity - 1) * share)
+        total += math.comb(COORDS, same) * similarity ** same * (1 - similarity) ** (COORDS - same) * (1 - stays ** DEPTH) ** trees
+    return total
 
 
 def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:

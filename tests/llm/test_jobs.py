@@ -286,6 +286,13 @@ def near_copies(seed=5):
     return list(enumerate(out)) + [(None, out[0]), (None, "only here and there")]
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_trees_allow_for_shared_coordinates(similarity):
+    same = np.random.default_rng(9).binomial(chosen_path.COORDS, similarity, 400_000) / chosen_path.COORDS
+    stays = 1 - (1 - same) * (1 - (1 / similarity - 1) * same)
+    assert ((1 - stays ** chosen_path.DEPTH) ** chosen_path.trees_needed(similarity)).mean() <= 1.1 * chosen_path.MISS
+
+
 @pytest.mark.parametrize(("k", "pct", "node", "block"), [(3, 85, 1024, 256), (5, 80, 4, 3)])
 def test_near_texts(spark, monkeypatch, k, pct, node, block):
     monkeypatch.setattr(chosen_path, "NODE", node)
