@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .filter_audit import FILTERS, ORDERS
 from .license_scan import TEMPLATES
 from .quality_rules import RULES, STOP_WORDS
 from .shard_tree import tree
@@ -140,3 +141,28 @@ def shard_sql(shards: int = 16, base: int = 16) -> str:
     SELECT doc_id, size, text_crc32, 'key' AS law, s.i AS shard, row_number() OVER (PARTITION BY s.i
       ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, g.i AS grown_shard
     FROM f JOIN shard{shards} s USING (key) JOIN shard{shards + 1} g USING (key)"""
+
+
+def audit_sql() -> str:
+    steps = ", ".join(f"('{o}', {i + 1}, {1 << FILTERS.index(f)}, {sum(1 << FILTERS.index(x) for x in o[:i])})"
+                      for o in ORDERS for i, f in enumerate(o))
+    here = "bits & own <> 0 AND bits & before = 0"
+    return rf"""WITH step(filter_order, step, own, before) AS (VALUES {steps}),
+    d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+      regexp_extract_all(coalesce(text, ''), '{WS}') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+    f AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+      + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+      + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+      + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+      + CASE WHEN first < doc_id THEN 16 ELSE 0 END AS bits FROM d),
+    l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+    c AS (SELECT part, bits, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY part, bits)
+    SELECT part, filter_order, step, coalesce(sum(n) FILTER (bits & (before | own) = 0), 0)::BIGINT AS kept,
+      coalesce(sum(n) FILTER ({here}), 0)::BIGINT AS removed,
+      coalesce(sum(n) FILTER (bits & own <> 0 AND bits & before <> 0), 0)::BIGINT AS redundant,
+      coalesce(sum(n) FILTER (bits = own), 0)::BIGINT AS unique_fails,
+      coalesce(sum(good) FILTER ({here}), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER ({here}), 0)::BIGINT AS toxic_lost,
+      coalesce(sum(n * 120 // greatest(bit_count(bits), 1)) FILTER (bits & own <> 0), 0)::BIGINT AS shapley
+    FROM c CROSS JOIN step GROUP BY part, filter_order, step"""
