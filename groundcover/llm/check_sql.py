@@ -166,3 +166,25 @@ def audit_sql() -> str:
       coalesce(sum(good) FILTER ({here}), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER ({here}), 0)::BIGINT AS toxic_lost,
       coalesce(sum(n * 120 // greatest(bit_count(bits), 1)) FILTER (bits & own <> 0), 0)::BIGINT AS shapley
     FROM c CROSS JOIN step GROUP BY part, filter_order, step"""
+
+
+PHRASES = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+    p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS w FROM d),
+    g AS (SELECT lang, w, unnest(range(len(w))) AS i FROM p),
+    f AS (SELECT lang, 1 AS size, w[i + 1] AS phrase, count(*) AS n FROM g GROUP BY ALL
+      UNION ALL SELECT lang, 2, w[i + 1] || ' ' || w[i + 2], count(*) FROM g WHERE i + 2 <= len(w) GROUP BY ALL HAVING count(*) >= 10
+      UNION ALL SELECT lang, 3, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3], count(*) FROM g WHERE i + 3 <= len(w)
+        GROUP BY ALL HAVING count(*) >= 10),
+    c AS (SELECT lang, size, phrase, n AS a, unnest(range(1, size)) AS k, string_split(phrase, ' ') AS s FROM f WHERE size > 1),
+    x AS (SELECT c.*, l.n AS l, r.n AS r, ((1000000::HUGEINT * a * a) // (l.n::HUGEINT * r.n))::BIGINT AS score FROM c
+      JOIN f l ON l.lang = c.lang AND l.size = k AND l.phrase = array_to_string(s[1:k], ' ')
+      JOIN f r ON r.lang = c.lang AND r.size = c.size - k AND r.phrase = array_to_string(s[k + 1:], ' ')),
+    b AS (SELECT lang, phrase, size, a, s, arg_min({'l': l, 'r': r, 'score': score}, score * 10 + k) AS best FROM x GROUP BY ALL),
+    i AS (SELECT lang, unnest([s[1] || ' ' || s[2], s[2] || ' ' || s[3]]) AS phrase, a FROM b WHERE size = 3),
+    m AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY ALL),
+    k AS (SELECT b.lang, b.phrase, a, best FROM b LEFT JOIN m ON size = 2 AND m.lang = b.lang AND m.phrase = b.phrase
+      WHERE longer IS NULL OR 100 * longer < 50 * a),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY best.score DESC, a DESC, phrase) AS rank FROM k),
+    t AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang)
+    SELECT lang, rank, phrase, a, best.l AS l, best.r AS r, n, best.score AS score FROM o JOIN t USING (lang) WHERE rank <= 2000"""

@@ -10,6 +10,7 @@ from . import (
     chat_format,
     check_sql,
     chosen_path,
+    collocations,
     filter_audit,
     license_scan,
     mixing,
@@ -81,11 +82,16 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_warc_chunks, op3_toxicity, op4_pack_sequences, op5_projections, op6_quality_rules,
-    op7_chosen_path, op8_mix_sources, op9_chat_format, op10_shard_tree, op12_filter_audit)}
+    op7_chosen_path, op8_mix_sources, op9_chat_format, op10_shard_tree, op12_filter_audit,
+    op13_collocations)}
 
 ORACLES = {"op1_license_scan": check_sql.license_sql(), "op2_warc_chunks": check_sql.WARC,
            "op6_quality_rules": check_sql.quality_sql(),
            "op8_mix_sources": check_sql.MIXING, "op9_chat_format": check_sql.CHAT, "op10_shard_tree": check_sql.shard_sql(),
-           "op12_filter_audit": check_sql.audit_sql()}
+           "op12_filter_audit": check_sql.audit_sql(), "op13_collocations": check_sql.PHRASES}
