@@ -10,6 +10,7 @@ from . import (
     chat_format,
     check_sql,
     chosen_path,
+    class_lm,
     collocations,
     filter_audit,
     license_scan,
@@ -78,6 +79,11 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.place(read(spark, sf_dir, "documents"))
 
 
+def op11_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = class_lm.rate(read(spark, sf_dir, "documents"))
+    return rated.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -88,7 +94,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_warc_chunks, op3_toxicity, op4_pack_sequences, op5_projections, op6_quality_rules,
-    op7_chosen_path, op8_mix_sources, op9_chat_format, op10_shard_tree, op12_filter_audit,
+    op7_chosen_path, op8_mix_sources, op9_chat_format, op10_shard_tree, op11_class_lm, op12_filter_audit,
     op13_collocations)}
 
 ORACLES = {"op1_license_scan": check_sql.license_sql(), "op2_warc_chunks": check_sql.WARC,
