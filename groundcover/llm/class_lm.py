@@ -13,7 +13,7 @@ Transitions are smoothed by class totals. Emissions give a discount, n1 / (n1 +
 words not seen in training, class by class; after such a word, transitions are those of words seen once. So the
 probabilities of all known words, the end and one unknown word add up to 1 after any history, as those of the base model do.
 
-Up to ``FEW`` distinct words: words are numbered by frequency and broadcast; bigrams are dealt once, as
+Up to ``FEW`` distinct words (and ``FEW_TOKENS`` tokens): words are numbered by frequency and broadcast; bigrams are dealt once, as
 compressed blocks, to where their words' decisions are made, and a round moves one byte a word. With more
 words, rounds are joins of bigrams and classes that give each word its at most ``CLASSES`` neighbouring
 classes, and texts are joined to the words they use, block by block.
@@ -43,12 +43,13 @@ from .store import written
 #: Classes, among them that of the end token, and rounds in which half of the words may move.
 CLASSES, ROUNDS = 64, 8
 FOLDS, HELD_OUT = 5, 1
-#: Words that are broadcast at most: 13 bytes each.
-FEW = 8_000_000
+#: Words that are broadcast at most, 16 bytes each, and tokens whose bigrams are dealt by word: of more, one
+#: frequent word's bigrams would keep a task too long.
+FEW, FEW_TOKENS = 8_000_000, 2_000_000_000
 #: Counts from which a word's gain is taken exactly; tokens' weight that class totals have in transitions.
 HEAVY, BACK = 1000, 20.0
-#: Bytes of text counted at a time, distinct bigrams a task holds, words whose decisions one block takes.
-RUN_BYTES, HELD, BLOCK_WORDS = 4_000_000, 2_000_000, 50_000
+#: Bytes of text counted at a time, distinct bigrams a task holds, words whose decisions one block takes and their tokens on average.
+RUN_BYTES, HELD, BLOCK_WORDS, BLOCK_TOKENS = 4_000_000, 2_000_000, 50_000, 4_000_000
 #: The end token: no UTF-8 text holds this byte.
 END = b"\xff"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -123,8 +124,9 @@ def moved(before: np.ndarray, after: np.ndarray, n: np.ndarray, own: np.ndarray,
         here[own[i]] = True
         lower = counts - np.where(here[None, :], before[i][:, None], 0) - np.where(here[:, None], after[i][None, :], 0)
         lower, left = np.maximum(lower, 0).astype(float), np.maximum(totals - here * n[i], 0)
-        gain[i] = ((_f(lower + before[i][:, None]) - _f(lower)).sum(0) + (_f(lower.T + after[i][:, None]) - _f(lower.T)).sum(0)
-                   - 2 * (_f(left + n[i]) - _f(left)))
+        same, b, a = lower.diagonal(), before[i], after[i]
+        gain[i] = ((_f(lower + b[:, None]) - _f(lower)).sum(0) + (_f(lower.T + a[:, None]) - _f(lower.T)).sum(0)
+                   + _f(same + a + b) + _f(same) - _f(same + a) - _f(same + b) - 2 * (_f(left + n[i]) - _f(left)))
     gain[:, 0] = -np.inf
     return gain.argmax(1)
 
@@ -150,31 +152,39 @@ class Vocabulary:
         return cls(key[order][by_key], by_key.astype(np.int32), n[order])
 
     def number(self, key: np.ndarray) -> np.ndarray:
-        return self.ranks[np.searchsorted(self.sorted_keys, key)]
+        return self.ranks[find(self.sorted_keys, key)[0]]
 
 
 def _packed(word: np.ndarray, other: np.ndarray, n: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
     """By block of words: (word in block, neighbour, count) as compressed bytes of sorted steps and of numbers."""
-    order = np.lexsort((word, word % blocks))
-    word, other, n = word[order], other[order], n[order].astype(np.uint32)
-    at = np.searchsorted(word % blocks, np.arange(blocks + 1))
+    place = word % blocks << 32 | word // blocks
+    order = np.argsort(place)
+    place, other, n = place[order], other[order], n[order].astype(np.uint32)
+    at, place = np.searchsorted(place, np.arange(blocks + 1) << 32), place & 0xFFFFFFFF
     squeeze = zstandard.ZstdCompressor(level=1)
     for b in np.flatnonzero(np.diff(at)).tolist():
         part = slice(at[b], at[b + 1])
-        columns = [np.diff(word[part] // blocks, prepend=0), other[part], n[part]]
-        planes = np.stack([c.astype(np.uint32) for c in columns]).view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1)
-        yield b, squeeze.compress(np.ascontiguousarray(planes).tobytes())
+        columns = [c.astype(np.uint32) for c in (np.diff(place[part], prepend=0), other[part], n[part])]
+        wide = bytes(max(1, (int(c.max()).bit_length() + 7) // 8) for c in columns)  # bytes that a column needs
+        planes = [c.view(np.uint8).reshape(-1, 4)[:, k] for c, w in zip(columns, wide) for k in range(w)]
+        yield b, wide + squeeze.compress(np.stack(planes).tobytes())
 
 
 def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(3, 4, -1)
-    steps, other, n = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint32)[:, :, 0]
-    return np.cumsum(steps, dtype=np.int64), other, n
-
-
-def dealt(train: DataFrame, vocabulary, words: int) -> DataFrame:
+    wide = raw[:3]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[3:]), dtype=np.uint8).reshape(sum(wide), -1)
+    columns, at = [], 0
+    for w in wide:
+        column = planes[at].astype(np.uint32)
+        for k in range(1, w):
+            column |= planes[at + k].astype(np.uint32) << np.uint32(8 * k)
+        columns.append(column)
+        at += w
+    return np.cumsum(columns[0], dtype=np.int64), *columns[1:]
+
+
+def dealt(train: DataFrame, vocabulary, blocks: int) -> DataFrame:
     """(block, side, edges): bigrams where the decisions about their right word (side 0) and left word (side 1) are made."""
-    blocks = -(-words // BLOCK_WORDS)
 
     def emit(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for side, (word, other) in enumerate(((right, left), (left, right))):
@@ -187,10 +197,9 @@ def dealt(train: DataFrame, vocabulary, words: int) -> DataFrame:
     return cut_lineage(edges.repartition("block").sortWithinPartitions("block"))
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], classes: np.ndarray, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _neighbours(batches: Iterator[pa.RecordBatch], classes: np.ndarray, words: int, blocks: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Blocks with the counts of the classes before and after each of their words."""
-    blocks, block, held, sums = -(-words // BLOCK_WORDS), None, ([], []), None
-    size = 0
+    block, held, sums, size = None, ([], []), None, 0
 
     def add():
         nonlocal size
@@ -222,8 +231,8 @@ def clustered(train: DataFrame, words: DataFrame, rounds: int) -> tuple[DataFram
     spark = train.sparkSession
     own = Vocabulary.of(words.toArrow())
     size, vocabulary = len(own.n), spark.sparkContext.broadcast(own)
-    blocks = -(-size // BLOCK_WORDS)
-    edges = dealt(train, vocabulary, size)
+    blocks = max(-(-size // BLOCK_WORDS), -(-int(own.n.sum()) // BLOCK_TOKENS))
+    edges = dealt(train, vocabulary, blocks)
     classes = np.minimum(np.arange(size), CLASSES - 1).astype(np.uint8)
     key = np.empty(size, dtype=np.int64)
     key[own.ranks] = own.sorted_keys
@@ -231,7 +240,7 @@ def clustered(train: DataFrame, words: DataFrame, rounds: int) -> tuple[DataFram
     def transitions(classes) -> tuple[np.ndarray, np.ndarray]:
         def run(batches):
             sums = np.zeros((2 * CLASSES, CLASSES))
-            for block, (_, after) in _neighbours((b.filter(pa.array(b.column(1).to_numpy() == 1)) for b in batches), classes.value, size):
+            for block, (_, after) in _neighbours((b.filter(pa.array(b.column(1).to_numpy() == 1)) for b in batches), classes.value, size, blocks):
                 ranks = block + blocks * np.arange(len(after))
                 np.add.at(sums, classes.value[ranks], after)
                 once = np.flatnonzero(vocabulary.value.n[ranks] == 1)
@@ -247,7 +256,7 @@ def clustered(train: DataFrame, words: DataFrame, rounds: int) -> tuple[DataFram
 
     def decided(classes, counts: np.ndarray, keys, round_: int) -> DataFrame:
         def run(batches):
-            for block, (before, after) in _neighbours(batches, classes.value, size):
+            for block, (before, after) in _neighbours(batches, classes.value, size, blocks):
                 ranks = block + blocks * np.arange(len(after))
                 ranks, row = (x[turn(keys.value[ranks], round_) & (ranks > 0)] for x in (ranks, np.arange(len(after))))
                 to = np.empty(len(ranks), dtype=np.int64)
@@ -348,7 +357,7 @@ def learn(train: DataFrame, rounds: int = ROUNDS, few: int = FEW) -> Model | Non
                                         F.sum((F.col("n") == 2).cast("long"))).first()
     if not total:
         return None
-    table, counts, once = clustered(train, words, rounds) if distinct <= few else joined(train, words, rounds)
+    table, counts, once = clustered(train, words, rounds) if distinct <= few and total <= FEW_TOKENS else joined(train, words, rounds)
     types = np.zeros(CLASSES)
     if isinstance(table, pa.Table):
         types += np.bincount(table.column("cls").to_numpy(), minlength=CLASSES)

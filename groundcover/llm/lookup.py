@@ -61,7 +61,9 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Places of keys among sorted ones, and whether they are there."""
     if not len(sorted_keys):
         return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    order = np.argsort(keys)  # neighbours are found in memory that is at hand
+    at = np.empty(len(keys), dtype=np.int64)
+    at[order] = np.minimum(np.searchsorted(sorted_keys, keys[order]), len(sorted_keys) - 1)
     return at, sorted_keys[at] == keys
 
 
