@@ -129,7 +129,7 @@ def _text_runs(column: pa.Array, chars: int = 1_000_000) -> Iterator[list[str]]:
 
 
 def sketch(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, n_shingles, set_key, tokens) per row; key and tokens are null for empty sets."""
+    """(id, n_shingles, set_key, tokens, lows) per row; key, tokens and their low bytes are null for empty sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
@@ -138,22 +138,25 @@ def sketch(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     sets = shingle_sets(texts, k)
                     some = [s for s in sets if len(s)]
                     rows = iter(_tokens(some)) if some else iter(())
-                keys, tokens = [], []
+                keys, tokens, lows = [], [], []
                 for s in sets:
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    tokens.append(next(rows).tobytes() if len(s) else None)
+                    own = next(rows) if len(s) else None
+                    tokens.append(own.tobytes() if len(s) else None)
+                    # of a minwise token the low byte, because the high ones are nearly always zero
+                    lows.append(own.astype(np.uint8).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(texts)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())],
-                    ["id", "n_shingles", "set_key", "tokens"])
+                     pa.array(keys, pa.binary()), pa.array(tokens, pa.binary()), pa.array(lows, pa.binary())],
+                    ["id", "n_shingles", "set_key", "tokens", "lows"])
                 at += len(texts)
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, n_shingles long, set_key binary, tokens binary")
+        run, "id long, n_shingles long, set_key binary, tokens binary, lows binary")
 
 
-def _rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, COORDS)
+def _rows(column: pa.Array, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, COORDS)
 
 
 def _children(node: np.ndarray, tokens: np.ndarray, extra: float) -> tuple[np.ndarray, np.ndarray]:
@@ -208,14 +211,16 @@ def leaves(reps: DataFrame, trees: tuple[int, ...], similarity: float) -> DataFr
 def candidates(leaf: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     """Clusters of sets whose tokens look similar: distinct (cluster, rep, place, size).
 
-    Only sets in different components need a comparison. Clusters found by several
+    Only sets in different components need a comparison, and one byte of each token, ``lows``, does for it:
+    different tokens agree there by chance one time in 256. Clusters found by several
     trees with the same members are one.
     """
-    cut = (similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / COORDS)) * COORDS
+    agree = similarity + (1 - similarity) / 256
+    cut = (agree - MARGIN * math.sqrt(agree * (1 - agree) / COORDS)) * COORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in grouped(batches, "group"):
-            tokens, rep, comp = _rows(table.column("tokens").combine_chunks()), table.column("rep").to_numpy(), table.column(
+            tokens, rep, comp = _rows(table.column("lows").combine_chunks(), np.uint8), table.column("rep").to_numpy(), table.column(
                 "component").to_numpy()
             out = {"cluster": [], "rep": [], "place": [], "size": []}
             n = np.diff(at)
@@ -243,7 +248,7 @@ def candidates(leaf: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
 
     rows = block_pairs(leaf, ["node"], "size", "rep", NODE).select("group", "rep")
-    rows = rows.join(reps.select("rep", "tokens", "component"), "rep")
+    rows = rows.join(reps.select("rep", "lows", "component"), "rep")
     return sorted_groups(rows, run, "cluster long, rep long, place long, size long").distinct()
 
 
@@ -299,10 +304,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = written(sketch(df, id_col, text_col, shingle), "sketch")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     filled = rows.filter("set_key IS NOT NULL")
-    sets = written(filled.groupBy("set_key").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "tokens")).alias("x"),
+    sets = written(filled.groupBy("set_key").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "tokens", "lows")).alias("x"),
                                                  F.count("*").alias("copies"))
-                   .select("set_key", "copies", F.col("x.id").alias("rep"), F.col("x.tokens").alias("tokens")), "sets")
-    reps = sets.filter("rep IS NOT NULL").select("rep", "tokens")
+                   .select("set_key", "copies", F.col("x.id").alias("rep"), F.col("x.tokens").alias("tokens"), F.col("x.lows").alias("lows")), "sets")
+    reps = sets.filter("rep IS NOT NULL").select("rep", "tokens", "lows")
     links = None
     # rows with one id but several sets are one document
     labelled = reps.withColumn("component", F.col("rep"))
