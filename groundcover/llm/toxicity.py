@@ -13,7 +13,8 @@ expression says little either way. A word's ratio counts as far as it exceeds th
 text's median ratio by more than chance would; the mean of that over the text is
 what the curve reads, beside the plain mean.
 Pairs, words and stems are counted by 64-bit hashes in Spark tables that grow with the
-vocabulary, so unrelated ones do not share a count. The model is a table of log-likelihood
+vocabulary, so unrelated ones do not share a count; up to ``FEW_WORDS`` distinct words are numbered, and
+their pairs are counted in compressed blocks (``pair_counts``), with the same result. The model is a table of log-likelihood
 ratios by these hashes, without those that follow from the level below. Up to ``FEW_ENTRIES``
 entries are sent to all tasks; more are joined to the distinct words and pairs of blocks of
 texts, with frequent keys joined apart.
@@ -48,6 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..session import cut_lineage
+from . import pair_counts
 from .common import if_few, join_counted
 from .store import written
 
@@ -62,9 +64,11 @@ MAX_ROWS = 200_000
 FOLDS, HELD_OUT, CURVE = 4, 2, 3
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Words scored at a time, and pairs a training task holds before it adds them up.
-BLOCK, PAIRS_HELD = 400_000, 2_000_000
+BLOCK, PAIRS_HELD = 400_000, 400_000
 #: Entries of the model that are sent to all tasks at most; a larger model is joined.
 FEW_ENTRIES = 1_000_000
+#: Words that are numbered and broadcast at most, and tokens whose pairs are counted by blocks of these.
+FEW_WORDS, FEW_TOKENS = 8_000_000, 2_000_000_000
 #: Letters of the texts that look their entries up together when the model is joined.
 LOOK_UP = 4_000_000
 #: What an entry of the model is about.
@@ -202,6 +206,29 @@ def count_tables(train: DataFrame) -> DataFrame:
     return counts.filter((F.col("kind") != CONTEXT) | (F.col("o1") + F.col("t1") > 0))
 
 
+def _numbered_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_tokens``, with the place of the word before plus 1 (0 for none) and not its hash."""
+    word, stem, codes, _, sizes = _tokens(texts)
+    return word, stem, codes, _places(codes, sizes), sizes
+
+
+def _places(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    place = np.concatenate([[0], codes[:-1] + 1]) if len(codes) else codes
+    place[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    return place
+
+
+def counted(train: DataFrame, few: int | None = None) -> DataFrame:
+    """The counts of ``count_tables``: from blocks of numbered words where these are few, else by joins of full hashes."""
+    few = FEW_WORDS if few is None else few
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    words = written(pair_counts.vocabulary(train, _numbered_tokens, _blocks, max(1, size // pair_counts.WORD_BYTES)), "toxicity-vocabulary")
+    distinct, total = words.agg(F.count("*"), F.sum("n")).first()
+    if not distinct or distinct > few or total > FEW_TOKENS:
+        return count_tables(train)
+    return pair_counts.count_blocks(train, words, total, _numbered_tokens, _blocks, (PAIR, WORD, CONTEXT), DISCOUNT)
+
+
 def _left(c: str) -> Column:
     return F.greatest(F.col(c) - DISCOUNT, F.lit(0))
 
@@ -285,10 +312,9 @@ class Entries:
             return out
         alone = self.get(WORD, word, self.get(STEM, stem))[codes]
         first = np.concatenate([[0], word])
-        place = np.concatenate([[0], codes[:-1] + 1])
+        place = _places(codes, sizes)
         starts = np.cumsum(sizes) - sizes
         some = sizes > 0
-        place[starts[some]] = 0
         both = self.get(PAIR, _hash_pairs(before, word[codes]), alone + self.get(CONTEXT, first)[place])
         text = np.repeat(np.arange(len(texts)), sizes)
         add = lambda x: np.add.reduceat(x, starts[some]) / sizes[some]
@@ -383,7 +409,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # a null id has no label: kept out of the join, where all of them would meet in one task
     known = texts.filter("_lid IS NOT NULL").join(if_few(chosen), "_lid", "left")
     label = F.col("toxic") + F.when(F.col("_curve"), 2).otherwise(0)
-    counts = written(count_tables(known.select("text", label.alias("label")).unionByName(
+    counts = written(counted(known.select("text", label.alias("label")).unionByName(
         texts.filter("_lid IS NULL").select("text", F.lit(None).cast("int").alias("label")))), "toxicity-counts")
     model = log_ratios(counts, points=False)
     if model is None:

@@ -10,7 +10,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from groundcover.llm import class_lm, collocations, filter_audit
+from groundcover.llm import class_lm, collocations, filter_audit, pair_counts, toxicity
+from groundcover.llm.columns import squeezed, unsqueezed
 from groundcover.llm.lookup import find
 from groundcover.llm.queries import QUERIES
 from pyspark.sql import functions as F
@@ -321,3 +322,24 @@ def test_edges_round_trip():
 def test_find():
     at, there = find(np.array([1, 5, 9]), np.array([9, 0, 5, 10]))
     assert there.tolist() == [True, False, True, False] and at[0] == 2 and at[2] == 1
+
+
+# counts of words and pairs
+
+def test_counts_by_blocks_and_by_joins_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    vocab = ["la", "mer", "merci", "tout", "toute", "x", "Ünter", "unter", "the"]
+    texts = [(" ".join(rng.choices(vocab, [2 ** -i for i in range(9)], k=rng.randrange(60))), rng.choice([None, 0, 1, 2, 3])) for _ in range(300)]
+    df = spark.createDataFrame(texts + [(None, 0), ("", 1), ("12 3", None), ("the " * 3000, 1)], "text string, label int").repartition(4)
+    by_joins = tuples(toxicity.count_tables(df).select(pair_counts.COLUMNS))
+    assert tuples(toxicity.counted(df).select(pair_counts.COLUMNS)) == by_joins
+    monkeypatch.setattr(pair_counts, "BLOCK_TOKENS", 200)
+    monkeypatch.setattr(pair_counts, "WORD_BYTES", 500)
+    assert tuples(toxicity.counted(df).select(pair_counts.COLUMNS)) == by_joins
+    assert tuples(toxicity.counted(df, few=0).select(pair_counts.COLUMNS)) == by_joins
+    assert toxicity.counted(df.limit(0)).count() == 0
+
+
+def test_columns_round_trip():
+    for columns in ([[0]], [[1, 2**63 - 1], [0, 0], [255, 256]], [list(range(5000)), [7] * 5000]):
+        assert [c.tolist() for c in unsqueezed(squeezed(*map(np.array, columns)))] == columns
