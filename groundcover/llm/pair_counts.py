@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .columns import squeezed, unsqueezed
 from .common import if_few
-from .lookup import find
+from .lookup import find, opened
 from .store import written
 
 #: Entries a task holds; words and tokens of a block.
@@ -49,7 +49,7 @@ def _merged(key: list[np.ndarray], *sums: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def vocabulary(train: DataFrame, tokens: Tokens, runs: Callable, parts: int) -> DataFrame:
-    """(key, stem, n): every distinct word once."""
+    """(words, total, numbers, stems): every distinct word once, by hash partition, as compressed columns."""
     def run(batches):
         held, size = [], 0
 
@@ -60,12 +60,8 @@ def vocabulary(train: DataFrame, tokens: Tokens, runs: Callable, parts: int) ->
             part = (key.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)
             for p in np.unique(part).tolist():
                 own = np.flatnonzero(part == p)
-                own = own[np.argsort(key[own].view(np.uint64))]
-                steps = np.diff(key[own].view(np.uint64), prepend=np.uint64(0))
-                stems, at = np.unique(stem[own], return_inverse=True)
-                raw = squeezed(steps, at, n[own])
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([raw], pa.binary()),
-                                                  pa.array([stems.tobytes()], pa.binary())], ["part", "words", "stems"])
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *[pa.array([x], pa.binary()) for x in _words(
+                    key[own], stem[own], n[own])]], ["part", "words", "stems"])
 
         for texts, _ in _runs(batches, runs):
             word, stem, codes, _, _ = tokens(texts)
@@ -87,7 +83,9 @@ def vocabulary(train: DataFrame, tokens: Tokens, runs: Callable, parts: int) ->
 
         def met():
             key, first, n = _merged([x[0] for x in held], [x[2] for x in held])
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.concatenate([x[1] for x in held])[first], n)], ["key", "stem", "n"])
+            raw = _words(key, np.concatenate([x[1] for x in held])[first], n)
+            return pa.RecordBatch.from_arrays([pa.array([len(key)]), pa.array([n.sum()]), *[pa.array([x], pa.binary()) for x in raw]],
+                                              ["distinct", "total", "words", "stems"])
 
         for b in batches:
             for p, words, stems in zip(*[c.to_pylist() for c in b.columns]):
@@ -95,36 +93,61 @@ def vocabulary(train: DataFrame, tokens: Tokens, runs: Callable, parts: int) ->
                     yield met()
                     held = []
                 part = p
-                steps, at, n = unsqueezed(words)
-                held.append((np.cumsum(steps.view(np.uint64), dtype=np.uint64).view(np.int64), np.frombuffer(stems, dtype=np.int64)[at], n))
+                held.append(_read_words(words, stems))
         if held:
             yield met()
 
     rows = train.select("text", "label").mapInArrow(run, "part int, words binary, stems binary")
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long, stem long, n long")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "distinct long, total long, words binary, stems binary")
+
+
+def _words(key: np.ndarray, stem: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    order = np.argsort(key.view(np.uint64))
+    stems, at = np.unique(stem[order], return_inverse=True)
+    return squeezed(np.diff(key[order].view(np.uint64), prepend=np.uint64(0)), at, n[order]), stems.tobytes()
+
+
+def _read_words(words: bytes, stems: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    steps, at, n = unsqueezed(words)
+    return np.cumsum(steps.view(np.uint64), dtype=np.uint64).view(np.int64), np.frombuffer(stems, dtype=np.int64)[at], n
 
 
 @dataclass
 class Numbered:
-    """Words by number, the most frequent first: their hashes, stems, and numbers by sorted hash."""
+    """Words numbered from the most frequent: by sorted hash their numbers and the places of their stems. 16 bytes a word."""
 
-    key: np.ndarray
-    stem: np.ndarray
     sorted_keys: np.ndarray
     numbers: np.ndarray
+    stem_at: np.ndarray
+    stems: np.ndarray
 
     @classmethod
-    def of(cls, table: pa.Table) -> Numbered:
-        key, stem, n = (table.column(c).to_numpy() for c in ("key", "stem", "n"))
-        order = np.lexsort((key, -n))
-        key, stem = key[order], stem[order]
-        by_key = np.argsort(key)
-        return cls(key, stem, key[by_key], by_key.astype(np.int32))
+    def of(cls, parts: list[tuple[bytes, bytes]]) -> Numbered:
+        key, stem, n = (np.concatenate(x) for x in zip(*(_read_words(*p) for p in parts)))
+        order = np.argsort(key)
+        key, n = key[order], n[order].astype(np.int32)
+        stems, at = np.unique(stem[order], return_inverse=True)
+        numbers = np.empty(len(key), dtype=np.int32)
+        numbers[np.argsort(-n, kind="stable")] = np.arange(len(key), dtype=np.int32)
+        return cls(key, numbers, at.astype(np.int32), stems)
 
     def find(self, key: np.ndarray) -> np.ndarray:
         return self.numbers[find(self.sorted_keys, key)[0]].astype(np.int64)
 
 
+class Names:
+    """Hashes and stems by number."""
+
+    def __init__(self, words: Numbered):
+        self.key, self.stem = (np.empty(len(words.numbers), dtype=np.int64) for _ in (0, 1))
+        self.key[words.numbers] = words.sorted_keys
+        self.stem[words.numbers] = words.stems[words.stem_at]
+
+    def before(self, number: np.ndarray) -> np.ndarray:
+        """Hashes of preceding words, whose numbers begin at 1; 0 is none."""
+        return np.where(number > 0, self.key[np.maximum(number - 1, 0)], 0)
+
+
 def _by_block(place: np.ndarray, blocks: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Entries of numbers ``place`` dealt to blocks: (block, steps of the places in it and other columns)."""
     at = place % blocks << 32 | place // blocks
@@ -141,14 +164,12 @@ PARTS = "kind int, key long, other long, o0 long, t0 long, o1 long, t1 long, eve
 COLUMNS = ["kind", "key", "other", "o0", "t0", "o1", "t1", "every", "off", "stem"]
 
 
-def count_blocks(train: DataFrame, words: DataFrame, total: int, tokens: Tokens, runs: Callable, kinds: tuple[int, int, int],
+def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, tokens: Tokens, runs: Callable, kinds: tuple[int, int, int],
                  discount: int) -> DataFrame:
     """Rows of the same kind and content as the counts by joins: pairs, words and contexts, from rows of (text, label)."""
     spark = train.sparkSession
-    numbered = Numbered.of(words.toArrow())
-    size = len(numbered.key)
+    shared = spark.sparkContext.broadcast(Numbered.of([tuple(r) for r in words.select("words", "stems").collect()]))
     blocks = max(1, -(-size // BLOCK_WORDS), -(-total // BLOCK_TOKENS))
-    shared = spark.sparkContext.broadcast(numbered)
     pair_kind, word_kind, context_kind = kinds
     sums_kind = -1
 
@@ -193,7 +214,7 @@ def count_blocks(train: DataFrame, words: DataFrame, total: int, tokens: Tokens,
         def met():
             merged()
             key, (o, t, op, tp, none) = held[0]
-            v = shared.value
+            v = opened(shared, Names)
             word, before = block + blocks * (key >> 32), key & 0xFFFFFFFF
             classes, every = [o, t, o + op, t + tp], o + t + op + tp + none
             above = [np.maximum(c - discount, 0) for c in classes]
@@ -205,14 +226,13 @@ def count_blocks(train: DataFrame, words: DataFrame, total: int, tokens: Tokens,
                 arrays += [pa.nulls(len(key), pa.int64()) if stem is None else pa.array(stem), pa.nulls(len(key), pa.binary())]
                 return pa.RecordBatch.from_arrays(arrays, [*COLUMNS, "raw"])
 
-            hash_of = lambda x: np.where(x > 0, v.key[np.maximum(x - 1, 0)], 0)
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             own = word[first]
             yield rows(word_kind, v.key[own], zero[first], *[np.add.reduceat((c > 0).astype(np.int64), first) for c in classes],
                        np.diff(np.append(first, len(word))), zero[first], stem=v.stem[own])
             some = np.flatnonzero(above[2] + above[3] > 0)
-            yield rows(pair_kind, hash_of(before[some]), v.key[word[some]], *[c[some] for c in classes], zero[some], zero[some])
-            yield rows(context_kind, hash_of(before[some]), zero[some], *[c[some] for c in above], zero[some], zero[some])
+            yield rows(pair_kind, v.before(before[some]), v.key[word[some]], *[c[some] for c in classes], zero[some], zero[some])
+            yield rows(context_kind, v.before(before[some]), zero[some], *[c[some] for c in above], zero[some], zero[some])
             context, _, n, off = _merged([before], [every], [np.minimum(every, discount)])
             packed = list(_by_block(context, blocks, n, off))
             nulls = [pa.nulls(len(packed), pa.int64())] * 8
@@ -240,9 +260,7 @@ def count_blocks(train: DataFrame, words: DataFrame, total: int, tokens: Tokens,
         def added():
             at, _, n, off = _merged([x[0] for x in held], [x[1] for x in held], [x[2] for x in held])
             at = block + blocks * at
-            v = shared.value
-            return pa.RecordBatch.from_arrays([pa.array(np.where(at > 0, v.key[np.maximum(at - 1, 0)], 0)), pa.array(n), pa.array(off)],
-                                              ["key", "every", "off"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (opened(shared, Names).before(at), n, off)], ["key", "every", "off"])
 
         for b in batches:
             for own, raw in zip(*[c.to_pylist() for c in b.columns]):

@@ -66,7 +66,7 @@ _WORDS = re.compile(r"[^\W\d_]+")
 #: Words scored at a time, and pairs a training task holds before it adds them up.
 BLOCK, PAIRS_HELD = 400_000, 400_000
 #: Entries of the model that are sent to all tasks at most; a larger model is joined.
-FEW_ENTRIES = 1_000_000
+FEW_ENTRIES = 4_000_000
 #: Words that are numbered and broadcast at most, and tokens whose pairs are counted by blocks of these.
 FEW_WORDS, FEW_TOKENS = 8_000_000, 2_000_000_000
 #: Letters of the texts that look their entries up together when the model is joined.
@@ -223,10 +223,10 @@ def counted(train: DataFrame, few: int | None = None) -> DataFrame:
     few = FEW_WORDS if few is None else few
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     words = written(pair_counts.vocabulary(train, _numbered_tokens, _blocks, max(1, size // pair_counts.WORD_BYTES)), "toxicity-vocabulary")
-    distinct, total = words.agg(F.count("*"), F.sum("n")).first()
+    distinct, total = words.agg(F.sum("distinct"), F.sum("total")).first()
     if not distinct or distinct > few or total > FEW_TOKENS:
         return count_tables(train)
-    return pair_counts.count_blocks(train, words, total, _numbered_tokens, _blocks, (PAIR, WORD, CONTEXT), DISCOUNT)
+    return pair_counts.count_blocks(train, words, distinct, total, _numbered_tokens, _blocks, (PAIR, WORD, CONTEXT), DISCOUNT)
 
 
 def _left(c: str) -> Column:
