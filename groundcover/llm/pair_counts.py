@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .columns import squeezed, unsqueezed
 from .common import if_few
-from .lookup import find, opened
+from .lookup import find
 from .store import written
 
 #: Entries a task holds; words and tokens of a block.
@@ -49,7 +49,7 @@ def _merged(key: list[np.ndarray], *sums: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def vocabulary(train: DataFrame, tokens: Tokens, runs: Callable, parts: int) -> DataFrame:
-    """(words, total, numbers, stems): every distinct word once, by hash partition, as compressed columns."""
+    """(part, distinct, total, words, stems): every distinct word once, by range of its hash, as compressed columns."""
     def run(batches):
         held, size = [], 0
 
@@ -57,7 +57,7 @@ def vocabulary(train: DataFrame, tokens: Tokens, runs: Callable, parts: int) ->
             key, stem, n = (np.concatenate(x) for x in zip(*held))
             key, first, n = _merged([key], [n])
             stem = stem[first]
-            part = (key.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)
+            part = _part(key, parts)
             for p in np.unique(part).tolist():
                 own = np.flatnonzero(part == p)
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *[pa.array([x], pa.binary()) for x in _words(
@@ -84,8 +84,8 @@ def vocabulary(train: DataFrame, tokens: Tokens, runs: Callable, parts: int) ->
         def met():
             key, first, n = _merged([x[0] for x in held], [x[2] for x in held])
             raw = _words(key, np.concatenate([x[1] for x in held])[first], n)
-            return pa.RecordBatch.from_arrays([pa.array([len(key)]), pa.array([n.sum()]), *[pa.array([x], pa.binary()) for x in raw]],
-                                              ["distinct", "total", "words", "stems"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(key)]), pa.array([n.sum()]), *[pa.array([x], pa.binary()) for x in raw]],
+                                              ["part", "distinct", "total", "words", "stems"])
 
         for b in batches:
             for p, words, stems in zip(*[c.to_pylist() for c in b.columns]):
@@ -98,7 +98,12 @@ def vocabulary(train: DataFrame, tokens: Tokens, runs: Callable, parts: int) ->
             yield met()
 
     rows = train.select("text", "label").mapInArrow(run, "part int, words binary, stems binary")
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "distinct long, total long, words binary, stems binary")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "part int, distinct long, total long, words binary, stems binary")
+
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    """Ranges of hashes, so parts in order are sorted."""
+    return (key.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
 
 
 def _words(key: np.ndarray, stem: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
@@ -122,17 +127,21 @@ class Numbered:
     stems: np.ndarray
 
     @classmethod
-    def of(cls, parts: list[tuple[bytes, bytes]]) -> Numbered:
-        key, stem, n = (np.concatenate(x) for x in zip(*(_read_words(*p) for p in parts)))
-        order = np.argsort(key)
-        key, n = key[order], n[order].astype(np.int32)
-        stems, at = np.unique(stem[order], return_inverse=True)
-        numbers = np.empty(len(key), dtype=np.int32)
-        numbers[np.argsort(-n, kind="stable")] = np.arange(len(key), dtype=np.int32)
-        return cls(key, numbers, at.astype(np.int32), stems)
+    def of(cls, parts: list[tuple[int, bytes, bytes]]) -> Numbered:
+        """From compressed parts; those of hashes below come first, so nothing large is sorted but the counts."""
+        keys, counts, places, stems = [], [], [], np.unique(np.concatenate([np.frombuffer(s, dtype=np.int64) for _, _, s in parts]))
+        for _, words, own in sorted(parts):
+            steps, at, n = unsqueezed(words)
+            keys.append(np.cumsum(steps.view(np.uint64), dtype=np.uint64))
+            counts.append(np.minimum(n, 2**31 - 1).astype(np.int32))
+            places.append(np.searchsorted(stems, np.frombuffer(own, dtype=np.int64))[at].astype(np.int32))
+        counts = np.concatenate(counts)
+        numbers = np.empty(len(counts), dtype=np.int32)
+        numbers[np.argsort(-counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+        return cls(np.concatenate(keys), numbers, np.concatenate(places), stems)
 
     def find(self, key: np.ndarray) -> np.ndarray:
-        return self.numbers[find(self.sorted_keys, key)[0]].astype(np.int64)
+        return self.numbers[find(self.sorted_keys, key.view(np.uint64))[0]].astype(np.int64)
 
 
 class Names:
@@ -140,7 +149,7 @@ class Names:
 
     def __init__(self, words: Numbered):
         self.key, self.stem = (np.empty(len(words.numbers), dtype=np.int64) for _ in (0, 1))
-        self.key[words.numbers] = words.sorted_keys
+        self.key[words.numbers] = words.sorted_keys.view(np.int64)
         self.stem[words.numbers] = words.stems[words.stem_at]
 
     def before(self, number: np.ndarray) -> np.ndarray:
@@ -168,7 +177,7 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
                  discount: int) -> DataFrame:
     """Rows of the same kind and content as the counts by joins: pairs, words and contexts, from rows of (text, label)."""
     spark = train.sparkSession
-    shared = spark.sparkContext.broadcast(Numbered.of([tuple(r) for r in words.select("words", "stems").collect()]))
+    shared = spark.sparkContext.broadcast(Numbered.of([tuple(r) for r in words.select("part", "words", "stems").collect()]))
     blocks = max(1, -(-size // BLOCK_WORDS), -(-total // BLOCK_TOKENS))
     pair_kind, word_kind, context_kind = kinds
     sums_kind = -1
@@ -202,7 +211,7 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
             yield from shipped()
 
     def meet(batches):
-        block, held, count = None, [], 0
+        block, held, count, v = None, [], 0, Names(shared.value)
 
         def merged():
             nonlocal held, count
@@ -214,7 +223,6 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
         def met():
             merged()
             key, (o, t, op, tp, none) = held[0]
-            v = opened(shared, Names)
             word, before = block + blocks * (key >> 32), key & 0xFFFFFFFF
             classes, every = [o, t, o + op, t + tp], o + t + op + tp + none
             above = [np.maximum(c - discount, 0) for c in classes]
@@ -255,12 +263,12 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
             yield from met()
 
     def add(batches):
-        block, held = None, []
+        block, held, v = None, [], Names(shared.value)
 
         def added():
             at, _, n, off = _merged([x[0] for x in held], [x[1] for x in held], [x[2] for x in held])
             at = block + blocks * at
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (opened(shared, Names).before(at), n, off)], ["key", "every", "off"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (v.before(at), n, off)], ["key", "every", "off"])
 
         for b in batches:
             for own, raw in zip(*[c.to_pylist() for c in b.columns]):

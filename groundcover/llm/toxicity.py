@@ -286,10 +286,10 @@ class Entries:
     """Entries of the model, all or those that some texts need."""
 
     def __init__(self, table: pa.Table):
+        """From entries sorted by kind and key."""
         kind, key, value = (table.column(c).to_numpy() for c in ("kind", "key", "value"))
-        order = np.lexsort((key, kind))
-        bounds = np.searchsorted(kind[order], range(5))
-        self.of = [(key[order[a:b]], value[order[a:b]]) for a, b in zip(bounds[:-1], bounds[1:])]
+        bounds = np.searchsorted(kind, range(5))
+        self.of = [(key[a:b], value[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
     def get(self, kind: int, keys: np.ndarray, otherwise: np.ndarray | float = 0.0) -> np.ndarray:
         names, values = self.of[kind]
@@ -362,7 +362,8 @@ class Scorer:
     @classmethod
     def of(cls, model: DataFrame, curve: np.ndarray | None = None) -> Scorer:
         few = model.count() <= FEW_ENTRIES
-        return cls(model, model.sparkSession.sparkContext.broadcast(model.toArrow()) if few else None, curve)
+        return cls(model, model.sparkSession.sparkContext.broadcast(
+            model.orderBy("kind", "key").toArrow().combine_chunks()) if few else None, curve)
 
 
 _LOCK, _OPEN = threading.Lock(), {}
@@ -415,7 +416,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if model is None:
         return None
     unseen = texts.join(F.broadcast(chosen.filter("_curve")), "_lid").select("text", F.col("toxic").cast("double").alias("toxic"))
-    points = rated(unseen, Scorer.of(model), "text", "evidence").toPandas()  # about max_rows, and so are the broadcast labels
+    first = Scorer.of(model)
+    points = rated(unseen, first, "text", "evidence").toPandas()  # about max_rows, and so are the broadcast labels
+    if first.shared is not None:
+        first.shared.unpersist()
     if points["toxic"].nunique() < 2:
         return None
     curve = fit_curve(np.array(points["evidence"].tolist()), points["toxic"].to_numpy())
@@ -469,7 +473,7 @@ def _rated_by_join(df: DataFrame, scorer: Scorer, text_col: str, name: str, kind
                          pa.array(np.concatenate([k for _, k in parts]))], ["_block", "kind", "key"])
 
     def run(texts: pa.Table, entries: pa.Table) -> pa.Table:
-        own = Entries(entries)
+        own = Entries(entries.sort_by([("kind", "ascending"), ("key", "ascending")]))
         out = _rated(own, (t.as_py() or "" for t in texts.column(text_col)), curve)
         made = pa.array(out, pa.list_(pa.float64()) if curve is None else pa.float64())
         return texts.drop_columns(["_block"]).append_column(name, made)
