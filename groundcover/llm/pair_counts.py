@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .columns import squeezed, unsqueezed
 from .common import if_few
-from .lookup import find
+from .lookup import find, opened
 from .store import written
 
 #: Entries a task holds; words and tokens of a block.
@@ -177,7 +177,8 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
                  discount: int) -> DataFrame:
     """Rows of the same kind and content as the counts by joins: pairs, words and contexts, from rows of (text, label)."""
     spark = train.sparkSession
-    shared = spark.sparkContext.broadcast(Numbered.of([tuple(r) for r in words.select("part", "words", "stems").collect()]))
+    # the driver passes the compressed parts on as they are; workers open them
+    shared = spark.sparkContext.broadcast([tuple(r) for r in words.select("part", "words", "stems").collect()])
     blocks = max(1, -(-size // BLOCK_WORDS), -(-total // BLOCK_TOKENS))
     pair_kind, word_kind, context_kind = kinds
     sums_kind = -1
@@ -199,7 +200,7 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
             wide = len(word)
             if not wide:
                 continue
-            number = shared.value.find(word)
+            number = opened(shared, Numbered.of).find(word)
             first = np.concatenate([[0], number + 1])
             key, n = np.unique((np.repeat(labels, sizes) * (wide + 1) + place) * wide + codes, return_counts=True)
             held.append((key // wide // (wide + 1), first[key // wide % (wide + 1)], number[key % wide], n))
@@ -211,7 +212,7 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
             yield from shipped()
 
     def meet(batches):
-        block, held, count, v = None, [], 0, Names(shared.value)
+        block, held, count, v = None, [], 0, Names(opened(shared, Numbered.of))
 
         def merged():
             nonlocal held, count
@@ -263,7 +264,7 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
             yield from met()
 
     def add(batches):
-        block, held, v = None, [], Names(shared.value)
+        block, held, v = None, [], Names(opened(shared, Numbered.of))
 
         def added():
             at, _, n, off = _merged([x[0] for x in held], [x[1] for x in held], [x[2] for x in held])

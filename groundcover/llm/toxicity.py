@@ -35,7 +35,6 @@ says so; null labels are left out; without labels of both classes the score is
 from __future__ import annotations
 
 import re
-import threading
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,7 +49,9 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from ..session import cut_lineage
 from . import pair_counts
+from .columns import squeezed, unsqueezed
 from .common import if_few, join_counted
+from .lookup import opened
 from .store import written
 
 STEM_LETTERS = 5
@@ -282,14 +283,42 @@ def log_ratios(counts: DataFrame, points: bool) -> DataFrame | None:
     return written(out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]), "toxicity-model")
 
 
+def _compressed(model: DataFrame) -> list[tuple[int, int, bytes, bytes]]:
+    """The entries as (kind, least key, steps of the sorted keys, values), about 14 bytes each, as the driver passes them on."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind, key, value = (c.to_numpy() for c in b.columns)
+            for k in np.unique(kind).tolist():
+                own = np.flatnonzero(kind == k)
+                steps = np.diff(key[own].view(_U), prepend=key[own[:1]].view(_U))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([int(key[own[0]])]), pa.array([squeezed(steps)], pa.binary()),
+                                                  pa.array([value[own].tobytes()], pa.binary())], ["kind", "least", "steps", "data"])
+
+    rows = model.select("kind", "key", "value").orderBy("kind", "key").mapInArrow(run, "kind int, least long, steps binary, data binary")
+    return sorted(tuple(r) for r in rows.collect())
+
+
 class Entries:
     """Entries of the model, all or those that some texts need."""
 
-    def __init__(self, table: pa.Table):
-        """From entries sorted by kind and key."""
+    def __init__(self, of: list[tuple[np.ndarray, np.ndarray]]):
+        self.of = of
+
+    @classmethod
+    def of_table(cls, table: pa.Table) -> Entries:
+        table = table.sort_by([("kind", "ascending"), ("key", "ascending")])
         kind, key, value = (table.column(c).to_numpy() for c in ("kind", "key", "value"))
         bounds = np.searchsorted(kind, range(5))
-        self.of = [(key[a:b], value[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+        return cls([(key[a:b], value[a:b]) for a, b in zip(bounds[:-1], bounds[1:])])
+
+    @classmethod
+    def of_parts(cls, parts: list[tuple[int, int, bytes, bytes]]) -> Entries:
+        of = []
+        for k in range(4):
+            keys = [np.cumsum(unsqueezed(steps)[0]) + least for kind, least, steps, _ in parts if kind == k]
+            values = [np.frombuffer(data, dtype=float) for kind, _, _, data in parts if kind == k]
+            of.append(tuple(np.concatenate([np.zeros(0, dtype=t), *x]) for t, x in ((np.int64, keys), (float, values))))
+        return cls(of)
 
     def get(self, kind: int, keys: np.ndarray, otherwise: np.ndarray | float = 0.0) -> np.ndarray:
         names, values = self.of[kind]
@@ -362,18 +391,7 @@ class Scorer:
     @classmethod
     def of(cls, model: DataFrame, curve: np.ndarray | None = None) -> Scorer:
         few = model.count() <= FEW_ENTRIES
-        return cls(model, model.sparkSession.sparkContext.broadcast(
-            model.orderBy("kind", "key").toArrow().combine_chunks()) if few else None, curve)
-
-
-_LOCK, _OPEN = threading.Lock(), {}
-
-
-def _opened(shared) -> Entries:
-    with _LOCK:
-        if _OPEN.get("table") is not shared.value:
-            _OPEN.update(table=shared.value, entries=Entries(shared.value))
-        return _OPEN["entries"]
+        return cls(model, model.sparkSession.sparkContext.broadcast(_compressed(model)) if few else None, curve)
 
 
 def _rated(entries: Entries, texts: Iterator[str], curve: np.ndarray | None) -> list:
@@ -435,7 +453,7 @@ def rated(df: DataFrame, scorer: Scorer, text_col: str, name: str) -> DataFrame:
 
     @F.pandas_udf(kind)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        entries = _opened(shared)
+        entries = opened(shared, Entries.of_parts)
         for texts in batches:
             yield pd.Series(_rated(entries, (t or "" for t in texts), curve), dtype=object if curve is None else float)
 
@@ -473,7 +491,7 @@ def _rated_by_join(df: DataFrame, scorer: Scorer, text_col: str, name: str, kind
                          pa.array(np.concatenate([k for _, k in parts]))], ["_block", "kind", "key"])
 
     def run(texts: pa.Table, entries: pa.Table) -> pa.Table:
-        own = Entries(entries.sort_by([("kind", "ascending"), ("key", "ascending")]))
+        own = Entries.of_table(entries)
         out = _rated(own, (t.as_py() or "" for t in texts.column(text_col)), curve)
         made = pa.array(out, pa.list_(pa.float64()) if curve is None else pa.float64())
         return texts.drop_columns(["_block"]).append_column(name, made)
