@@ -435,12 +435,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     unseen = texts.join(F.broadcast(chosen.filter("_curve")), "_lid").select("text", F.col("toxic").cast("double").alias("toxic"))
     first = Scorer.of(model)
-    points = rated(unseen, first, "text", "evidence").toPandas()  # about max_rows, and so are the broadcast labels
+    points = rated(unseen, first, "text", "evidence").select("toxic", "evidence").toArrow()  # about max_rows, and so are the broadcast labels
     if first.shared is not None:
         first.shared.unpersist()
-    if points["toxic"].nunique() < 2:
+    toxic = points.column("toxic").to_numpy()
+    if len(np.unique(toxic)) < 2:
         return None
-    curve = fit_curve(np.array(points["evidence"].tolist()), points["toxic"].to_numpy())
+    curve = fit_curve(points.column("evidence").combine_chunks().flatten().to_numpy().reshape(len(toxic), -1), toxic)
     return Scorer.of(log_ratios(counts, points=True), curve)
 
 
