@@ -99,11 +99,22 @@ def _hash_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+class _Letters(dict):
+    """For ``str.translate``: letters stay, anything else becomes a blank; characters are looked at once."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code if _WORDS.match(chr(code)) else 32
+        return self[code]
+
+
+_LETTERS = _Letters()
+
+
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words and of their stems, every token's place there, the word before it (0 for none), tokens by text."""
     words, sizes = [], []
     for t in texts:
-        w = _WORDS.findall(t.lower())
+        w = t.lower().translate(_LETTERS).split()
         sizes.append(len(w))
         words += w
     sizes = np.array(sizes, dtype=np.int64)
@@ -303,6 +314,9 @@ class Entries:
 
     def __init__(self, of: list[tuple[np.ndarray, np.ndarray]]):
         self.of = of
+        # most pairs of a text have no entry, and few of those pass here
+        self.some = np.zeros(1 << 22, dtype=bool)
+        self.some[of[PAIR][0] & (len(self.some) - 1)] = True
 
     @classmethod
     def of_table(cls, table: pa.Table) -> Entries:
@@ -344,13 +358,20 @@ class Entries:
         place = _places(codes, sizes)
         starts = np.cumsum(sizes) - sizes
         some = sizes > 0
-        both = self.get(PAIR, _hash_pairs(before, word[codes]), alone + self.get(CONTEXT, first)[place])
+        both, pair = alone + self.get(CONTEXT, first)[place], _hash_pairs(before, word[codes])
+        near = np.flatnonzero(self.some[pair & (len(self.some) - 1)])
+        both[near] = self.get(PAIR, pair[near], both[near])
         text = np.repeat(np.arange(len(texts)), sizes)
         add = lambda x: np.add.reduceat(x, starts[some]) / sizes[some]
         for i, ratio in ((1, both), (2, alone)):
-            order = np.lexsort((ratio, text))
             median = np.zeros(len(texts))
-            median[some] = ratio[order[(starts + (sizes - 1) // 2)[some]]]
+            if len(text) > 64 * len(texts):  # the same order statistic, in one sort or text by text
+                for j in np.flatnonzero(some).tolist():
+                    half = (sizes[j] - 1) // 2
+                    median[j] = np.partition(ratio[starts[j]:starts[j] + sizes[j]], half)[half]
+            else:
+                order = np.lexsort((ratio, text))
+                median[some] = ratio[order[(starts + (sizes - 1) // 2)[some]]]
             beyond = ratio - median[text]
             out[some, i] = add(np.maximum(beyond - CHANCE, 0))
             if i == 2:
