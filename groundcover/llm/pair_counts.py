@@ -159,6 +159,7 @@ class Names:
 
 def _by_block(place: np.ndarray, blocks: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Entries of numbers ``place`` dealt to blocks: (block, steps of the places in it and other columns)."""
+    place = place.astype(np.int64)
     at = place % blocks << 32 | place // blocks
     order = np.argsort(at)
     at = at[order]
@@ -203,7 +204,8 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
             number = opened(shared, Numbered.of).find(word)
             first = np.concatenate([[0], number + 1])
             key, n = np.unique((np.repeat(labels, sizes) * (wide + 1) + place) * wide + codes, return_counts=True)
-            held.append((key // wide // (wide + 1), first[key // wide % (wide + 1)], number[key % wide], n))
+            held.append(((key // wide // (wide + 1)).astype(np.int8), first[key // wide % (wide + 1)].astype(np.int32),
+                         number[key % wide].astype(np.int32), n.astype(np.int32)))
             count += len(key)
             if count > HELD:
                 yield from shipped()
@@ -212,19 +214,29 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
             yield from shipped()
 
     def meet(batches):
-        block, held, count, v = None, [], 0, Names(opened(shared, Numbered.of))
+        block, held, count, most, v = None, [], 0, 2 * HELD, Names(opened(shared, Numbered.of))
 
         def merged():
             nonlocal held, count
             if len(held) > 1:
-                key, _, *sums = _merged([x[0] for x in held], *[[x[1][c] for x in held] for c in range(LABELS)])
-                held = [(key, sums)]
+                key, _, n = _merged([x[0] for x in held], [x[1] for x in held])
+                held = [(key, n)]
             count = len(held[0][0])
 
         def met():
             merged()
-            key, (o, t, op, tp, none) = held[0]
+            entry, n = held.pop()
+            key = entry >> 3
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            at, label = np.cumsum(new) - 1, entry & 7
+            key, columns = key[new], []
+            for c in range(LABELS):
+                own = label == c
+                columns.append(np.zeros(len(key), dtype=np.int32))
+                columns[-1][at[own]] = n[own]
+            o, t, op, tp, none = columns
             word, before = block + blocks * (key >> 32), key & 0xFFFFFFFF
+            del entry, n, at, label, new
             classes, every = [o, t, o + op, t + tp], o + t + op + tp + none
             above = [np.maximum(c - discount, 0) for c in classes]
             zero = np.zeros(len(key), dtype=np.int64)
@@ -252,14 +264,14 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
             for own, label, raw in zip(*[c.to_pylist() for c in b.columns]):
                 if own != block and held:
                     yield from met()
-                    held, count = [], 0
+                    held, count, most = [], 0, 2 * HELD
                 block = own
                 steps, before, n = unsqueezed(raw)
-                none = np.zeros(len(n), dtype=np.int64)
-                held.append((np.cumsum(steps) << 32 | before, [n if c == label else none for c in range(LABELS)]))
+                held.append(((np.cumsum(steps) << 32 | before) << 3 | label, n.astype(np.int32)))
                 count += len(n)
-                if count > 2 * HELD:
+                if count > most:
                     merged()
+                    most = max(2 * HELD, 2 * count)
         if held:
             yield from met()
 

@@ -65,7 +65,7 @@ MAX_ROWS = 200_000
 FOLDS, HELD_OUT, CURVE = 4, 2, 3
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Words scored at a time, and pairs a training task holds before it adds them up.
-BLOCK, PAIRS_HELD = 400_000, 400_000
+BLOCK, PAIRS_HELD = 250_000, 400_000
 #: Entries of the model that are sent to all tasks at most; a larger model is joined.
 FEW_ENTRIES = 4_000_000
 #: Words that are numbered and broadcast at most, and tokens whose pairs are counted by blocks of these.
