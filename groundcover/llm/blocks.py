@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
+
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups, with the bounds of the groups, from rows sorted by ``key``."""
@@ -73,4 +75,4 @@ def block_pairs(rows: DataFrame, key: list[str], size: str, index: str, block: i
 
 
 def sorted_groups(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, schema)
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(run), schema)

@@ -34,6 +34,7 @@ from ..operators.components import contract
 from ..session import cut_lineage
 from .blocks import Union, block_pairs, grouped, sorted_groups
 from .common import if_few, join_counted
+from .memory import tidy
 from .store import written
 
 COORDS, DEPTH, MISS = 64, 4, 0.001
@@ -152,7 +153,7 @@ def sketch(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 at += len(texts)
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, n_shingles long, set_key binary, tokens binary, lows binary")
+        tidy(run), "id long, n_shingles long, set_key binary, tokens binary, lows binary")
 
 
 def _rows(column: pa.Array, kind: type = np.uint32) -> np.ndarray:
@@ -186,7 +187,7 @@ def _branch(rows: DataFrame, trees: tuple[int, ...], extra: float) -> DataFrame:
                     child, row = _children(node, tokens, extra)
                     yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(rep[row])], ["node", "rep"])
 
-    return rows.mapInArrow(run, "node long, rep long")
+    return rows.mapInArrow(tidy(run), "node long, rep long")
 
 
 def leaves(reps: DataFrame, trees: tuple[int, ...], similarity: float) -> DataFrame:
@@ -288,7 +289,7 @@ def verified(clusters: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFram
 
     wanted = if_few(cut_lineage(clusters.select("rep").distinct()))
     full = docs.join(wanted, docs["id"] == wanted["rep"]).select("rep", "text")
-    full = full.dropDuplicates(["rep", "text"]).mapInArrow(with_sets, "rep long, shingles binary")
+    full = full.dropDuplicates(["rep", "text"]).mapInArrow(tidy(with_sets), "rep long, shingles binary")
     rows = block_pairs(clusters, ["cluster"], "size", "place", BLOCK).select("group", "rep", "_own").join(full, "rep")
     return sorted_groups(rows, run, "u long, v long")
 

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import join_counted
 from .lookup import find, opened, text_runs, with_facts
+from .memory import tidy
 from .store import written
 
 #: Classes, among them that of the end token, and rounds in which half of the words may move.
@@ -101,7 +102,7 @@ def _bigrams(train: DataFrame, emit, schema: str, number=None, shared=None) -> D
         if held:
             yield from emit(*map(np.concatenate, zip(*held)))
 
-    return train.select("text").mapInArrow(run, schema)
+    return train.select("text").mapInArrow(tidy(run), schema)
 
 
 # the exchange
@@ -249,7 +250,7 @@ def clustered(train: DataFrame, words: DataFrame, rounds: int) -> tuple[DataFram
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.ravel()[at].astype(np.int64))], ["at", "n"])
 
         out = np.zeros(2 * CLASSES * CLASSES, dtype=np.int64)
-        for at, n in edges.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n")).collect():  # at most 2 * CLASSES ** 2 rows
+        for at, n in edges.mapInArrow(tidy(run), "at long, n long").groupBy("at").agg(F.sum("n")).collect():  # at most 2 * CLASSES ** 2 rows
             out[at] = n
         out = out.reshape(2, CLASSES, CLASSES)
         return out[0], out[1].sum(0)
@@ -267,7 +268,7 @@ def clustered(train: DataFrame, words: DataFrame, rounds: int) -> tuple[DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(ranks[differ].astype(np.int32)), pa.array(to[differ].astype(np.int32))],
                                                  ["rank", "cls"])
 
-        return edges.mapInArrow(run, "rank int, cls int")
+        return edges.mapInArrow(tidy(run), "rank int, cls int")
 
     keys = spark.sparkContext.broadcast(key)
     shared = spark.sparkContext.broadcast(classes)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .columns import squeezed, unsqueezed
 from .common import if_few
 from .lookup import find, opened
+from .memory import tidy
 from .store import written
 
 #: Entries a task holds; words and tokens of a block.
@@ -97,8 +98,8 @@ def vocabulary(train: DataFrame, tokens: Tokens, runs: Callable, parts: int) ->
         if held:
             yield met()
 
-    rows = train.select("text", "label").mapInArrow(run, "part int, words binary, stems binary")
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "part int, distinct long, total long, words binary, stems binary")
+    rows = train.select("text", "label").mapInArrow(tidy(run), "part int, words binary, stems binary")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(meet), "part int, distinct long, total long, words binary, stems binary")
 
 
 def _part(key: np.ndarray, parts: int) -> np.ndarray:
@@ -297,14 +298,14 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
         if held:
             yield added()
 
-    edges = train.select("text", "label").mapInArrow(deal, "block int, label int, raw binary")
-    parts = edges.repartition("block").sortWithinPartitions("block").mapInArrow(meet, PARTS)
+    edges = train.select("text", "label").mapInArrow(tidy(deal), "block int, label int, raw binary")
+    parts = edges.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(meet), PARTS)
     parts = written(parts, "pair-blocks")
     classes = ("o0", "t0", "o1", "t1")
     contexts = parts.filter(F.col("kind") == context_kind).groupBy("key").agg(*[F.sum(c).alias(c) for c in classes])
     contexts = written(contexts, "pair-contexts")
     sums = parts.filter(F.col("kind") == sums_kind).select("key", "raw").repartition("key").sortWithinPartitions("key").mapInArrow(
-        add, "key long, every long, off long")
+        tidy(add), "key long, every long, off long")
     wanted = if_few(contexts)
     contexts = sums.join(wanted, "key").select(F.lit(context_kind).alias("kind"), "key", F.lit(0).cast("long").alias("other"), *classes,
                                                "every", "off", F.lit(None).cast("long").alias("stem"))

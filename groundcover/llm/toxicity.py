@@ -52,6 +52,7 @@ from . import pair_counts
 from .columns import squeezed, unsqueezed
 from .common import if_few, join_counted
 from .lookup import opened
+from .memory import given_back
 from .store import written
 
 STEM_LETTERS = 5
@@ -478,6 +479,7 @@ def rated(df: DataFrame, scorer: Scorer, text_col: str, name: str) -> DataFrame:
         entries = opened(shared, Entries.of_parts)
         for texts in batches:
             yield pd.Series(_rated(entries, (t or "" for t in texts), curve), dtype=object if curve is None else float)
+        given_back()
 
     return df.withColumn(name, of(F.coalesce(F.col(text_col), F.lit(""))))
 
