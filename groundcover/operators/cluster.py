@@ -155,6 +155,17 @@ def fit_kmeans(sample: DataFrame, features: list[str], k: int, seed: int = KMEAN
         vec.unpersist()
 
 
+def size_from_correlation(n: int, correlation: np.ndarray, n_clusters: int) -> tuple[float, int]:
+    """Normalised entropy of the spectrum of a correlation matrix, and the training-sample size that follows."""
+    n_feat = len(correlation)
+    if n <= TRAIN_LOW or n_feat <= 1:
+        return 0.0, min(n, TRAIN_MAX)
+    share = np.clip(np.linalg.eigvalsh(correlation) / n_feat, 1e-12, None)
+    norm = float(-(share * np.log(share)).sum()) / max(math.log(n_feat), 1e-9)
+    part = 0.6 * (1.0 - norm) + 0.4 * min(1.0, n_clusters / 15.0)
+    return norm, min(int(np.clip(TRAIN_LOW + part * (TRAIN_HIGH - TRAIN_LOW), TRAIN_LOW, TRAIN_HIGH)), n)
+
+
 def complexity_sample_size(df: DataFrame, features: list[str], n_clusters: int) -> DataFrame:
     """Training-sample size from the entropy of the correlation spectrum.
 
@@ -165,18 +176,12 @@ def complexity_sample_size(df: DataFrame, features: list[str], n_clusters: int)
     pairs = [(i, j) for i in range(n_feat) for j in range(i + 1, n_feat)]
     row = df.agg(F.count("*").alias("n"), *[F.corr(features[i], features[j]).alias(f"c_{i}_{j}")
                                             for i, j in pairs]).first()
+    m = np.eye(n_feat)
+    for i, j in pairs:
+        c = row[f"c_{i}_{j}"]
+        m[i, j] = m[j, i] = 0.0 if c is None or math.isnan(c) else c
     n = int(row["n"])
-    if n <= TRAIN_LOW or n_feat <= 1:
-        size, norm = min(n, TRAIN_MAX), 0.0
-    else:
-        m = np.eye(n_feat)
-        for i, j in pairs:
-            c = row[f"c_{i}_{j}"]
-            m[i, j] = m[j, i] = 0.0 if c is None or math.isnan(c) else c
-        share = np.clip(np.linalg.eigvalsh(m) / n_feat, 1e-12, None)
-        norm = float(-(share * np.log(share)).sum()) / max(math.log(n_feat), 1e-9)
-        part = 0.6 * (1.0 - norm) + 0.4 * min(1.0, n_clusters / 15.0)
-        size = min(int(np.clip(TRAIN_LOW + part * (TRAIN_HIGH - TRAIN_LOW), TRAIN_LOW, TRAIN_HIGH)), n)
+    norm, size = size_from_correlation(n, m, n_clusters)
     return df.sparkSession.createDataFrame([(n, round(norm, 6), size)],
                                            "n_pixels long, norm_entropy double, train_pixels long")
 

@@ -189,6 +189,58 @@ def focal_tiles(tiles: DataFrame, radius: int, tile: int,
     handed to ``fn`` in ``info``.
     """
     attrs = attrs or []
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rid, tr, tc = key
+        own = pdf[(pdf.tile_row == tr) & (pdf.tile_col == tc)]
+        if own.empty:  # an uncovered tile has nothing to compute
+            return empty_frame(TILE_COLUMNS)
+        o = own.iloc[0]
+        y0, x0, canvas = _canvas(pdf, o, tr, tc, radius, tile)
+        info = {"row0": y0, "col0": x0, "raster_id": rid, **{a: o[a] for a in attrs}}
+        res = np.asarray(fn(canvas, info), dtype=np.uint8)
+        crop = res[:, o.row0 - y0:o.row0 - y0 + o.h, o.col0 - x0:o.col0 - x0 + o.w]
+        return pd.DataFrame([(rid, tr, tc, o.row0, o.col0, o.h, o.w, o.raster_h, o.raster_w,
+                              crop.shape[0], np.ascontiguousarray(crop).tobytes())],
+                            columns=TILE_COLUMNS)
+
+    sent = _sent_strips(tiles, radius, tile, attrs)
+    return sent.groupBy("raster_id", "dest_row", "dest_col").applyInPandas(run, TILE)
+
+
+#: A tile with the border its neighbours gave it: ``data`` is the canvas of ``pad_h`` times ``pad_w`` from ``y0, x0``.
+PADDED = TILE + ", y0 int, x0 int, pad_h int, pad_w int"
+
+
+def padded_tiles(tiles: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Tiles with their border, for passes that read the same neighbourhoods again and again; one shuffle."""
+    names = [f.split()[0] for f in PADDED.split(", ")]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rid, tr, tc = key
+        own = pdf[(pdf.tile_row == tr) & (pdf.tile_col == tc)]
+        if own.empty:
+            return empty_frame(names)
+        o = own.iloc[0]
+        y0, x0, canvas = _canvas(pdf, o, tr, tc, radius, tile)
+        return pd.DataFrame([(rid, tr, tc, o.row0, o.col0, o.h, o.w, o.raster_h, o.raster_w, o.n_bands, canvas.tobytes(),
+                              y0, x0, *canvas.shape[1:])], columns=names)
+
+    return _sent_strips(tiles, radius, tile, []).groupBy("raster_id", "dest_row", "dest_col").applyInPandas(run, PADDED)
+
+
+def _canvas(pdf: pd.DataFrame, own, tr: int, tc: int, radius: int, tile: int) -> tuple[int, int, np.ndarray]:
+    """Where the padded canvas of a tile begins, and its bands."""
+    y0, y1 = max(0, tr * tile - radius), min(own.raster_h, (tr + 1) * tile + radius)
+    x0, x1 = max(0, tc * tile - radius), min(own.raster_w, (tc + 1) * tile + radius)
+    canvas = np.zeros((own.n_bands, y1 - y0, x1 - x0), dtype=np.uint8)
+    for t in pdf.itertuples(index=False):
+        canvas[:, t.row0 - y0:t.row0 - y0 + t.h, t.col0 - x0:t.col0 - x0 + t.w] = block_of(t)
+    return y0, x0, canvas
+
+
+def _sent_strips(tiles: DataFrame, radius: int, tile: int, attrs: list[str]) -> DataFrame:
+    """Every tile for its own key, and its border strips for its neighbours'."""
     types = dict(tiles.dtypes)
     schema = _STRIP + "".join(f", {a} {types[a]}" for a in attrs)
     names = [f.split()[0] for f in _STRIP.split(", ")] + attrs
@@ -216,23 +268,4 @@ def focal_tiles(tiles: DataFrame, radius: int, tile: int,
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rid, tr, tc = key
-        own = pdf[(pdf.tile_row == tr) & (pdf.tile_col == tc)]
-        if own.empty:  # an uncovered tile has nothing to compute
-            return empty_frame(TILE_COLUMNS)
-        o = own.iloc[0]
-        y0, y1 = max(0, tr * tile - radius), min(o.raster_h, (tr + 1) * tile + radius)
-        x0, x1 = max(0, tc * tile - radius), min(o.raster_w, (tc + 1) * tile + radius)
-        canvas = np.zeros((o.n_bands, y1 - y0, x1 - x0), dtype=np.uint8)
-        for t in pdf.itertuples(index=False):
-            canvas[:, t.row0 - y0:t.row0 - y0 + t.h, t.col0 - x0:t.col0 - x0 + t.w] = block_of(t)
-        info = {"row0": y0, "col0": x0, "raster_id": rid, **{a: o[a] for a in attrs}}
-        res = np.asarray(fn(canvas, info), dtype=np.uint8)
-        crop = res[:, o.row0 - y0:o.row0 - y0 + o.h, o.col0 - x0:o.col0 - x0 + o.w]
-        return pd.DataFrame([(rid, tr, tc, o.row0, o.col0, o.h, o.w, o.raster_h, o.raster_w,
-                              crop.shape[0], np.ascontiguousarray(crop).tobytes())],
-                            columns=TILE_COLUMNS)
-
-    sent = tiles.mapInPandas(strips, schema)
-    return sent.groupBy("raster_id", "dest_row", "dest_col").applyInPandas(run, TILE)
+    return tiles.mapInPandas(strips, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import CLASS_RGB, CLASSES, PRIOR_COST, SAMPLE_WINDOW
 from ..functions import color
 from ..functions.predicates import blank_near_black, is_covered
-from ..operators import assign, cluster, focal, overlay
+from ..operators import assign, cluster, focal, overlay, tile_kmeans
 from ..operators import kernels as K
 from ..operators.export import build_palette, fill_grid, histogram, merge_index, rgb_to_cmix
 from ..operators.stats import attach_by
@@ -32,7 +32,7 @@ class Options:
     tile: int = 512
     metres_per_px: float = 1.0
     use_prior: bool = True
-    train_pixels: int | None = None  # all covered pixels; a number asks for a sample
+    train_pixels: int | str | None = None  # all covered pixels; a number asks for a sample, "auto" for one of a size that suits the data
     anchors: dict | None = None
     names: tuple[str, ...] = field(default_factory=lambda: tuple(
         c["name"] for c in CLASSES if c["source"] == "kmeans"))
@@ -203,15 +203,26 @@ def score_tiles(tiles: DataFrame, model: Model, opts: Options = Options()) -> Da
     return focal_tiles(tiles, 1 + radius, opts.tile, run)
 
 
+def tile_form(opts: Options) -> tile_kmeans.Features:
+    nir = opts.nir
+    return tile_kmeans.Features(tuple(feature_names(opts)), lambda canvas: tile_features(canvas, nir), radius=1)
+
+
 def train_tiles(tiles: DataFrame, opts: Options = Options(), window: int = SAMPLE_WINDOW) -> Model:
     """One shared model from stored tiles: from all covered pixels, or from sample windows if a sample is asked for.
 
-    Windows come from tile headers. Tiles are kept when they meet a window grown
+    All pixels are read inside tiles and none becomes a row. Of a sample, the size may follow from the data
+    (``auto``). Its windows come from tile headers. Tiles are kept when they meet a window grown
     by one pixel, so every sampled pixel has its true neighbourhood.
     """
-    if opts.train_pixels is None:
-        px = tiles_to_pixels(tiles, ["r", "g", "b"] + (["nir"] if opts.nir else []))
-        return train(px, features(px, opts), opts)
+    if opts.train_pixels in (None, "auto"):
+        form = tile_form(opts)
+        kept = tile_kmeans.kept_tiles(tiles, form, opts.tile)
+        if opts.train_pixels is None:
+            scaler, centres = tile_kmeans.fit(kept, form, len(opts.names))
+            return Model(form.names, scaler, tuple(map(tuple, centres)))
+        at = tile_kmeans.moments(kept, form)
+        opts = replace(opts, train_pixels=cluster.size_from_correlation(at.n, at.correlation, len(opts.names))[1])
     heads = tiles.select("raster_id", "raster_h", "raster_w").distinct()
     windows = cut_lineage(cluster.sample_windows(heads, window=window))
     span = lambda at: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(at) - 1) / opts.tile)).cast("int"),

@@ -505,6 +505,23 @@ def p6tt(spark, sf):
     return mm.tile_histogram(labels).select("cluster", "n")
 
 
+_TRAINED = f"""{_FSQL.replace("FROM ft)," + chr(10) + "dd", "FROM ft WHERE r+g+b>=24)," + chr(10) + "dd")},
+lf AS (SELECT ft.*, cluster FROM ft JOIN lab USING (raster_id, row, col)),
+k1 AS (SELECT cluster, {', '.join(f'avg({f}) AS c_{f}' for f in FEATS)} FROM lf WHERE r+g+b>=24 GROUP BY 1),
+tr AS (SELECT lf.raster_id, lf.row, lf.col, lf.r+lf.g+lf.b>=24 AS ok, arg_min(k1.cluster, {'+'.join(f'power(({f}-c_{f})/s_{f},2)' for f in FEATS)}) AS cluster
+ FROM lf, k1, sc GROUP BY 1,2,3,4)"""
+
+
+@query("u3_model_interface", f"WITH {_TRAINED} SELECT case when ok then cluster else 0 end AS cluster, count(*) AS n FROM tr GROUP BY 1", ["pixel"])
+def u3(spark, sf):
+    """Estimator and model on stored tiles: one round from a fixed start, then label tiles."""
+    from ..models import TileKMeans
+    px = view(spark, sf, "pixel")
+    packed = tiles.pixels_to_tiles(px, ["r", "g", "b"], TILE, dims_of(px))
+    model = TileKMeans(k=3, tile=TILE, maxIter=1, start=[v for c in RAW3 for v in c]).fit(packed)
+    return mm.tile_histogram(model.transform(packed)).select("cluster", "n")
+
+
 _RECT_HIT = "EXISTS (SELECT 1 FROM rect f WHERE bs.row>=f.y AND bs.row<f.y+f.h AND bs.col>=f.x AND bs.col<f.x+f.w{})"
 
 

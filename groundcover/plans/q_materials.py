@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..constants import CLASS_RGB, CLASSES
 from ..functions import color
-from ..operators import assign, calibrate, cluster, export, semantics
+from ..operators import assign, calibrate, cluster, export, semantics, tile_kmeans, tiles
 from ..sources import profiles
-from .q_grid import _GRAD
+from .q_grid import TILE, _GRAD
 from .q_pixels import FLAG_CTE, KEYS, rounded, scaled_cte
 from .q_sources import _USER, dims_of, user_materials
 from .registry import query
@@ -92,6 +93,18 @@ def l5(spark, sf):
         "cluster", *rounded(*[(c, F.col(c)) for c in "rgb"], digits=5))
 
 
+@query("l5_tiles_fixed_start", lloyd_sql(4).replace("FROM pixel p,", "FROM (SELECT * FROM pixel WHERE r+g+b>=24) p,"), ["pixel"])
+def l5t(spark, sf):
+    """The same rounds as sums inside stored tiles, over the covered pixels."""
+    packed = tiles.pixels_to_tiles(view(spark, sf, "pixel"), ["r", "g", "b"], TILE, dims_of(view(spark, sf, "pixel")))
+    form = tile_kmeans.Features(("r", "g", "b"), lambda canvas: canvas.astype(float))
+    plain = tile_kmeans.Moments(0, np.zeros(3), np.ones(3), np.eye(3))
+    got, _ = tile_kmeans.lloyd(tile_kmeans.kept_tiles(packed, form, TILE), form, plain, np.array(START)[None], 4, -1.0)
+    rows = [(i, *map(float, c)) for i, c in enumerate(got, 1)]
+    return spark.createDataFrame(rows, "cluster int, r double, g double, b double").select(
+        "cluster", *rounded(*[(c, F.col(c)) for c in "rgb"], digits=5))
+
+
 @query("l5_kmeans_ml")
 def l5m(spark, sf):
     """Seeded k-means on every covered pixel."""
@@ -181,16 +194,30 @@ def h17(spark, sf):
     return cluster.complexity_sample_size(px, ["r", "g", "b", "vari", "sat"], 3)
 
 
-@query("h17_two_features", """
+_H17 = """
 WITH c AS (SELECT count(*)*9 AS n, corr(r,b) AS c FROM pixel), e AS (SELECT n, greatest((1+c)/2,1e-12) AS e1, greatest((1-c)/2,1e-12) AS e2 FROM c),
 h AS (SELECT n, -(e1*ln(e1)+e2*ln(e2))/ln(2e0) AS ne FROM e)
 SELECT n AS n_pixels, case when n<=20000 then 0e0 else round(ne,6) end AS norm_entropy,
- case when n<=20000 then least(n,100000) else least(n, cast(floor(greatest(20000, least(120000, 20000+(0.6e0*(1-ne)+0.4e0*0.2e0)*100000))) as bigint)) end AS train_pixels FROM h""", ["pixel"])
+ case when n<=20000 then least(n,100000) else least(n, cast(floor(greatest(20000, least(120000, 20000+(0.6e0*(1-ne)+0.4e0*0.2e0)*100000))) as bigint)) end AS train_pixels FROM h"""
+
+
+@query("h17_two_features", _H17, ["pixel"])
 def h17b(spark, sf):
     from .q_features import enlarged
     return cluster.complexity_sample_size(enlarged(spark, sf), ["r", "b"], 3)
 
 
+@query("h17_tiles", _H17, ["pixel"])
+def h17t(spark, sf):
+    """The same size from moments that are formed inside stored tiles."""
+    from .q_features import enlarged
+    px = enlarged(spark, sf)
+    form = tile_kmeans.Features(("r", "b"), lambda canvas: canvas.astype(float), covered_only=False)
+    at = tile_kmeans.moments(tile_kmeans.kept_tiles(tiles.pixels_to_tiles(px, ["r", "b"], TILE, dims_of(px)), form, TILE), form)
+    norm, size = cluster.size_from_correlation(at.n, at.correlation, 3)
+    return spark.createDataFrame([(at.n, round(norm, 6), size)], "n_pixels long, norm_entropy double, train_pixels long")
+
+
 # --- cluster summaries and naming --------------------------------------------
 
 def by_block(spark, sf, name="scene"):
