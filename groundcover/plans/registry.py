@@ -14,13 +14,15 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, views: tuple[str, ...] | list[str] = ()):
-    """Register a query; ``sql`` is its check over the given tables and views."""
+def query(name: str, sql: str | None = None, views: tuple[str, ...] | list[str] = (), same_as: str | None = None):
+    """Register a query; ``sql`` is its check over the given tables and views, or the check is that of another query."""
     def keep(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
         QUERIES[name] = fn
         if sql:
             ORACLES[name] = with_views(sql, *views)
+        elif same_as:
+            ORACLES[name] = ORACLES[same_as]
         return fn
     return keep

@@ -11,8 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import CLASSES, DEFAULT_NAME
+from ..constants import CLASS_RGB, CLASSES, DEFAULT_NAME, INCOMPATIBLE, VETO_DEFAULT, VETO_RGB_SQ, VETO_THRESHOLDS
+from ..operators import runs
 from ..operators.export import cell_material_table, write_lines
+from ..operators.overlay import veto_summary
 from ..operators.tiles import TILE_COLUMNS, block_of
 from ..schema import TILE, TILE_KEYS
 from ..session import cut_lineage
@@ -65,6 +67,63 @@ def fuse_tiles(index: DataFrame, masks: list[tuple[DataFrame, str]]) -> DataFram
     return index
 
 
+def fuse_tiles_with_veto(index: DataFrame, original: DataFrame, masks: list[tuple[DataFrame, str, str]], tile: int,
+                         colours: dict[str, tuple[int, int, int]], everywhere: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Paints masks over index tiles, without the components that the image contradicts: (index tiles, veto table).
+
+    ``masks`` are mask tiles on the same grid with their material and source; ``colours`` are those a pixel may be too
+    close to. All masks become runs at once: one labelling, one exchange with the image's tiles for the contradicting
+    pixels of every run, and one with the index tiles, whatever the number of masks. Masks of sources that cannot
+    veto are not labelled. Water goes below roads and these below buildings.
+    """
+    order = {"BM_WATER": 0, "BM_ASPHALT": 1, "BM_CONCRETE": 2}
+    ranked = sorted(masks, key=lambda m: order.get(m[1], 9))
+    limits = [float(VETO_THRESHOLDS.get(source, VETO_DEFAULT)) for _, _, source in ranked]
+    layers = [df.select(*TILE_COLUMNS).withColumn("layer", F.lit(i)) for i, (df, _, _) in enumerate(ranked)]
+    of_layer = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("layer") + 1)
+    by = ("raster_id", "layer")
+    plain = [x for x, limit in zip(layers, limits) if limit > 1]
+    kept = [runs.tile_runs(reduce(DataFrame.unionByName, plain), ("layer",))] if plain else []
+    table = index.sparkSession.createDataFrame([], "raster_id string, layer int, comp long, area long, bad long, vetoed boolean")
+    doubted = [x for x, limit in zip(layers, limits) if limit <= 1]
+    if doubted:
+        rules = [[colours[n] for n in INCOMPATIBLE.get(m, ()) if n in colours] for _, m, _ in ranked]
+
+        def contradicting(bands: np.ndarray) -> list[np.ndarray]:
+            a = bands[:3].astype(np.int64)
+            near = lambda c: sum((x - v) ** 2 for x, v in zip(a, c)) <= VETO_RGB_SQ
+            none = np.zeros(a.shape[1:], dtype=bool)
+            return [np.logical_or.reduce([none, *(near(c) for c in cs)]) for cs in rules]
+
+        labels = runs.label_runs(runs.tile_runs(reduce(DataFrame.unionByName, doubted), ("layer",)), tile, 8, by)
+        names = [f"bad{i}" for i in range(len(ranked))]
+        counted = runs.with_sums(cut_lineage(labels), original, names, contradicting)
+        bad = F.sum(F.element_at(F.array(*[F.col(n) for n in names]), F.col("layer") + 1))
+        table = runs.run_stats(counted, by, [bad.alias("bad")]).select(
+            *by, "comp", "area", "bad", (F.col("bad") / F.col("area") >= of_layer(limits)).alias("vetoed"))
+        table = cut_lineage(table)
+        kept.append(runs.runs_of(labels, table.filter("NOT vetoed"), by).select(kept[0].columns if kept else [*runs.RUN_COLUMNS, "layer"]))
+    painted = reduce(DataFrame.unionByName, kept).withColumn("paint", of_layer([CMIX[m] for _, m, _ in ranked]))
+    return (runs.painted_tiles(index, painted, "layer", "paint", everywhere),
+            table.withColumn("material", of_layer([m for _, m, _ in ranked])))
+
+
+def masked_run(tiles: DataFrame, masks: list[tuple[DataFrame, str, str]], opts: mm.Options = mm.Options(),
+               model: mm.Model | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored tiles and named mask tiles to index tiles, their histogram, and the veto totals by material.
+
+    Labels, names and training are those of ``classify_tiles``; masks are painted everywhere, as on the pixel form.
+    """
+    labels, named = mm.classify_tiles(tiles, opts, model)
+    index = index_tiles(labels, named.materials)
+    colours = {n: CLASS_RGB[n] for n in opts.names}
+    index, table = fuse_tiles_with_veto(index, tiles, masks, opts.tile, colours, everywhere=True) if masks else (
+        index, tiles.sparkSession.createDataFrame([], "material string, vetoed boolean"))
+    index = cut_lineage(index)
+    counts = mm.tile_histogram(index).select(F.col("cluster").alias("cmix"), F.col("n").alias("n_px"))
+    return index, counts, veto_summary(table)
+
+
 def index_histogram(index: DataFrame, cells: int) -> DataFrame:
     """Cells and percentage per index value over a grid of ``cells`` cells; cells without a tile count as zero."""
     counted = mm.tile_histogram(index).select(F.col("cluster").alias("cmix"), "n")
