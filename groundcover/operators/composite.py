@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import color, geo
 from ..functions.predicates import is_covered
-from ..schema import TILE
+from ..schema import TILE, TILE_KEYS
+from ..session import cut_lineage
 from .stats import attach_by, ordered_index
 from .tiles import TILE_COLUMNS, block_of
 
@@ -84,6 +85,53 @@ def composite_tiles(tiles: DataFrame, tile: int, salts: int = 16) -> DataFrame:
     return partial.groupBy(*keys).applyInPandas(second, partial_schema).drop("ords")
 
 
+#: Grid cells whose coverage is sent to all tasks at most, some 40 bytes each.
+FEW_CELLS = 1_000_000
+
+
+def coverage_of(tiles: DataFrame, tile: int) -> DataFrame:
+    """Per grid cell with any coverage: the best source that covers all of it (``top``, else null) and the number of visible tiles.
+
+    Reads the narrow columns only: ``cover`` and ``ord`` with the tiles' places.
+    """
+    whole = (F.col("cover") == 2) & (F.col("row0") == F.col("tile_row") * tile) & (F.col("col0") == F.col("tile_col") * tile) & (
+        F.col("h") == F.least(F.lit(tile), F.col("raster_h") - F.col("row0"))) & (
+        F.col("w") == F.least(F.lit(tile), F.col("raster_w") - F.col("col0")))
+    # cells repeat over sources: counts by order are bounded by the tiles of a cell, which are not collected
+    seen = tiles.filter("cover > 0").select(*TILE_KEYS, "ord", whole.alias("whole"))
+    top = seen.groupBy(*TILE_KEYS).agg(F.max(F.when(F.col("whole"), F.col("ord"))).alias("top"))
+    visible = seen.join(top, TILE_KEYS).filter(F.col("top").isNull() | (F.col("ord") >= F.col("top")))
+    return visible.groupBy(*TILE_KEYS).agg(F.first("top").alias("top"), F.count("*").alias("n"))
+
+
+def composite_visible(tiles: DataFrame, tile: int, salts: int = 16) -> DataFrame:
+    """As ``composite_tiles`` over stored tiles with ``cover``: hidden tiles are dropped before any of their bytes move.
+
+    A tile is hidden where a better source covers its whole grid cell, or where it covers nothing. A cell with one visible
+    tile is finished where that tile lies. Only cells with several visible tiles are shuffled.
+    """
+    cells = cut_lineage(coverage_of(tiles, tile))
+    few = cells.limit(FEW_CELLS + 1).count() <= FEW_CELLS
+    held = tiles.filter("cover > 0").join(F.broadcast(cells) if few else cells, TILE_KEYS).filter(
+        F.col("top").isNull() | (F.col("ord") >= F.col("top")))
+
+    def alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for t in pdf.itertuples(index=False):
+                r0, c0 = t.tile_row * tile, t.tile_col * tile
+                rgb = np.zeros((3, min(tile, t.raster_h - r0), min(tile, t.raster_w - c0)), dtype=np.uint8)
+                block = block_of(t)[:3]
+                bright = block.sum(axis=0, dtype=np.int32) >= 24
+                np.copyto(rgb[:, t.row0 - r0:t.row0 - r0 + t.h, t.col0 - c0:t.col0 - c0 + t.w], block, where=bright)
+                rows.append((t.raster_id, t.tile_row, t.tile_col, r0, c0, *rgb.shape[1:], t.raster_h, t.raster_w, 3, rgb.tobytes()))
+            yield pd.DataFrame(rows, columns=TILE_COLUMNS)
+
+    single = held.filter("n = 1").select(TILE_COLUMNS).mapInPandas(alone, TILE)
+    several = held.filter("n > 1").select(*TILE_COLUMNS, "ord")
+    return single.unionByName(composite_tiles(several, tile, salts))
+
+
 def _reduce(block: np.ndarray, axis: int, start: int, ratio: float, offset: float) -> tuple[int, np.ndarray, np.ndarray]:
     """Sums over target cells along one axis: first cell, sums and covered lengths.
 

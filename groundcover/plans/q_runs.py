@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import runs, tiles
+from ..operators import composite, runs, tiles
+from ..operators.stats import attach_scalar
+from ..session import ensure_checkpoint_dir
+from ..sources import tile_store
 from . import material_map as mm
 from . import tile_run
 from .q_features import (BLDG, ROAD, _BAD, _FSQL, KM, W_RGB, given_model, height_of, mask_of, reach_sql)
@@ -130,3 +134,33 @@ def p4(spark, sf):
     packed = tiles.pixels_to_tiles(px, ["r", "g", "b"], TILE, dims_of(px))
     _, counts, _ = tile_run.masked_run(packed, masks, opts, given_model(mm.features(px, opts)))
     return counts.select("cmix", "n_px")
+
+
+# --- stored tiles ------------------------------------------------------------
+
+def store(spark, packed: DataFrame, name: str, **options) -> DataFrame:
+    """A stored table of the tiles in a new folder below the session's shared one."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    tile_store.write(packed, path, **options)
+    return tile_store.read(spark, path)
+
+
+@query("a2_stored_window", same_as="a2_window_scan")
+def a2(spark, sf):
+    """A window of the stored table: file statistics leave out what it does not meet."""
+    px = view(spark, sf, "scene")
+    stored = store(spark, tiles.pixels_to_tiles(px, ["r", "g", "b"], 16, dims_of(px)), "tiles", files=4, group_rows=4)
+    out = tiles.tiles_to_pixels(tile_store.window(stored, None, 5, 20, 9, 40), ["r", "g", "b"])
+    return out.filter("row >= 5 AND row < 14 AND col >= 20 AND col < 60")
+
+
+@query("g1_composite_visible", same_as="g1_composite_tiles")
+def g1(spark, sf):
+    """The composite of stored tiles, without those that a better source hides."""
+    px = view(spark, sf, "source_pixel").select(F.col("path").alias("raster_id"), "priority", "row", "col", "r", "g", "b")
+    high = px.agg((F.max("row") + 1).alias("raster_h"), (F.max("col") + 1).alias("raster_w"))
+    packed = tiles.pixels_to_tiles(px, ["r", "g", "b"], TILE, attach_scalar(px.select("raster_id").distinct(), high))
+    stored = store(spark, packed, "sources", files=4)
+    ranked = stored.withColumn("ord", F.lit(1000) - F.substring("raster_id", 2, 1).cast("int")).withColumn("raster_id", F.lit("cell"))
+    merged = composite.composite_visible(ranked, TILE, 2)
+    return tiles.tiles_to_pixels(merged, ["r", "g", "b"], drop_blank=True).select("row", "col", "r", "g", "b")
