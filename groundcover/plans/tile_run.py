@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from functools import reduce
 from hashlib import sha256
 
@@ -161,10 +164,12 @@ def discover(spark: SparkSession, cfg: CellConfig) -> DataFrame:
     return cut_lineage(reduce(DataFrame.unionByName, parts))
 
 
-def signature(found: DataFrame, cfg: CellConfig, opts: mm.Options) -> str:
-    """One text that changes with any file, the configuration or the options; files are summed where they lie."""
+def signature(found: DataFrame, cfg: CellConfig, opts: mm.Options, model: mm.Model | None = None,
+              masks: list[tuple[DataFrame, str]] | None = None) -> str:
+    """One text that changes with any file, mask, the configuration, the options or a given model; rows are summed where they lie."""
     row = found.agg(F.count("*"), F.sum(F.xxhash64("path", "size", "mtime", "priority").cast("decimal(38,0)"))).first()
-    return sha256(repr((cfg, opts, *row)).encode()).hexdigest()
+    painted = [(material, mask.agg(F.sum(F.xxhash64(*TILE_KEYS, "data").cast("decimal(38,0)"))).first()[0]) for mask, material in masks or []]
+    return sha256(repr((replace(cfg, overwrite=False), opts, model, painted, *row)).encode()).hexdigest()
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -174,47 +179,121 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if done else None
 
 
+#: What a run leaves in its output folder; anything else there is not ours.
+OWN = {"runs", "current", "materials"}
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _current(spark: SparkSession, out: str) -> str | None:
+    """Signature of the published run."""
+    fs, where = _file_system(spark, f"{out}/current")
+    return spark.read.text(f"{out}/current").first()[0].strip() if fs.exists(where) else None
+
+
+def _publish(spark: SparkSession, out: str, mark: str) -> None:
+    """Points to a finished run by one rename, so a reader finds the run before or this one, and never a part."""
+    jvm = spark.sparkContext._jvm
+    fs, new = _file_system(spark, f"{out}/.current-{uuid.uuid4().hex}")
+    stream = fs.create(new, True)
+    stream.write((mark + "\n").encode())
+    stream.close()
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(new, jvm.org.apache.hadoop.fs.Path(f"{out}/current"), how)
+
+
+def _guard(spark: SparkSession, out: str) -> None:
+    fs, where = _file_system(spark, out)
+    if fs.exists(where):
+        odd = sorted({x.getPath().getName() for x in fs.listStatus(where)} - OWN)
+        odd = [n for n in odd if not n.startswith(".")]
+        if odd:
+            raise FileExistsError(f"{out} holds {odd[0]}, which no run wrote; choose another folder or set overwrite")
+
+
+def published(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame] | None:
+    """Index and histogram of the run that is published under a folder; None without one."""
+    mark = _current(spark, out.rstrip("/"))
+    if mark is None:
+        return None
+    run = f"{out.rstrip('/')}/runs/{mark}"
+    return spark.read.parquet(f"{run}/index"), spark.read.parquet(f"{run}/histogram")
+
+
 def run_manifest(spark: SparkSession, cfg: CellConfig, read_headers: Callable[[DataFrame], DataFrame],
                  read_tiles: Callable[[DataFrame], DataFrame], masks: list[tuple[DataFrame, str]] | None = None,
-                 opts: mm.Options = mm.Options(), model: mm.Model | None = None) -> tuple[DataFrame, DataFrame]:
-    """Discovery to the written pair: index tiles and material table, with the histogram, under ``cfg.output``.
+                 opts: mm.Options = mm.Options(), model: mm.Model | None = None,
+                 read_mask: Callable[[str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Discovery to the written pair: index tiles and histogram of a run, and the material table, under ``cfg.output``.
 
     ``read_headers(files)`` gives raster headers of files, ``read_tiles(sources)`` their
     stored tiles, and ``masks`` mask tiles on the cell's grid with their material (used when ``cfg.use_models`` holds);
-    reading image formats is the caller's. Headers of unchanged files come from the
-    footprint cache of the last run. A finished run of the same files and settings is
-    not repeated; other existing output is an error unless ``cfg.overwrite`` is set.
-    Every part is published by Spark's committer, the run record last.
+    ``read_mask(path)`` gives the mask tiles of ``cfg.water_mask``, which is painted below the others.
+    Reading image formats is the caller's. Headers of unchanged files come from the
+    footprint cache of the published run.
+
+    A run has a folder of its own, ``runs/<signature>`` of its files and settings. Its parts (headers, mosaic, model, index,
+    histogram) are written one after the other by Spark's committer; a run that died goes on after its last whole part.
+    The finished run is published by replacing the file ``current`` in one rename, so the run before stays whole until then. A published
+    run of the same files and settings is not repeated; another one, or a folder with other content, is an error unless
+    ``cfg.overwrite`` is set.
     """
+    if cfg.water_mask and read_mask is None:
+        raise ValueError("the manifest names a water mask: pass read_mask")
     found = discover(spark, cfg)
-    mark, out = signature(found, cfg, opts), cfg.output.rstrip("/")
-    last = _stored(spark, f"{out}/run")
-    if last is not None and last.first()["signature"] == mark:
-        return spark.read.parquet(f"{out}/index"), spark.read.parquet(f"{out}/histogram")
-    if last is not None and not cfg.overwrite:
-        raise FileExistsError(f"{out} holds another run; set overwrite to replace it")
-    cached = _stored(spark, f"{out}/footprints")
-    if cached is None:
-        headers = read_headers(found)
-    else:
+    used = (masks or []) if cfg.use_models else []
+    mark, out = signature(found, cfg, opts, model, used), cfg.output.rstrip("/")
+    last = _current(spark, out)
+    if last == mark:
+        return published(spark, out)
+    if not cfg.overwrite:
+        if last is not None:
+            raise FileExistsError(f"{out} holds another run; set overwrite to replace it")
+        _guard(spark, out)
+    run = f"{out}/runs/{mark}"
+
+    def part(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        done = _stored(spark, f"{run}/{name}")
+        if done is None:
+            make().write.mode("overwrite").parquet(f"{run}/{name}")
+            done = spark.read.parquet(f"{run}/{name}")
+        return done
+
+    def read_all_headers() -> DataFrame:
+        cached = _stored(spark, f"{out}/runs/{last}/footprints") if last else None
+        if cached is None:
+            return read_headers(found)
         misses = files.flag_cached(found, cached).filter("NOT cache_hit").drop("cache_hit")
-        kept = cached.drop("priority").join(found, files.CACHE_KEYS)
-        headers = kept.unionByName(read_headers(misses))
-    headers = cut_lineage(headers)
+        return cached.drop("priority").join(found, files.CACHE_KEYS).unionByName(read_headers(misses))
+
+    headers = part("footprints", read_all_headers)
     sized = headers.select("path", "width", "height")
     sources = footprints(headers).join(sized, "path").withColumn(
         "px_x", (F.col("east") - F.col("west")) / F.col("width")).withColumn(
         "px_y", (F.col("north") - F.col("south")) / F.col("height")).drop("width", "height")
-    index, _ = cell_index(read_tiles(sources), sources, cfg, masks if cfg.use_models else None, opts, model)
-    index.write.mode("overwrite").parquet(f"{out}/index")
-    index = spark.read.parquet(f"{out}/index")
     _, width, height, _ = _grid(sources, cfg)
-    index_histogram(index, width * height).write.mode("overwrite").parquet(f"{out}/histogram")
+    image = part("mosaic", lambda: mosaic_tiles(read_tiles(sources), sources, cfg, opts.tile)[0])
+
+    def learn() -> DataFrame:
+        got = mm.name_centres(model or mm.train_tiles(image, opts), opts, spark)
+        return spark.createDataFrame([(json.dumps([got.features, got.scaler, got.centres, got.materials]),)], "model string").coalesce(1)
+
+    names, scaler, centres, materials = json.loads(part("model", learn).first()[0])
+    named = mm.Model(tuple(names), {n: tuple(v) for n, v in scaler.items()}, tuple(map(tuple, centres)), tuple(materials))
+    painted = [(read_mask(cfg.water_mask), "BM_WATER")] if cfg.water_mask else []
+    index = part("index", lambda: fuse_tiles(index_tiles(mm.score_tiles(image, named, opts), named.materials), painted + used))
+    hist = part("histogram", lambda: index_histogram(index, width * height))
     classes = profiles.class_dim(spark).select(F.col("cmix").alias("pos"), "name", "color", "composite_name")
+    # the material table is that of the classes, the same for every run
     write_lines(cell_material_table(classes), f"{out}/materials", ["pos"], overwrite=True)
-    headers.write.mode("overwrite").parquet(f"{out}/footprints")
-    spark.createDataFrame([(mark,)], "signature string").coalesce(1).write.mode("overwrite").parquet(f"{out}/run")
-    return index, spark.read.parquet(f"{out}/histogram")
+    _publish(spark, out, mark)
+    return index, hist
 
 
 def _grid(sources: DataFrame, cfg: CellConfig):

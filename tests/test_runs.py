@@ -250,3 +250,59 @@ def test_manifest_run_in_tiles(spark, tmp_path):
     _, hist = tile_run.run_manifest(spark, again, read_headers, read_tiles, [(mask.withColumn("raster_id", F.lit(rid)), "BM_ASPHALT")], opts, model)
     n = {r["cmix"]: r["n_px"] for r in hist.collect()}
     assert asked == [2, 1] and n[1] == 4 * w and sum(n.values()) == 400 * 400
+
+
+def test_published_runs(spark, tmp_path):
+    """A run that dies leaves the published one whole, goes on where it stopped, and appears at once."""
+    from groundcover.plans import tile_run
+    step, h, w = 1 / 400, 48, 60
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/one.tif").write_bytes(b"x")
+    text = '[geocell]\nsouth_lat = 33\nwest_lon = 35\n[[layers]]\nfolder = "a"\npriority = 1\n[classify]\nwater_mask = "w.tif"\n[output]\npath = "out"\noverwrite = true\n'
+    (tmp_path / "cell.toml").write_text(text)
+    cfg = cell_run.load_config(str(tmp_path / "cell.toml"))
+    calls, fail = [], []
+
+    def read_headers(found):
+        calls.append("headers")
+        return found.select("path", "size", "mtime", "priority", F.lit(4326).alias("epsg"), F.lit(w).alias("width"), F.lit(h).alias("height"),
+                            F.lit(35.0 + 10 * step).alias("west"), F.lit(34.0 - 20 * step).alias("north"),
+                            F.lit(step).alias("xres"), F.lit(step).alias("yres"))
+
+    def read_tiles(sources):
+        calls.append("tiles")
+        path = sources.select("path").first()[0]
+        return tiles.pixels_to_tiles(image(spark, scene(1), path), ["r", "g", "b"], 16, dims(spark, h, w, path))
+
+    def read_mask(path):
+        if fail:
+            raise fail.pop()
+        cells = spark.range(60).select(F.lit("cell").alias("raster_id"), F.lit(22).alias("row"), (F.col("id") + 10).cast("int").alias("col"), F.lit(1).alias("m"))
+        return tiles.pixels_to_tiles(cells, ["m"], 64, spark.createDataFrame([("cell", 400, 400)], "raster_id string, raster_h int, raster_w int"))
+
+    opts = mm.Options(tile=64)
+    run = lambda o=opts: tile_run.run_manifest(spark, cfg, read_headers, read_tiles, opts=o, read_mask=read_mask)
+    with pytest.raises(ValueError, match="water mask"):
+        tile_run.run_manifest(spark, cfg, read_headers, read_tiles, opts=opts)
+    _, hist = run()
+    first = {r.cmix: r.n_px for r in hist.collect()}
+    assert first[tile_run.CMIX["BM_WATER"]] == 60 and sum(first.values()) == 400 * 400 and calls == ["headers", "tiles"]
+    other = mm.Options(tile=64, smoothing="median_1")
+    fail.append(RuntimeError("lost"))
+    with pytest.raises(RuntimeError, match="lost"):
+        run(other)
+    assert {r.cmix: r.n_px for r in tile_run.published(spark, cfg.output)[1].collect()} == first
+    # the first settings are still the published run: nothing is read again
+    calls.clear()
+    assert {r.cmix: r.n_px for r in run()[1].collect()} == first and calls == []
+    # the other run goes on after the mosaic and its model
+    index, hist = run(other)
+    assert calls == [] and {r.cmix: r.n_px for r in tile_run.published(spark, cfg.output)[1].collect()} == {r.cmix: r.n_px for r in hist.collect()}
+    assert tile_run._current(spark, cfg.output) != tile_run.signature(tile_run.discover(spark, cfg), cfg, opts)
+    # content that no run wrote is not touched
+    (tmp_path / "out2").mkdir()
+    (tmp_path / "out2/index").write_text("mine")
+    (tmp_path / "cell.toml").write_text(text.replace('"out"', '"out2"').replace("overwrite = true\n", ""))
+    cfg = cell_run.load_config(str(tmp_path / "cell.toml"))
+    with pytest.raises(FileExistsError, match="no run wrote"):
+        run()
