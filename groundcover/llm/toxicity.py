@@ -486,8 +486,10 @@ def rated(df: DataFrame, scorer: Scorer, text_col: str, name: str) -> DataFrame:
 
 def _rated_by_join(df: DataFrame, scorer: Scorer, text_col: str, name: str, kind: str) -> DataFrame:
     """Texts in blocks of about ``LOOK_UP`` letters; each block meets the entries of its own words and pairs."""
-    curve = scorer.curve
-    with_block = StructType([*df.schema.fields, StructField("_block", LongType())])
+    curve, block = scorer.curve, "_block"
+    while block in map(str.lower, df.columns):  # a name that no input column has
+        block += "_"
+    with_block = StructType([*df.schema.fields, StructField(block, LongType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held = TaskContext.get().partitionId() << 40, 0
@@ -495,14 +497,14 @@ def _rated_by_join(df: DataFrame, scorer: Scorer, text_col: str, name: str, kind
             sizes = pc.fill_null(pc.utf8_length(b.column(b.schema.get_field_index(text_col))), 0).to_numpy()
             ends = held + np.cumsum(sizes, dtype=np.int64)
             held = int(ends[-1]) if len(ends) else held
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first + ends // LOOK_UP)], [*b.schema.names, "_block"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first + ends // LOOK_UP)], [*b.schema.names, block])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            block = b.column(1).to_numpy()
+            own = b.column(1).to_numpy()
             texts = [t.as_py() or "" for t in b.column(0)]
-            for n in np.unique(block):
-                for run in _blocks(texts[i] for i in np.flatnonzero(block == n)):
+            for n in np.unique(own):
+                for run in _blocks(texts[i] for i in np.flatnonzero(own == n)):
                     word, stem, codes, before, _ = _tokens(run)
                     if not len(word):
                         continue
@@ -518,19 +520,19 @@ def _rated_by_join(df: DataFrame, scorer: Scorer, text_col: str, name: str, kind
         own = Entries.of_table(entries)
         out = _rated(own, (t.as_py() or "" for t in texts.column(text_col)), curve)
         made = pa.array(out, pa.list_(pa.float64()) if curve is None else pa.float64())
-        return texts.drop_columns(["_block"]).append_column(name, made)
+        return texts.drop_columns([block]).append_column(name, made)
 
     rows = written(df.mapInArrow(number, with_block), "toxicity-blocks")
-    asked = written(rows.select(text_col, "_block").mapInArrow(keys, "_block long, kind int, key long").distinct(), "toxicity-keys")
+    asked = written(rows.select(text_col, block).mapInArrow(keys, "_block long, kind int, key long").distinct(), "toxicity-keys")
     facts = cut_lineage(asked.groupBy("kind", "key").agg(F.count("*").alias("n")).join(scorer.model, ["kind", "key"]))
     found = join_counted(asked, facts, ["kind", "key"], "n").select("_block", "kind", "key", "value")
     schema = StructType([*df.schema.fields, StructField(name, ArrayType(DoubleType()) if curve is None else DoubleType())])
-    return rows.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(run, schema)
+    return rows.groupBy(block).cogroup(found.groupBy("_block")).applyInArrow(run, schema)
 
 
 def score(df: DataFrame, scorer: Scorer | None, text_col: str = "text") -> DataFrame:
     """Adds ``score``, the probability that a text is toxic."""
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "score"])
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != "score"])
     if scorer is None:
         return kept.withColumn("score", F.lit(0.0))
     return rated(kept, scorer, text_col, "score")

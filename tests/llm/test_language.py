@@ -343,3 +343,15 @@ def test_counts_by_blocks_and_by_joins_agree(spark, monkeypatch):
 def test_columns_round_trip():
     for columns in ([[0]], [[1, 2**63 - 1], [0, 0], [255, 256]], [list(range(5000)), [7] * 5000]):
         assert [c.tolist() for c in unsqueezed(squeezed(*map(np.array, columns)))] == columns
+
+
+def test_joined_scores_with_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FEW_ENTRIES", 0)
+    rows = [(i, ("bad awful words " if i % 3 else "plain good words ") * 5, 7, 0.5, "k") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _block long, Score double, key string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.learn(docs, labels))
+    assert sorted(got.columns) == ["_block", "doc_id", "key", "score", "text"]
+    out = got.collect()
+    assert len(out) == 120 and {r._block for r in out} == {7} and {r.key for r in out} == {"k"}
+    assert min(r.score for r in out if r.doc_id % 3) > max(r.score for r in out if r.doc_id % 3 == 0)
