@@ -42,15 +42,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five words a shingle, similarity of 0.8 or more.
 
-    Rows that share an id are one document; rows without an id stay.
+    Rows that share an id are one document, of which the row with the least hash of its text stays (and of
+    equal texts that with the least hash of all columns), so a rerun keeps the same; rows without an id stay.
     """
     found = cut_lineage(chosen_path.near_duplicates(docs).filter("doc_id IS NOT NULL"))
     dropped = cut_lineage(found.filter("NOT kept").select("doc_id").distinct())
     kept = docs.join(if_few(dropped), "doc_id", "left_anti")
     repeated = cut_lineage(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if not repeated.isEmpty():
-        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+        every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
+            F.min_by(every, F.struct(F.xxhash64("text"), F.xxhash64(every))).alias("_one"))
+        once = once.select(*[F.col(f"_one.`{c}`").alias(c) for c in docs.columns])
+        kept = kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
     return kept.select(docs.columns)
 
 
