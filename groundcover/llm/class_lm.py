@@ -46,7 +46,7 @@ CLASSES, ROUNDS = 64, 8
 FOLDS, HELD_OUT = 5, 1
 #: Words that are broadcast at most, 16 bytes each, and tokens whose bigrams are dealt by word: of more, one
 #: frequent word's bigrams would keep a task too long.
-FEW, FEW_TOKENS = 8_000_000, 2_000_000_000
+FEW, FEW_TOKENS = 8_000_000, 2_000_000_000  # so counts fit 32 bits
 #: Counts from which a word's gain is taken exactly; tokens' weight that class totals have in transitions.
 HEAVY, BACK = 1000, 20.0
 #: Bytes of text counted at a time, distinct bigrams a task holds, words whose decisions one block takes and their tokens on average.
@@ -220,7 +220,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch], classes: np.ndarray, words: i
                 block, sums = own, [np.zeros((-(-(words - own) // blocks), CLASSES)) for _ in (0, 1)]
             held[side].append(_unpacked(edges))
             size += len(held[side][-1][0])
-            if size > HELD:
+            if size > HELD // 2:
                 add()
     if block is not None:
         add()
@@ -237,6 +237,9 @@ def clustered(train: DataFrame, words: DataFrame, rounds: int) -> tuple[DataFram
     classes = np.minimum(np.arange(size), CLASSES - 1).astype(np.uint8)
     key = np.empty(size, dtype=np.int64)
     key[own.ranks] = own.sorted_keys
+    # rounds need 6 bytes a word: counts, whose turn it is, and classes
+    often = spark.sparkContext.broadcast(own.n.astype(np.int32))
+    odd = spark.sparkContext.broadcast(~turn(key, 0))
 
     def transitions(classes) -> tuple[np.ndarray, np.ndarray]:
         def run(batches):
@@ -244,7 +247,7 @@ def clustered(train: DataFrame, words: DataFrame, rounds: int) -> tuple[DataFram
             for block, (_, after) in _neighbours((b.filter(pa.array(b.column(1).to_numpy() == 1)) for b in batches), classes.value, size, blocks):
                 ranks = block + blocks * np.arange(len(after))
                 np.add.at(sums, classes.value[ranks], after)
-                once = np.flatnonzero(vocabulary.value.n[ranks] == 1)
+                once = np.flatnonzero(often.value[ranks] == 1)
                 np.add.at(sums, CLASSES + classes.value[ranks[once]].astype(int), after[once])
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.ravel()[at].astype(np.int64))], ["at", "n"])
@@ -255,26 +258,25 @@ def clustered(train: DataFrame, words: DataFrame, rounds: int) -> tuple[DataFram
         out = out.reshape(2, CLASSES, CLASSES)
         return out[0], out[1].sum(0)
 
-    def decided(classes, counts: np.ndarray, keys, round_: int) -> DataFrame:
+    def decided(classes, counts: np.ndarray, round_: int) -> DataFrame:
         def run(batches):
             for block, (before, after) in _neighbours(batches, classes.value, size, blocks):
                 ranks = block + blocks * np.arange(len(after))
-                ranks, row = (x[turn(keys.value[ranks], round_) & (ranks > 0)] for x in (ranks, np.arange(len(after))))
+                ranks, row = (x[(odd.value[ranks] == bool(round_ % 2)) & (ranks > 0)] for x in (ranks, np.arange(len(after))))
                 to = np.empty(len(ranks), dtype=np.int64)
                 for a in range(0, len(ranks), 10_000):
                     at = slice(a, a + 10_000)
-                    to[at] = moved(before[row[at]], after[row[at]], vocabulary.value.n[ranks[at]], classes.value[ranks[at]], counts)
+                    to[at] = moved(before[row[at]], after[row[at]], often.value[ranks[at]].astype(np.int64), classes.value[ranks[at]], counts)
                 differ = to != classes.value[ranks]
                 yield pa.RecordBatch.from_arrays([pa.array(ranks[differ].astype(np.int32)), pa.array(to[differ].astype(np.int32))],
                                                  ["rank", "cls"])
 
         return edges.mapInArrow(tidy(run), "rank int, cls int")
 
-    keys = spark.sparkContext.broadcast(key)
     shared = spark.sparkContext.broadcast(classes)
     for round_ in range(rounds):
         counts, _ = transitions(shared)
-        new = decided(shared, counts, keys, round_).toArrow()
+        new = decided(shared, counts, round_).toArrow()
         classes = classes.copy()
         classes[new.column("rank").to_numpy()] = new.column("cls").to_numpy()
         shared.unpersist()
