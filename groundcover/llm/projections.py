@@ -6,11 +6,14 @@ collides grows with its cosine, and pairs that collide less often than a pair at
 the threshold would, but for a set probability, are left out. The rest is verified
 by the cosine in double precision.
 
-No task sorts a whole line. Vectors meet in cells: those on the same side of several
-other lines share one, and this is repeated with new lines until a pair at the threshold
-shares a cell but for a set probability. Lines per cell grow with the logarithm of the
-number of vectors, so cells stay small whatever the size. Cells with more vectors than a
-task takes, as large groups of near copies make them, are compared block by block.
+Lines are sorted in bounded ranges. Vectors meet in cells: those on the same side of
+several other lines share one, and this is repeated with new lines until a pair at the
+threshold shares a cell but for a set probability. Lines per cell grow with the logarithm
+of the number of vectors, so cells stay small whatever the size. In a cell every line is
+sorted, a vector's window is two bounds in the sorted line, and collisions are added up
+per pair. A place on a line is one byte, and only these bytes travel to the cells; vectors
+follow for members of pairs that reach the count. Cells with more vectors than a task
+takes, as large groups of near copies make them, are compared block by block.
 A pair that meets several times is counted where it meets first. Links are counted
 and connected where they are found, so no group is expanded into its pairs.
 
@@ -34,14 +37,17 @@ from pyspark.sql import functions as F
 
 from ..operators.components import contract
 from ..session import cut_lineage
-from .blocks import Union, block_pairs, grouped, sorted_groups
-from .common import join_counted
+from .blocks import block_pairs, grouped, sorted_groups
+from .common import if_few, join_counted
+from .memory import tidy
 from .store import written
 
 #: Lines on which collisions are counted, and the window in units of the distance at the threshold.
 LINES, WINDOW = 64, 1.0
 MISS_CELL, MISS_COUNT = 0.01, 0.001
-CELL, BLOCK = 64, 1024
+CELL, BLOCK = 256, 1024
+#: A place on a line is one byte: steps per unit, and the place of zero. Places beyond the ends are at the ends.
+STEPS, ZERO = 32, 128
 
 
 def needed_collisions(lines: int = LINES, window: float = WINDOW, miss: float = MISS_COUNT) -> int:
@@ -104,56 +110,121 @@ def _by_size(column: pa.Array) -> list[np.ndarray]:
     return [np.flatnonzero(sizes == s) for s in np.unique(sizes)]
 
 
-def cells(reps: DataFrame, dtype: str, sides: int, repeats: int) -> DataFrame:
-    """(cell, repeat, rep) rows."""
+def encode(sets: DataFrame, dtype: str, sides: int, repeats: int) -> DataFrame:
+    """Adds ``code``, a byte per line, and ``cells``, a name per repetition."""
+    types = dict(sets.dtypes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vector, rep = (b.column(b.schema.get_field_index(c)) for c in ("vector", "rep"))
-            for rows in _by_size(vector):  # vectors of one length at a time
-                names = _cells(_matrix(vector.take(pa.array(rows)), dtype), sides, repeats)
+            for rows in _by_size(b.column(b.schema.get_field_index("vector"))):  # vectors of one length at a time
+                part = b.take(pa.array(rows))
+                x = _matrix(part.column(part.schema.get_field_index("vector")), dtype)
+                places = np.clip(np.floor(x @ _lines(2, x.shape[1], LINES) * STEPS) + ZERO, 0, 255).astype(np.uint8)
+                names = _cells(x, sides, repeats)
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * repeats),
+                                                 pa.array(names.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names.ravel()), pa.array(np.tile(np.arange(repeats, dtype=np.int32), len(rows))),
-                     pa.array(np.repeat(rep.to_numpy()[rows], repeats))], ["cell", "repeat", "rep"])
+                    [*part.columns, pa.array([p.tobytes() for p in places], pa.binary()), cells],
+                    [*part.schema.names, "code", "cells"])
+
+    schema = ", ".join(f"{c} {types[c]}" for c in sets.columns) + ", code binary, cells array<long>"
+    return sets.mapInArrow(tidy(run), schema)
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), LINES)
+
+
+def collisions(codes: np.ndarray, half: int) -> np.ndarray:
+    """How often each vector (column) lies in the window around each other one (row), over all lines."""
+    n = len(codes)
+    counts, at = np.zeros((n, n), dtype=np.uint8), np.uint16 if n < 1 << 16 else np.uint32
+    for line in codes.T.astype(np.int16):
+        order = np.argsort(line, kind="stable")
+        place = np.empty(n, dtype=at)
+        place[order] = np.arange(n, dtype=at)
+        first = np.searchsorted(line[order], line - half, "left").astype(at)
+        width = np.searchsorted(line[order], line + half, "right").astype(at) - first
+        # unsigned: places before the first wrap round and lie beyond the width
+        counts += (place[None, :] - first[:, None]) < width[:, None]
+    return counts
+
+
+def _half(cosine: float) -> int:
+    """The window in steps, rounded up, so that rounding places loses no collision."""
+    return math.ceil(WINDOW * math.sqrt(2 - 2 * cosine) * STEPS)
+
 
-    return reps.select("rep", "vector").mapInArrow(run, "cell long, repeat int, rep long")
+def passing(members: DataFrame, cosine: float) -> DataFrame:
+    """The members (group, rep, _own, _across, repeat) of pairs that collide often enough, from rows with ``code``."""
+    least, half = needed_collisions(), _half(cosine)
+    out = ["group", "rep", "_own", "_across", "repeat"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in grouped(batches, "group"):
+            codes, own = _codes(table.column("code").combine_chunks()), table.column("_own").to_numpy()
+            two, some = table.column("_across").to_pylist(), np.zeros(len(table), dtype=bool)
+            for a, b in zip(at[:-1], at[1:]):
+                near = collisions(codes[a:b], half) >= least
+                np.fill_diagonal(near, False)
+                if two[a]:
+                    near &= own[a:b, None] != own[None, a:b]
+                some[a:b] = near.any(axis=1)
+            yield from table.select(out).filter(pa.array(some)).to_batches()
+
+    return sorted_groups(members, run, "group long, rep long, _own int, _across boolean, repeat int")
 
 
-def links(members: DataFrame, reps: DataFrame, dtype: str, cosine: float, sides: int, repeats: int) -> DataFrame:
+def links(members: DataFrame, dtype: str, cosine: float) -> DataFrame:
     """(u, v, n): n links of u found in a group where v is null, else a link that connects."""
-    least, half = needed_collisions(), WINDOW * math.sqrt(2 - 2 * cosine)
+    least, half = needed_collisions(), _half(cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in grouped(batches, "group"):
             rep, own, copies, repeat = (table.column(c).to_numpy() for c in ("rep", "_own", "copies", "repeat"))
-            two = table.column("_across").to_pylist()
-            vector, out = table.column("vector").combine_chunks(), ([], [], [])
+            two, codes = table.column("_across").to_pylist(), _codes(table.column("code").combine_chunks())
+            vector, cells = (table.column(c).combine_chunks() for c in ("vector", "cells"))
+            out = ([], [], [])
             for a, b in zip(at[:-1], at[1:]):
-                x = _matrix(vector.slice(a, b - a), dtype)
-                names, on_lines = _cells(x, sides, repeats), x @ _lines(2, x.shape[1], LINES)
-                found, union = np.zeros(b - a, dtype=np.int64), Union(b - a)
+                x, part = _matrix(vector.slice(a, b - a), dtype), np.arange(b - a)
+                names = cells.slice(a, b - a).flatten().to_numpy().reshape(b - a, -1)[:, :repeat[a]]
+                near, found = collisions(codes[a:b], half) >= least, np.zeros(b - a, dtype=np.int64)
                 for i in range(b - a - 1):
-                    hits = (np.abs(on_lines[i + 1:] - on_lines[i]) <= half).sum(axis=1)
-                    j = i + 1 + np.flatnonzero(hits >= least)
+                    j = i + 1 + np.flatnonzero(near[i, i + 1:])
                     if two[a]:
                         j = j[own[a + j] != own[a + i]]
                     # met in an earlier repetition: counted there
-                    j = j[~(names[j, :repeat[a]] == names[i, :repeat[a]]).any(axis=1)]
+                    j = j[~(names[j] == names[i]).any(axis=1)]
                     j = j[x[j] @ x[i] >= cosine]
                     found[i] += copies[a + j].sum()
                     found[j] += copies[a + i]
-                    for k in j.tolist():
-                        if union.join(i, k):
-                            out[0].append(int(rep[a + i]))
-                            out[1].append(int(rep[a + k]))
-                            out[2].append(0)
+                    # one link to each part that is not yet connected with this one
+                    others, first = np.unique(part[j], return_index=True)
+                    new = others != part[i]
+                    out[0].extend([int(rep[a + i])] * int(new.sum()))
+                    out[1].extend(rep[a + j[first[new]]].tolist())
+                    out[2].extend([0] * int(new.sum()))
+                    if new.any():
+                        part[np.isin(part, others[new])] = part[i]
                 some = np.flatnonzero(found)
                 out[0].extend(rep[a + some].tolist())
                 out[1].extend([None] * len(some))
                 out[2].extend(found[some].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["u", "v", "n"])
 
-    rows = block_pairs(members, ["cell"], "size", "rep", BLOCK).select("group", "rep", "_own", "_across", "repeat")
-    return sorted_groups(rows.join(reps.select("rep", "vector", "copies"), "rep"), run, "u long, v long, n long")
+    return sorted_groups(members, run, "u long, v long, n long")
+
+
+def routed(sets: DataFrame) -> DataFrame:
+    """One row per vector, repetition and pair of blocks: (group, rep, _own, _across, repeat, code).
+
+    Only sizes of cells that need several blocks are joined; others are one block each.
+    """
+    rows = sets.select("rep", "code", F.posexplode("cells").alias("repeat", "cell"))
+    sizes = sets.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("size"))
+    crowded = cut_lineage(sizes.filter(F.col("size") > BLOCK))
+    rows = rows.join(if_few(crowded), "cell", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    return block_pairs(rows, ["cell"], "size", "rep", BLOCK).select("group", "rep", "_own", "_across", "repeat", "code")
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
@@ -165,13 +236,14 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     prepared, dtype = prepare(df, id_col, vector_col)
     rows = written(prepared, "vectors")
     usable = rows.filter("key IS NOT NULL AND id IS NOT NULL")
-    sets = written(usable.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"),
-                                             F.min("vector").alias("vector")), "vector-sets")
-    sides, repeats = cell_plan(sets.count(), cosine)
-    routed = cells(sets, dtype, sides, repeats)
-    sizes = cut_lineage(routed.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1"))
-    members = join_counted(routed, sizes, ["cell"], "size")
-    found = written(links(members, sets, dtype, cosine, sides, repeats), "links")
+    sides, repeats = cell_plan(usable.count(), cosine)
+    sets = usable.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("vector").alias("vector"))
+    sets = written(encode(sets, dtype, sides, repeats), "vector-sets")
+    pairs = written(passing(routed(sets), cosine), "passing")
+    # vectors are moved for members of passing pairs only
+    chosen = sets.select("rep", "copies", "vector", "code", "cells").join(
+        if_few(pairs.select("rep").distinct()), "rep", "left_semi")
+    found = written(links(pairs.join(chosen, "rep"), dtype, cosine), "links")
     roots = contract(found.filter("v IS NOT NULL").select("u", "v"), [])
     counts = found.filter("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("others"))
     named = sets.select("key", "rep", "copies").join(counts, "rep", "left").join(

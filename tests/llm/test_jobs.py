@@ -372,6 +372,30 @@ def test_near_vectors_with_gaps_in_the_ids(spark):
     assert len({r["group"] for r in groups}) == 3 and all(600 < r["count"] < 900 for r in groups)
 
 
+@pytest.mark.parametrize("n", [1, 2, 300])
+def test_windows_on_sorted_lines_count_collisions(n):
+    codes = np.random.default_rng(9).integers(0, 256, (n, projections.LINES)).astype(np.uint8)
+    codes[n // 2:, 3] = 7  # ties
+    wide = codes.astype(int)
+    for half in (0, 15, 300):
+        expected = (abs(wide[:, None, :] - wide[None, :, :]) <= half).sum(axis=2)
+        assert (projections.collisions(codes, half) == expected).all()
+
+
+def test_only_members_of_passing_pairs_go_on(spark):
+    rng = np.random.default_rng(10)
+    far = rng.standard_normal((400, 64))
+    near = far[0] + 0.01 * rng.standard_normal((5, 64))
+    data = [(i, v.tolist()) for i, v in enumerate([*far, *near])]
+    prepared, dtype = projections.prepare(spark.createDataFrame(data, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    sets = projections.encode(prepared.select("key", F.col("id").alias("rep"), F.lit(1).cast("long").alias("copies"), "vector"),
+                              dtype, *projections.cell_plan(len(data), 0.9))
+    members = projections.routed(sets)
+    assert "vector" not in members.columns
+    got = {r["rep"] for r in projections.passing(members, 0.9).collect()}
+    assert {0, *range(400, 405)} <= got and len(got) < 60
+
+
 def test_recall_at_the_threshold(spark):
     rng, data = np.random.default_rng(7), []
     for x in rng.standard_normal((600, 32)):
