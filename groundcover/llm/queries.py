@@ -72,7 +72,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
                                   "conv_id long, turn long, role string, text string")
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return chat_format.digest(cut_lineage(chat_format.expand(turns)))
+    return chat_format.digest(written(chat_format.expand(turns), "examples"))
 
 
 def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
