@@ -28,6 +28,17 @@ def draw(*parts: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(F.md5(joined.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
+def carried(df: DataFrame, made: tuple[str, ...]) -> tuple[list[Column], list[Column], list[Column]]:
+    """The columns of ``df`` other than ``made``, under numbered names that no helper column has.
+
+    Three lists for select: into the numbered names, on with them, and back to the own names.
+    """
+    names = [c for c in df.columns if c.lower() not in made]
+    return ([F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(names)],
+            [F.col(f"_in{i}") for i in range(len(names))],
+            [F.col(f"_in{i}").alias(c) for i, c in enumerate(names)])
+
+
 def join_counted(rows: DataFrame, facts: DataFrame, on: list[str], count: str, how: str = "inner",
                  floor: int = 10_000, most_hot: int = 50_000) -> DataFrame:
     """Joins rows to facts about their keys, of which ``count`` says how many rows each has.

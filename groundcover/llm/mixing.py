@@ -9,7 +9,8 @@ is sorted by row; a source with most of the rows is split over its buckets.
 Defined cases: rows without a size count zero and are never taken; a null source
 is a source of its own and comes last; rows with equal ids draw the same number
 and are taken or left together; a null id draws as the empty string. Input columns
-whose names the operator makes are replaced. An empty table gives no rows.
+whose names the operator makes are replaced; helper columns clash with none. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WORD, draw
+from .common import WORD, carried, draw
 
 WEIGHTS = (5, 2, 1)
 SHARE_PCT = 150
@@ -40,7 +41,8 @@ def targets(per_source: DataFrame) -> DataFrame:
     Weights repeat over the sources in code point order. Shares above
     ``MOST_TIMES`` the size stop there and the excess goes to the others by weight:
     with sources ordered by size per weight, the common level is the largest of
-    (what is left) / (weight that is left). One row per source is all that is here.
+    (what is left) / (weight that is left). One task orders one row per source, so the
+    column is meant to name sources, not to hold as many values as there are rows.
     """
     order = W.orderBy(F.col(_SRC).asc_nulls_last())
     cases = F.lit(WEIGHTS[-1])
@@ -109,8 +111,8 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
     larger ones join on source and bucket.
     """
     bits = draw(F.lit("mix"), F.col(id_col), digits=12)
-    kept = [c for c in df.columns if c not in MADE]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(size, F.lit(0)).cast("long").alias("size"),
+    kept, _, back = carried(df, MADE)
+    rows = df.select(*kept, F.coalesce(size, F.lit(0)).cast("long").alias("size"),
                      F.col(source_col).alias(_SRC), bits.alias(_H))
     rows = rows.withColumns({_B1: F.shiftright(_H, 36), _B2: F.shiftright(F.col(_H).bitwiseAND((1 << 36) - 1), 24)})
     narrow = cut_lineage(rows.select(_SRC, "size", _H, _B1, _B2))
@@ -121,4 +123,4 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
     else:
         out = _same(rows, _same(hist.select(_SRC, _B1), plan, [_SRC]), [_SRC, _B1])
     out = out.withColumn("copies", (F.col("_full") + (F.col(_H) < F.col("_cut")).cast("long")).cast("int"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).select(*[F.col(f"`{c}`") for c in kept], *MADE)
+    return out.withColumn("taken", F.col("copies") * F.col("size")).select(*back, *MADE)

@@ -6,7 +6,8 @@ nothing is shuffled and no user function runs.
 
 Defined cases: a null text counts as empty. An empty text has zero in every
 measure and fails the length rule. Repeated rows are rated one by one. Every
-input column is kept; measures replace input columns of the same name.
+input column is kept; measures replace input columns of the same name, and helper
+columns clash with none.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, carried
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -73,14 +74,13 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     Repeated words are those inside a three-word window that occurs twice or more:
     windows are hashed, sorted within the row, and equal neighbours marked.
     """
-    made = [*MEASURES, "_words", "_lines", "_hashes", "_sorted", "_starts", "_text"]
-    kept = [c for c in df.columns if c not in made]
+    kept, held, back = carried(df, MEASURES)
     t = F.coalesce(F.col(text), F.lit(""))
-    step = df.select(*[F.col(f"`{c}`") for c in kept], t.alias("_text"),
+    step = df.select(*kept, t.alias("_text"),
                      F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("_words"),
                      F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
     step = step.select(
-        *[F.col(f"`{c}`") for c in kept], F.size("_words").cast("long").alias("n_words"),
+        *held, F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.size(F.filter("_words", lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
@@ -102,8 +102,9 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumn("_starts", F.sort_array(F.transform(F.filter("_sorted", again), lambda x: x["i"])))
     covered = F.aggregate(F.transform("_starts", lambda p, i: F.least(
         F.lit(3), F.coalesce(F.get("_starts", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    return step.select(*[F.col(f"`{c}`") for c in kept], *[_once(F.col(m)).alias(m) for m in MEASURES if m != "n_repeat_words"],
+    step = step.select(*held, *[_once(F.col(m)).alias(m) for m in MEASURES if m != "n_repeat_words"],
                        _once(F.coalesce(covered, F.lit(0)).cast("long")).alias("n_repeat_words"))
+    return step.select(*back, *MEASURES)
 
 
 def rate(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 50,
@@ -116,6 +117,6 @@ def rate(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, min
     out = measure(df, text)
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated_pct * F.col("n_words"))
     failed = F.array_compact(F.array(*[F.when(~r.holds(), F.lit(r.name)) for r in rules]))
-    out = out.select(*[F.col(f"`{c}`") for c in out.columns if c not in ("base_failed", "failed_rules", "kept")],
+    out = out.select(*[F.col(f"`{c}`") for c in out.columns if c.lower() not in ("base_failed", "failed_rules", "kept")],
                      base.alias("base_failed"), F.array_join(failed, ",").alias("failed_rules"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
