@@ -136,11 +136,12 @@ def shard_sql(shards: int = 16, base: int = 16) -> str:
     e AS (SELECT *, hex(raw) AS x FROM d),
     f AS (SELECT doc_id, key, octet_length(raw)::BIGINT + 1 AS size, xor(4294967295, list_reduce(list_prepend(4294967295,
       list_transform(range(octet_length(raw)), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT)), lambda c, b:
-      xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32,
-      ('0x' || substr(md5('slot|' || key), 1, 3))::BIGINT AS bucket FROM e CROSS JOIN poly)
+      xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32
+    FROM e CROSS JOIN poly),
+    b AS (SELECT *, ('0x' || substr(md5('slot|' || key || '|' || text_crc32), 1, 3))::BIGINT AS bucket FROM f)
     SELECT doc_id, size, text_crc32, 'key' AS law, s.i AS shard, row_number() OVER (PARTITION BY s.i
       ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, g.i AS grown_shard
-    FROM f JOIN shard{shards} s USING (key) JOIN shard{shards + 1} g USING (key)"""
+    FROM b JOIN shard{shards} s USING (key) JOIN shard{shards + 1} g USING (key)"""
 
 
 def audit_sql() -> str:

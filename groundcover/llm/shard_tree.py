@@ -25,6 +25,8 @@ from .common import draw
 
 RACKS, PER_RACK = 2, 4
 SLOT_BUCKETS_DIGITS = 3
+#: Alike rows are written out again in steps of so many.
+COPIES = 65_536
 
 
 def tree(shards: int, base: int) -> list[list[list[int]]]:
@@ -81,8 +83,9 @@ def place(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
     """Rows of (id, size, text_crc32, law, shard, slot, grown_shard).
 
     Slots count rows of a shard from 0 without gaps, ordered by a bucket drawn from
-    the id and then by id: counts per bucket give each bucket its first slot, and
-    rows are ranked inside their bucket only, so no task ranks a whole shard.
+    the id and the text's checksum and then by id: counts per bucket give each bucket its
+    first slot, and rows are ranked inside their bucket only, so no task ranks a whole shard,
+    nor all rows of one id. Rows alike in id and text are one row with a count until the end.
     """
     if shards < 1 or base < 1:
         raise ValueError("at least one shard is needed")
@@ -92,12 +95,16 @@ def place(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
                      F.crc32(raw).alias("text_crc32"), F.lit("key").alias("law"),
                      shard_of(key, shards, base).cast("int").alias("shard"),
                      shard_of(key, shards + 1, base).cast("int").alias("grown_shard"),
-                     draw(F.lit("slot"), key, digits=SLOT_BUCKETS_DIGITS).alias("_bucket"))
-    rows = cut_lineage(rows)
-    counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
+                     draw(F.lit("slot"), key, F.crc32(raw), digits=SLOT_BUCKETS_DIGITS).alias("_bucket"))
+    made = ["size", "text_crc32", "law", "shard", "grown_shard"]
+    rows = cut_lineage(rows.groupBy(id_col, *made, "_bucket").agg(F.count("*").alias("_n")))
+    counts = rows.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_n"))
     first = counts.select("shard", "_bucket", (F.sum("_n").over(
         W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_first"))
-    rank = F.row_number().over(W.partitionBy("shard", "_bucket").orderBy(id_col, "text_crc32", "size")) - 1
-    out = rows.withColumn("_rank", rank).join(first, ["shard", "_bucket"])
+    order = W.partitionBy("shard", "_bucket").orderBy(id_col, "text_crc32", "size").rowsBetween(W.unboundedPreceding, 0)
+    out = rows.withColumn("_rank", F.sum("_n").over(order) - F.col("_n")).join(first, ["shard", "_bucket"])
+    out = out.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(COPIES))))
+    copy = F.explode(F.sequence("_from", F.least(F.col("_n"), F.col("_from") + COPIES) - 1)).alias("_copy")
+    out = out.select(id_col, *made, "_first", "_rank", copy)
     return out.select(id_col, "size", "text_crc32", "law", "shard",
-                      (F.col("_first") + F.col("_rank")).cast("long").alias("slot"), "grown_shard")
+                      (F.col("_first") + F.col("_rank") + F.col("_copy")).cast("long").alias("slot"), "grown_shard")

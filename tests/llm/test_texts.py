@@ -69,6 +69,18 @@ def test_quality(spark, edge_docs, no_docs):
     assert rows(quality_rules.rate(no_docs)) == []
 
 
+HELPERS = ["_words", "_lines", "_hashes", "_sorted", "_starts", "_text", "_full", "_cut", "_in0", "_in1", "_mix_h", "_mix_src", "r_src"]
+
+
+@pytest.mark.parametrize("rated", [quality_rules.rate, lambda df: mixing.mix(df, mixing.word_count(F.col("text")))])
+def test_columns_named_like_helpers_come_back(spark, rated):
+    df = spark.createDataFrame([(1, "a b c", "s")], "doc_id long, text string, source string")
+    df = df.select(*[F.lit(f"mine {c}").alias(c) for c in HELPERS], "*", F.lit(-1).alias("N_Words"), F.lit(-1).alias("Size"))
+    got = rated(df)
+    assert all(rows(got)[0][c] == f"mine {c}" for c in HELPERS)
+    assert len({c.lower() for c in got.columns}) == len(got.columns)
+
+
 def test_quality_rules_decide(spark):
     prose = " ".join(f"the word{i} of thing{i}" for i in range(30))
     shout = " ".join(f"WORD{i}!!" for i in range(80))
@@ -136,6 +148,20 @@ def test_shards(spark, edge_docs, no_docs):
     assert rows(shard_tree.place(no_docs)) == []
 
 
+def test_rows_of_one_id_share_no_slot_bucket(spark, monkeypatch):
+    monkeypatch.setattr(shard_tree, "COPIES", 7)
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 2000).alias("text"))
+    got = rows(shard_tree.place(df.unionByName(spark.createDataFrame([(5, "same")] * 100, "doc_id long, text string"))))
+    for i, n in ((None, 3000), (5, 100)):
+        mine = {r["shard"] for r in got if r["doc_id"] == i}
+        assert len(mine) == 1 and sum(r["doc_id"] == i for r in got) == n
+    for s in {r["shard"] for r in got}:
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    alike = sorted(r["slot"] for r in got if r["doc_id"] == 5)
+    assert alike == list(range(alike[0], alike[0] + 100))
+
+
 @pytest.mark.parametrize("n", [1, 3, 16, 17, 18])
 def test_one_more_shard_takes_rows_only_into_itself(spark, n):
     df = spark.createDataFrame([(i, "") for i in range(800)], "doc_id long, text string")
@@ -147,7 +173,7 @@ def test_one_more_shard_takes_rows_only_into_itself(spark, n):
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "<|end|><|turn|>x<|text|>", "a\\<b\\\\[c", "\\", "", None, "é<[\n"]
     turns = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(nasty)]
-    turns += [(2, 0, "user", "hi"), (3, 0, "assistant", "yo"), (3, 0, "assistant", "yo"), (None, 1, None, "x")]
+    turns += [(2, 0, "user", "hi"), (2, 1, "assistant", "long [text] " * 50_000), (3, 0, "assistant", "yo"), (3, 0, "assistant", "yo"), (None, 1, None, "x")]
     df = spark.createDataFrame([(*t, 9) for t in turns], "conv_id long, turn long, role string, text string, example long")
     examples = chat_format.expand(df).cache()
     got = {r["conv_id"]: r for r in rows(chat_format.digest(examples))}
