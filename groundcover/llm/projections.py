@@ -138,15 +138,21 @@ def _codes(column: pa.Array) -> np.ndarray:
 def collisions(codes: np.ndarray, half: int) -> np.ndarray:
     """How often each vector (column) lies in the window around each other one (row), over all lines."""
     n = len(codes)
-    counts, at = np.zeros((n, n), dtype=np.uint8), np.uint16 if n < 1 << 16 else np.uint32
-    for line in codes.T.astype(np.int16):
-        order = np.argsort(line, kind="stable")
-        place = np.empty(n, dtype=at)
-        place[order] = np.arange(n, dtype=at)
-        first = np.searchsorted(line[order], line - half, "left").astype(at)
-        width = np.searchsorted(line[order], line + half, "right").astype(at) - first
+    at = np.uint16 if n < 1 << 16 else np.uint32
+    order, place = np.argsort(codes, axis=0, kind="stable"), np.empty((n, LINES), dtype=at)
+    np.put_along_axis(place, order, np.arange(n, dtype=at)[:, None], axis=0)
+    # how many lie below each place of a line gives the bounds of a window in the sorted line
+    cells, lines = codes.astype(np.int64), np.arange(LINES)
+    below = np.zeros((LINES, 257), dtype=at)
+    np.cumsum(np.bincount((lines * 256 + cells).ravel(), minlength=LINES * 256).reshape(LINES, 256), axis=1, out=below[:, 1:])
+    first = below[lines, np.maximum(cells - half, 0)]
+    width = below[lines, np.minimum(cells + half, 255) + 1] - first
+    place, first, width = (np.ascontiguousarray(x.T) for x in (place, first, width))
+    counts, past, inside = np.zeros((n, n), dtype=np.uint8), np.empty((n, n), dtype=at), np.empty((n, n), dtype=bool)
+    for p, f, w in zip(place, first, width):
         # unsigned: places before the first wrap round and lie beyond the width
-        counts += (place[None, :] - first[:, None]) < width[:, None]
+        np.less(np.subtract(p[None, :], f[:, None], out=past), w[:, None], out=inside)
+        np.add(counts, inside.view(np.uint8), out=counts)
     return counts
 
 
@@ -165,6 +171,8 @@ def passing(members: DataFrame, cosine: float) -> DataFrame:
             codes, own = _codes(table.column("code").combine_chunks()), table.column("_own").to_numpy()
             two, some = table.column("_across").to_pylist(), np.zeros(len(table), dtype=bool)
             for a, b in zip(at[:-1], at[1:]):
+                if b - a == 1:
+                    continue
                 near = collisions(codes[a:b], half) >= least
                 np.fill_diagonal(near, False)
                 if two[a]:
@@ -196,6 +204,8 @@ def links(members: DataFrame, dtype: str, cosine: float) -> DataFrame:
                     # met in an earlier repetition: counted there
                     j = j[~(names[j] == names[i]).any(axis=1)]
                     j = j[x[j] @ x[i] >= cosine]
+                    if not len(j):
+                        continue
                     found[i] += copies[a + j].sum()
                     found[j] += copies[a + i]
                     # one link to each part that is not yet connected with this one
