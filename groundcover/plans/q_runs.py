@@ -5,17 +5,18 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import composite, runs, tiles
+from ..operators import composite, reproject, runs, tiles
 from ..operators.stats import attach_scalar
 from ..session import ensure_checkpoint_dir
 from ..sources import tile_store
 from . import material_map as mm
 from . import tile_run
 from .q_features import (BLDG, ROAD, _BAD, _FSQL, KM, W_RGB, given_model, height_of, mask_of, reach_sql)
-from .q_grid import TILE
+from .q_grid import TILE, mercator_raster
 from .q_sources import dims_of
 from .registry import query
 from .views import view
@@ -164,3 +165,22 @@ def g1(spark, sf):
     ranked = stored.withColumn("ord", F.lit(1000) - F.substring("raster_id", 2, 1).cast("int")).withColumn("raster_id", F.lit("cell"))
     merged = composite.composite_visible(ranked, TILE, 2)
     return tiles.tiles_to_pixels(merged, ["r", "g", "b"], drop_blank=True).select("row", "col", "r", "g", "b")
+
+
+@query("f6_reproject_tiles", same_as="f6_nearest_reproject")
+def f6(spark, sf):
+    px = view(spark, sf, "pixel")
+    packed = tiles.pixels_to_tiles(px, ["r", "g", "b"], SIDE, dims_of(px))
+    out = reproject.nearest_tiles(packed, mercator_raster(px), reproject.mercator_axes, 2 * SIDE)
+    return tiles.tiles_to_pixels(out, ["r", "g", "b", "there"]).filter("there > 0").drop("there")
+
+
+@query("f7_bilinear_tiles", same_as="f7_bilinear")
+def f7(spark, sf):
+    px = view(spark, sf, "pixel")
+    dims = dims_of(px)
+    packed = tiles.pixels_to_tiles(px, ["r", "b"], SIDE, dims)
+    grids = dims.select("raster_id", F.col("raster_h").alias("height"), F.col("raster_w").alias("width"))
+    axes = lambda g: (np.arange(g.height) * 0.8 + 0.3, np.arange(g.width) * 0.9 + 0.25)
+    out = reproject.value_pixels(reproject.bilinear_tiles(packed, grids, axes, SIDE, 2 * SIDE), ["r", "b"])
+    return out.select("raster_id", "row", "col", F.round("r", 4).alias("r"), F.round("b", 4).alias("b"))
