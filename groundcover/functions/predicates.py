@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +76,34 @@ def scene_flags(df: DataFrame, scale: str = "scale", nir: str | None = "nir") ->
     return s.select(*[F.col(f"_{c}").alias(c) for c in df.columns], *[F.col(n).alias(f"f_{n}") for n in [*names, "water"]])
 
 
+def scene_flag_planes(bands: dict[str, np.ndarray], scale: float, wanted=None) -> dict[str, np.ndarray]:
+    """The scene flags of byte arrays ``r, g, b`` (and ``nir``), by the same rules as ``scene_flags``.
+
+    ``wanted`` names flags; only these and what they refer to are computed.
+    """
+    rules = dict(SCENE_FLAGS, water=SCENE_FLAGS["water_nir"] if "nir" in bands else SCENE_FLAGS["water_rgb"])
+    todo, need = list(wanted or [n for n in rules if "nir" in bands or n != "water_nir"]), set()
+    while todo:
+        name = todo.pop()
+        if name not in need:
+            need.add(name)
+            todo += [n for n in re.findall(r"\w+", rules[name]) if n in rules]
+    held = {n: np.clip(a.ravel() / max(scale, 1.0), 0.0, 1.0) for n, a in bands.items()}
+    r, g, b = held["r"], held["g"], held["b"]
+    held["maxc"] = np.maximum(np.maximum(r, g), b)
+    held["sat"] = (held["maxc"] - np.minimum(np.minimum(r, g), b)) / (held["maxc"] + color.EPS)
+    held["exg"] = 2.0 * g - r - b
+    held["vari"] = (g - r) / (g + r - b + color.EPS)
+    if "nir" in held:
+        held["ndwi"] = (g - held["nir"]) / (g + held["nir"] + color.EPS)
+    for name, rule in rules.items():  # a rule comes after those it refers to
+        if name in need:
+            text = re.sub(r"\b(AND|OR|NOT)\b", lambda m: m.group().lower(), rule).replace("greatest(", "@greatest(")
+            held[name] = pd.eval(text.replace("@", ""), engine="python", local_dict=held | {"greatest": np.maximum}, global_dict={})
+    shape = bands["r"].shape
+    return {n: held[n].reshape(shape) for n in (wanted or need)}
+
+
 def building_colour(h, s, v) -> Column:
     concrete = (s < 40) & (v > 90) & (v < 215)
     tile = ((h < 15) | (h > 170)) & (s > 50) & (v > 80)

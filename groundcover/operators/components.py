@@ -19,7 +19,8 @@ from ..session import cut_lineage
 from . import kernels as K
 from .tiles import column
 
-HEAVY_DEGREE = 100_000
+#: Links up to which one window is enough, and the part of all links that makes a node a hub.
+FEW_EDGES, HUB_SHARE = 20_000, 2_048
 MAX_ROUNDS = 60
 
 
@@ -65,16 +66,18 @@ def _border_edges(labels: DataFrame, by: list[str], tile: int, connectivity: int
 def _with_min(edges: DataFrame, key: list[str], n_edges: int) -> DataFrame:
     """Edges with ``m``, the lowest neighbour of their first node.
 
-    A short edge list has no hot node, so one window does. Otherwise the minimum
-    is aggregated and joined back; only few nodes can exceed the degree limit
-    (edges divided by the limit), and their part is broadcast.
+    A short edge list has no hot node, so one window does. Otherwise the minimum is aggregated, which combines before
+    the shuffle, and joined back. A hub is a node with more than the ``HUB_SHARE``-th part of all links, so there are
+    fewer hubs than twice that number, whatever the graph: their minima are broadcast, their links stay where they
+    are, and no task of the other join gets more than that part of the links by one node.
     """
-    if n_edges <= HEAVY_DEGREE:
+    if n_edges <= FEW_EDGES:
         return edges.withColumn("m", F.min("v").over(W.partitionBy(*key)))
+    limit = max(1, n_edges // HUB_SHARE)
     mins = edges.groupBy(*key).agg(F.min("v").alias("m"), F.count("*").alias("_deg"))
-    on = lambda m: edges.join(m.drop("_deg"), key)
-    light = on(mins.filter(F.col("_deg") <= HEAVY_DEGREE))
-    return light.unionByName(on(F.broadcast(mins.filter(F.col("_deg") > HEAVY_DEGREE))))
+    hubs = mins.filter(F.col("_deg") > limit).drop("_deg")
+    light = edges.join(F.broadcast(hubs.select(*key)), key, "left_anti").join(mins.filter(F.col("_deg") <= limit).drop("_deg"), key)
+    return light.unionByName(edges.join(F.broadcast(hubs), key))
 
 
 def contract(edges: DataFrame, by: list[str]) -> DataFrame:

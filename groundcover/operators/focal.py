@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .chains import Chain, Scalar, Step
 from .stats import attach_by
 from .tiles import focal_pixels, focal_tiles
 
@@ -124,3 +125,39 @@ def close_tiles(masks: DataFrame, size: int, tile: int) -> DataFrame:
     k = K.ellipse(size)
     return focal_tiles(masks, 2 * (size // 2), tile,
                        lambda a, info: K.closing(a[0] > 0, k)[None].astype(np.uint8))
+
+
+# --- the same operators as steps of a chain over tiles -------------------------
+
+def _gray(r, g, b):
+    return (r.astype(np.float64) + g + b) / 3.0
+
+
+def _stretched(gray, lo, hi):
+    return ((gray - lo) / (hi - lo) * 255.0 if hi > lo else np.zeros(gray.shape)).astype(np.uint8)
+
+
+def _luma_byte(r, g, b):
+    return (r.astype(np.int64) * 9798 + g.astype(np.int64) * 19235 + b.astype(np.int64) * 3735 + 16384) // 32768
+
+
+#: Means, texture, entropy and local deviation of the three colour bands; entropy needs the raster's extremes of gray.
+FEATURE_CHAIN = Chain(("r", "g", "b"), (
+    *[Step(f"mean_{c}", (c,), K.box_mean, 1) for c in "rgb"],
+    Step("gray", ("r", "g", "b"), _gray),
+    Step("texture", ("gray",), K.texture_std, 1),
+    Step("gray_byte", ("gray", "gray_lo", "gray_hi"), _stretched),
+    Step("entropy", ("gray_byte",), K.disk_entropy, 2),
+    Step("luma_byte", ("r", "g", "b"), _luma_byte),
+    Step("local_std", ("luma_byte",), K.gaussian_std, 10),
+), (Scalar("gray_lo", ("gray",), 0.0), Scalar("gray_hi", ("gray",), 1.0)))
+
+
+def morphology_chain(flag: str, steps: list[tuple[str, str, int]], out: str) -> Chain:
+    """``morphology`` as a chain: every operation is a step, their reaches add up."""
+    ops = {"erode": K.erode, "dilate": K.dilate, "open": K.opening, "close": K.closing}
+    made = [Step("_0", (flag,), lambda a: a > 0)]
+    for i, (op, shape, size) in enumerate(steps, 1):
+        act = lambda m, op=op, k=element(shape, size): ops[op](m, k)
+        made.append(Step(f"_{i}" if i < len(steps) else out, (f"_{i - 1}",), act, size // 2 * (2 if op in ("open", "close") else 1)))
+    return Chain((flag,), tuple(made))

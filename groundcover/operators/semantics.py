@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..functions.predicates import scene_flags
+from ..functions.predicates import scene_flag_planes, scene_flags
 from ..session import cut_lineage
 from . import focal
+from . import kernels as K
+from .chains import Chain, Scalar, Step, chain_counts, prepared
 from .components import compact_score, component_stats, elongated_score, label_components
+from .runs import label_runs, run_stats, tile_runs
 from .stats import attach_by, float_percentile, int_percentiles
+from .tiles import one_band
 
 FRACTIONS = {"veg_frac": "f_veg", "dry_frac": "f_dry_barren", "sand_frac": "f_sand", "dry_grass_frac": "f_dry_grass",
              "lush_frac": "f_lush_grass", "gray_frac": "f_gray", "dark_gray_frac": "f_dark_gray",
@@ -112,6 +119,63 @@ def cluster_semantics(px: DataFrame, nir: str | None = "nir", tile: int = 512) -
     return semantic_scores(parts, px.groupBy("raster_id").agg(F.count("*").alias("total")))
 
 
+def _luma(r, g, b, scale):
+    r, g, b = (np.clip(x / max(scale, 1.0), 0.0, 1.0) for x in (r, g, b))
+    return 0.299 * r + 0.587 * g + 0.114 * b
+
+
+def _edge(grad, p95):
+    return np.clip(grad / max(p95, 1e-6), 0.0, 1.0) > 0.30
+
+
+def semantic_chain(nir: str | None = "nir", edges: bool = True) -> Chain:
+    """Flags of FRACTIONS as planes of tiles with bands ``r, g, b``, the near-infrared one if there is one, and ``cluster``.
+
+    Cells of cluster zero are no pixels. The colour scale and the gradient's percentile are values of the raster.
+    """
+    bands = ("r", "g", "b") + (("nir",) if nir else ())
+    flags = tuple(n for n in FRACTIONS.values() if n != "f_edge")
+
+    def scene(*args):
+        got = scene_flag_planes(dict(zip(bands, args)), args[-1], [n[2:] for n in flags])
+        return tuple(got[n[2:]] for n in flags)
+
+    return Chain((*bands, "cluster"), (
+        Step(flags, (*bands, "scale"), scene),
+        Step("luma", ("r", "g", "b", "scale"), _luma),
+        Step("grad", ("luma",), K.gradient_magnitude, 1),
+        Step("f_edge", ("grad", "p95"), _edge) if edges else Step("f_edge", ("r",), lambda r: np.zeros(r.shape, dtype=bool)),
+    ), (Scalar("scale", ("r", "g", "b"), 0.98), Scalar("p95", ("grad",), 0.95)), "cluster")
+
+
+def tile_fractions(tiles: DataFrame, tile: int, nir: str | None = "nir", edges: bool = True) -> DataFrame:
+    """``cluster_fractions`` from byte tiles: one exchange of halos, and counts of a few rows a task."""
+    chain = semantic_chain(nir, edges)
+    held = prepared(tiles, chain, FRACTIONS.values(), tile)
+    counted = chain_counts(held, chain, "cluster", FRACTIONS.values())
+    return counted.select("raster_id", "cluster", "n", *[(F.col(c) / F.col("n")).alias(n) for n, c in FRACTIONS.items()])
+
+
+def run_continuity(tiles: DataFrame, band: int, tile: int) -> DataFrame:
+    """``continuity`` from byte tiles whose band number ``band`` holds the cluster: components come from runs."""
+    by = ["raster_id", "cluster"]
+    labels = label_runs(tile_runs(one_band(tiles, band)), tile, 4, ("raster_id", "value")).withColumnRenamed("value", "cluster")
+    stats = run_stats(labels, tuple(by))
+    return elongated_score(stats, by).join(compact_score(stats, by), by)
+
+
+def tile_semantics(tiles: DataFrame, tile: int, nir: str | None = "nir") -> DataFrame:
+    """``cluster_semantics`` from byte tiles with bands ``r, g, b``, the near-infrared one if there is one, and ``cluster``.
+
+    Fractions and components need nothing of each other, so their jobs run side by side.
+    """
+    with ThreadPoolExecutor(2) as pool:
+        shares = pool.submit(lambda: cut_lineage(tile_fractions(tiles, tile, nir)))
+        lasting = pool.submit(lambda: cut_lineage(run_continuity(tiles, 4 if nir else 3, tile)))
+        parts, both = shares.result(), shares.result().join(lasting.result(), ["raster_id", "cluster"])
+    return semantic_scores(both, parts.groupBy("raster_id").agg(F.sum("n").alias("total")))
+
+
 def segment_features(px: DataFrame, segment: list[str], nir: bool = True) -> DataFrame:
     """Band means, gray deviation and mean NDVI per segment."""
     gray = color.gray("r", "g", "b")

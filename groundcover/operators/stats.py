@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from ..session import cut_lineage
 
@@ -20,41 +25,86 @@ def int_percentiles(df: DataFrame, value: Column, probs: dict[str, float], by: l
         *[F.percentile("_v", F.lit(p), F.col("_n")).alias(name) for name, p in probs.items()])
 
 
-def float_percentile(df: DataFrame, value: str, prob: float, by: list[str], name: str,
-                     bins: int = 4096) -> DataFrame:
-    """Exact interpolated percentile of a continuous column, one row per group.
+def ordered_bits(v: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles: their bits, with those of negative numbers turned round."""
+    b = (np.asarray(v, dtype=np.float64) + 0.0).view(np.int64)
+    return b ^ ((b >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+
+def from_bits(k: np.ndarray) -> np.ndarray:
+    k = np.asarray(k, dtype=np.int64)
+    return (k ^ ((k >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)
+
+
+@F.pandas_udf(LongType())
+def _to_bits(v: pd.Series) -> pd.Series:
+    return pd.Series(ordered_bits(v.to_numpy()))
+
 
-    Two passes. The first counts fixed-width bins and finds the bins that hold
-    the two neighbouring ranks; the second counts distinct values of those bins
-    only. No task ever holds all values of a group.
+@F.pandas_udf(DoubleType())
+def _to_double(k: pd.Series) -> pd.Series:
+    return pd.Series(from_bits(k.to_numpy()))
+
+
+#: Bits that a pass settles, and the number of values at most that a pass may tell apart at once.
+DIGIT, FEW_VALUES = 16, 1 << 16
+
+
+def radix_percentile(counts: Callable[[DataFrame | None, int, int], DataFrame], prob: float, by: list[str],
+                     name: str) -> DataFrame:
+    """Exact interpolated percentile by radix selection on ordered bits, one row per group.
+
+    ``counts(state, before, shift)`` counts values by the bits from ``shift`` on (columns ``_q``, ``_c``); without a state all
+    values, else those whose bits from ``before`` on are ``_q0`` or ``_q1`` of their group's row in it. A pass sees at most two to
+    the sixteenth bins for either rank, whatever the values; as soon as no more values than that are left in the two bins, the
+    next pass is the last. No task holds the values of a bin.
+    """
+    state, before, shift = None, 64, 64 - DIGIT
+    while True:
+        hist = counts(state, before, shift)
+        if state is None:
+            pos = (F.sum("_c").over(W.partitionBy(*by)) - 1) * F.lit(float(prob))
+            hist = hist.withColumn("_pos", pos).select(
+                *by, "_q", "_c", F.lit(0).alias("_p"), F.lit(0).alias("_q0"), F.lit(0).alias("_q1"), F.floor("_pos").alias("_k0"),
+                F.ceil("_pos").alias("_k1"), (F.col("_pos") - F.floor("_pos")).alias("_t"))
+        else:
+            hist = attach_by(hist, state, by).withColumn("_p", F.shiftright("_q", before - shift))
+        run = W.partitionBy(*by, "_p").orderBy("_q").rowsBetween(W.unboundedPreceding, -1)
+        hist = hist.withColumn("_at", F.coalesce(F.sum("_c").over(run), F.lit(0)))
+        found = []
+        for i in "01":
+            here = (F.col("_p") == F.col(f"_q{i}")) & (F.col("_at") <= F.col(f"_k{i}")) & (F.col(f"_k{i}") < F.col("_at") + F.col("_c"))
+            found += [F.max(F.when(here, c)).alias(n) for c, n in (
+                (F.col("_q"), f"_q{i}"), (F.col(f"_k{i}") - F.col("_at"), f"_k{i}"), (F.col("_c"), f"_c{i}"))]
+        state = cut_lineage(hist.groupBy(*by).agg(*found, F.max("_t").alias("_t")))
+        most = state.agg(F.max(F.greatest("_c0", "_c1"))).first()[0]
+        state = state.drop("_c0", "_c1")
+        if shift == 0 or most is None:
+            break
+        before, shift = shift, 0 if most <= FEW_VALUES else shift - DIGIT
+    ends = state.select(*by, "_t", *[F.when(F.col(c).isNotNull(), _to_double(F.coalesce(c, F.lit(0)))).alias(n)
+                                     for c, n in (("_q0", "_a"), ("_q1", "_z"))])
+    return ends.select(*by, F.when(F.col("_a") == F.col("_z"), F.col("_a")).otherwise(
+        F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_t")).alias(name))
+
+
+def float_percentile(df: DataFrame, value: str, prob: float, by: list[str], name: str) -> DataFrame:
+    """Exact interpolated percentile of a continuous column, one row per group; nulls do not count.
+
+    Two to four passes over ``df``, each a count by at most sixteen bits of the value.
     """
-    src = df.select(*by, F.col(value).cast("double").alias("_v"))
-    span = src.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                F.count("_v").alias("_n"))
-    pos = (F.col("_n") - 1) * F.lit(float(prob))
-    span = span.withColumn("_k0", F.floor(pos).cast("long")).withColumn("_k1", F.ceil(pos).cast("long"))
-    span = span.withColumn("_t", pos - F.col("_k0"))
-    joined = attach_by(src, span, by)
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / bins).otherwise(F.lit(1.0))
-    binned = joined.select(*by, "_v", "_k0", "_k1", "_t",
-                           F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width)).alias("_b"))
-    keys = [*by, "_b"]
-    hist = binned.groupBy(*keys).agg(F.count("*").alias("_c"), F.first("_k0").alias("_k0"),
-                                     F.first("_k1").alias("_k1"))
-    run = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_c").over(run), F.lit(0)))
-    holds = lambda k: (F.col("_before") <= F.col(k)) & (F.col(k) < F.col("_before") + F.col("_c"))
-    wanted = hist.filter(holds("_k0") | holds("_k1")).select(*keys, "_before")
-    cond = [F.col(f"a.{c}").eqNullSafe(F.col(f"w.{c}")) for c in keys]
-    inside = binned.alias("a").join(wanted.alias("w"), cond).select(
-        *[F.col(f"a.{c}") for c in keys], "_v", "_k0", "_k1", "_t", "_before")
-    ties = inside.groupBy(*keys, "_v", "_k0", "_k1", "_t", "_before").agg(F.count("*").alias("_c"))
-    seen = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    ties = ties.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(seen), F.lit(0)))
-    at = lambda k: F.max(F.when((F.col("_at") <= F.col(k)) & (F.col(k) < F.col("_at") + F.col("_c")),
-                                F.col("_v")))
-    return ties.groupBy(*by).agg(at("_k0").alias("_a"), at("_k1").alias("_z"), F.max("_t").alias("_t")).select(
-        *by, (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_t")).alias(name))
+    known = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    src = known.select(*by, _to_bits("_v").alias("_k"))
+
+    def counts(state: DataFrame | None, before: int, shift: int) -> DataFrame:
+        near = src
+        if state is not None:
+            prefix = F.shiftright("_k", before)
+            near = attach_by(src, state.select(*by, "_q0", "_q1"), by).filter(
+                (prefix == F.col("_q0")) | (prefix == F.col("_q1")))
+        return near.groupBy(*by, F.shiftright("_k", shift).alias("_q")).agg(F.count("*").alias("_c"))
+
+    return radix_percentile(counts, prob, by, name)
 
 
 def ordered_index(df: DataFrame, order: list[Column], name: str = "ord") -> DataFrame:

@@ -168,6 +168,12 @@ def block_of(t) -> np.ndarray:
     return np.frombuffer(t.data, dtype=np.uint8).reshape(t.n_bands, t.h, t.w)
 
 
+def one_band(tiles: DataFrame, band: int) -> DataFrame:
+    """Tiles of one band alone; its bytes are a slice, so nothing leaves the JVM."""
+    data = F.expr(f"substring(data, {band} * h * w + 1, h * w)")
+    return tiles.select(*[data.alias(c) if c == "data" else F.lit(1).alias(c) if c == "n_bands" else F.col(c) for c in TILE_COLUMNS])
+
+
 def read_window(tiles: DataFrame, raster_id: str | None, row: int, col: int, h: int, w: int) -> DataFrame:
     """Tiles that meet a pixel window; the comparisons are pushed to the scan."""
     out = tiles if raster_id is None else tiles.filter(F.col("raster_id") == raster_id)
@@ -226,7 +232,10 @@ def padded_tiles(tiles: DataFrame, radius: int, tile: int) -> DataFrame:
         return pd.DataFrame([(rid, tr, tc, o.row0, o.col0, o.h, o.w, o.raster_h, o.raster_w, o.n_bands, canvas.tobytes(),
                               y0, x0, *canvas.shape[1:])], columns=names)
 
-    return _sent_strips(tiles, radius, tile, []).groupBy("raster_id", "dest_row", "dest_col").applyInPandas(run, PADDED)
+    keys = ["raster_id", "dest_row", "dest_col"]
+    # few bytes, much work: by their number alone partitions would be merged until one task has them all
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _sent_strips(tiles, radius, tile, []).repartition(parts, *keys).groupBy(*keys).applyInPandas(run, PADDED)
 
 
 def _canvas(pdf: pd.DataFrame, own, tr: int, tc: int, radius: int, tile: int) -> tuple[int, int, np.ndarray]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import TXS_LIBRARY, TXS_LINES
 from ..functions import color, geo, naming
-from ..operators import composite, export, focal, semantics, stats, tiles, vector
+from ..operators import chains, composite, export, focal, semantics, stats, tiles, vector
 from ..operators.stats import attach_by, attach_scalar
 from .q_pixels import KEYS, scaled_cte
 from .q_sources import dims_of, rect_features
@@ -340,6 +340,34 @@ def e4(spark, sf):
     return focal.gaussian_texture(px, "gray", TILE).select(*KEYS, F.round("local_std", 3).alias("local_std"))
 
 
+def feature_pixels(spark, sf, *names):
+    """Features of the raster from its tiles, through one chain."""
+    px = view(spark, sf, "pixel")
+    held = chains.prepared(tiles.pixels_to_tiles(px, ["r", "g", "b"], TILE, dims_of(px)), focal.FEATURE_CHAIN, names, TILE)
+    return chains.chain_pixels(held, focal.FEATURE_CHAIN, dict.fromkeys(names, "double"))
+
+
+@query("e1_chain_mean", same_as="e1_box_mean")
+def e1c(spark, sf):
+    f = feature_pixels(spark, sf, "mean_r", "mean_g", "mean_b")
+    return f.select(*KEYS, *[F.round(f"mean_{c}", 5).alias(f"mean_{c}") for c in "rgb"])
+
+
+@query("e2_chain_texture", same_as="e2_texture")
+def e2c(spark, sf):
+    return feature_pixels(spark, sf, "texture").select(*KEYS, F.round("texture", 4).alias("texture"))
+
+
+@query("e3_chain_entropy", same_as="e3_local_entropy")
+def e3c(spark, sf):
+    return feature_pixels(spark, sf, "entropy").select(*KEYS, (F.round("entropy", 5) + 0.0).alias("entropy"))
+
+
+@query("e4_chain_std", same_as="e4_gaussian_std")
+def e4c(spark, sf):
+    return feature_pixels(spark, sf, "local_std").select(*KEYS, F.round("local_std", 3).alias("local_std"))
+
+
 def median_sql(radius):
     return f"""WITH o AS (SELECT a.i AS dy, c.j AS dx FROM generate_series(-{radius},{radius}) a(i), generate_series(-{radius},{radius}) c(j) WHERE a.i*a.i+c.j*c.j<={radius * radius}),
 n AS (SELECT p.raster_id, p.row, p.col, q.v FROM lb p, o JOIN lb q ON q.row=p.row+dy AND q.col=p.col+dx)
@@ -370,6 +398,15 @@ def e6(spark, sf):
     return semantics.edge_flags(view(spark, sf, "pixel"), TILE)
 
 
+@query("e6_chain_edges", same_as="e6_edge_flags")
+def e6c(spark, sf):
+    """The gradient, its percentile over the raster and the flags, inside tiles."""
+    px = view(spark, sf, "pixel").withColumn("cluster", F.lit(1))
+    chain = semantics.semantic_chain(None)
+    held = chains.prepared(tiles.pixels_to_tiles(px, ["r", "g", "b", "cluster"], TILE, dims_of(px)), chain, ["f_edge"], TILE)
+    return chains.chain_pixels(held, chain, {"f_edge": "boolean"})
+
+
 def ellipse_offsets(size):
     from ..operators.kernels import ellipse
     import numpy as np
@@ -425,6 +462,14 @@ def e8(spark, sf):
     return focal.morphology(m, "f", [("open", "ellipse", 3), ("close", "rect", 9)], TILE).filter("f = 1").select(*KEYS)
 
 
+@query("e8_chain_tiles", same_as="e8_open_close")
+def e8c(spark, sf):
+    m = view(spark, sf, "pixel").select(*KEYS, F.col("blk").isin(0, 3).cast("int").alias("f"))
+    chain = focal.morphology_chain("f", [("open", "ellipse", 3), ("close", "rect", 9)], "closed")
+    held = chains.prepared(tiles.pixels_to_tiles(m, ["f"], TILE, dims_of(m)), chain, ["closed"], TILE)
+    return tiles.tiles_to_pixels(chains.chain_tiles(held, chain, ["closed"]), ["f"], drop_blank=True).select(*KEYS)
+
+
 @query("e9_border_dilate", f"""WITH {_DM}, g AS ({dilate_sql('m0', ellipse_offsets(5))}), z AS (SELECT least(4, floor(least(mr+1,mc+1)/6)) AS bz FROM dm)
 SELECT raster_id, row, col FROM m0 UNION SELECT raster_id, row, col FROM g, z, dm WHERE row<bz OR col<bz OR row>=mr+1-bz OR col>=mc+1-bz""", ["pixel"])
 def e9(spark, sf):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..constants import CLASS_RGB, CLASSES
 from ..functions import color
-from ..operators import assign, calibrate, cluster, export, semantics, tile_kmeans, tiles
+from ..operators import assign, calibrate, chains, cluster, export, semantics, tile_kmeans, tiles
+from ..session import cut_lineage
 from ..sources import profiles
 from .q_grid import TILE, _GRAD
 from .q_pixels import FLAG_CTE, KEYS, rounded, scaled_cte
@@ -16,6 +17,7 @@ from .registry import query
 from .views import table, view
 
 _K = "raster_id, row, col"
+SIDE = 64
 NATURAL = [c for c in CLASSES if c["source"] == "kmeans"]
 ANCHORS = {c["name"]: c["anchors"] for c in NATURAL}
 CENTRES6 = [(40.0, 130.0, 45.0), (232.0, 200.0, 176.0), (105.0, 70.0, 36.0), (178.0, 178.0, 180.0),
@@ -435,6 +437,12 @@ ct AS (SELECT cluster, case when sum(area)<80 then 0e0 else least(1e0, sum(case
  FROM st GROUP BY 1)"""
 
 
+def block_tiles(spark, sf):
+    """Tiles with the bands and, as cluster, one more than the block's number."""
+    px = by_block(spark, sf, "pixel")
+    return cut_lineage(tiles.pixels_to_tiles(px, ["r", "g", "b", "nir", "cluster"], SIDE, dims_of(px)))
+
+
 @query("i2_i3_continuity", f"""WITH RECURSIVE lab AS (SELECT row, col, blk+1 AS cluster FROM pixel), {REACH}
 SELECT 'r0' AS raster_id, cluster, round(continuity,6) AS continuity, round(water_continuity,6) AS water_continuity FROM ct""", ["pixel"])
 def i23(spark, sf):
@@ -467,19 +475,32 @@ SCORES = ["veg", "road", "water", "asphalt", "line", "water_conf", "dry", "sand"
 @query("h4_cluster_semantics", f"""WITH RECURSIVE lab AS (SELECT row, col, blk+1 AS cluster FROM pixel), {REACH}, {scaled_cte()}, {FLAG_CTE}, {_GRAD}, {_FRAC}, {_SCORES}
 SELECT cluster, n, {', '.join(f'round({c},5) AS {c}' for c in SCORES)} FROM s4""", ["pixel"])
 def h4(spark, sf):
-    px = by_block(spark, sf, "pixel")
-    out = semantics.cluster_semantics(px, "nir", 16)
+    out = semantics.tile_semantics(block_tiles(spark, sf), SIDE)
     return out.select("cluster", "n", *[F.round(c, 5).alias(c) for c in SCORES])
 
 
+@query("h4_pixel_semantics", same_as="h4_cluster_semantics")
+def h4p(spark, sf):
+    """The same scores from rows of pixels."""
+    out = semantics.cluster_semantics(by_block(spark, sf, "pixel"), "nir", 16)
+    return out.select("cluster", "n", *[F.round(c, 5).alias(c) for c in SCORES])
+
+
+@query("i2_i3_runs_continuity", same_as="i2_i3_continuity")
+def i23r(spark, sf):
+    out = semantics.run_continuity(block_tiles(spark, sf), 4, SIDE)
+    return out.select("raster_id", "cluster", *rounded(("continuity", F.col("continuity")), ("water_continuity", F.col("water_continuity"))))
+
+
 @query("e12_line_score", f"""WITH RECURSIVE lab AS (SELECT row, col, blk+1 AS cluster FROM pixel), {REACH}, {scaled_cte()}, {FLAG_CTE}, {_GRAD}, {_FRAC}
 SELECT cluster, round(greatest(0e0, least(1e0, 0.65e0*edge_frac+0.35e0*continuity)),5) AS line FROM fr JOIN ct USING (cluster)""", ["pixel"])
 def e12(spark, sf):
-    px = by_block(spark, sf, "pixel")
-    edges = semantics.edge_flags(px, 16, keep=["cluster"]).groupBy("raster_id", "cluster").agg(
-        F.avg(F.col("f_edge").cast("double")).alias("edge_frac"))
-    both = edges.join(semantics.continuity(px, 16), ["raster_id", "cluster"])
-    return both.select("cluster", F.round(color.clip(F.lit(0.65) * F.col("edge_frac") + F.lit(0.35) * F.col("continuity"), 0.0, 1.0), 5).alias("line"))
+    packed = block_tiles(spark, sf)
+    chain = semantics.semantic_chain()
+    edges = chains.chain_counts(chains.prepared(packed, chain, ["f_edge"], SIDE), chain, "cluster", ["f_edge"])
+    both = edges.join(semantics.run_continuity(packed, 4, SIDE), ["raster_id", "cluster"])
+    line = F.lit(0.65) * (F.col("f_edge") / F.col("n")) + F.lit(0.35) * F.col("continuity")
+    return both.select("cluster", F.round(color.clip(line, 0.0, 1.0), 5).alias("line"))
 
 
 @query("h11_segment_features", """

@@ -147,6 +147,23 @@ def test_float_percentile(spark, prob):
         assert r["p"] == pytest.approx(np.percentile(v[r["g"]::2], prob * 100))
 
 
+def test_percentile_with_a_far_outlier(spark, monkeypatch):
+    """One value far out, ties, both signs, infinity and nulls; and few bins a pass, whatever the values are."""
+    v = np.concatenate([RNG.normal(size=700) * 1e-3, [-0.0, 0.0, 1e18, -1e-300], np.full(50, 2.5)])
+    df = spark.createDataFrame([(int(i % 2), float(x)) for i, x in enumerate(v)] + [(0, None)], "g int, v double")
+    for few in (stats.FEW_VALUES, 1):
+        monkeypatch.setattr(stats, "FEW_VALUES", few)
+        for prob in (0.0, 0.3, 0.95, 1.0):
+            for r in stats.float_percentile(df, "v", prob, ["g"], "p").collect():
+                assert r["p"] == np.percentile(v[r["g"]::2], prob * 100, method="linear") or r["p"] == pytest.approx(
+                    np.percentile(v[r["g"]::2], prob * 100), rel=1e-12)
+    assert stats.float_percentile(df, "v", 0.5, [], "p").first()["p"] == pytest.approx(np.median(v))
+    none = df.filter("v > 1e30")
+    assert stats.float_percentile(none, "v", 0.5, ["g"], "p").count() == 0
+    keys = stats.ordered_bits(np.sort(v))
+    assert (np.diff(keys) >= 0).all() and (stats.from_bits(keys) == np.sort(v)).all()
+
+
 @pytest.mark.parametrize("inclusive,hot", [(False, 3), (True, 3), (True, 10_000)])
 def test_box_join(spark, inclusive, hot):
     def boxes(n, off):
@@ -232,9 +249,10 @@ def test_road_width_tiers():
 
 # --- components and neighbourhoods --------------------------------------------
 
-@pytest.mark.parametrize("conn,share,heavy", [(8, 0.42, 100_000), (4, 0.6, 3), (8, 1.0, 3)])
-def test_components_over_many_tiles(spark, monkeypatch, conn, share, heavy):
-    monkeypatch.setattr(components, "HEAVY_DEGREE", heavy)
+@pytest.mark.parametrize("conn,share,few", [(8, 0.42, 20_000), (4, 0.6, 3), (8, 1.0, 3)])
+def test_components_over_many_tiles(spark, monkeypatch, conn, share, few):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    monkeypatch.setattr(components, "HUB_SHARE", 20)
     m = RNG.random((45, 52)) < share
     df = spark.createDataFrame([("x", int(y), int(x)) for y, x in np.argwhere(m)], "raster_id string, row int, col int")
     lab = K.label(m, conn)
@@ -245,6 +263,24 @@ def test_components_over_many_tiles(spark, monkeypatch, conn, share, heavy):
         assert r["comp"] == ((root // 52) << 31) + root % 52
 
 
+def test_links_of_hubs_stay_spread(spark, tmp_path):
+    """A star of 400,000 links beside a chain and small stars: right roots, and no task that holds the star."""
+    n = 400_000
+    star = spark.range(1, n + 1, numPartitions=16).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    small = spark.range(n + 1, n + 60_001, numPartitions=4).select((F.col("id") - F.col("id") % 100).alias("u"), F.col("id").alias("v"))
+    star.unionByName(small.filter("u > 400000")).write.parquet(str(tmp_path / "links"))
+    edges = spark.read.parquet(str(tmp_path / "links")).repartition(16)
+    total = edges.count()
+    assert total > components.FEW_EDGES
+    near = components._with_min(edges, ["u"], total)
+    sizes = sorted(r["count"] for r in near.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert sum(sizes) == total and sizes[-1] <= n // 8
+    got = components.contract(edges, []).groupBy("root").count()
+    roots = {r["root"]: r["count"] for r in got.collect()}
+    assert roots.pop(0) == n
+    assert all(u % 100 == 0 and c <= 99 for u, c in roots.items()) and len(roots) >= 599
+
+
 @pytest.mark.parametrize("tile", [8, 13, 64])
 def test_tiling_does_not_show(spark, tile):
     a = RNG.integers(0, 256, (3, 29, 37))
