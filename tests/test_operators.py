@@ -488,3 +488,18 @@ def test_index_over_a_byte_fails(spark):
     px = spark.createDataFrame([("a", 0, 0, 300)], "raster_id string, row int, col int, cmix int")
     with pytest.raises(Exception, match="does not fit"):
         export.merge_index(px, ["raster_id", "row", "col"], F.lit(0)).collect()
+
+
+# --- joins and numbers that grow with the pixels -----------------------------------
+
+def plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reprojection_sends_no_pixels_to_all_tasks(spark):
+    px = image(spark, RNG.integers(0, 256, (3, 9, 8)))
+    raster = spark.createDataFrame([("x", 9, 8, 3857, 3900000.0, 4000000.0, 30.0, 25.0)],
+                                   "raster_id string, height int, width int, epsg int, west double, north double, xres double, yres double")
+    out = composite.mercator_to_degrees(px, raster, ["r", "g", "b"])
+    assert "BroadcastHashJoin" not in plan_text(out)
+    assert out.count() > 0
