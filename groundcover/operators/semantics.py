@@ -16,7 +16,7 @@ from . import kernels as K
 from .chains import Chain, Scalar, Step, chain_counts, prepared
 from .components import compact_score, component_stats, elongated_score, label_components
 from .runs import label_runs, run_stats, tile_runs
-from .stats import attach_by, float_percentile, int_percentiles
+from .stats import attach_by, float_percentile, int_percentiles, join_large
 from .tiles import one_band
 
 FRACTIONS = {"veg_frac": "f_veg", "dry_frac": "f_dry_barren", "sand_frac": "f_sand", "dry_grass_frac": "f_dry_grass",
@@ -205,20 +205,20 @@ def superpixels(px: DataFrame, dims: DataFrame, step: int, compactness: float =
     shifts = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
     labelled = None
     for i in range(rounds + 1):
-        seed = F.struct((F.col("gy") * 1_000_000 + F.col("gx")).cast("long").alias("id"), *[f"c_{v}" for v in values])
-        near = centres.select("raster_id", seed.alias("c"), "gy", "gx", F.explode(shifts).alias("s")).select(
+        seed = F.struct("id", *[f"c_{v}" for v in values])
+        near = centres.withColumn("id", F.col("gy").cast("long") * 1_000_000 + F.col("gx")).select("raster_id", seed.alias("c"), "gy", "gx", F.explode(shifts).alias("s")).select(
             "raster_id", (F.col("gy") + F.col("s.y")).alias("gy"), (F.col("gx") + F.col("s.x")).alias("gx"), "c")
-        near = near.join(cells, ["raster_id", "gy", "gx"]).groupBy("raster_id", "gy", "gx").agg(
+        near = join_large(near, cells, ["raster_id", "gy", "gx"]).groupBy("raster_id", "gy", "gx").agg(
             F.collect_list("c").alias("near"))  # at most nine
         sq = lambda c, v: (F.col(v) - c[f"c_{v}"]) * (F.col(v) - c[f"c_{v}"])
         cost = lambda c: sq(c, "r") + sq(c, "g") + sq(c, "b") + weight * (sq(c, "row") + sq(c, "col"))
         best = F.array_min(F.transform("near", lambda c: F.struct(cost(c).alias("d"), c["id"].alias("id"))))
-        labelled = held.join(near, ["raster_id", "gy", "gx"]).withColumn("segment", best["id"])
+        labelled = join_large(held, near, ["raster_id", "gy", "gx"]).withColumn("segment", best["id"])
         if i == rounds:
             break
         moved = labelled.groupBy("raster_id", "segment").agg(*[F.avg(v).alias(f"n_{v}") for v in values]).select(
             "raster_id", F.floor(F.col("segment") / 1_000_000).cast("int").alias("gy"),
             (F.col("segment") % 1_000_000).cast("int").alias("gx"), *[f"n_{v}" for v in values])
-        centres = cut_lineage(centres.join(moved, ["raster_id", "gy", "gx"], "left").select(
+        centres = cut_lineage(join_large(centres, moved, ["raster_id", "gy", "gx"], "left").select(
             "raster_id", "gy", "gx", *[F.coalesce(f"n_{v}", f"c_{v}").alias(f"c_{v}") for v in values]))
     return labelled.select("raster_id", "row", "col", "segment")

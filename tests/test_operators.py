@@ -503,3 +503,13 @@ def test_reprojection_sends_no_pixels_to_all_tasks(spark):
     out = composite.mercator_to_degrees(px, raster, ["r", "g", "b"])
     assert "BroadcastHashJoin" not in plan_text(out)
     assert out.count() > 0
+
+
+def test_superpixels_below_row_15029(spark):
+    from groundcover.operators import semantics
+    px = image(spark, RNG.integers(0, 256, (3, 15, 16)))
+    far = px.withColumn("row", F.col("row") + 7 * 3000)
+    near = {(r["row"], r["col"]): r["segment"] for r in semantics.superpixels(px, dims(spark, 15, 16), 7, rounds=1).collect()}
+    got = {(r["row"] - 21000, r["col"]): r["segment"] - 3000 * 1_000_000
+           for r in semantics.superpixels(far, dims(spark, 21015, 16), 7, rounds=1).collect()}
+    assert got == near
