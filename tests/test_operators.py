@@ -513,3 +513,11 @@ def test_superpixels_below_row_15029(spark):
     got = {(r["row"] - 21000, r["col"]): r["segment"] - 3000 * 1_000_000
            for r in semantics.superpixels(far, dims(spark, 21015, 16), 7, rounds=1).collect()}
     assert got == near
+
+
+def test_components_send_no_pixels_to_all_tasks(spark):
+    px = image(spark, RNG.integers(0, 256, (3, 9, 8)))
+    labels = components._tile_labels(px, ["raster_id"], 4, 8)
+    assert "BroadcastHashJoin" not in plan_text(components._border_edges(labels, ["raster_id"], 4, 8))
+    out = plan_text(detect._shape_filter(px.select("raster_id", "row", "col"), px, "water", 1000, 4))
+    assert not [j for j in out.splitlines() if "BroadcastHashJoin [raster_id" in j and " row#" in j]
