@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import join_counted
 from .lookup import scramble, text_runs, with_facts
+from .memory import tidy
 from .store import written
 
 LONGEST, THRESHOLD, TOP = 3, 10, 2000
 #: Counters a task holds, mass of a hash partition, bytes of text counted at a time.
-HELD, MASS, RUN_BYTES = 4_000_000, 8_000_000, 4_000_000
+HELD, MASS, RUN_BYTES = 2_000_000, 8_000_000, 2_000_000
 #: Survivors sent to all tasks at most, 8 bytes each.
 FEW = 4_000_000
 #: Rows ranked in one task.
@@ -155,7 +156,7 @@ def summaries(docs: DataFrame, parts: int, threshold: int) -> DataFrame:
             for texts in text_runs(b, "text", RUN_BYTES):
                 key, count = np.unique(np.concatenate(Grams(texts).keys(parts)), return_counts=True)
                 keys.append(key)
-                counts.append(count)
+                counts.append(count.astype(np.int32))
                 held += len(key)
                 if held > HELD:
                     yield from shipped()
@@ -167,7 +168,7 @@ def summaries(docs: DataFrame, parts: int, threshold: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.zeros(len(some), dtype=np.int32)),
                                           pa.array(mass[some]), none, none], ["part", "kind", "mass", "places", "counts"])
 
-    return docs.mapInArrow(run, SUMMARY)
+    return docs.mapInArrow(tidy(run), SUMMARY)
 
 
 class Summary:
@@ -223,7 +224,7 @@ def survivors(summed: DataFrame, threshold: int) -> DataFrame:
             yield ended()
 
     # the mass of a partition comes before its summaries, so the capacity is known when they are merged
-    return summed.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, "key long")
+    return summed.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(tidy(run), "key long")
 
 
 class Survivors:
