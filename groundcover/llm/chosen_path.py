@@ -253,8 +253,45 @@ def candidates(leaf: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
     return sorted_groups(rows, run, "cluster long, rep long, place long, size long").distinct()
 
 
-def verified(clusters: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFrame:
-    """Links (u, v) between sets of a cluster whose full sets are similar: enough to connect all that are."""
+def first_pairs(clusters: DataFrame) -> DataFrame:
+    """Rows of clusters in blocks that are compared: all with the first one, and, as always in a group, within themselves.
+
+    That connects most near copies with rows in proportion to a cluster; ``last_pairs`` has what it leaves out.
+    """
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("place"), n).cast("int")
+    others = F.when(own == 0, F.sequence(F.least(F.lit(1), n - 1), n - 1)).otherwise(F.array(own))
+    return _paired(clusters, F.transform(others, lambda j: F.struct(F.lit(0).alias("p"), j.alias("q"))))
+
+
+def last_pairs(clusters: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Rows of the clusters of several blocks that are not connected yet, in all blocks that may add a link.
+
+    The largest component of a cluster has blocks of its own, which are compared with those of the other sets only:
+    so rows grow with the square of what is not connected, not of the cluster.
+    """
+    rows = clusters.filter(F.col("size") > BLOCK).join(labelled.select("rep", "component"), "rep")
+    sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("_n"))
+    open_ = sizes.groupBy("cluster").agg(F.max(F.struct("_n", "component")).alias("_main"), F.sum("_n").alias("_all")).filter(
+        F.col("_main._n") < F.col("_all"))
+    facts = cut_lineage(open_.select("cluster", F.col("_main.component").alias("_comp"), F.ceil(F.col("_main._n") / BLOCK).cast("int").alias("_nm"),
+                                     F.ceil((F.col("_all") - F.col("_main._n")) / BLOCK).cast("int").alias("_no")))
+    held = rows.join(if_few(facts), "cluster")
+    main = F.col("component") == F.col("_comp")
+    dealt = F.xxhash64("place")
+    own = F.when(main, F.col("_no") + F.pmod(dealt, F.col("_nm"))).otherwise(F.pmod(dealt, F.col("_no"))).cast("int")
+    last = F.when(main, F.col("_no")).otherwise(F.col("_no") + F.col("_nm")) - 1
+    others = F.filter(F.sequence(F.lit(0), last.cast("int")), lambda j: j != own)
+    return _paired(held, F.transform(others, lambda j: F.struct(F.least(own, j).alias("p"), F.greatest(own, j).alias("q"))))
+
+
+def _paired(rows: DataFrame, pairs) -> DataFrame:
+    out = rows.select("cluster", "rep", F.explode(pairs).alias("_pair"))
+    return out.select(F.xxhash64("cluster", "_pair.p", "_pair.q").alias("group"), "rep")
+
+
+def verified(pairs: DataFrame, clusters: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFrame:
+    """Links (u, v) between sets of a group of ``pairs`` whose full sets are similar: enough to connect all that are."""
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
@@ -267,7 +304,7 @@ def verified(clusters: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in grouped(batches, "group"):
-            rep, own = table.column("rep").to_numpy(), table.column("_own").to_numpy()
+            rep = table.column("rep").to_numpy()
             raw, us, vs = table.column("shingles"), [], []
             for a, b in zip(at[:-1], at[1:]):
                 sets = [np.frombuffer(x, dtype=np.uint64) for x in raw.slice(a, b - a).to_pylist()]
@@ -290,8 +327,7 @@ def verified(clusters: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFram
     wanted = if_few(cut_lineage(clusters.select("rep").distinct()))
     full = docs.join(wanted, docs["id"] == wanted["rep"]).select("rep", "text")
     full = full.dropDuplicates(["rep", "text"]).mapInArrow(tidy(with_sets), "rep long, shingles binary")
-    rows = block_pairs(clusters, ["cluster"], "size", "place", BLOCK).select("group", "rep", "_own").join(full, "rep")
-    return sorted_groups(rows, run, "u long, v long")
+    return sorted_groups(pairs.join(full, "rep"), run, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -313,12 +349,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # rows with one id but several sets are one document
     labelled = reps.withColumn("component", F.col("rep"))
     for trees in ((0,), tuple(range(1, trees_needed(similarity)))):
-        found = candidates(leaves(reps, trees, similarity), labelled, similarity)
-        new = verified(cut_lineage(found), docs, shingle, pct)
-        links = cut_lineage(new if links is None else links.unionByName(new))
-        roots = contract(links, [])
-        labelled = reps.join(roots.withColumnsRenamed({"node": "rep", "root": "component"}), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep"))
+        found = cut_lineage(candidates(leaves(reps, trees, similarity), labelled, similarity))
+        for last in (False, True):
+            if last and found.filter(F.col("size") > BLOCK).isEmpty():
+                break
+            pairs = cut_lineage(last_pairs(found, labelled)) if last else first_pairs(found)
+            if last and pairs.isEmpty():
+                break
+            new = verified(pairs, found, docs, shingle, pct)
+            links = cut_lineage(new if links is None else links.unionByName(new))
+            roots = contract(links, [])
+            labelled = reps.join(roots.withColumnsRenamed({"node": "rep", "root": "component"}), "rep", "left").withColumn(
+                "component", F.coalesce("component", "rep"))
     named = sets.select("set_key", "copies", "rep").join(
         roots.withColumnsRenamed({"node": "rep", "root": "component"}), "rep", "left")
     named = cut_lineage(named.select("set_key", "copies", F.coalesce("component", "rep").alias("component_id")))

@@ -445,3 +445,13 @@ def test_pipeline_edges(spark, edge_docs, no_docs, sf):
             out = stage(spark, docs, sf)
             assert out.count() >= 0
             assert name == "packing" or out.columns == docs.columns
+
+
+def test_cluster_rows_grow_with_the_cluster(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "BLOCK", 4)
+    found = spark.range(400).selectExpr("7L as cluster", "id as rep", "id as place", "400L as size")
+    assert chosen_path.first_pairs(found).count() <= 3 * 400
+    joined = spark.range(400).selectExpr("id as rep", "0L as component")
+    assert chosen_path.last_pairs(found, joined).isEmpty()
+    apart = spark.range(400).selectExpr("id as rep", "if(id < 398, 0, id) as component")
+    assert chosen_path.last_pairs(found, apart).count() <= 3 * 400
