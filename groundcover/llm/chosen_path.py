@@ -27,10 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import contract
+from ..operators.stats import join_large
 from ..session import cut_lineage
 from .blocks import Union, block_pairs, grouped, sorted_groups
 from .common import if_few, join_counted
@@ -40,6 +42,8 @@ from .store import written
 COORDS, DEPTH, MISS = 64, 4, 0.001
 #: Sets in a node that is compared as one, and in a block of full sets.
 NODE, BLOCK = 1024, 256
+#: Bytes of text whose sets a comparing task forms together.
+SHINGLED = 2_000_000
 #: Standard deviations below the threshold at which minwise tokens still count as similar.
 MARGIN = 4.0
 _U = np.uint64
@@ -197,7 +201,7 @@ def leaves(reps: DataFrame, trees: tuple[int, ...], similarity: float) -> DataFr
     for level in range(DEPTH):
         # a pair may branch to one child by both coordinates only if these are the same
         children = _branch(rows, trees, extra).distinct() if level else _branch(rows, trees, extra)
-        children = written(children, "nodes") if level else children
+        children = written(children, "nodes")
         sizes = cut_lineage(children.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
         members = written(join_counted(children, sizes, ["node"], "size"), "members")
         last = level == DEPTH - 1
@@ -270,7 +274,8 @@ def last_pairs(clusters: DataFrame, labelled: DataFrame) -> DataFrame:
     The largest component of a cluster has blocks of its own, which are compared with those of the other sets only:
     so rows grow with the square of what is not connected, not of the cluster.
     """
-    rows = clusters.filter(F.col("size") > BLOCK).join(labelled.select("rep", "component"), "rep")
+    rows = cut_lineage(clusters.filter(F.col("size") > BLOCK).join(labelled.select("rep", "component"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")))
     sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("_n"))
     open_ = sizes.groupBy("cluster").agg(F.max(F.struct("_n", "component")).alias("_main"), F.sum("_n").alias("_all")).filter(
         F.col("_main._n") < F.col("_all"))
@@ -291,43 +296,47 @@ def _paired(rows: DataFrame, pairs) -> DataFrame:
 
 
 def verified(pairs: DataFrame, clusters: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFrame:
-    """Links (u, v) between sets of a group of ``pairs`` whose full sets are similar: enough to connect all that are."""
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = 0
-            for texts in _text_runs(b.column(1)):
-                with np.errstate(over="ignore"):
-                    sets = [s.tobytes() for s in shingle_sets(texts, k)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(sets, pa.binary())],
-                                                 ["rep", "shingles"])
-                at += len(texts)
+    """Links (u, v) between sets of a group of ``pairs`` whose full sets are similar: enough to connect all that are.
+
+    Groups get the texts and form the sets themselves: hashes of shingles take more room than the words, and do not compress.
+    """
+    def links(rep: np.ndarray, sets: list[np.ndarray], us: list[int], vs: list[int]) -> None:
+        sizes = np.array([len(s) for s in sets])
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        starts, union = np.cumsum(sizes) - sizes, Union(len(sets))
+        here = np.zeros(ids.max() + 1, dtype=np.int32)
+        for i in range(len(sets) - 1):
+            mine = ids[starts[i]:starts[i] + sizes[i]]
+            here[mine] = 1
+            common = np.add.reduceat(here[ids[starts[i + 1]:]], starts[i + 1:] - starts[i + 1])
+            here[mine] = 0
+            either = sizes[i] + sizes[i + 1:] - common
+            for j in np.flatnonzero(100 * common >= pct * either).tolist():
+                if union.join(i, i + 1 + j):
+                    us.append(int(rep[i]))
+                    vs.append(int(rep[i + 1 + j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in grouped(batches, "group"):
-            rep = table.column("rep").to_numpy()
-            raw, us, vs = table.column("shingles"), [], []
-            for a, b in zip(at[:-1], at[1:]):
-                sets = [np.frombuffer(x, dtype=np.uint64) for x in raw.slice(a, b - a).to_pylist()]
-                sizes = np.array([len(s) for s in sets])
-                _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-                starts, union = np.cumsum(sizes) - sizes, Union(b - a)
-                here = np.zeros(ids.max() + 1, dtype=np.int32)
-                for i in range(b - a - 1):
-                    mine = ids[starts[i]:starts[i] + sizes[i]]
-                    here[mine] = 1
-                    common = np.add.reduceat(here[ids[starts[i + 1]:]], starts[i + 1:] - starts[i + 1])
-                    here[mine] = 0
-                    either = sizes[i] + sizes[i + 1:] - common
-                    for j in np.flatnonzero(100 * common >= pct * either).tolist():
-                        if union.join(i, i + 1 + j):
-                            us.append(int(rep[a + i]))
-                            vs.append(int(rep[a + i + 1 + j]))
+            rep, texts, us, vs = table.column("rep").to_numpy(), table.column("text"), [], []
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+            first = 0
+            while first < len(at) - 1:  # whole groups of a bounded number of letters at a time
+                before = ends[at[first] - 1] if at[first] else 0
+                last = max(first + 1, int(np.searchsorted(ends[at[1:] - 1], before + SHINGLED, "right")))
+                with np.errstate(over="ignore"):
+                    sets = shingle_sets(texts.slice(at[first], at[last] - at[first]).to_pylist(), k)
+                for a, b in zip(at[first:last], at[first + 1:last + 1]):
+                    links(rep[a:b], sets[a - at[first]:b - at[first]], us, vs)
+                first = last
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     wanted = if_few(cut_lineage(clusters.select("rep").distinct()))
-    full = docs.join(wanted, docs["id"] == wanted["rep"]).select("rep", "text")
-    full = full.dropDuplicates(["rep", "text"]).mapInArrow(tidy(with_sets), "rep long, shingles binary")
-    return sorted_groups(pairs.join(full, "rep"), run, "u long, v long")
+    # dealt by rep once, for what repeats and for the join
+    full = docs.join(wanted, docs["id"] == wanted["rep"]).select("rep", "text").repartition("rep").dropDuplicates(["rep", "text"])
+    # a text without words cannot be a set of its own here: rows of an id that has others as well
+    full = full.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return sorted_groups(join_large(pairs, full, "rep"), run, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -345,7 +354,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                                  F.count("*").alias("copies"))
                    .select("set_key", "copies", F.col("x.id").alias("rep"), F.col("x.tokens").alias("tokens"), F.col("x.lows").alias("lows")), "sets")
     reps = sets.filter("rep IS NOT NULL").select("rep", "tokens", "lows")
-    links = None
+    roots = None
     # rows with one id but several sets are one document
     labelled = reps.withColumn("component", F.col("rep"))
     for trees in ((0,), tuple(range(1, trees_needed(similarity)))):
@@ -353,16 +362,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for last in (False, True):
             if last and found.filter(F.col("size") > BLOCK).isEmpty():
                 break
-            pairs = cut_lineage(last_pairs(found, labelled)) if last else first_pairs(found)
+            pairs = cut_lineage(last_pairs(found, roots)) if last else first_pairs(found)
             if last and pairs.isEmpty():
                 break
-            new = verified(pairs, found, docs, shingle, pct)
-            links = cut_lineage(new if links is None else links.unionByName(new))
-            roots = contract(links, [])
-            labelled = reps.join(roots.withColumnsRenamed({"node": "rep", "root": "component"}), "rep", "left").withColumn(
-                "component", F.coalesce("component", "rep"))
-    named = sets.select("set_key", "copies", "rep").join(
-        roots.withColumnsRenamed({"node": "rep", "root": "component"}), "rep", "left")
+            new = verified(pairs, pairs if last else found, docs, shingle, pct)
+            if roots is not None:  # one link a set says what all earlier ones did
+                new = new.unionByName(roots.select(F.col("rep").alias("u"), F.col("component").alias("v")))
+            # sets that are not the least of their component; all others are their own
+            roots = contract(new, []).withColumnsRenamed({"node": "rep", "root": "component"})
+        labelled = reps.join(roots, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = sets.select("set_key", "copies", "rep").join(roots, "rep", "left")
     named = cut_lineage(named.select("set_key", "copies", F.coalesce("component", "rep").alias("component_id")))
     out = join_counted(filled.select("id", "n_shingles", "set_key"), named, ["set_key"], "copies")
     empty = rows.filter("set_key IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))

@@ -9,10 +9,12 @@ its diameter, and each ends in a checkpoint.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -20,7 +22,7 @@ from . import kernels as K
 from .stats import join_large
 from .tiles import column
 
-#: Links up to which one window is enough, and the part of all links that makes a node a hub.
+#: Links up to which one small step is enough, and the part of all links that makes a node a hub.
 FEW_EDGES, HUB_SHARE = 20_000, 2_048
 MAX_ROUNDS = 60
 
@@ -67,13 +69,10 @@ def _border_edges(labels: DataFrame, by: list[str], tile: int, connectivity: int
 def _with_min(edges: DataFrame, key: list[str], n_edges: int) -> DataFrame:
     """Edges with ``m``, the lowest neighbour of their first node.
 
-    A short edge list has no hot node, so one window does. Otherwise the minimum is aggregated, which combines before
-    the shuffle, and joined back. A hub is a node with more than the ``HUB_SHARE``-th part of all links, so there are
+    The minimum is aggregated, which combines before the shuffle, and joined back. A hub is a node with more than the ``HUB_SHARE``-th part of all links, so there are
     fewer hubs than twice that number, whatever the graph: their minima are broadcast, their links stay where they
     are, and no task of the other join gets more than that part of the links by one node.
     """
-    if n_edges <= FEW_EDGES:
-        return edges.withColumn("m", F.min("v").over(W.partitionBy(*key)))
     limit = max(1, n_edges // HUB_SHARE)
     mins = edges.groupBy(*key).agg(F.min("v").alias("m"), F.count("*").alias("_deg"))
     hubs = mins.filter(F.col("_deg") > limit).drop("_deg")
@@ -81,16 +80,47 @@ def _with_min(edges: DataFrame, key: list[str], n_edges: int) -> DataFrame:
     return light.unionByName(edges.join(F.broadcast(hubs), key))
 
 
+def _few_roots(edges: DataFrame, by: list[str]) -> DataFrame:
+    """``contract`` for at most ``FEW_EDGES`` links, in one step: rounds over so few rows are nearly all overhead."""
+    types = dict(edges.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        keys = table.select(by).to_pandas()
+        group = keys.groupby(by, dropna=False).ngroup().to_numpy() if by else np.zeros(table.num_rows, dtype=np.int64)
+        ends = np.concatenate([np.column_stack([group, column(table, c)]) for c in "uv"])
+        nodes, at = np.unique(ends, axis=0, return_inverse=True)
+        u, v = at.reshape(2, -1)
+        root = np.arange(len(nodes))
+        while (root[u] != root[v]).any():
+            ru, rv = root[u], root[v]
+            np.minimum.at(root, np.maximum(ru, rv), np.minimum(ru, rv))
+            while (root[root] != root).any():
+                root = root[root]
+        one = np.flatnonzero(root != np.arange(len(nodes)))
+        first = pd.Series(np.arange(len(group))).groupby(group).first().to_numpy()[nodes[one, 0]]
+        named = [table.column(c).combine_chunks().take(pa.array(first)) for c in by]
+        yield pa.RecordBatch.from_arrays([*named, pa.array(nodes[one, 1]), pa.array(nodes[root[one], 1])], [*by, "node", "root"])
+
+    schema = "".join(f"{c} {types[c]}, " for c in by) + "node long, root long"
+    return cut_lineage(edges.select(*by, F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(run, schema))
+
+
 def contract(edges: DataFrame, by: list[str]) -> DataFrame:
     """Map every node of the edge list to the lowest node of its component."""
 
     def fingerprint(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)"))).first())
 
-    cur = cut_lineage(edges.filter("u <> v"))
+    cur = cut_lineage(edges.filter("u <> v").select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = fingerprint(cur)
     if not seen[0]:
         return cur.select(*by, F.col("u").alias("node"), F.col("v").alias("root"))
+    if seen[0] <= FEW_EDGES:
+        return _few_roots(cur, by)
     key = [*by, "u"]
     for _ in range(MAX_ROUNDS):
         both = cur.unionByName(cur.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))

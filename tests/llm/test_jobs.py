@@ -455,3 +455,21 @@ def test_cluster_rows_grow_with_the_cluster(spark, monkeypatch):
     assert chosen_path.last_pairs(found, joined).isEmpty()
     apart = spark.range(400).selectExpr("id as rep", "if(id < 398, 0, id) as component")
     assert chosen_path.last_pairs(found, apart).count() <= 3 * 400
+
+
+def test_sets_without_a_link_are_their_own_component(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "BLOCK", 4)
+    found = spark.range(40).selectExpr("7L as cluster", "id as rep", "id as place", "40L as size")
+    linked = spark.range(1, 38).selectExpr("id as rep", "0L as component")
+    got = {r["rep"] for r in chosen_path.last_pairs(found, linked).collect()}
+    assert got == set(range(40))
+
+
+def test_verified_takes_texts_by_whole_groups(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "SHINGLED", 40)
+    text = [f"a{i // 3} b c d e f{i % 3 // 2}" for i in range(30)]
+    docs = spark.createDataFrame([*enumerate(text), (3, " "), (4, text[4])], "id long, text string")
+    pairs = spark.createDataFrame([(i // 6, i) for i in range(30)], "group long, rep long")
+    plan = chosen_path.verified(pairs, pairs, docs, 1, 100)
+    assert sorted(map(tuple, plan.collect())) == [(i, i + 1) for i in range(0, 30, 3)]
+    assert "shingles" not in plan._jdf.queryExecution().toString()

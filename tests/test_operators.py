@@ -263,6 +263,19 @@ def test_components_over_many_tiles(spark, monkeypatch, conn, share, few):
         assert r["comp"] == ((root // 52) << 31) + root % 52
 
 
+def test_few_links_take_one_step(spark, monkeypatch):
+    pairs = [(("x", "y", None)[k % 3], int(a), int(b)) for k, (a, b) in enumerate(RNG.integers(0, 400, (300, 2)))]
+    edges = spark.createDataFrame([*pairs, ("x", 1000, 1001), ("x", 1002, 1001)], "raster_id string, u long, v long")
+    sc = spark.sparkContext
+    sc.setJobGroup("few links", "few links")
+    few = {tuple(r) for r in components.contract(edges.filter("raster_id IS NOT NULL"), ["raster_id"]).collect()}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("few links")) <= 8
+    assert ("x", 1001, 1000) in few and ("x", 1002, 1000) in few
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
+    assert few == {tuple(r) for r in components.contract(edges.filter("raster_id IS NOT NULL"), ["raster_id"]).collect()}
+
+
 def test_links_of_hubs_stay_spread(spark, tmp_path):
     """A star of 400,000 links beside a chain and small stars: right roots, and no task that holds the star."""
     n = 400_000
