@@ -42,9 +42,12 @@ def ring_edges(features: DataFrame, keys: list[str], rings: str = "rings") -> Da
         F.col("x1").isNotNull() & F.col("x0").isNotNull())
 
 
-def burn(features: DataFrame, keys: list[str], height: Column | int, width: Column | int,
-         all_touched: bool = True, rings: str = "rings") -> DataFrame:
-    """Pixels of polygons, even-odd over all rings; with ``all_touched`` also every pixel on an edge."""
+def burned_spans(features: DataFrame, keys: list[str], height: Column | int, width: Column | int,
+                 all_touched: bool = True, rings: str = "rings") -> DataFrame:
+    """Spans (row, _a, _b; both ends inside) of the pixels of polygons, which may overlap."""
+    # a small file of features makes many pixels: without a number of partitions they would be merged into one task
+    parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    features = features.repartition(parts, *keys)
     h = height if isinstance(height, Column) else F.lit(height)
     w = width if isinstance(width, Column) else F.lit(width)
     edges = ring_edges(features.withColumn("_h", h).withColumn("_w", w), [*keys, "_h", "_w"], rings)
@@ -63,7 +66,7 @@ def burn(features: DataFrame, keys: list[str], height: Column | int, width: Colu
     first = F.greatest(F.lit(0), F.ceil(F.col("_x") - 0.5).cast("int"))
     last = F.least(F.col("_w") - 1, (F.ceil(F.col("_to") - 0.5) - 1).cast("int"))
     inside = spans.withColumn("_a", first).withColumn("_b", last).filter("_b >= _a").select(
-        *keys, "row", F.explode(F.sequence("_a", "_b")).alias("col"))
+        *keys, "row", "_a", "_b")
     if not all_touched:
         return inside
 
@@ -73,8 +76,21 @@ def burn(features: DataFrame, keys: list[str], height: Column | int, width: Colu
     xb = F.when(flat, F.greatest("x0", "x1")).otherwise(F.greatest(x_at(top), x_at(bottom)))
     on_edge = rows.withColumn("_a", F.greatest(F.lit(0), F.floor(xa).cast("int"))).withColumn(
         "_b", F.least(F.col("_w") - 1, F.floor(xb).cast("int"))).filter("_b >= _a").select(
-        *keys, "row", F.explode(F.sequence("_a", "_b")).alias("col"))
-    return inside.unionByName(on_edge).distinct()
+        *keys, "row", "_a", "_b")
+    return inside.unionByName(on_edge)
+
+
+def span_pixels(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Each pixel of the spans once: a span gives what those before it in its row do not reach, so only spans are shuffled."""
+    before = W.partitionBy(*keys, "row").orderBy("_a", "_b").rowsBetween(W.unboundedPreceding, -1)
+    own = spans.withColumn("_a", F.greatest(F.col("_a"), F.max("_b").over(before) + 1)).filter("_b >= _a")
+    return own.select(*keys, "row", F.explode(F.sequence("_a", "_b")).alias("col"))
+
+
+def burn(features: DataFrame, keys: list[str], height: Column | int, width: Column | int,
+         all_touched: bool = True, rings: str = "rings") -> DataFrame:
+    """Pixels of polygons, even-odd over all rings; with ``all_touched`` also every pixel on an edge."""
+    return span_pixels(burned_spans(features, keys, height, width, all_touched, rings), keys)
 
 
 def buffer_lines(lines: DataFrame, points: str, half_width: str) -> DataFrame:
@@ -108,7 +124,7 @@ def burn_lines(lines: DataFrame, keys: list[str], points: str, half_width: str,
                all_touched: bool = True) -> DataFrame:
     """Pixels of buffered lines. Parts are burned on their own and united, since they overlap."""
     parts = buffer_lines(lines, points, half_width).withColumn("_part", F.monotonically_increasing_id())
-    return burn(parts, [*keys, "_part"], height, width, all_touched).select(*keys, "row", "col").distinct()
+    return span_pixels(burned_spans(parts, [*keys, "_part"], height, width, all_touched), keys)
 
 
 def features_per_tile(features: DataFrame, origin_x: float, origin_y: float, size: float, n_x, n_y) -> DataFrame:

@@ -534,3 +534,12 @@ def test_components_send_no_pixels_to_all_tasks(spark):
     assert "BroadcastHashJoin" not in plan_text(components._border_edges(labels, ["raster_id"], 4, 8))
     out = plan_text(detect._shape_filter(px.select("raster_id", "row", "col"), px, "water", 1000, 4))
     assert not [j for j in out.splitlines() if "BroadcastHashJoin [raster_id" in j and " row#" in j]
+
+
+def test_burning_shuffles_spans_and_not_pixels(spark):
+    f = spark.range(20).selectExpr("id as fid", "array(array(named_struct('x', 0.5D, 'y', 0.5D), named_struct('x', 90.5D, 'y', 0.5D), "
+                                   "named_struct('x', 90.5D, 'y', 3.5D), named_struct('x', 0.5D, 'y', 3.5D))) as rings")
+    got = vector.burn(f, ["fid"], 10, 100)
+    assert got.count() == got.distinct().count() == 20 * 4 * 91
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.index("explode(sequence(_a") < plan.index("Window")
