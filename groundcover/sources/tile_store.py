@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 
 from ..operators.tiles import TILE_COLUMNS, block_of
 from ..schema import TILE
+from ..session import cut_lineage
 
 STORED = TILE + ", row1 int, col1 int, cover int"
 STORED_COLUMNS = [f.split()[0] for f in STORED.split(", ")]
 NONE, PART, FULL = 0, 1, 2
 #: Tiles of a row group, the least that a window reads of a file.
 GROUP_ROWS = 32
+#: Bytes and row groups of a file at most, about: whoever reads a part of a file reads the list of all its groups.
+FILE_BYTES, FILE_GROUPS = 64 << 20, 128
 
 
 def z_order(row: Column, col: Column, bits: int = 20) -> Column:
@@ -51,10 +54,17 @@ def with_cover(tiles: DataFrame) -> DataFrame:
 
 
 def write(tiles: DataFrame, path: str, files: int | None = None, group_rows: int = GROUP_ROWS, mode: str = "error") -> None:
-    """Writes tiles to a new table in Z-order, ``files`` files (the session's shuffle partitions if not said)."""
-    keyed = with_cover(tiles).withColumn("_z", z_order(F.col("tile_row"), F.col("tile_col")))
+    """Writes tiles to a new table in Z-order, at least ``files`` files (the session's shuffle partitions if not said).
+
+    There are more as soon as these would be large, so that neither a task nor a file grows with the table.
+    """
+    # fixed, because the bounds of the ranges take a pass of their own
+    keyed = cut_lineage(with_cover(tiles).withColumn("_z", z_order(F.col("tile_row"), F.col("tile_col"))))
     keys = ["raster_id", "_z"]
-    dealt = keyed.repartitionByRange(files, *keys) if files else keyed.repartitionByRange(*keys)
+    n, size = keyed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()
+    least = files or int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = max(-(-size // FILE_BYTES), -(-n // (FILE_GROUPS * group_rows)))
+    dealt = keyed.repartitionByRange(max(least, needed), *keys) if files or needed > least else keyed.repartitionByRange(*keys)
     dealt.sortWithinPartitions(*keys).drop("_z").write.mode(mode).option("parquet.block.row.count.limit", group_rows).parquet(path)
 
 

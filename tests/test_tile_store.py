@@ -102,3 +102,12 @@ def test_hidden_tiles_do_not_move(spark):
     assert cells == {(0, 0): (9, 1), (0, 1): (9, 2), (0, 2): (9, 1), (0, 3): (9, 1)}
     got = {r.tile_col: np.frombuffer(r.data, dtype=np.uint8).reshape(3, 8, 8) for r in composite.composite_visible(ranked, 8, 2).collect()}
     assert (got[0] == arrays[9 * 4][1]).all() and (got[1][:, 1:] == top[:, 1:]).all() and (got[1][:, 0] == arrays[9 * 4 + 1][1][:, 0]).all()
+
+
+def test_files_grow_in_number_and_not_in_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tile_store, "FILE_GROUPS", 2)
+    rows = [(f"r{i}", 0, 0, 0, 0, 2, 2, 2, 2, 3, bytes([i] * 12)) for i in range(64)]
+    path = str(tmp_path / "many")
+    tile_store.write(spark.createDataFrame(rows, TILE), path, files=2, group_rows=2)
+    files = tile_store.read(spark, path).groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 12 and max(r["count"] for r in files) <= 12 and sum(r["count"] for r in files) == 64
