@@ -19,7 +19,7 @@ from .composite import area_average
 from .focal import morphology
 from .overlay import mask_union
 from .stats import attach_by, join_large
-from .tiles import block_of, focal_pixels, focal_tiles
+from .tiles import block_of, focal_pixels, focal_tiles, spread
 
 
 def thumbnail(px: DataFrame, dims: DataFrame, side: int = PREFILTER_SIDE) -> DataFrame:
@@ -114,7 +114,7 @@ def solidity(labels: DataFrame, by: list[str]) -> DataFrame:
 
     types = dict(labels.dtypes)
     schema = "".join(f"{c} {types[c]}, " for c in by) + "comp long, hull double"
-    return ends.groupBy(*by, "comp").applyInPandas(run, schema)
+    return spread(ends, [*by, "comp"]).groupBy(*by, "comp").applyInPandas(run, schema)
 
 
 def _shape_filter(mask: DataFrame, px: DataFrame, kind: str, scene: int | Column | DataFrame, tile: int) -> DataFrame:

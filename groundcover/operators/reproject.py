@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..constants import MERCATOR_HALF
 from ..schema import TILE, TILE_KEYS
 from .stats import attach_by
-from .tiles import TILE_COLUMNS, block_of, padded_tiles
+from .tiles import TILE_COLUMNS, block_of, padded_tiles, spread
 
 #: Source positions of all target rows and of all target columns, from the raster's row of the grid table.
 Axes = Callable[[object], tuple[np.ndarray, np.ndarray]]
@@ -82,7 +82,7 @@ def _pasted(pieces: DataFrame, tile: int, dtype: type, blank: float) -> DataFram
             out[:, t.y0 - r0:t.y0 - r0 + t.h, t.x0 - c0:t.x0 - c0 + t.w] = part
         return pd.DataFrame([(rid, tr, tc, r0, c0, h, w, p.raster_h, p.raster_w, p.n_bands, out.tobytes())], columns=TILE_COLUMNS)
 
-    return pieces.groupBy(*TILE_KEYS).applyInPandas(paste, TILE)
+    return spread(pieces, TILE_KEYS).groupBy(*TILE_KEYS).applyInPandas(paste, TILE)
 
 
 def nearest_tiles(tiles: DataFrame, grids: DataFrame, axes: Axes, tile: int) -> DataFrame:

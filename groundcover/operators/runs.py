@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..schema import TILE, TILE_KEYS
 from ..session import cut_lineage
 from .components import contract
-from .tiles import TILE_COLUMNS, block_of, column
+from .tiles import TILE_COLUMNS, block_of, column, spread
 
 RUN = "raster_id string, tile_row int, tile_col int, row int, c0 int, c1 int, value int"
 RUN_COLUMNS = [f.split()[0] for f in RUN.split(", ")]
@@ -95,7 +95,8 @@ def label_runs(runs: DataFrame, tile: int, connectivity: int = 8, by: tuple[str,
         root = _tile_nodes(row, c0, c1, connectivity)
         return table.append_column("node", pa.array(_node(row[root], c0[root])))
 
-    inside = cut_lineage(runs.groupBy(*by, "tile_row", "tile_col").applyInArrow(run, schema))
+    keys = [*by, "tile_row", "tile_col"]
+    inside = cut_lineage(spread(runs, keys).groupBy(*keys).applyInArrow(run, schema))
     roots = contract(_meetings(inside, tile, connectivity, by), by)
     out = inside.join(roots, [*by, "node"], "left")
     return out.select(*inside.columns, F.coalesce("root", "node").alias("comp"))
@@ -156,7 +157,8 @@ def with_sums(runs: DataFrame, tiles: DataFrame, names: list[str], planes) -> Da
             own = own.append_column(n, pa.array(sums[n]))
         return own
 
-    return runs.groupBy(*TILE_KEYS).cogroup(tiles.select(TILE_COLUMNS).groupBy(*TILE_KEYS)).applyInArrow(run, schema)
+    stored = spread(tiles.select(TILE_COLUMNS), TILE_KEYS)
+    return spread(runs, TILE_KEYS).groupBy(*TILE_KEYS).cogroup(stored.groupBy(*TILE_KEYS)).applyInArrow(run, schema)
 
 
 def hulls(labels: DataFrame, by: tuple[str, ...] = ("raster_id",)) -> DataFrame:
@@ -193,4 +195,5 @@ def painted_tiles(base: DataFrame, runs: DataFrame, order: str, value: str, ever
         return pa.Table.from_pandas(out, preserve_index=False).cast(stored.select(TILE_COLUMNS).schema)
 
     rows = runs.select(*TILE_KEYS, "row", "c0", "c1", F.col(order).cast("int").alias("_o"), F.col(value).cast("int").alias("_v"))
-    return base.select(TILE_COLUMNS).groupBy(*TILE_KEYS).cogroup(rows.groupBy(*TILE_KEYS)).applyInArrow(run, TILE)
+    stored = spread(base.select(TILE_COLUMNS), TILE_KEYS)
+    return stored.groupBy(*TILE_KEYS).cogroup(spread(rows, TILE_KEYS).groupBy(*TILE_KEYS)).applyInArrow(run, TILE)

@@ -31,6 +31,11 @@ def empty_frame(columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt by keys for work in Python: few bytes, much work, which by their number alone would be merged until one task has them all."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def tile_windows(rasters: DataFrame, size, overlap=0) -> DataFrame:
     """One row per window of every raster (columns ``height``, ``width``), row-major names.
 
@@ -210,8 +215,8 @@ def focal_tiles(tiles: DataFrame, radius: int, tile: int,
                               crop.shape[0], np.ascontiguousarray(crop).tobytes())],
                             columns=TILE_COLUMNS)
 
-    sent = _sent_strips(tiles, radius, tile, attrs)
-    return sent.groupBy("raster_id", "dest_row", "dest_col").applyInPandas(run, TILE)
+    keys = ["raster_id", "dest_row", "dest_col"]
+    return spread(_sent_strips(tiles, radius, tile, attrs), keys).groupBy(*keys).applyInPandas(run, TILE)
 
 
 #: A tile with the border its neighbours gave it: ``data`` is the canvas of ``pad_h`` times ``pad_w`` from ``y0, x0``.
@@ -233,9 +238,7 @@ def padded_tiles(tiles: DataFrame, radius: int, tile: int) -> DataFrame:
                               y0, x0, *canvas.shape[1:])], columns=names)
 
     keys = ["raster_id", "dest_row", "dest_col"]
-    # few bytes, much work: by their number alone partitions would be merged until one task has them all
-    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _sent_strips(tiles, radius, tile, []).repartition(parts, *keys).groupBy(*keys).applyInPandas(run, PADDED)
+    return spread(_sent_strips(tiles, radius, tile, []), keys).groupBy(*keys).applyInPandas(run, PADDED)
 
 
 def _canvas(pdf: pd.DataFrame, own, tr: int, tc: int, radius: int, tile: int) -> tuple[int, int, np.ndarray]:

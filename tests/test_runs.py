@@ -306,3 +306,14 @@ def test_published_runs(spark, tmp_path):
     cfg = cell_run.load_config(str(tmp_path / "cell.toml"))
     with pytest.raises(FileExistsError, match="no run wrote"):
         run()
+
+
+def test_work_on_few_bytes_is_not_merged_into_one_task(spark):
+    from groundcover.operators import runs
+    px = spark.range(4000).selectExpr("'r' as raster_id", "cast(id / 40 as int) as row", "cast(id % 40 as int) as col", "1 + id % 7 % 2 as v")
+    packed = tiles.pixels_to_tiles(px, ["v"], 8, spark.createDataFrame(
+        [("r", 100, 40)], "raster_id string, raster_h int, raster_w int"))
+    labels = runs.label_runs(runs.tile_runs(packed), 8, 4, ("raster_id", "value"))
+    for df in (runs.hulls(labels, ("raster_id", "value")), runs.with_sums(labels, packed, ["n"], lambda bands: [bands[0] > 0])):
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+    assert runs.run_stats(labels, ("raster_id", "value")).agg(F.sum("area")).first()[0] == 4000
