@@ -49,6 +49,7 @@ def opened(shared, make: Callable):
     """What ``make`` gives for a broadcast value, made once per worker process."""
     with _LOCK:
         if _OPEN.get("value") is not shared.value:
+            _OPEN.clear()  # what an earlier value gave is let go first
             _OPEN.update(value=shared.value, made=make(shared.value))
         return _OPEN["made"]
 

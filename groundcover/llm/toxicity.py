@@ -65,8 +65,8 @@ MAX_ROWS = 200_000
 #: A row of one hash in four is kept from the models, and one for the curve.
 FOLDS, HELD_OUT, CURVE = 4, 2, 3
 _WORDS = re.compile(r"[^\W\d_]+")
-#: Words scored at a time, and pairs a training task holds before it adds them up.
-BLOCK, PAIRS_HELD = 250_000, 400_000
+#: Words counted at a time and scored at a time, and pairs a training task holds before it adds them up.
+BLOCK, SCORED, PAIRS_HELD = 250_000, 50_000, 400_000
 #: Entries of the model that are sent to all tasks at most; a larger model is joined.
 FEW_ENTRIES = 4_000_000
 #: Words that are numbered and broadcast at most, and tokens whose pairs are counted by blocks of these.
@@ -131,13 +131,13 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return word, stem, codes, before, sizes
 
 
-def _blocks(texts: Iterator[str]) -> Iterator[list[str]]:
+def _blocks(texts: Iterator[str], words: int | None = None) -> Iterator[list[str]]:
     """Texts in runs of a bounded number of characters (one long text is a run)."""
-    run, held = [], 0
+    run, held, most = [], 0, 6 * (words or BLOCK)
     for t in texts:
         run.append(t)
         held += len(t)
-        if held > 6 * BLOCK:
+        if held > most:
             yield run
             run, held = [], 0
     if run:
@@ -419,7 +419,7 @@ class Scorer:
 def _rated(entries: Entries, texts: Iterator[str], curve: np.ndarray | None) -> list:
     """Scores of the texts; without a curve, their evidence."""
     out = []
-    for run in _blocks(iter(texts)):
+    for run in _blocks(iter(texts), SCORED):
         x = entries.evidence(run)
         out += (x if curve is None else 1 / (1 + np.exp(-np.clip(_features(x) @ curve, -30, 30)))).tolist()
     return out
@@ -474,12 +474,17 @@ def rated(df: DataFrame, scorer: Scorer, text_col: str, name: str) -> DataFrame:
     if shared is None:
         return _rated_by_join(df, scorer, text_col, name, kind)
 
-    @F.pandas_udf(kind)
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    made = pa.list_(pa.float64()) if curve is None else pa.float64()
+
+    @F.arrow_udf(kind)
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         entries = opened(shared, Entries.of_parts)
+        given_back()  # what opening took besides
         for texts in batches:
-            yield pd.Series(_rated(entries, (t or "" for t in texts), curve), dtype=object if curve is None else float)
-        given_back()
+            # one text at a time becomes a string, and few are held together
+            yield pa.array(_rated(entries, (t.as_py() or "" for t in texts), curve), made)
+            del texts
+            given_back()
 
     return df.withColumn(name, of(F.coalesce(F.col(text_col), F.lit(""))))
 

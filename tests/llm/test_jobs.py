@@ -473,3 +473,15 @@ def test_verified_takes_texts_by_whole_groups(spark, monkeypatch):
     plan = chosen_path.verified(pairs, pairs, docs, 1, 100)
     assert sorted(map(tuple, plan.collect())) == [(i, i + 1) for i in range(0, 30, 3)]
     assert "shingles" not in plan._jdf.queryExecution().toString()
+
+
+def test_scoring_holds_few_texts_together(monkeypatch):
+    seen = []
+
+    class Held:
+        def evidence(self, texts):
+            seen.append(sum(map(len, texts)))
+            return np.zeros((len(texts), 4))
+
+    assert len(toxicity._rated(Held(), iter(["x" * 1000] * 2000), None)) == 2000
+    assert sum(seen) == 2_000_000 and max(seen) <= 6 * 50_000 + 1000
