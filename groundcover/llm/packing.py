@@ -27,18 +27,26 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .lookup import text_runs
+from .memory import tidy
 
 WIDTH, END_ID, VOCABULARY = 1024, 2, "byte_bpe_50k.json"
 #: Words whose ids a worker keeps, and the longest word and run of marks that is kept.
-CACHE_WORDS, CACHE_CHARS, CACHE_TAIL = 700_000, 48, 8
+CACHE_WORDS, CACHE_CHARS, CACHE_TAIL = 400_000, 48, 8
+#: Bytes of text whose words are looked up together.
+ENCODED = 4_000_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _MIXED = re.compile(r"\s | \s")
+#: The same with all white space of ``re`` written out.
+_SPACES = "[" + "".join(rf"\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace()) + "]"
+_MIXED_RE2 = f"{_SPACES} | {_SPACES}"
 #: Marks that the pattern takes in one run and parts from letters; the apostrophe is not one of them.
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
@@ -70,22 +78,21 @@ class _Words(dict):
         self.encoder, self.space = encoder, space
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.find(word)
-        if len(word) <= CACHE_CHARS:
-            self[word] = ids
-        return ids
-
-    def find(self, word: str) -> bytes:
-        """Put together from letters, trailing marks and single line ends where a word consists of these."""
+        """Put together from letters, trailing marks and single line ends where a word consists of these, else found and kept."""
         if _letters(word):
-            return self.encoder.merged(self.space + word)
+            return self.kept(word, self.encoder.merged(self.space + word))
         core = word.rstrip(_MARKS)
         if _letters(core):
             return self[core] + self.encoder.marks(word[len(core):])
         first, *lines = word.split("\n")
         if lines and len(word.split()) == len(lines) + 1:
             return b"".join([self[first], *[x for line in lines for x in (self.encoder.line_end, self.encoder.bare[line])]])
-        return self.encoder.whole(self.space + word)
+        return self.kept(word, self.encoder.whole(self.space + word))
+
+    def kept(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= CACHE_CHARS:
+            self[word] = ids
+        return ids
 
     def trim(self) -> None:
         """Drops what was added first, once there is too much."""
@@ -133,7 +140,10 @@ class Encoder:
 
     def merged(self, piece: str) -> bytes:
         """Ids of one piece of the pattern: the merges alone, on the vocabulary's byte alphabet."""
-        written = piece.encode().decode("latin-1").translate(_ALPHABET)
+        if piece.isascii() and piece.isprintable():
+            written = piece.replace(" ", _ALPHABET[32])  # the only one of these that has another name
+        else:
+            written = piece.encode().decode("latin-1").translate(_ALPHABET)
         return _bytes([t.id for t in self.model.tokenize(written)])
 
     def marks(self, tail: str) -> bytes:
@@ -158,6 +168,36 @@ class Encoder:
         self.bare.trim()
         return b"".join([self.whole(first), *map(self.words.__getitem__, rest)])
 
+    def encode_all(self, texts: pa.Array, end_id: int) -> list[bytes]:
+        """Ids of each text and ``end_id``, as ``encode`` finds them; equal words of the texts are looked up together."""
+        n, special = len(texts), pc.match_substring_regex(texts, _MIXED_RE2)
+        if self.added:
+            special = pc.or_(special, pc.match_substring_regex(texts, self.added.pattern))
+        apart = {i: self.encode(texts[i].as_py()) for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist()}
+        self.words.trim()
+        self.bare.trim()
+        lists = pc.split_pattern(pc.if_else(special, "", texts), " ")
+        at, every = lists.offsets.to_numpy(), lists.flatten()
+        first = np.zeros(len(every), dtype=bool)
+        first[at[:-1] - at[0]] = True
+        coded = every.filter(pa.array(~first)).dictionary_encode()
+        found = list(map(self.words.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
+        known = len(found)
+        found += [apart[i] if i in apart else self.whole(t) for i, t in enumerate(every.filter(pa.array(first)).to_pylist())]
+        found.append(_bytes([end_id]))
+        # one row per word, the end of each text included, with its place among those found
+        bounds = np.cumsum(np.diff(at) + 1)
+        rows = np.full(bounds[-1], -1, dtype=np.int64)
+        rows[bounds - 1], rows[bounds - np.diff(at) - 1] = known + n, known + np.arange(n)
+        rows[rows < 0] = coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        ids, starts, size = np.frombuffer(b"".join(found), dtype=np.uint32), np.cumsum(sizes) - sizes, sizes[rows]
+        ends = np.cumsum(size)
+        kind = np.int32 if ends[-1] < 2**31 else np.int64
+        ids = ids[np.repeat((starts[rows] - ends + size).astype(kind), size) + np.arange(ends[-1], dtype=kind)]
+        cuts = [0, *ends[bounds - 1].tolist()]
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
 
 def cut(df: DataFrame, id_col: str, text_col: str, width: int, end_id: int, vocabulary: str,
         with_ids: bool) -> DataFrame:
@@ -171,11 +211,10 @@ def cut(df: DataFrame, id_col: str, text_col: str, width: int, end_id: int, voca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.open(vocabulary), TaskContext.get().partitionId()
-        end, seen = _bytes([end_id]), np.zeros(width + 1, dtype=np.int64)
-        for batch in batches:
+        seen = np.zeros(width + 1, dtype=np.int64)
+        for batch in (part for b in batches for part in text_runs(b, text_col, ENCODED)):
             src, rows = [], {c: [] for c in ("piece", "start", "length", "ids_crc32", "place", "ids")}
-            for i, text in enumerate(batch.column(1)):
-                raw = encoder.encode(text.as_py() or "") + end
+            for i, raw in enumerate(encoder.encode_all(pc.fill_null(batch.column(1), ""), end_id)):
                 n = len(raw) // 4
                 first = (n - 1) % width + 1
                 for k, a in enumerate([0, *range(first, n, width)]):
@@ -195,7 +234,7 @@ def cut(df: DataFrame, id_col: str, text_col: str, width: int, end_id: int, voca
                     cols["ids"] = pa.array(rows["ids"], pa.binary())
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), schema)
 
 
 def fullest(counts: np.ndarray, room: int) -> list[int]:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -232,6 +233,23 @@ def test_plan_takes_every_piece_once():
     assert len(runs) <= 64 + sum(64 // n for n in range(1, 65))
 
 
+def test_words_of_many_texts_are_looked_up_once(monkeypatch):
+    enc = packing.Encoder(packing.VOCABULARY, added=True)
+    texts = ["", " ", "one two three", "one  two", "two\ttwo three ", "x <|endoftext|> one two", "naïve naïve 東京 one", "one two," * 3,
+             "two\nthree one", "  one", *["one two three four"] * 50]
+    want = [enc.encode(t) + packing._bytes([2]) for t in texts]
+    fresh, asked = packing.Encoder(packing.VOCABULARY, added=True), []
+
+    class Counted(packing._Words):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    fresh.words = Counted(fresh, " ")
+    assert fresh.encode_all(pa.array(texts), 2) == want
+    assert sum(w == "four" for w in asked) == 1
+
+
 def test_packing(spark, edge_docs, no_docs):
     docs = [r["text"] for r in rows(edge_docs)]
     got = rows(packing.pack(edge_docs, with_ids=True))
