@@ -8,7 +8,8 @@ left out) merge into a band, and a band becomes a span when its grams, compared
 word for word, cover enough of the template within a plausible length.
 
 The templates are a parameter of bounded size, so they are broadcast; texts are
-never shuffled, only their votes. A vote keeps the template position as one bit,
+never shuffled, only their votes. Texts are split once: what is written of them is the
+number of words, and the words themselves only where a gram of a template can be. A vote keeps the template position as one bit,
 so a repeated row adds nothing to another's votes.
 
 Defined cases: null and empty texts have no words and no labels; rows with equal
@@ -24,9 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import written
+
 #: After lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The same words, written so that the most frequent characters are tried first.
+FAST_WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 MAX_GRAMS = 60
 
 
@@ -92,11 +97,23 @@ def gram_positions(spark: SparkSession, templates: tuple[Template, ...]) -> Data
     return grams.withColumn("hash", F.xxhash64("gk", "gram"))
 
 
-def votes(df: DataFrame, id_col: str, text_col: str, grams: DataFrame) -> DataFrame:
-    """Votes by diagonal: (id, text hash, template, diagonal, mask of template positions, first and last start)."""
+def marks(templates: tuple[Template, ...]) -> list[str]:
+    """Words of which every gram has one: the longest of each, which ordinary texts have least."""
+    return sorted({max(g.split(), key=len) for x in templates for g in x.grams})
+
+
+def split_words(df: DataFrame, id_col: str, text_col: str, templates: tuple[Template, ...]) -> DataFrame:
+    """(id, text hash, n_words, words) per row, split once; the words are null where no gram of a template can be."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     split = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"),
-                      F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)).alias("_w"))
+                      F.regexp_extract_all(ascii_lower(text), F.lit(FAST_WORD), F.lit(0)).alias("_w"))
+    some = F.arrays_overlap("_w", F.array(*[F.lit(w) for w in marks(templates)]))
+    return written(split.select("_id", "_th", F.size("_w").cast("long").alias("n_words"), F.when(some, F.col("_w")).alias("_w")), "words")
+
+
+def votes(split: DataFrame, grams: DataFrame) -> DataFrame:
+    """Votes by diagonal: (id, text hash, template, diagonal, mask of template positions, first and last start)."""
+    split = split.filter("_w IS NOT NULL")
 
     def rolled(k: int) -> Column:
         at = F.sequence(F.lit(0), F.size("_w") - k)
@@ -147,7 +164,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     facts = spark.createDataFrame([(t, x.label, x.phrase, len(x.grams), len(x.words), x.k)
                                    for t, x in enumerate(templates)],
                                   "template int, label string, phrase boolean, n_grams int, n_words int, k int")
-    found = spans(votes(df, id_col, text_col, gram_positions(spark, templates)), facts, slack, min_share)
+    split = split_words(df, id_col, text_col, templates)
+    found = spans(votes(split, gram_positions(spark, templates)), facts, slack, min_share)
     base = F.col("phrase")
     one = found.groupBy("_id", "_th").agg(
         F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("first"))).alias("first_word"),
@@ -156,9 +174,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("share").alias("score"),
         F.array_sort(F.collect_list(F.struct("first", "words", "label", "share"))).alias("spans"))
     one = one.withColumnsRenamed({"_id": "_rid", "_th": "_rth"})
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).alias(id_col), F.xxhash64(text).alias("_th"), F.regexp_count(
-        text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
+    docs = split.select(F.col("_id").alias(id_col), "_th", "n_words")
     out = docs.join(one, F.col(id_col).eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth")), "left")
     return out.select(id_col, "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
                       F.col("first_word").cast("long").alias("first_word"),

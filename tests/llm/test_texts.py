@@ -191,3 +191,13 @@ def test_chat_round_trip(spark):
     assert sum(r["loss_end"] > r["loss_start"] for r in rows(examples) if r["conv_id"] == 1) == 2
     empty = spark.createDataFrame([], df.schema)
     assert rows(chat_format.digest(chat_format.expand(empty))) == []
+
+
+def test_license_texts_are_split_once(spark):
+    marks = set(license_scan.marks(license_scan.TEMPLATES))
+    assert all(marks & set(g.split()) for x in license_scan.TEMPLATES for g in x.grams)
+    texts = ["cc", "by cc", "CC\nBy", "the of to and", "Released under the MIT license.", "one \u00e9 \U0001f600 two", None]
+    out = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert "regexp" not in out._jdf.queryExecution().toString().lower()
+    got = {r["doc_id"]: (r["n_words"], r["n_base"], r["labels"]) for r in rows(out)}
+    assert got == {0: (1, 0, ""), 1: (2, 0, ""), 2: (2, 1, "cc-by"), 3: (4, 0, ""), 4: (5, 0, "mit"), 5: (4, 0, ""), 6: (0, 0, "")}
