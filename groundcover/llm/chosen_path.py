@@ -36,6 +36,7 @@ from ..operators.stats import join_large
 from ..session import cut_lineage
 from .blocks import Union, block_pairs, grouped, sorted_groups
 from .common import if_few, join_counted
+from .lookup import let_go
 from .memory import tidy
 from .store import written
 
@@ -136,6 +137,7 @@ def _text_runs(column: pa.Array, chars: int = 1_000_000) -> Iterator[list[str]]:
 def sketch(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(id, n_shingles, set_key, tokens, lows) per row; key, tokens and their low bytes are null for empty sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             at = 0
             for texts in _text_runs(b.column(1)):

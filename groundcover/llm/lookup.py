@@ -15,6 +15,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut_lineage
 from .common import join_counted
+from .memory import given_back
 from .store import written
 
 #: Bytes of text that look their facts up together when these are joined.
@@ -54,6 +55,13 @@ def opened(shared, make: Callable):
         return _OPEN["made"]
 
 
+def let_go() -> None:
+    """Drops what ``opened`` keeps, which outlives its tasks, before work that needs none of it."""
+    with _LOCK:
+        _OPEN.clear()
+    given_back()
+
+
 def sorted_by_key(table: pa.Table) -> pa.Table:
     return table.take(pa.array(np.argsort(table.column("key").to_numpy(), kind="stable")))
 

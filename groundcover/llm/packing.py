@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .lookup import text_runs
+from .lookup import let_go, text_runs
 from .memory import tidy
 
 WIDTH, END_ID, VOCABULARY = 1024, 2, "byte_bpe_50k.json"
@@ -135,6 +135,11 @@ class Encoder:
             cls._open[vocabulary] = cls(vocabulary, added=True)
         return cls._open[vocabulary]
 
+    def forget(self) -> None:
+        """Lets all words go: a worker that waits for its next task, maybe of other work, holds none."""
+        for known in (self.words, self.bare, self.tails):
+            known.clear()
+
     def whole(self, text: str) -> bytes:
         return _bytes(self.tok.encode(text, add_special_tokens=False).ids)
 
@@ -210,29 +215,33 @@ def cut(df: DataFrame, id_col: str, text_col: str, width: int, end_id: int, voca
               + (", ids binary" if with_ids else ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         encoder, part = Encoder.open(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(width + 1, dtype=np.int64)
-        for batch in (part for b in batches for part in text_runs(b, text_col, ENCODED)):
-            src, rows = [], {c: [] for c in ("piece", "start", "length", "ids_crc32", "place", "ids")}
-            for i, raw in enumerate(encoder.encode_all(pc.fill_null(batch.column(1), ""), end_id)):
-                n = len(raw) // 4
-                first = (n - 1) % width + 1
-                for k, a in enumerate([0, *range(first, n, width)]):
-                    b = first if k == 0 else a + width
-                    ids = raw[4 * a:4 * b]
-                    src.append(i)
-                    for c, v in (("piece", k), ("start", a), ("length", b - a), ("ids_crc32", zlib.crc32(ids)),
-                                 ("place", int(seen[b - a])), ("ids", ids if with_ids else None)):
-                        rows[c].append(v)
-                    seen[b - a] += 1
-            if src:
-                cols = {id_col: batch.column(0).take(pa.array(src)), "piece": pa.array(rows["piece"], pa.int32()),
-                        **{c: pa.array(rows[c], pa.int64()) for c in ("start", "length", "ids_crc32")},
-                        "part": pa.array(np.full(len(src), part, dtype=np.int32)),
-                        "place": pa.array(rows["place"], pa.int64())}
-                if with_ids:
-                    cols["ids"] = pa.array(rows["ids"], pa.binary())
-                yield pa.RecordBatch.from_pydict(cols)
+        try:
+            for batch in (part for b in batches for part in text_runs(b, text_col, ENCODED)):
+                src, rows = [], {c: [] for c in ("piece", "start", "length", "ids_crc32", "place", "ids")}
+                for i, raw in enumerate(encoder.encode_all(pc.fill_null(batch.column(1), ""), end_id)):
+                    n = len(raw) // 4
+                    first = (n - 1) % width + 1
+                    for k, a in enumerate([0, *range(first, n, width)]):
+                        b = first if k == 0 else a + width
+                        ids = raw[4 * a:4 * b]
+                        src.append(i)
+                        for c, v in (("piece", k), ("start", a), ("length", b - a), ("ids_crc32", zlib.crc32(ids)),
+                                     ("place", int(seen[b - a])), ("ids", ids if with_ids else None)):
+                            rows[c].append(v)
+                        seen[b - a] += 1
+                if src:
+                    cols = {id_col: batch.column(0).take(pa.array(src)), "piece": pa.array(rows["piece"], pa.int32()),
+                            **{c: pa.array(rows[c], pa.int64()) for c in ("start", "length", "ids_crc32")},
+                            "part": pa.array(np.full(len(src), part, dtype=np.int32)),
+                            "place": pa.array(rows["place"], pa.int64())}
+                    if with_ids:
+                        cols["ids"] = pa.array(rows["ids"], pa.binary())
+                    yield pa.RecordBatch.from_pydict(cols)
+        finally:
+            encoder.forget()
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), schema)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from groundcover.llm import blocks, chosen_path, packing, projections, toxicity, warc
+from groundcover.llm import blocks, chosen_path, lookup, packing, projections, toxicity, warc
 from groundcover.llm.common import join_counted
 from groundcover.llm.queries import QUERIES
 from groundcover.llm.store import written
@@ -250,6 +250,26 @@ def test_words_of_many_texts_are_looked_up_once(monkeypatch):
     assert sum(w == "four" for w in asked) == 1
 
 
+def test_other_work_lets_a_model_go(spark, monkeypatch):
+    class Rows:
+        dtypes = [("doc_id", "bigint"), ("text", "string")]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["one two three four five six"]})
+    for run in (packing.cut(Rows(), "doc_id", "text", 8, 2, packing.VOCABULARY, False),
+                chosen_path.sketch(Rows(), "doc_id", "text", 3)):
+        assert lookup.opened(type("B", (), {"value": object()})(), lambda v: "model") == "model"
+        assert len(list(run(iter([batch])))) == 1
+        assert not lookup._OPEN
+    assert not packing.Encoder.open(packing.VOCABULARY).words
+
+
 def test_packing(spark, edge_docs, no_docs):
     docs = [r["text"] for r in rows(edge_docs)]
     got = rows(packing.pack(edge_docs, with_ids=True))
