@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import dealt
 from .memory import tidy
 
 
@@ -74,5 +75,8 @@ def block_pairs(rows: DataFrame, key: list[str], size: str, index: str, block: i
     return out.withColumn("group", F.xxhash64(*key, "_pair.p", "_pair.q")).drop("_pair")
 
 
-def sorted_groups(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(run), schema)
+def sorted_groups(rows: DataFrame, run: Callable, schema: str, about: int | None = None) -> DataFrame:
+    """``run`` over whole groups; ``about`` says how many rows there are, if known, so that few rows get few tasks."""
+    parts = rows.repartition("group")
+    parts = parts if about is None else dealt(parts, about)
+    return parts.sortWithinPartitions("group").mapInArrow(tidy(run), schema)

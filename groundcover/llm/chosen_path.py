@@ -35,7 +35,7 @@ from ..operators.components import contract
 from ..operators.stats import join_large
 from ..session import cut_lineage
 from .blocks import Union, block_pairs, grouped, sorted_groups
-from .common import if_few, join_counted
+from .common import TASK_ROWS, dealt, if_few, join_counted
 from .lookup import let_go
 from .memory import tidy
 from .store import written
@@ -43,6 +43,8 @@ from .store import written
 COORDS, DEPTH, MISS = 64, 4, 0.001
 #: Sets in a node that is compared as one, and in a block of full sets.
 NODE, BLOCK = 1024, 256
+#: Texts that are worth a task of their own.
+TEXTS = 2_000
 #: Bytes of text whose sets a comparing task forms together.
 SHINGLED = 2_000_000
 #: Standard deviations below the threshold at which minwise tokens still count as similar.
@@ -200,18 +202,20 @@ def leaves(reps: DataFrame, trees: tuple[int, ...], similarity: float) -> DataFr
     """(node, rep, size) rows of all nodes with two or more sets that are compared."""
     out, rows = None, reps.select("rep", "tokens")
     extra = 1 / similarity - 1
+    n = reps.count() * len(trees)
     for level in range(DEPTH):
         # a pair may branch to one child by both coordinates only if these are the same
-        children = _branch(rows, trees, extra).distinct() if level else _branch(rows, trees, extra)
+        children = dealt(_branch(rows, trees, extra).distinct(), n) if level else _branch(rows, trees, extra)
         children = written(children, "nodes")
-        sizes = cut_lineage(children.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
-        members = written(join_counted(children, sizes, ["node"], "size"), "members")
+        n = children.count()
+        sizes = cut_lineage(dealt(children.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), n))
+        members = written(dealt(join_counted(children, sizes, ["node"], "size"), n), "members")
         last = level == DEPTH - 1
         small = members if last else members.filter(F.col("size") <= NODE)
         out = small if out is None else out.unionByName(small)
         if last or members.filter(F.col("size") > NODE).isEmpty():
             return out
-        rows = members.filter(F.col("size") > NODE).select("node", "rep").join(reps.select("rep", "tokens"), "rep")
+        rows = dealt(members.filter(F.col("size") > NODE).select("node", "rep").join(reps.select("rep", "tokens"), "rep"), n)
     return out
 
 
@@ -254,9 +258,10 @@ def candidates(leaf: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
                 out["size"] += [len(members)] * len(members)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
 
+    n = leaf.agg(F.sum(F.ceil(F.col("size") / NODE))).first()[0] or 0
     rows = block_pairs(leaf, ["node"], "size", "rep", NODE).select("group", "rep")
-    rows = rows.join(reps.select("rep", "lows", "component"), "rep")
-    return sorted_groups(rows, run, "cluster long, rep long, place long, size long").distinct()
+    rows = dealt(rows.join(reps.select("rep", "lows", "component"), "rep"), n)
+    return dealt(sorted_groups(rows, run, "cluster long, rep long, place long, size long", n).distinct(), n)
 
 
 def first_pairs(clusters: DataFrame) -> DataFrame:
@@ -276,17 +281,18 @@ def last_pairs(clusters: DataFrame, labelled: DataFrame) -> DataFrame:
     The largest component of a cluster has blocks of its own, which are compared with those of the other sets only:
     so rows grow with the square of what is not connected, not of the cluster.
     """
-    rows = cut_lineage(clusters.filter(F.col("size") > BLOCK).join(labelled.select("rep", "component"), "rep", "left").withColumn(
+    n = clusters.count()
+    rows = cut_lineage(dealt(clusters.filter(F.col("size") > BLOCK).join(labelled.select("rep", "component"), "rep", "left"), n).withColumn(
         "component", F.coalesce("component", "rep")))
     sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("_n"))
     open_ = sizes.groupBy("cluster").agg(F.max(F.struct("_n", "component")).alias("_main"), F.sum("_n").alias("_all")).filter(
         F.col("_main._n") < F.col("_all"))
-    facts = cut_lineage(open_.select("cluster", F.col("_main.component").alias("_comp"), F.ceil(F.col("_main._n") / BLOCK).cast("int").alias("_nm"),
+    facts = cut_lineage(dealt(open_, n).select("cluster", F.col("_main.component").alias("_comp"), F.ceil(F.col("_main._n") / BLOCK).cast("int").alias("_nm"),
                                      F.ceil((F.col("_all") - F.col("_main._n")) / BLOCK).cast("int").alias("_no")))
     held = rows.join(if_few(facts), "cluster")
     main = F.col("component") == F.col("_comp")
-    dealt = F.xxhash64("place")
-    own = F.when(main, F.col("_no") + F.pmod(dealt, F.col("_nm"))).otherwise(F.pmod(dealt, F.col("_no"))).cast("int")
+    drawn = F.xxhash64("place")
+    own = F.when(main, F.col("_no") + F.pmod(drawn, F.col("_nm"))).otherwise(F.pmod(drawn, F.col("_no"))).cast("int")
     last = F.when(main, F.col("_no")).otherwise(F.col("_no") + F.col("_nm")) - 1
     others = F.filter(F.sequence(F.lit(0), last.cast("int")), lambda j: j != own)
     return _paired(held, F.transform(others, lambda j: F.struct(F.least(own, j).alias("p"), F.greatest(own, j).alias("q"))))
@@ -333,12 +339,13 @@ def verified(pairs: DataFrame, clusters: DataFrame, docs: DataFrame, k: int, pct
                 first = last
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    wanted = if_few(cut_lineage(clusters.select("rep").distinct()))
+    n = pairs.count()
+    wanted = if_few(cut_lineage(dealt(clusters.select("rep").distinct(), n)))
     # dealt by rep once, for what repeats and for the join
     full = docs.join(wanted, docs["id"] == wanted["rep"]).select("rep", "text").repartition("rep").dropDuplicates(["rep", "text"])
     # a text without words cannot be a set of its own here: rows of an id that has others as well
     full = full.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return sorted_groups(join_large(pairs, full, "rep"), run, "u long, v long")
+    return sorted_groups(dealt(join_large(pairs, full, "rep"), n, TEXTS), run, "u long, v long", n * TASK_ROWS // TEXTS)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -352,9 +359,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = written(sketch(df, id_col, text_col, shingle), "sketch")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     filled = rows.filter("set_key IS NOT NULL")
-    sets = written(filled.groupBy("set_key").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "tokens", "lows")).alias("x"),
+    n = rows.count()
+    sets = written(dealt(filled.groupBy("set_key").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "tokens", "lows")).alias("x"),
                                                  F.count("*").alias("copies"))
-                   .select("set_key", "copies", F.col("x.id").alias("rep"), F.col("x.tokens").alias("tokens"), F.col("x.lows").alias("lows")), "sets")
+                   .select("set_key", "copies", F.col("x.id").alias("rep"), F.col("x.tokens").alias("tokens"), F.col("x.lows").alias("lows")), n), "sets")
     reps = sets.filter("rep IS NOT NULL").select("rep", "tokens", "lows")
     roots = None
     # rows with one id but several sets are one document
@@ -364,18 +372,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for last in (False, True):
             if last and found.filter(F.col("size") > BLOCK).isEmpty():
                 break
-            pairs = cut_lineage(last_pairs(found, roots)) if last else first_pairs(found)
+            pairs = cut_lineage(dealt(last_pairs(found, roots), n)) if last else first_pairs(found)
             if last and pairs.isEmpty():
                 break
             new = verified(pairs, pairs if last else found, docs, shingle, pct)
             if roots is not None:  # one link a set says what all earlier ones did
                 new = new.unionByName(roots.select(F.col("rep").alias("u"), F.col("component").alias("v")))
             # sets that are not the least of their component; all others are their own
-            roots = contract(new, []).withColumnsRenamed({"node": "rep", "root": "component"})
-        labelled = reps.join(roots, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            roots = contract(new, [], lambda links: dealt(links, n)).withColumnsRenamed({"node": "rep", "root": "component"})
+        labelled = dealt(reps.join(roots, "rep", "left"), n).withColumn("component", F.coalesce("component", "rep"))
     named = sets.select("set_key", "copies", "rep").join(roots, "rep", "left")
-    named = cut_lineage(named.select("set_key", "copies", F.coalesce("component", "rep").alias("component_id")))
-    out = join_counted(filled.select("id", "n_shingles", "set_key"), named, ["set_key"], "copies")
+    named = cut_lineage(dealt(named, n).select("set_key", "copies", F.coalesce("component", "rep").alias("component_id")))
+    out = dealt(join_counted(filled.select("id", "n_shingles", "set_key"), named, ["set_key"], "copies"), n)
     empty = rows.filter("set_key IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
     out = out.select("id", "n_shingles", "component_id").unionByName(empty)
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id")))

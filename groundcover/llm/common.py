@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,19 @@ def join_counted(rows: DataFrame, facts: DataFrame, on: list[str], count: str, h
     return marked.filter("_hot IS NOT NULL").select(*rows.columns, "_hot.*").unionByName(usual)
 
 
+#: Rows that are worth a task of their own.
+TASK_ROWS = 20_000
+
+
+def dealt(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """``df``, of about ``rows`` rows, in no more tasks than these are worth, and four for each core at least.
+
+    Partitions are joined where they lie, never split. A step of many shuffles over few rows is otherwise mostly starts of
+    tasks and files of a block each, unless Spark joins the partitions itself.
+    """
+    return df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / each)))
+
+
 #: Ids sent to all tasks at most: some tens of megabytes.
 FEW_IDS = 500_000
 

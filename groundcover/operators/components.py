@@ -9,7 +9,7 @@ its diameter, and each ends in a checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -109,13 +109,13 @@ def _few_roots(edges: DataFrame, by: list[str]) -> DataFrame:
     return cut_lineage(edges.select(*by, F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(run, schema))
 
 
-def contract(edges: DataFrame, by: list[str]) -> DataFrame:
-    """Map every node of the edge list to the lowest node of its component."""
+def contract(edges: DataFrame, by: list[str], dealt: Callable[[DataFrame], DataFrame] = lambda links: links) -> DataFrame:
+    """Map every node of the edge list to the lowest node of its component; ``dealt`` may lay links out in fewer tasks."""
 
     def fingerprint(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)"))).first())
 
-    cur = cut_lineage(edges.filter("u <> v").select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    cur = cut_lineage(dealt(edges.filter("u <> v").select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
     seen = fingerprint(cur)
     if not seen[0]:
         return cur.select(*by, F.col("u").alias("node"), F.col("v").alias("root"))
@@ -129,7 +129,7 @@ def contract(edges: DataFrame, by: list[str]) -> DataFrame:
         near = _with_min(large, key, 2 * seen[0])  # v < u on every edge here
         small = near.select(*by, F.explode(F.array(F.struct("u", F.col("m").alias("v")),
                                                    F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        cur = cut_lineage(small.select(*by, "e.u", "e.v").filter("u <> v").distinct())
+        cur = cut_lineage(dealt(small.select(*by, "e.u", "e.v").filter("u <> v").distinct()))
         now = fingerprint(cur)
         if now == seen:
             return cur.select(*by, F.col("u").alias("node"), F.col("v").alias("root"))

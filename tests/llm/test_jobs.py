@@ -523,3 +523,28 @@ def test_scoring_holds_few_texts_together(monkeypatch):
 
     assert len(toxicity._rated(Held(), iter(["x" * 1000] * 2000), None)) == 2000
     assert sum(seen) == 2_000_000 and max(seen) <= 6 * 50_000 + 1000
+
+
+def test_few_sets_take_few_tasks_under_many_shuffle_partitions(spark, monkeypatch):
+    files = {}
+
+    def counted(df, name):
+        out = written(df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(chosen_path, "written", counted)
+    data = [(i, " ".join(f"w{(i // 2 * 31 + j) % 997}x{i // 2}" for j in range(9))) for i in range(1_200)]
+    many = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        got = chosen_path.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in data}
+    # the sketch is made where the texts lie; all else had up to 211 files
+    assert files["sets"] <= 4 * spark.sparkContext.defaultParallelism
+    assert files["members"] <= 4 * spark.sparkContext.defaultParallelism
