@@ -37,6 +37,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -51,7 +52,7 @@ from ..session import cut_lineage
 from . import pair_counts
 from .columns import squeezed, unsqueezed
 from .common import if_few, join_counted
-from .lookup import opened
+from .lookup import find, opened
 from .memory import given_back
 from .store import written
 
@@ -67,6 +68,8 @@ FOLDS, HELD_OUT, CURVE = 4, 2, 3
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Words counted at a time and scored at a time, and pairs a training task holds before it adds them up.
 BLOCK, SCORED, PAIRS_HELD = 250_000, 50_000, 400_000
+#: Characters of a text whose letters are looked up at once, in eight bytes each.
+LOOKED_UP = 1 << 20
 #: Entries of the model that are sent to all tasks at most; a larger model is joined.
 FEW_ENTRIES = 4_000_000
 #: Words that are numbered and broadcast at most, and tokens whose pairs are counted by blocks of these.
@@ -111,11 +114,28 @@ class _Letters(dict):
 _LETTERS = _Letters()
 
 
+@cache
+def _letter_table() -> np.ndarray:
+    """``_LETTERS`` of all characters of two bytes."""
+    return np.array([_LETTERS[c] for c in range(1 << 16)], dtype=np.uint32)
+
+
+def _letters(text: str) -> str:
+    """The text in lower case with a blank for what is no letter; ``translate`` is slow after the first character beyond ASCII."""
+    low = text.lower()
+    if low.isascii() or len(low) > LOOKED_UP:
+        return low.translate(_LETTERS)
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if codes.max() >= 1 << 16:
+        return low.translate(_LETTERS)
+    return _letter_table()[codes].tobytes().decode("utf-32-le")
+
+
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words and of their stems, every token's place there, the word before it (0 for none), tokens by text."""
     words, sizes = [], []
     for t in texts:
-        w = t.lower().translate(_LETTERS).split()
+        w = _letters(t).split()
         sizes.append(len(w))
         words += w
     sizes = np.array(sizes, dtype=np.int64)
@@ -339,8 +359,8 @@ class Entries:
         names, values = self.of[kind]
         if not len(names):
             return np.zeros(len(keys)) + otherwise
-        at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-        return np.where(names[at] == keys, values[at], otherwise)
+        at, there = find(names, keys)
+        return np.where(there, values[at], otherwise)
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """By text: mean log-likelihood ratio, its part beyond chance for pairs and for words alone, number of words.

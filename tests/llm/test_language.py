@@ -355,3 +355,30 @@ def test_joined_scores_with_clashing_names(spark, monkeypatch):
     out = got.collect()
     assert len(out) == 120 and {r._block for r in out} == {7} and {r.key for r in out} == {"k"}
     assert min(r.score for r in out if r.doc_id % 3) > max(r.score for r in out if r.doc_id % 3 == 0)
+
+
+def test_letters_beyond_ascii_are_looked_up_at_once(monkeypatch):
+    texts = ["", "Plain, ASCII 12!", "Straße ÄÖÜ x y_z", "İI ǅ \ud800 Ω٣", "a𝒳b ‍ 漢字,か", "﻿é\x00ü9"]
+    want = [t.lower().translate(toxicity._LETTERS) for t in texts]
+    assert [toxicity._letters(t) for t in texts] == want
+    slow = []
+    monkeypatch.setattr(toxicity, "_LETTERS", type("Slow", (dict,), {"__missing__": lambda self, c: slow.append(c) or c})())
+    toxicity._letters("ß, é und ü")
+    assert not slow
+    monkeypatch.undo()
+    monkeypatch.setattr(toxicity, "LOOKED_UP", 3)
+    assert [toxicity._letters(t) for t in texts] == want
+
+
+def test_entries_are_looked_up_in_order(monkeypatch):
+    names = np.sort(np.random.default_rng(1).integers(-2**62, 2**62, 5_000))
+    none = (np.zeros(0, dtype=np.int64), np.zeros(0))
+    entries = toxicity.Entries([none, (names, np.arange(5_000.0)), none, none])
+    keys = np.concatenate([names[::-7], names[:3] + 1, names[-1:] + 5])
+    asked = []
+    search = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more, **named: asked.append(np.asarray(v)) or search(a, v, *more, **named))
+    got = entries.get(toxicity.WORD, keys, -1.0)
+    assert got.tolist() == [*np.arange(5_000.0)[::-7], -1.0, -1.0, -1.0, -1.0]
+    assert all((v[1:] >= v[:-1]).all() for v in asked)
+    assert entries.get(toxicity.STEM, keys, np.ones(len(keys))).tolist() == [1.0] * len(keys)
