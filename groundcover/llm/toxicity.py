@@ -548,10 +548,12 @@ def _rated_by_join(df: DataFrame, scorer: Scorer, text_col: str, name: str, kind
         return texts.drop_columns([block]).append_column(name, made)
 
     rows = written(df.mapInArrow(number, with_block), "toxicity-blocks")
+    # what is read back may be null in all its fields, and the result is compared with that
+    kept = [f for f in rows.schema.fields if f.name != block]
     asked = written(rows.select(text_col, block).mapInArrow(keys, "_block long, kind int, key long").distinct(), "toxicity-keys")
     facts = cut_lineage(asked.groupBy("kind", "key").agg(F.count("*").alias("n")).join(scorer.model, ["kind", "key"]))
     found = join_counted(asked, facts, ["kind", "key"], "n").select("_block", "kind", "key", "value")
-    schema = StructType([*df.schema.fields, StructField(name, ArrayType(DoubleType()) if curve is None else DoubleType())])
+    schema = StructType([*kept, StructField(name, ArrayType(DoubleType()) if curve is None else DoubleType())])
     return rows.groupBy(block).cogroup(found.groupBy("_block")).applyInArrow(run, schema)
 
 
