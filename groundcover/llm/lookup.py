@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import fcntl
+import os
+import shutil
 import threading
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -55,6 +60,74 @@ def opened(shared, make: Callable):
         return _OPEN["made"]
 
 
+#: Rows of a table that every worker opens for itself at most; those of a larger one are mapped.
+FEW_OPENED = 4_000_000
+#: Bytes that one broadcast of a table in pieces has.
+PIECE_BYTES = 16_000_000
+
+
+def pieces(rows: DataFrame) -> Iterator[list[tuple]]:
+    """The rows, in any order, in lists of about ``PIECE_BYTES`` bytes of their binary columns."""
+    held, size = [], 0
+    for r in rows.toLocalIterator(prefetchPartitions=True):
+        held.append(tuple(r))
+        size += sum(len(x) for x in r if isinstance(x, (bytes, bytearray)))
+        if size > PIECE_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+class Shared:
+    """A table for all tasks in pieces, each a broadcast of its own, so nobody holds more than one of them."""
+
+    def __init__(self, spark: SparkSession, parts: Iterable):
+        self.name, self.parts = uuid.uuid4().hex, [spark.sparkContext.broadcast(p) for p in parts]
+
+    def __iter__(self) -> Iterator:
+        for part in self.parts:
+            value = part.value
+            part.__dict__.pop("_value", None)  # the worker would keep it
+            yield from value
+
+    def destroy(self) -> None:
+        for part in self.parts:
+            part.destroy()
+
+
+def _arrays(shared: Shared, make: Callable[[Iterator], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    root = Path(SparkFiles.getRootDirectory())
+    folder = root / f"mapped-{shared.name}"
+    with open(root / "mapped.lock", "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        if not folder.exists():
+            for old in root.glob("mapped-*"):  # who has one open keeps it, who still needs it makes it again
+                shutil.rmtree(old)
+            part = root / f"mapped-part-{uuid.uuid4().hex}"
+            part.mkdir()
+            made = make(iter(shared))
+            for name, values in made.items():
+                np.save(part / name, values)
+            del made
+            os.rename(part, folder)
+            given_back()
+        return {f.stem: np.load(f, mmap_mode="r").view(np.ndarray) for f in folder.glob("*.npy")}
+
+
+def mapped(shared: Shared, make: Callable[[Iterator], dict[str, np.ndarray]], of: Callable[[dict], object]):
+    """What ``of`` gives for the arrays that ``make`` gives for the pieces of a table.
+
+    One worker of an executor makes the arrays and writes them to the executor's own folder; all of its
+    workers map the files, so a table takes its memory once and not once a worker, and that as file pages.
+    """
+    with _LOCK:
+        if _OPEN.get("name") != shared.name:
+            _OPEN.clear()
+            _OPEN.update(name=shared.name, made=of(_arrays(shared, make)))
+        return _OPEN["made"]
+
+
 def let_go() -> None:
     """Drops what ``opened`` keeps, which outlives its tasks, before work that needs none of it."""
     with _LOCK:

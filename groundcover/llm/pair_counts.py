@@ -8,7 +8,7 @@ once in a few bytes, where a table of pairs by 64-bit hashes takes ten times tha
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import lookup
 from .columns import squeezed, unsqueezed
 from .common import if_few
-from .lookup import find, opened
+from .lookup import Shared, find, mapped, opened, pieces
 from .memory import tidy
 from .store import written
 
@@ -120,42 +121,55 @@ def _read_words(words: bytes, stems: bytes) -> tuple[np.ndarray, np.ndarray, np.
 
 @dataclass
 class Numbered:
-    """Words numbered from the most frequent: by sorted hash their numbers and the places of their stems. 16 bytes a word."""
+    """Words numbered from the most frequent: by sorted hash their numbers and the places of their stems, and back. 20 bytes a word."""
 
     sorted_keys: np.ndarray
     numbers: np.ndarray
+    by_number: np.ndarray
     stem_at: np.ndarray
     stems: np.ndarray
 
-    @classmethod
-    def of(cls, parts: list[tuple[int, bytes, bytes]]) -> Numbered:
+    @staticmethod
+    def arrays(parts: Iterable[tuple[int, bytes, bytes]]) -> dict[str, np.ndarray]:
         """From compressed parts; those of hashes below come first, so nothing large is sorted but the counts."""
-        keys, counts, places, stems = [], [], [], np.unique(np.concatenate([np.frombuffer(s, dtype=np.int64) for _, _, s in parts]))
-        for _, words, own in sorted(parts):
+        of = {}
+        for part, words, own in parts:
             steps, at, n = unsqueezed(words)
-            keys.append(np.cumsum(steps.view(np.uint64), dtype=np.uint64))
-            counts.append(np.minimum(n, 2**31 - 1).astype(np.int32))
-            places.append(np.searchsorted(stems, np.frombuffer(own, dtype=np.int64))[at].astype(np.int32))
-        counts = np.concatenate(counts)
-        numbers = np.empty(len(counts), dtype=np.int32)
-        numbers[np.argsort(-counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
-        return cls(np.concatenate(keys), numbers, np.concatenate(places), stems)
+            of[part] = (np.cumsum(steps.view(np.uint64), dtype=np.uint64), np.minimum(n, 2**31 - 1).astype(np.int32),
+                        at.astype(np.int32), np.frombuffer(own, dtype=np.int64))
+        stems = np.unique(np.concatenate([own for *_, own in of.values()]))
+        keys, counts, places = [], [], []
+        for part in sorted(of):
+            key, n, at, own = of.pop(part)
+            keys.append(key)
+            counts.append(n)
+            places.append(np.searchsorted(stems, own).astype(np.int32)[at])
+        by_number = np.argsort(-np.concatenate(counts), kind="stable").astype(np.int32)
+        numbers = np.empty(len(by_number), dtype=np.int32)
+        numbers[by_number] = np.arange(len(by_number), dtype=np.int32)
+        return {"sorted_keys": np.concatenate(keys), "numbers": numbers, "by_number": by_number,
+                "stem_at": np.concatenate(places), "stems": stems}
+
+    @classmethod
+    def of(cls, parts: list[tuple[int, bytes, bytes]]) -> Numbered:
+        return cls(**cls.arrays(parts))
+
+    @classmethod
+    def opened(cls, shared) -> Numbered:
+        return mapped(shared, cls.arrays, lambda made: cls(**made)) if isinstance(shared, Shared) else opened(shared, cls.of)
 
     def find(self, key: np.ndarray) -> np.ndarray:
         return self.numbers[find(self.sorted_keys, key.view(np.uint64))[0]].astype(np.int64)
 
+    def key(self, number: np.ndarray) -> np.ndarray:
+        return self.sorted_keys[self.by_number[number]].view(np.int64)
 
-class Names:
-    """Hashes and stems by number."""
-
-    def __init__(self, words: Numbered):
-        self.key, self.stem = (np.empty(len(words.numbers), dtype=np.int64) for _ in (0, 1))
-        self.key[words.numbers] = words.sorted_keys.view(np.int64)
-        self.stem[words.numbers] = words.stems[words.stem_at]
+    def stem(self, number: np.ndarray) -> np.ndarray:
+        return self.stems[self.stem_at[self.by_number[number]]]
 
     def before(self, number: np.ndarray) -> np.ndarray:
         """Hashes of preceding words, whose numbers begin at 1; 0 is none."""
-        return np.where(number > 0, self.key[np.maximum(number - 1, 0)], 0)
+        return np.where(number > 0, self.key(np.maximum(number - 1, 0)), 0)
 
 
 def _by_block(place: np.ndarray, blocks: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -180,7 +194,11 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
     """Rows of the same kind and content as the counts by joins: pairs, words and contexts, from rows of (text, label)."""
     spark = train.sparkSession
     # the driver passes the compressed parts on as they are; workers open them
-    shared = spark.sparkContext.broadcast([tuple(r) for r in words.select("part", "words", "stems").collect()])
+    words = words.select("part", "words", "stems")
+    if size > lookup.FEW_OPENED:
+        shared = Shared(spark, pieces(words))
+    else:
+        shared = spark.sparkContext.broadcast([tuple(r) for r in words.collect()])
     blocks = max(1, -(-size // BLOCK_WORDS), -(-total // BLOCK_TOKENS))
     pair_kind, word_kind, context_kind = kinds
     sums_kind = -1
@@ -202,7 +220,7 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
             wide = len(word)
             if not wide:
                 continue
-            number = opened(shared, Numbered.of).find(word)
+            number = Numbered.opened(shared).find(word)
             first = np.concatenate([[0], number + 1])
             key, n = np.unique((np.repeat(labels, sizes) * (wide + 1) + place) * wide + codes, return_counts=True)
             held.append(((key // wide // (wide + 1)).astype(np.int8), first[key // wide % (wide + 1)].astype(np.int32),
@@ -215,7 +233,7 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
             yield from shipped()
 
     def meet(batches):
-        block, held, count, most, v = None, [], 0, 2 * HELD, Names(opened(shared, Numbered.of))
+        block, held, count, most, v = None, [], 0, 2 * HELD, Numbered.opened(shared)
 
         def merged():
             nonlocal held, count
@@ -250,10 +268,10 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
 
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             own = word[first]
-            yield rows(word_kind, v.key[own], zero[first], *[np.add.reduceat((c > 0).astype(np.int64), first) for c in classes],
-                       np.diff(np.append(first, len(word))), zero[first], stem=v.stem[own])
+            yield rows(word_kind, v.key(own), zero[first], *[np.add.reduceat((c > 0).astype(np.int64), first) for c in classes],
+                       np.diff(np.append(first, len(word))), zero[first], stem=v.stem(own))
             some = np.flatnonzero(above[2] + above[3] > 0)
-            yield rows(pair_kind, v.before(before[some]), v.key[word[some]], *[c[some] for c in classes], zero[some], zero[some])
+            yield rows(pair_kind, v.before(before[some]), v.key(word[some]), *[c[some] for c in classes], zero[some], zero[some])
             yield rows(context_kind, v.before(before[some]), zero[some], *[c[some] for c in above], zero[some], zero[some])
             context, _, n, off = _merged([before], [every], [np.minimum(every, discount)])
             packed = list(_by_block(context, blocks, n, off))
@@ -277,7 +295,7 @@ def count_blocks(train: DataFrame, words: DataFrame, size: int, total: int, toke
             yield from met()
 
     def add(batches):
-        block, held, v = None, [], Names(opened(shared, Numbered.of))
+        block, held, v = None, [], Numbered.opened(shared)
 
         def added():
             at, _, n, off = _merged([x[0] for x in held], [x[1] for x in held], [x[2] for x in held])

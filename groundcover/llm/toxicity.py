@@ -16,8 +16,8 @@ Pairs, words and stems are counted by 64-bit hashes in Spark tables that grow wi
 vocabulary, so unrelated ones do not share a count; up to ``FEW_WORDS`` distinct words are numbered, and
 their pairs are counted in compressed blocks (``pair_counts``), with the same result. The model is a table of log-likelihood
 ratios by these hashes, without those that follow from the level below. Up to ``FEW_ENTRIES``
-entries are sent to all tasks; more are joined to the distinct words and pairs of blocks of
-texts, with frequent keys joined apart.
+entries are sent to all executors (``lookup``: large ones in pieces, mapped by the workers); more are joined to the
+distinct words and pairs of blocks of texts, with frequent keys joined apart.
 
 Class counts are over every labelled row outside the held-out fold; the counts that both
 classes share, and the weights that lead to them, over all documents, labelled or not. Only the
@@ -38,6 +38,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,10 +50,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..session import cut_lineage
-from . import pair_counts
+from . import lookup, pair_counts
 from .columns import squeezed, unsqueezed
 from .common import if_few, join_counted
-from .lookup import find, opened
+from .lookup import Shared, find, mapped, opened, pieces
 from .memory import given_back
 from .store import written
 
@@ -70,10 +71,10 @@ _WORDS = re.compile(r"[^\W\d_]+")
 BLOCK, SCORED, PAIRS_HELD = 250_000, 50_000, 400_000
 #: Characters of a text whose letters are looked up at once, in eight bytes each.
 LOOKED_UP = 1 << 20
-#: Entries of the model that are sent to all tasks at most; a larger model is joined.
-FEW_ENTRIES = 4_000_000
+#: Entries of the model that are sent to all executors at most; a larger model is joined.
+FEW_ENTRIES = 64_000_000
 #: Words that are numbered and broadcast at most, and tokens whose pairs are counted by blocks of these.
-FEW_WORDS, FEW_TOKENS = 8_000_000, 2_000_000_000
+FEW_WORDS, FEW_TOKENS = 64_000_000, 2_000_000_000
 #: Letters of the texts that look their entries up together when the model is joined.
 LOOK_UP = 4_000_000
 #: What an entry of the model is about.
@@ -315,29 +316,35 @@ def log_ratios(counts: DataFrame, points: bool) -> DataFrame | None:
     return written(out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]), "toxicity-model")
 
 
-def _compressed(model: DataFrame) -> list[tuple[int, int, bytes, bytes]]:
-    """The entries as (kind, least key, steps of the sorted keys, values), about 14 bytes each, as the driver passes them on."""
+def _compressed(model: DataFrame) -> DataFrame:
+    """The entries as (kind, least key, size, steps of the sorted keys, values), about 14 bytes each, as the driver passes them on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kind, key, value = (c.to_numpy() for c in b.columns)
             for k in np.unique(kind).tolist():
                 own = np.flatnonzero(kind == k)
                 steps = np.diff(key[own].view(_U), prepend=key[own[:1]].view(_U))
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([int(key[own[0]])]), pa.array([squeezed(steps)], pa.binary()),
-                                                  pa.array([value[own].tobytes()], pa.binary())], ["kind", "least", "steps", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([int(key[own[0]])]), pa.array([len(own)]),
+                                                  pa.array([squeezed(steps)], pa.binary()), pa.array([value[own].tobytes()], pa.binary())],
+                                                 ["kind", "least", "size", "steps", "data"])
 
-    rows = model.select("kind", "key", "value").orderBy("kind", "key").mapInArrow(run, "kind int, least long, steps binary, data binary")
-    return sorted(tuple(r) for r in rows.collect())
+    return model.select("kind", "key", "value").orderBy("kind", "key").mapInArrow(
+        run, "kind int, least long, size long, steps binary, data binary")
 
 
 class Entries:
     """Entries of the model, all or those that some texts need."""
 
-    def __init__(self, of: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, of: list[tuple[np.ndarray, np.ndarray]], some: np.ndarray | None = None):
         self.of = of
         # most pairs of a text have no entry, and few of those pass here
-        self.some = np.zeros(1 << 22, dtype=bool)
-        self.some[of[PAIR][0] & (len(self.some) - 1)] = True
+        self.some = self.pairs(of[PAIR][0]) if some is None else some
+
+    @staticmethod
+    def pairs(keys: np.ndarray) -> np.ndarray:
+        some = np.zeros(max(1 << 22, 1 << (2 * len(keys)).bit_length()), dtype=bool)
+        some[keys & (len(some) - 1)] = True
+        return some
 
     @classmethod
     def of_table(cls, table: pa.Table) -> Entries:
@@ -347,14 +354,34 @@ class Entries:
         return cls([(key[a:b], value[a:b]) for a, b in zip(bounds[:-1], bounds[1:])])
 
     @classmethod
-    def of_parts(cls, parts: list[tuple[int, int, bytes, bytes]]) -> Entries:
+    def of_parts(cls, parts: list[tuple[int, int, int, bytes, bytes]]) -> Entries:
         of = []
         for k in range(4):
-            keys = [np.cumsum(unsqueezed(steps)[0]) + least for kind, least, steps, _ in parts if kind == k]
-            values = [np.frombuffer(data, dtype=float) for kind, _, _, data in parts if kind == k]
+            keys = [np.cumsum(unsqueezed(steps)[0]) + least for kind, least, _, steps, _ in parts if kind == k]
+            values = [np.frombuffer(data, dtype=float) for kind, _, _, _, data in parts if kind == k]
             of.append(tuple(np.concatenate([np.zeros(0, dtype=t), *x]) for t, x in ((np.int64, keys), (float, values))))
         return cls(of)
 
+    @classmethod
+    def opened(cls, shared) -> Entries:
+        if not isinstance(shared, Shared):
+            return opened(shared, cls.of_parts)
+        return mapped(shared, cls.arrays, lambda made: cls([(made[f"key{k}"], made[f"value{k}"]) for k in range(4)], made["some"]))
+
+    @classmethod
+    def arrays(cls, parts: Iterator) -> dict[str, np.ndarray]:
+        """From pieces in any order; before them are all (kind, least key, size) in order, which say where a piece belongs."""
+        at, ends = {}, [0] * 4
+        for kind, least, size in next(parts):
+            at[kind, least] = ends[kind]
+            ends[kind] += size
+        made = {f"key{k}": np.empty(n, dtype=np.int64) for k, n in enumerate(ends)} | {f"value{k}": np.empty(n) for k, n in enumerate(ends)}
+        for kind, least, size, steps, data in parts:
+            own = slice(at[kind, least], at[kind, least] + size)
+            made[f"key{kind}"][own] = np.cumsum(unsqueezed(steps)[0]) + least
+            made[f"value{kind}"][own] = np.frombuffer(data, dtype=float)
+        return made | {"some": cls.pairs(made[f"key{PAIR}"])}
+
     def get(self, kind: int, keys: np.ndarray, otherwise: np.ndarray | float = 0.0) -> np.ndarray:
         names, values = self.of[kind]
         if not len(names):
@@ -424,7 +451,7 @@ def fit_curve(evidence: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Scorer:
-    """The model, its entries as a broadcast table where they are few, and the curve."""
+    """The model, its entries as a broadcast table or as pieces of one unless they are very many, and the curve."""
 
     model: DataFrame
     shared: object | None
@@ -432,8 +459,15 @@ class Scorer:
 
     @classmethod
     def of(cls, model: DataFrame, curve: np.ndarray | None = None) -> Scorer:
-        few = model.count() <= FEW_ENTRIES
-        return cls(model, model.sparkSession.sparkContext.broadcast(_compressed(model)) if few else None, curve)
+        size, spark = model.count(), model.sparkSession
+        if size > FEW_ENTRIES:
+            return cls(model, None, curve)
+        parts = _compressed(model)
+        if size <= lookup.FEW_OPENED:
+            return cls(model, spark.sparkContext.broadcast(sorted(tuple(r) for r in parts.collect())), curve)
+        parts = written(parts, "toxicity-parts")
+        places = sorted(tuple(r) for r in parts.select("kind", "least", "size").collect())
+        return cls(model, Shared(spark, chain([[places]], pieces(parts))), curve)
 
 
 def _rated(entries: Entries, texts: Iterator[str], curve: np.ndarray | None) -> list:
@@ -479,7 +513,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     first = Scorer.of(model)
     points = rated(unseen, first, "text", "evidence").select("toxic", "evidence").toArrow()  # about max_rows, and so are the broadcast labels
     if first.shared is not None:
-        first.shared.unpersist()
+        first.shared.destroy()
     toxic = points.column("toxic").to_numpy()
     if len(np.unique(toxic)) < 2:
         return None
@@ -498,7 +532,7 @@ def rated(df: DataFrame, scorer: Scorer, text_col: str, name: str) -> DataFrame:
 
     @F.arrow_udf(kind)
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        entries = opened(shared, Entries.of_parts)
+        entries = Entries.opened(shared)
         given_back()  # what opening took besides
         for texts in batches:
             # one text at a time becomes a string, and few are held together

@@ -1,7 +1,7 @@
 """Tables larger than what a worker opens for itself: the same results by other ways."""
 
 import corpus_pipeline
-from groundcover.llm import toxicity
+from groundcover.llm import lookup, pair_counts, toxicity
 
 
 def scored_texts(spark, tmp_path, rows=240):
@@ -21,3 +21,21 @@ def test_pipeline_with_a_joined_model(spark, monkeypatch, tmp_path):
     got = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect())) == want and 0 < len(want) < 240
+
+
+def test_mapped_tables_give_the_same_scores(spark, monkeypatch, tmp_path):
+    docs, labels = scored_texts(spark, tmp_path)
+    want = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
+    monkeypatch.setattr(lookup, "FEW_OPENED", 0)
+    monkeypatch.setattr(lookup, "PIECE_BYTES", 100)
+    monkeypatch.setattr(pair_counts, "WORD_BYTES", 500)
+    scorer = toxicity.learn(docs, labels)
+    assert isinstance(scorer.shared, lookup.Shared) and len(scorer.shared.parts) > 2
+    for _ in range(2):  # opened by one worker, then found there
+        got = {r.doc_id: r.score for r in toxicity.score(docs, scorer).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_limits_hold_for_six_gigabytes():
+    """0.51 GB have 2.4 million words and 1.8 million entries; both grow more slowly than the table."""
+    assert toxicity.FEW_WORDS >= 12 * 2_400_000 and toxicity.FEW_ENTRIES >= 12 * 1_850_000
