@@ -13,7 +13,8 @@ Transitions are smoothed by class totals. Emissions give a discount, n1 / (n1 +
 words not seen in training, class by class; after such a word, transitions are those of words seen once. So the
 probabilities of all known words, the end and one unknown word add up to 1 after any history, as those of the base model do.
 
-Up to ``FEW`` distinct words (and ``FEW_TOKENS`` tokens): words are numbered by frequency and broadcast; bigrams are dealt once, as
+Up to ``FEW`` distinct words (and ``FEW_TOKENS`` tokens): words are numbered by frequency and broadcast (``lookup``: many of them in
+pieces, mapped by the workers of an executor); bigrams are dealt once, as
 compressed blocks, to where their words' decisions are made, and a round moves one byte a word. With more
 words, rounds are joins of bigrams and classes that give each word its at most ``CLASSES`` neighbouring
 classes, and texts are joined to the words they use, block by block.
@@ -36,17 +37,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import lookup
 from .common import join_counted
-from .lookup import find, opened, text_runs, with_facts
+from .lookup import Shared, find, mapped, opened, packed, text_runs, unpacked, with_facts
 from .memory import tidy
 from .store import written
 
 #: Classes, among them that of the end token, and rounds in which half of the words may move.
 CLASSES, ROUNDS = 64, 8
 FOLDS, HELD_OUT = 5, 1
-#: Words that are broadcast at most, 16 bytes each, and tokens whose bigrams are dealt by word: of more, one
+#: Words that are broadcast at most, 20 bytes each, and tokens whose bigrams are dealt by word: of more, one
 #: frequent word's bigrams would keep a task too long.
-FEW, FEW_TOKENS = 8_000_000, 2_000_000_000  # so counts fit 32 bits
+FEW, FEW_TOKENS = 64_000_000, 2_000_000_000  # so counts fit 32 bits
 #: Counts from which a word's gain is taken exactly; tokens' weight that class totals have in transitions.
 HEAVY, BACK = 1000, 20.0
 #: Bytes of text counted at a time, distinct bigrams a task holds, words whose decisions one block takes and their tokens on average.
@@ -91,7 +93,7 @@ def _bigrams(train: DataFrame, emit, schema: str, number=None, shared=None) -> D
         for b in batches:
             for part in text_runs(b, "text", RUN_BYTES):
                 key, codes, sizes = tokens(part.column(0))
-                name = key if number is None else number(shared.value, key)
+                name = key if number is None else number(Vocabulary.opened(shared), key)
                 before = np.concatenate([codes[-1:], codes[:-1]])  # the last token of the text before it is its end
                 pair, n = np.unique(before * len(key) + codes, return_counts=True)
                 held.append((name[pair // len(key)], name[pair % len(key)], n))
@@ -144,6 +146,7 @@ class Vocabulary:
     sorted_keys: np.ndarray
     ranks: np.ndarray
     n: np.ndarray
+    odd: np.ndarray | None = None  # words that move in odd rounds
 
     @classmethod
     def of(cls, table: pa.Table) -> Vocabulary:
@@ -152,6 +155,22 @@ class Vocabulary:
         by_key = np.argsort(key[order])
         return cls(key[order][by_key], by_key.astype(np.int32), n[order])
 
+    @staticmethod
+    def arrays(parts: Iterator) -> dict[str, np.ndarray]:
+        """The same from packed pieces, whose keys are sorted, so only the counts are."""
+        key, n = unpacked(parts, np.int32)
+        first = -n
+        first[key == END_KEY] = np.iinfo(np.int32).min
+        order = np.argsort(first, kind="stable")
+        del first
+        ranks = np.empty(len(key), dtype=np.int32)
+        ranks[order] = np.arange(len(key), dtype=np.int32)
+        return {"sorted_keys": key, "ranks": ranks, "n": n[order], "odd": ~turn(key[order], 0)}
+
+    @classmethod
+    def opened(cls, shared) -> Vocabulary:
+        return mapped(shared, cls.arrays, lambda made: cls(**made)) if isinstance(shared, Shared) else shared.value
+
     def number(self, key: np.ndarray) -> np.ndarray:
         return self.ranks[find(self.sorted_keys, key)[0]]
 
@@ -227,27 +246,42 @@ def _neighbours(batches: Iterator[pa.RecordBatch], classes: np.ndarray, words: i
         yield block, sums
 
 
-def clustered(train: DataFrame, words: DataFrame, rounds: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Classes of the words when these are few: (key, n, cls), the transitions, and those after words seen once."""
+@dataclass
+class Mapped:
+    """Words that workers map, and their classes by rank."""
+
+    shared: Shared
+    classes: np.ndarray
+
+
+def clustered(train: DataFrame, words: DataFrame, size: int, total: int, rounds: int) -> tuple[pa.Table | Mapped, np.ndarray, np.ndarray]:
+    """Classes of the words when these can be sent: (key, n, cls), the transitions, and those after words seen once."""
     spark = train.sparkSession
-    own = Vocabulary.of(words.toArrow())
-    size, vocabulary = len(own.n), spark.sparkContext.broadcast(own)
-    blocks = max(-(-size // BLOCK_WORDS), -(-int(own.n.sum()) // BLOCK_TOKENS))
+    blocks = max(-(-size // BLOCK_WORDS), -(-total // BLOCK_TOKENS))
+    own = None if size > lookup.FEW_OPENED else Vocabulary.of(words.toArrow())
+    vocabulary = packed(words, "key", "n") if own is None else spark.sparkContext.broadcast(own)
     edges = dealt(train, vocabulary, blocks)
     classes = np.minimum(np.arange(size), CLASSES - 1).astype(np.uint8)
-    key = np.empty(size, dtype=np.int64)
-    key[own.ranks] = own.sorted_keys
     # rounds need 6 bytes a word: counts, whose turn it is, and classes
-    often = spark.sparkContext.broadcast(own.n.astype(np.int32))
-    odd = spark.sparkContext.broadcast(~turn(key, 0))
+    if own is None:
+        def facts() -> tuple[np.ndarray, np.ndarray]:
+            open_ = Vocabulary.opened(vocabulary)
+            return open_.n, open_.odd
+    else:
+        key = np.empty(size, dtype=np.int64)
+        key[own.ranks] = own.sorted_keys
+        shared_facts = [spark.sparkContext.broadcast(x) for x in (own.n.astype(np.int32), ~turn(key, 0))]
+
+        def facts() -> tuple[np.ndarray, np.ndarray]:
+            return tuple(x.value for x in shared_facts)
 
     def transitions(classes) -> tuple[np.ndarray, np.ndarray]:
         def run(batches):
-            sums = np.zeros((2 * CLASSES, CLASSES))
+            sums, (often, _) = np.zeros((2 * CLASSES, CLASSES)), facts()
             for block, (_, after) in _neighbours((b.filter(pa.array(b.column(1).to_numpy() == 1)) for b in batches), classes.value, size, blocks):
                 ranks = block + blocks * np.arange(len(after))
                 np.add.at(sums, classes.value[ranks], after)
-                once = np.flatnonzero(often.value[ranks] == 1)
+                once = np.flatnonzero(often[ranks] == 1)
                 np.add.at(sums, CLASSES + classes.value[ranks[once]].astype(int), after[once])
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.ravel()[at].astype(np.int64))], ["at", "n"])
@@ -260,13 +294,14 @@ def clustered(train: DataFrame, words: DataFrame, rounds: int) -> tuple[DataFram
 
     def decided(classes, counts: np.ndarray, round_: int) -> DataFrame:
         def run(batches):
+            often, odd = facts()
             for block, (before, after) in _neighbours(batches, classes.value, size, blocks):
                 ranks = block + blocks * np.arange(len(after))
-                ranks, row = (x[(odd.value[ranks] == bool(round_ % 2)) & (ranks > 0)] for x in (ranks, np.arange(len(after))))
+                ranks, row = (x[(odd[ranks] == bool(round_ % 2)) & (ranks > 0)] for x in (ranks, np.arange(len(after))))
                 to = np.empty(len(ranks), dtype=np.int64)
                 for a in range(0, len(ranks), 10_000):
                     at = slice(a, a + 10_000)
-                    to[at] = moved(before[row[at]], after[row[at]], often.value[ranks[at]].astype(np.int64), classes.value[ranks[at]], counts)
+                    to[at] = moved(before[row[at]], after[row[at]], often[ranks[at]].astype(np.int64), classes.value[ranks[at]], counts)
                 differ = to != classes.value[ranks]
                 yield pa.RecordBatch.from_arrays([pa.array(ranks[differ].astype(np.int32)), pa.array(to[differ].astype(np.int32))],
                                                  ["rank", "cls"])
@@ -282,9 +317,10 @@ def clustered(train: DataFrame, words: DataFrame, rounds: int) -> tuple[DataFram
         shared.unpersist()
         shared = spark.sparkContext.broadcast(classes)
     counts, once = transitions(shared)
-    table = pa.table({"key": key, "n": own.n.astype(np.int64), "cls": classes.astype(np.int32)})
     shared.unpersist()
-    return table, counts, once
+    if own is None:
+        return Mapped(vocabulary, classes), counts, once
+    return pa.table({"key": key, "n": own.n.astype(np.int64), "cls": classes.astype(np.int32)}), counts, once
 
 
 def joined(train: DataFrame, words: DataFrame, rounds: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
@@ -344,7 +380,7 @@ def joined(train: DataFrame, words: DataFrame, rounds: int) -> tuple[DataFrame,
 class Model:
     """Words with counts and classes, transitions, what follows words seen once, and sums of the training rows."""
 
-    words: pa.Table | DataFrame
+    words: pa.Table | Mapped | DataFrame
     counts: np.ndarray
     once: np.ndarray
     total: int
@@ -360,10 +396,12 @@ def learn(train: DataFrame, rounds: int = ROUNDS, few: int = FEW) -> Model | Non
                                         F.sum((F.col("n") == 2).cast("long"))).first()
     if not total:
         return None
-    table, counts, once = clustered(train, words, rounds) if distinct <= few and total <= FEW_TOKENS else joined(train, words, rounds)
+    table, counts, once = clustered(train, words, distinct, total, rounds) if distinct <= few and total <= FEW_TOKENS else joined(train, words, rounds)
     types = np.zeros(CLASSES)
     if isinstance(table, pa.Table):
         types += np.bincount(table.column("cls").to_numpy(), minlength=CLASSES)
+    elif isinstance(table, Mapped):
+        types += np.bincount(table.classes, minlength=CLASSES)
     else:
         for cls, n in table.groupBy("cls").count().collect():
             types[cls] = n
@@ -374,8 +412,12 @@ def learn(train: DataFrame, rounds: int = ROUNDS, few: int = FEW) -> Model | Non
 class Scores:
     """log10 probabilities of texts."""
 
-    def __init__(self, model: Model, table: pa.Table):
-        self.keys, self.n, self.cls = (table.column(c).to_numpy() for c in ("key", "n", "cls"))
+    def __init__(self, model: Model, table: pa.Table | None, words: Vocabulary | None = None, classes: np.ndarray | None = None):
+        if words is None:
+            self.keys, self.n, self.cls = (table.column(c).to_numpy() for c in ("key", "n", "cls"))
+        else:
+            self.keys, self.n, self.cls = words.sorted_keys, words.n, classes
+        self.ranks = None if words is None else words.ranks  # counts and classes are by rank, or as the keys are
         totals = model.counts.sum(0).astype(float)
         rows = np.vstack([model.counts, model.once]).astype(float)
         # (class before, or words not seen) x class
@@ -390,7 +432,9 @@ class Scores:
         """Tokens, known ones, base score and score, by text."""
         key, codes, sizes = tokens(texts)
         at, known = find(self.keys, key)
-        n, cls = (np.where(known, x[at], y) for x, y in ((self.n, 0), (self.cls.astype(np.int64), CLASSES))) if len(
+        if self.ranks is not None:
+            at = self.ranks[at]
+        n, cls = (np.where(known, x[at].astype(np.int64), y) for x, y in ((self.n, 0), (self.cls, CLASSES))) if len(
             self.keys) else (np.zeros(len(key)), np.full(len(key), CLASSES))
         base = np.log10((n + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
         inside = np.minimum(cls, CLASSES - 1)
@@ -419,7 +463,17 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         total, small = model.total, Model(None, *[getattr(model, f) for f in ("counts", "once", "total", "distinct", "discount", "types")])
         run = lambda b, own: pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, own.of(b.column(1)))], names)
         make = lambda table: Scores(small, table)
-        if isinstance(model.words, pa.Table):
+        if isinstance(model.words, Mapped):
+            words, classes = model.words.shared, docs.sparkSession.sparkContext.broadcast(model.words.classes)
+
+            def near_mapped(batches):
+                own = Scores(small, None, Vocabulary.opened(words), classes.value)
+                for b in batches:
+                    for part in text_runs(b, "text", RUN_BYTES):
+                        yield run(part, own)
+
+            out = rows.mapInArrow(near_mapped, schema)
+        elif isinstance(model.words, pa.Table):
             shared = docs.sparkSession.sparkContext.broadcast(model.words.sort_by("key"))
 
             def near(batches):

@@ -8,6 +8,7 @@ import shutil
 import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut_lineage
+from .columns import squeezed, unsqueezed
 from .common import join_counted
 from .memory import given_back
 from .store import written
@@ -128,6 +130,35 @@ def mapped(shared: Shared, make: Callable[[Iterator], dict[str, np.ndarray]], of
         return _OPEN["made"]
 
 
+def packed(rows: DataFrame, key: str, *counts: str) -> Shared:
+    """Rows of a distinct long key and of whole numbers from 0 on, as compressed pieces."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                own, *more = (c.to_numpy() for c in b.columns)
+                steps = np.diff(own.view(_U), prepend=own[:1].view(_U))
+                yield pa.RecordBatch.from_arrays([pa.array([int(own[0])]), pa.array([len(own)]), pa.array([squeezed(steps, *more)], pa.binary())],
+                                                 ["least", "size", "raw"])
+
+    parts = written(rows.select(key, *counts).orderBy(key).mapInArrow(run, "least long, size long, raw binary"), "pieces")
+    places = sorted(tuple(r) for r in parts.select("least", "size").collect())
+    return Shared(rows.sparkSession, chain([[places]], pieces(parts)))
+
+
+def unpacked(parts: Iterator, *kinds: type) -> list[np.ndarray]:
+    """The sorted keys and the other columns of ``packed`` rows."""
+    at, end = {}, 0
+    for least, size in next(parts):
+        at[least] = end
+        end += size
+    out = [np.empty(end, dtype=t) for t in (np.int64, *kinds)]
+    for least, size, raw in parts:
+        steps, *more = unsqueezed(raw)
+        for column, values in zip(out, (np.cumsum(steps) + least, *more)):
+            column[at[least]:at[least] + size] = values
+    return out
+
+
 def let_go() -> None:
     """Drops what ``opened`` keeps, which outlives its tasks, before work that needs none of it."""
     with _LOCK:

@@ -1,7 +1,9 @@
 """Tables larger than what a worker opens for itself: the same results by other ways."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from groundcover.llm import lookup, pair_counts, toxicity
+from groundcover.llm import class_lm, lookup, pair_counts, toxicity
 
 
 def scored_texts(spark, tmp_path, rows=240):
@@ -37,5 +39,22 @@ def test_mapped_tables_give_the_same_scores(spark, monkeypatch, tmp_path):
 
 
 def test_limits_hold_for_six_gigabytes():
-    """0.51 GB have 2.4 million words and 1.8 million entries; both grow more slowly than the table."""
-    assert toxicity.FEW_WORDS >= 12 * 2_400_000 and toxicity.FEW_ENTRIES >= 12 * 1_850_000
+    """0.51 GB have 2.4 million words, 1.8 million entries and 3.3 million tokens; all grow more slowly than the table."""
+    assert toxicity.FEW_WORDS >= 12 * 2_400_000 and toxicity.FEW_ENTRIES >= 12 * 1_850_000 and class_lm.FEW >= 12 * 3_300_000
+
+
+def test_mapped_words_give_the_same_classes(spark, monkeypatch):
+    rows = [(i, None if i == 7 else " ".join(f"w{(i * j + j) % 17} x{(i + j) % 5}" for j in range(i % 30))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(map(tuple, class_lm.rate(docs, rounds=3).collect()))
+    monkeypatch.setattr(lookup, "FEW_OPENED", 0)
+    monkeypatch.setattr(lookup, "PIECE_BYTES", 10)
+    assert isinstance(class_lm.learn(docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")), 1).words, class_lm.Mapped)
+    assert sorted(map(tuple, class_lm.rate(docs, rounds=3).collect())) == want
+
+
+def test_packed_rows_come_back(spark):
+    rows = [(k, k % 7 + (k % 3 > 1) * 100_000) for k in [-2**63, -5, 0, 3, 2**63 - 1, *range(10**15, 10**15 + 30_000, 3)]]
+    shared = lookup.packed(spark.createDataFrame(rows, "key long, n long").repartition(4), "key", "n")
+    key, n = lookup.unpacked(iter(shared), "int32")
+    assert list(zip(key.tolist(), n.tolist())) == sorted(rows)
