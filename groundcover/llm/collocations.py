@@ -10,7 +10,7 @@ with what was taken off reach the threshold are the survivors. Summaries count a
 threshold, more says nothing here, and two n-grams on one place only add a false survivor.
 
 The second pass counts the survivors by their words, exactly. Up to ``FEW`` survivors are
-broadcast; more are joined to the distinct n-grams of blocks of texts. What a score needs
+sent to all executors (``lookup``: many of them in pieces, mapped by the workers), and a task adds up what it counts; more are joined to the distinct n-grams of blocks of texts. What a score needs
 of the parts of a phrase occurs at least as often as the phrase, so it is among the survivors.
 
 Defined cases: a null text is empty, a null language ``und``; repeated rows count as often as they
@@ -25,21 +25,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import lookup
 from .common import join_counted
-from .lookup import scramble, text_runs, with_facts
+from .lookup import find, mapped, opened, packed, scramble, sorted_by_key, text_runs, unpacked, with_facts
 from .memory import tidy
 from .store import written
 
 LONGEST, THRESHOLD, TOP = 3, 10, 2000
 #: Counters a task holds, mass of a hash partition, bytes of text counted at a time.
 HELD, MASS, RUN_BYTES = 2_000_000, 8_000_000, 2_000_000
-#: Survivors sent to all tasks at most, 8 bytes each.
-FEW = 4_000_000
+#: Survivors sent to all executors at most, 8 bytes each, and different n-grams a task counts before it ships them.
+FEW, COUNTED = 64_000_000, 1_000_000
+#: Bytes of text whose counts meet in one part.
+MEET_BYTES = 16_000_000
 #: Rows ranked in one task.
 RANKED = 200_000
 _U = np.uint64
@@ -81,28 +85,78 @@ class Grams:
 
     def counted(self, hits: list[np.ndarray]) -> pa.RecordBatch:
         """(lang, phrase, size, n) of the n-grams that ``hits`` marks, counted by their words; size 0 has all words."""
-        lang, phrase, size, count = [], [], [], []
-        wide = len(self.words)
-        for n, (starts, hit) in enumerate(zip(self.starts, hits), 1):
+        counts = Counts()
+        counts.add(self, hits)
+        return counts.shipped()
+
+
+class Counts:
+    """N-grams of many texts counted by their words, which are numbered as they come."""
+
+    def __init__(self):
+        self.langs, self.words, self.held, self.size = {}, {}, [], 0
+
+    def add(self, grams: Grams, hits: list[np.ndarray]) -> None:
+        lang = _numbers(self.langs, grams.langs)
+        used = np.zeros(len(grams.words), dtype=bool)
+        for n, (starts, hit) in enumerate(zip(grams.starts, hits), 1):
+            for i in range(n):
+                used[grams.codes[starts[hit] + i]] = True
+        word, wide = np.zeros(len(grams.words), dtype=np.int64), len(grams.words)
+        own = np.flatnonzero(used)
+        word[own] = _numbers(self.words, grams.words[own]) + 1
+        for n, (starts, hit) in enumerate(zip(grams.starts, hits), 1):
             at = starts[hit]
-            name, steps = self.lang[at], []
+            name, steps = grams.lang[at], []
             for i in range(n):
-                name, names = pd.factorize(name * wide + self.codes[at + i])
+                name, names = pd.factorize(name * wide + grams.codes[at + i])
                 steps.append(names)
-            total = np.bincount(name, minlength=len(steps[-1]))
-            up, own = np.arange(len(steps[-1])), []
+            up, codes = np.arange(len(steps[-1])), [np.zeros(len(steps[-1]), dtype=np.int64)] * (LONGEST - n)
             for names in reversed(steps):
                 up, code = np.divmod(names[up], wide)
-                own.insert(0, self.words[code])
-            lang += self.langs[up].tolist()
-            phrase += [b" ".join(w) for w in zip(*own)]
-            size += [n] * len(total)
-            count += total.tolist()
-        totals = np.bincount(self.lang[self.starts[0]], minlength=len(self.langs))
-        lang, phrase = lang + self.langs.tolist(), phrase + [b""] * len(totals)
-        size, count = size + [0] * len(totals), count + totals.tolist()
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()),
-                                           pa.array(size, pa.int32()), pa.array(count, pa.int64())], ["lang", "phrase", "size", "n"])
+                codes.insert(0, word[code])
+            self._hold(lang[up], codes, np.bincount(name, minlength=len(steps[-1])))
+        totals = np.bincount(grams.lang[grams.starts[0]], minlength=len(lang))
+        self._hold(lang, [np.zeros(len(lang), dtype=np.int64)] * LONGEST, totals)
+
+    def _hold(self, lang: np.ndarray, codes: list[np.ndarray], count: np.ndarray) -> None:
+        # two numbers of 32 bits each in one of 64: language and first word, second and third
+        self.held.append((lang << 32 | codes[0], codes[1] << 32 | codes[2], count))
+        self.size += len(count)
+
+    def merge(self) -> None:
+        if len(self.held) < 2:
+            return
+        first, rest, count = (np.concatenate(x) for x in zip(*self.held))
+        self.held = []
+        order = np.lexsort((rest, first))
+        first, rest = first[order], rest[order]
+        new = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])]))
+        self.held = [(first[new], rest[new], np.add.reduceat(count[order], new))]
+        self.size = len(new)
+
+    def shipped(self) -> pa.RecordBatch:
+        """What is held, which is then let go."""
+        self.merge()
+        first, rest, count = self.held[0]
+        names, low = pa.array([b"", *self.words], pa.binary()).cast(pa.large_string()), 0xFFFFFFFF
+        codes = [first & low, rest >> 32, rest & low]
+        size = np.add.reduce([(c > 0).astype(np.int32) for c in codes], dtype=np.int32)
+        order = np.argsort(size, kind="stable")
+        first, count, size, codes = first[order], count[order], size[order], [c[order] for c in codes]
+        ends, phrases = np.searchsorted(size, np.arange(LONGEST + 2)), []
+        for n in range(LONGEST + 1):
+            words = [names.take(pa.array(c[ends[n]:ends[n + 1]])) for c in codes[:max(n, 1)]]
+            phrases.append(words[0] if n < 2 else pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())))
+        phrase = pa.concat_arrays(phrases)
+        lang = pa.array(list(self.langs), pa.string()).take(pa.array(first >> 32))
+        self.__init__()
+        return pa.RecordBatch.from_arrays([lang, phrase.cast(pa.string()), pa.array(size), pa.array(count.astype(np.int64))],
+                                          ["lang", "phrase", "size", "n"])
+
+
+def _numbers(known: dict, names: np.ndarray) -> np.ndarray:
+    return np.fromiter((known.setdefault(x, len(known)) for x in names), dtype=np.int64, count=len(names))
 
 
 def place(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -228,17 +282,24 @@ def survivors(summed: DataFrame, threshold: int) -> DataFrame:
 
 
 class Survivors:
-    def __init__(self, table: pa.Table):
-        self.keys = table.column("key").to_numpy().astype(np.uint64)
-        self.some = np.zeros(1 << 22, dtype=bool)
-        self.some[self.keys & _U(len(self.some) - 1)] = True
+    """Sorted keys, and a table by their last bits, in which few others are."""
+
+    def __init__(self, table: pa.Table | None, arrays: dict[str, np.ndarray] | None = None):
+        made = arrays or self.arrays(table.column("key").to_numpy())
+        self.keys, self.some = made["keys"], made["some"]
+
+    @staticmethod
+    def arrays(keys: np.ndarray) -> dict[str, np.ndarray]:
+        keys = keys.view(np.uint64)
+        some = np.zeros(max(1 << 22, 1 << (4 * len(keys)).bit_length()), dtype=bool)
+        some[keys & _U(len(some) - 1)] = True
+        return {"keys": keys, "some": some}
 
     def hits(self, keys: np.ndarray) -> np.ndarray:
         out = self.some[keys & _U(len(self.some) - 1)]
         at = np.flatnonzero(out)
         if len(at):
-            near = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
-            out[at] = self.keys[near] == keys[at]
+            out[at] = find(self.keys, keys[at])[1]
         return out
 
 
@@ -251,11 +312,82 @@ def frequent(docs: DataFrame, threshold: int = THRESHOLD, lang_col: str = "lang"
     # a word takes two bytes at least, so a partition has its mass at most, but for places of one n-gram
     parts = max(1, -(-size * LONGEST // (2 * mass)))
     kept = written(survivors(summaries(rows, parts, threshold), threshold), "collocation-survivors")
-    exact = with_facts(rows, "text", kept, lambda b: np.concatenate(Grams(b).keys(parts)).view(np.int64), Survivors,
-                       lambda b, own: (g := Grams(b)).counted([own.hits(k) for k in g.keys(parts)]),
-                       "lang string, phrase string, size int, n long", few, RUN_BYTES)
-    counts = exact.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
-    return written(counts.filter((F.col("n") >= threshold) | (F.col("size") == 0)), "collocation-counts")
+    left, schema = kept.limit(few + 1).count(), "lang string, phrase string, size int, n long"
+    if left > few:
+        exact = with_facts(rows, "text", kept, lambda b: np.concatenate(Grams(b).keys(parts)).view(np.int64), Survivors,
+                           lambda b, own: (g := Grams(b)).counted([own.hits(k) for k in g.keys(parts)]), schema, few, RUN_BYTES)
+    else:
+        if left > lookup.FEW_OPENED:
+            shared = packed(kept, "key")
+            open_ = lambda: mapped(shared, lambda raw: Survivors.arrays(*unpacked(raw)), lambda made: Survivors(None, made))
+        else:
+            shared = docs.sparkSession.sparkContext.broadcast(sorted_by_key(kept.toArrow()))
+            open_ = lambda: opened(shared, Survivors)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, counts, most = open_(), Counts(), COUNTED
+            for b in batches:
+                for part in text_runs(b, "text", RUN_BYTES):
+                    grams = Grams(part)
+                    counts.add(grams, [own.hits(k) for k in grams.keys(parts)])
+                    if counts.size > most:
+                        counts.merge()
+                        most = max(COUNTED, 2 * counts.size)
+                        if counts.size > COUNTED // 2:
+                            yield counts.shipped()
+                            most = COUNTED
+            if counts.size:
+                yield counts.shipped()
+
+        meet = max(1, -(-size // MEET_BYTES))
+        shipped = rows.mapInArrow(tidy(lambda batches: dealt(run(batches), meet)), "part int, rows binary")
+        exact = shipped.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(added_up), schema)
+    if left > few:
+        exact = exact.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    return written(exact.filter((F.col("n") >= threshold) | (F.col("size") == 0)), "collocation-counts")
+
+
+def dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, rows): the counts of a task by hash of phrase and language, as compressed bytes."""
+    for b in batches:
+        own = pd.util.hash_array(b.column(1).to_numpy(zero_copy_only=False), categorize=False)
+        own ^= scramble(pd.util.hash_array(b.column(0).to_numpy(zero_copy_only=False)))
+        own = (own >> _U(32)) * _U(parts) >> _U(32)
+        order = np.argsort(own, kind="stable")
+        own, b = own[order], b.take(pa.array(order))
+        some, starts = np.unique(own, return_index=True)
+        ends = [*starts[1:].tolist(), len(own)]
+        raw = []
+        for start, end in zip(starts.tolist(), ends):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(b.slice(start, end - start))
+            raw.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw, pa.binary())], ["part", "rows"])
+
+
+def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of the parts, each added up; a part's rows come one after another."""
+    part, held, size, most = None, [], 0, HELD
+
+    def merged() -> pa.Table:
+        table = pa.concat_tables(held).group_by(["lang", "phrase", "size"], use_threads=False).aggregate([("n", "sum")])
+        return table.rename_columns({"n_sum": "n"}).select(["lang", "phrase", "size", "n"])
+
+    for b in batches:
+        for own, rows in zip(b.column(0).to_pylist(), b.column(1)):
+            if own != part and held:
+                yield from merged().to_batches()
+                held, size, most = [], 0, HELD
+            part = own
+            held.append(pa.ipc.open_stream(rows.as_buffer()).read_all())
+            size += held[-1].num_rows
+            if size > most:
+                held = [merged()]
+                size = held[0].num_rows
+                most = max(HELD, 2 * size)
+    if held:
+        yield from merged().to_batches()
 
 
 def _words(phrase: str, start: Column, count: Column) -> Column:

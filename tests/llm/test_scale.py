@@ -1,9 +1,11 @@
 """Tables larger than what a worker opens for itself: the same results by other ways."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from groundcover.llm import class_lm, lookup, pair_counts, toxicity
+from groundcover.llm import class_lm, collocations, lookup, pair_counts, toxicity
 
 
 def scored_texts(spark, tmp_path, rows=240):
@@ -58,3 +60,30 @@ def test_packed_rows_come_back(spark):
     shared = lookup.packed(spark.createDataFrame(rows, "key long, n long").repartition(4), "key", "n")
     key, n = lookup.unpacked(iter(shared), "int32")
     assert list(zip(key.tolist(), n.tolist())) == sorted(rows)
+
+
+def phrase_docs(spark):
+    rows = [(("en", "de", None)[i % 3], None if i == 5 else " ".join(f"a{(i * j) % 4} b{j % 3}, ü{(i + j) % 5}" for j in range(i % 25))) for i in range(150)]
+    return spark.createDataFrame(rows, "lang string, text string").repartition(3)
+
+
+def test_mapped_survivors_and_often_shipped_counts_give_the_same_phrases(spark, monkeypatch):
+    docs = phrase_docs(spark)
+    want = sorted(map(tuple, collocations.mine(docs, 3, 40).collect()))
+    assert len(want) > 20
+    monkeypatch.setattr(lookup, "FEW_OPENED", 0)
+    monkeypatch.setattr(lookup, "PIECE_BYTES", 10)
+    monkeypatch.setattr(collocations, "COUNTED", 20)
+    monkeypatch.setattr(collocations, "RUN_BYTES", 100)
+    assert sorted(map(tuple, collocations.mine(docs, 3, 40).collect())) == want
+
+
+def test_counts_of_several_slices_are_added_up():
+    counts, parts, both = collocations.Counts(), 3, pa.record_batch({"lang": ["en"], "text": [b"one two, one two three"]})
+    for batch in (both, pa.record_batch({"lang": ["de", "en"], "text": [b"", b"zwei one two"]})):
+        grams = collocations.Grams(batch)
+        counts.add(grams, [np.ones(len(k), dtype=bool) for k in grams.keys(parts)])
+    got = {(r["lang"], r["phrase"], r["size"]): r["n"] for r in counts.shipped().to_pylist()}
+    assert got == {("en", "", 0): 8, ("de", "", 0): 0, ("en", "one", 1): 3, ("en", "two", 1): 3, ("en", "three", 1): 1, ("en", "zwei", 1): 1,
+                   ("en", "one two", 2): 3, ("en", "two three", 2): 1, ("en", "zwei one", 2): 1, ("en", "one two three", 3): 1, ("en", "zwei one two", 3): 1}
+    assert counts.size == 0
